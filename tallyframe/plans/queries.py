@@ -45,3 +45,198 @@ def q_portfolio_kpis(spark, sf_dir):
     volume, with asset, account and enabled-gateway counts."""
     led = L(spark, sf_dir)
     return portfolio.portfolio_kpis(led.crypto_wallets, led.bank_accounts, led.payment_gateways)
+
+
+# ---------------------------------------------------------------------------
+# DuckDB spellings of the display helpers (oracle side only)
+# ---------------------------------------------------------------------------
+def usd_sql(x: str) -> str:
+    return f"('$' || printf('%,.2f', round(CAST(coalesce({x}, 0) AS DECIMAL(38,2)), 2)))"
+
+
+def fixed_sql(x: str, d: int) -> str:
+    return f"CAST(CAST(round(CAST(coalesce({x}, 0) AS DECIMAL(20,8)), {d}) AS DECIMAL(28,{d})) AS VARCHAR)"
+
+
+def short_sql(x: str) -> str:
+    return f"(CASE WHEN length({x}) > 16 THEN left({x}, 8) || '…' || right({x}, 6) ELSE {x} END)"
+
+
+def case_map_sql(x: str, mapping: dict, default: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"(CASE {x} {whens} ELSE '{default}' END)"
+
+
+STATUS_COLOR_SQL = ("(CASE WHEN status IN ('active','confirmed','settled','verified') THEN 'green' "
+                    "WHEN status IN ('processing','pending') THEN 'amber' "
+                    "WHEN status IN ('inactive','failed','error') THEN 'red' ELSE 'gray' END)")
+TYPE_COLOR_SQL = ("(CASE type WHEN 'receive' THEN 'green' WHEN 'send' THEN 'red' WHEN 'swap' "
+                  "THEN 'purple' WHEN 'alloc' THEN 'amber' ELSE 'gray' END)")
+TX_COLS_SQL = ("id, user_id, type, gateway, method, amount, amount_usd, from_address, to_address, "
+               "description, status, tx_hash, fee, created_at")
+
+
+# ---------------------------------------------------------------------------
+# Listings (F1-F5, F9, F17, X3, X7, X12, X14-X18)
+# ---------------------------------------------------------------------------
+from tallyframe.operators import listings  # noqa: E402
+from tallyframe.schemas import GATEWAY_COLORS, SYMBOL_COLORS  # noqa: E402
+
+
+@query("list_wallets", oracle=with_ledger(f"""
+SELECT id, user_id, name, address, symbol, network, balance, balance_usd, is_verified, created_at,
+       {short_sql('address')} AS short_address,
+       {fixed_sql('balance', 4)} AS balance_text,
+       {usd_sql('balance_usd')} AS balance_usd_text,
+       {case_map_sql('symbol', SYMBOL_COLORS, 'var(--blue)')} AS color
+FROM crypto_wallets""", "crypto_wallets"))
+def q_list_wallets(spark, sf_dir):
+    """F1 + X3 + X7 + X17: every owner's wallet cards, newest first."""
+    return listings.list_wallets(L(spark, sf_dir).crypto_wallets)
+
+
+@query("list_banks", oracle=with_ledger(f"""
+SELECT id, user_id, name, bank_name, account_type, last4, balance, currency, status, created_at,
+       '••••' || last4 AS masked, {STATUS_COLOR_SQL} AS status_color,
+       {usd_sql('balance')} AS balance_text
+FROM bank_accounts""", "bank_accounts"))
+def q_list_banks(spark, sf_dir):
+    """F2 + X5 + X15: every owner's bank cards without secrets, newest first."""
+    return listings.list_banks(L(spark, sf_dir).bank_accounts)
+
+
+@query("list_gateways", oracle=with_ledger(f"""
+SELECT id, user_id, name, fee, fixed_fee, is_enabled, monthly_volume, transaction_count, created_at,
+       printf('%,.2f', round(fee, 2)) || '%' ||
+         CASE WHEN coalesce(fixed_fee, 0) > 0 THEN ' + $' || printf('%,.2f', round(fixed_fee, 2)) ELSE '' END
+         AS fee_label,
+       {case_map_sql('name', GATEWAY_COLORS, '#3D8EF0')} AS color,
+       left(name, 1) AS initial,
+       {usd_sql('monthly_volume')} AS volume_text
+FROM payment_gateways""", "payment_gateways"))
+def q_list_gateways(spark, sf_dir):
+    """F3 + X16 + X17: every owner's gateway cards without key and secret."""
+    return listings.list_gateways(L(spark, sf_dir).payment_gateways)
+
+
+@query("list_rules", oracle=with_ledger("""
+SELECT id, user_id, name, percentage, color, is_locked, is_auto, created_at,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS INTEGER) AS position,
+       CASE WHEN is_locked THEN 'Locked' ELSE 'Adjustable' END || ' · ' ||
+       CASE WHEN is_auto THEN 'Auto-run' ELSE 'Manual only' END AS meta
+FROM allocation_rules""", "allocation_rules"))
+def q_list_rules(spark, sf_dir):
+    """F4 + O2: every user's allocation rules, oldest first, with positions."""
+    return listings.list_rules(L(spark, sf_dir).allocation_rules)
+
+
+@query("user_directory", oracle=with_ledger("""
+SELECT id, lower(trim(email)) AS email, trim(first_name) AS first_name, trim(last_name) AS last_name,
+       role, status, stripe_customer_id, last_login, created_at, updated_at,
+       coalesce(nullif(concat_ws(' ', trim(first_name), trim(last_name)), ''), lower(trim(email))) AS display_name,
+       upper(left(trim(first_name), 1) || left(trim(last_name), 1)) AS initials,
+       upper(left(role, 1)) || substring(role, 2) AS role_label
+FROM users""", "users"))
+def q_user_directory(spark, sf_dir):
+    """F5 + F9 + X12 + X14 + X18: the user directory without password hashes."""
+    return listings.user_directory(L(spark, sf_dir).users)
+
+
+@query("find_users", oracle=with_ledger("""
+SELECT id, lower(trim(email)) AS email, trim(first_name) AS first_name, trim(last_name) AS last_name,
+       role, status, stripe_customer_id, last_login, created_at, updated_at,
+       coalesce(nullif(concat_ws(' ', trim(first_name), trim(last_name)), ''), lower(trim(email))) AS display_name,
+       upper(left(trim(first_name), 1) || left(trim(last_name), 1)) AS initials,
+       upper(left(role, 1)) || substring(role, 2) AS role_label
+FROM users
+WHERE lower(trim(email)) IN (SELECT lower(trim(upper(c_name) || '@example.com')) FROM customer
+                             WHERE c_mktsegment = 'BUILDING')""", "users"))
+def q_find_users(spark, sf_dir):
+    """look users up by e-mail after normalising both sides (X12); the lookup
+    list is every BUILDING-segment customer's address typed in another case."""
+    led = L(spark, sf_dir)
+    emails = (led.driver("customer").where("c_mktsegment = 'BUILDING'")
+              .selectExpr("upper(c_name) || '@example.com' AS email"))
+    return listings.find_users(led.users, emails)
+
+
+# ---------------------------------------------------------------------------
+# Transactions: search, pages, lookups, statement
+# ---------------------------------------------------------------------------
+def _page_sql(where: str, lo: int, hi: int) -> str:
+    return with_ledger(f"""
+SELECT {TX_COLS_SQL}, CAST(position AS INTEGER) AS position FROM (
+  SELECT {TX_COLS_SQL},
+         row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS position
+  FROM transactions WHERE {where}) t
+WHERE position > {lo} AND position <= {hi}""", "transactions")
+
+
+@query("tx_search", oracle=_page_sql("type = 'receive'", 0, 50))
+def q_tx_search(spark, sf_dir):
+    """F6 + F16 + O1 + O3: each owner's newest 50 'receive' transactions."""
+    return listings.tx_search(L(spark, sf_dir).transactions, type="receive")
+
+
+@query("tx_gateway_in", oracle=_page_sql("gateway IN ('Stripe', 'Wise', 'Internal')", 0, 50))
+def q_tx_gateway_in(spark, sf_dir):
+    """F7 + F15: the bank page's gateway list 'Stripe,Wise,Internal' (with stray
+    blanks, which are trimmed and dropped), newest 50 per owner."""
+    return listings.tx_search(L(spark, sf_dir).transactions, gateway=" Stripe , Wise,,Internal, ")
+
+
+@query("tx_page", oracle=with_ledger(f"""
+SELECT {TX_COLS_SQL} FROM transactions ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 10
+""", "transactions"))
+def q_tx_page(spark, sf_dir):
+    """O3: one global newest-first page; limit 'abc' falls back to 50, offset 10."""
+    return listings.tx_page(L(spark, sf_dir).transactions, limit="abc", offset="10")
+
+
+@query("recent_tx", oracle=_page_sql("TRUE", 0, 6))
+def q_recent_tx(spark, sf_dir):
+    """The six newest transactions of every owner."""
+    return listings.recent_tx(L(spark, sf_dir).transactions, 6)
+
+
+@query("tx_by_id", oracle=with_ledger("""
+SELECT * FROM transactions t
+WHERE EXISTS (SELECT 1 FROM events e WHERE e.event_id = t.id AND e.user_id = t.user_id)
+""", "transactions"))
+def q_tx_by_id(spark, sf_dir):
+    """F8: owner-checked point lookups, one request per event (id = event_id, owner =
+    the event's user); requests for another owner's id find nothing."""
+    led = L(spark, sf_dir)
+    requests = led.driver("events").selectExpr("event_id AS id", "user_id")
+    found, _ = listings.tx_by_id(led.transactions, requests)
+    return found
+
+
+@query("tx_text_search", oracle=with_ledger(f"""
+SELECT {TX_COLS_SQL} FROM transactions
+WHERE coalesce(contains(lower(from_address), 'order 12'), FALSE)
+   OR coalesce(contains(lower(description), 'order 12'), FALSE)
+   OR contains(CAST(id AS VARCHAR), 'order 12')""", "transactions"))
+def q_tx_text_search(spark, sf_dir):
+    """case-insensitive search for 'ORDER 12' over address, description and id,
+    across all rows."""
+    return listings.tx_text_search(L(spark, sf_dir).transactions, "ORDER 12")
+
+
+@query("tx_statement", oracle=with_ledger(f"""
+SELECT id, user_id, type, gateway, method, amount_usd, status, created_at,
+       CASE WHEN type = 'send' THEN '-' ELSE '+' END || {usd_sql('abs(amount_usd)')} AS amount_text,
+       coalesce(nullif(description, ''), nullif(from_address, ''), '—') AS description_text,
+       coalesce(nullif(from_address, ''), nullif(description, ''), '—') AS bank_description_text,
+       coalesce(method, '—') AS method_text,
+       coalesce(gateway, '—') AS gateway_text,
+       {STATUS_COLOR_SQL} AS status_color,
+       upper(type) AS type_label,
+       {TYPE_COLOR_SQL} AS type_color,
+       strftime(created_at, '%H:%M:%S') AS time_text,
+       strftime(created_at, '%Y-%m-%d %H:%M:%S') AS datetime_text,
+       strftime(created_at, '%a, %b %-d, %Y') AS date_text
+FROM transactions""", "transactions"))
+def q_tx_statement(spark, sf_dir):
+    """R3 (X1-X6, X13): every transaction as a statement line with display texts."""
+    return listings.tx_statement(L(spark, sf_dir).transactions)
