@@ -240,3 +240,138 @@ FROM transactions""", "transactions"))
 def q_tx_statement(spark, sf_dir):
     """R3 (X1-X6, X13): every transaction as a statement line with display texts."""
     return listings.tx_statement(L(spark, sf_dir).transactions)
+
+
+# ---------------------------------------------------------------------------
+# Allocation
+# ---------------------------------------------------------------------------
+from tallyframe.operators import allocation  # noqa: E402
+from tallyframe.schemas import RULE_PALETTE  # noqa: E402
+
+
+def _runs(led: Ledger):
+    """Allocation runs: every ``alloc`` transaction is one run of its amount."""
+    return led.transactions.where("type = 'alloc'").selectExpr(
+        "id AS run_id", "user_id", "amount_usd AS amount", "created_at")
+
+
+_RUNS_SQL = "runs AS (SELECT id AS run_id, user_id, amount_usd AS amount, created_at FROM transactions WHERE type = 'alloc')"
+_SHARE_SQL = "CAST(CAST({a} AS DECIMAL(20,2)) * {p} * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(26,6))"
+
+
+@query("rule_totals", oracle=with_ledger("""
+SELECT user_id, CAST(t AS DECIMAL(7,2)) AS total_pct, t = 100 AS is_on_target,
+       CAST(greatest(100 - t, 0) AS DECIMAL(7,2)) AS remaining_pct,
+       CAST(greatest(t - 100, 0) AS DECIMAL(7,2)) AS over_by_pct,
+       CASE WHEN t = 100 THEN NULL
+            WHEN t < 100 THEN 'Rules sum to ' || CAST(CAST(t AS DECIMAL(7,2)) AS VARCHAR) || '% — Remaining: '
+                              || CAST(CAST(100 - t AS DECIMAL(7,2)) AS VARCHAR) || '%'
+            ELSE 'Rules sum to ' || CAST(CAST(t AS DECIMAL(7,2)) AS VARCHAR) || '% — Over by '
+                 || CAST(CAST(t - 100 AS DECIMAL(7,2)) AS VARCHAR) || '%' END AS warning
+FROM (SELECT user_id, sum(percentage) AS t FROM allocation_rules GROUP BY user_id) s""",
+                                         "allocation_rules"))
+def q_rule_totals(spark, sf_dir):
+    """Every user's rule total with on-target flag, remaining and over-by."""
+    return allocation.rule_totals(L(spark, sf_dir).allocation_rules)
+
+
+def _cap_candidates(led: Ledger):
+    """New-rule requests: one per click event; the percentage text comes from the
+    event's JSON props (``k``), unparsable for every 13th event."""
+    return led.driver("events").where("event_type = 'click'").selectExpr(
+        "event_id AS request_id", "user_id", "'Rule ' || CAST(event_id AS STRING) AS name",
+        "CASE WHEN event_id % 13 = 0 THEN 'n/a' ELSE get_json_object(props, '$.k') END AS pct_text",
+        "value > 40 AS is_locked")
+
+
+@query("rule_cap_check", oracle=with_ledger("""
+SELECT request_id, c.user_id, name, CAST(pct AS DECIMAL(5,2)) AS percentage, is_locked,
+       CAST(coalesce(e.t, 0) AS DECIMAL(7,2)) AS existing_pct,
+       CAST(coalesce(e.t, 0) + pct AS DECIMAL(7,2)) AS new_total_pct,
+       (coalesce(e.t, 0) + pct <= 100) OR coalesce(is_locked, FALSE) AS accepted
+FROM (SELECT event_id AS request_id, user_id, 'Rule ' || CAST(event_id AS VARCHAR) AS name,
+             least(greatest(coalesce(TRY_CAST(CASE WHEN event_id % 13 = 0 THEN 'n/a'
+                                                   ELSE json_extract_string(props, '$.k') END AS INTEGER), 0), 0), 100) AS pct,
+             value > 40 AS is_locked
+      FROM events WHERE event_type = 'click') c
+LEFT JOIN (SELECT user_id, sum(percentage) AS t FROM allocation_rules GROUP BY user_id) e
+  ON c.user_id = e.user_id""", "allocation_rules"))
+def q_rule_cap_check(spark, sf_dir):
+    """A7 + X8: decide each click event's new-rule request against the owner's
+    existing total (cap 100 unless locked), parsing and clamping the percentage."""
+    led = L(spark, sf_dir)
+    return allocation.rule_cap_check(led.allocation_rules, _cap_candidates(led))
+
+
+@query("alloc_run", oracle=with_ledger(f"""
+SELECT r.run_id, r.user_id, a.id AS rule_id, a.name AS rule_name, a.percentage, r.amount,
+       {_SHARE_SQL.format(a='r.amount', p='a.percentage')} AS share
+FROM runs r
+JOIN (SELECT user_id, sum(percentage) AS t FROM allocation_rules WHERE is_auto GROUP BY user_id) g
+  ON g.user_id = r.user_id AND g.t = 100
+JOIN allocation_rules a ON a.user_id = r.user_id AND a.is_auto""",
+                                       "transactions", "allocation_rules", extra_ctes=(_RUNS_SQL,)))
+def q_alloc_run(spark, sf_dir):
+    """R4 (F12, A8, J9, X11): every alloc transaction split over its owner's auto
+    rules when they sum to exactly 100; exact DECIMAL shares."""
+    led = L(spark, sf_dir)
+    allocations, _ = allocation.alloc_run(_runs(led), led.allocation_rules)
+    return allocations
+
+
+@query("alloc_rejects", oracle=with_ledger("""
+SELECT r.run_id, r.user_id, r.amount, CAST(coalesce(g.t, 0) AS DECIMAL(7,2)) AS rule_total_pct,
+       'Total percentage must be 100%. Current total: ' || CAST(CAST(coalesce(g.t, 0) AS DECIMAL(7,2)) AS VARCHAR) || '%' AS error
+FROM runs r
+LEFT JOIN (SELECT user_id, sum(percentage) AS t FROM allocation_rules WHERE is_auto GROUP BY user_id) g
+  ON g.user_id = r.user_id
+WHERE coalesce(g.t, 0) <> 100""", "transactions", "allocation_rules", extra_ctes=(_RUNS_SQL,)))
+def q_alloc_rejects(spark, sf_dir):
+    """A8 second output: runs rejected because the owner's auto rules do not sum to
+    exactly 100 (seed set B sums to 80 over auto rules)."""
+    led = L(spark, sf_dir)
+    _, rejects = allocation.alloc_run(_runs(led), led.allocation_rules)
+    return rejects
+
+
+@query("alloc_preview", oracle=with_ledger(f"""
+SELECT l.user_id, a.id AS rule_id, a.name AS rule_name, a.color, a.percentage, l.amount,
+       {_SHARE_SQL.format(a='l.amount', p='a.percentage')} AS share,
+       '$' || printf('%,.2f', round({_SHARE_SQL.format(a='l.amount', p='a.percentage')}, 2)) AS share_text,
+       t.t <> 100 AS warn, CAST(t.t AS DECIMAL(7,2)) AS all_rules_pct
+FROM (SELECT user_id, amount FROM (
+        SELECT user_id, amount, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, run_id DESC) AS rn
+        FROM runs) x WHERE rn = 1) l
+JOIN (SELECT user_id, sum(percentage) AS t FROM allocation_rules GROUP BY user_id) t ON t.user_id = l.user_id
+JOIN allocation_rules a ON a.user_id = l.user_id""",
+                                           "transactions", "allocation_rules", extra_ctes=(_RUNS_SQL,)))
+def q_alloc_preview(spark, sf_dir):
+    """R5 + R8: each owner's latest run amount previewed over all rules (no gate),
+    with a warning flag when the rules do not sum to 100."""
+    led = L(spark, sf_dir)
+    return allocation.alloc_preview(allocation.latest_amount(_runs(led)), led.allocation_rules)
+
+
+@query("rule_offsets", oracle=with_ledger("""
+SELECT user_id, id, name, percentage,
+       CAST(coalesce(sum(percentage) OVER (PARTITION BY user_id ORDER BY created_at, id
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DECIMAL(7,2)) AS offset_pct,
+       CAST(sum(percentage) OVER (PARTITION BY user_id ORDER BY created_at, id
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(7,2)) AS end_pct
+FROM allocation_rules""", "allocation_rules"))
+def q_rule_offsets(spark, sf_dir):
+    """Donut offsets: running sum of each user's earlier rule percentages."""
+    return allocation.rule_offsets(L(spark, sf_dir).allocation_rules)
+
+
+_PALETTE_SQL = "[" + ", ".join(f"'{c}'" for c in RULE_PALETTE) + "]"
+
+
+@query("rule_colors", oracle=with_ledger(f"""
+SELECT user_id, id, name, CAST(pos AS INTEGER) AS position,
+       {_PALETTE_SQL}[((pos - 1) % {len(RULE_PALETTE)}) + 1] AS palette_color
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS pos
+      FROM allocation_rules) r""", "allocation_rules"))
+def q_rule_colors(spark, sf_dir):
+    """Palette colour by rule position modulo 7."""
+    return allocation.rule_colors(L(spark, sf_dir).allocation_rules)
