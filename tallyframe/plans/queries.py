@@ -20,7 +20,7 @@ def L(spark: SparkSession, sf_dir: str) -> Ledger:
 # ---------------------------------------------------------------------------
 # Portfolio
 # ---------------------------------------------------------------------------
-_KPI_SQL = with_ledger("""
+_KPI_BODY = """
 SELECT coalesce(w.user_id, b.user_id, g.user_id) AS user_id,
        CAST(coalesce(w.crypto, 0) + coalesce(b.bank, 0) + coalesce(g.gw, 0) AS DECIMAL(30,2)) AS total_usd,
        CAST(coalesce(w.crypto, 0) AS DECIMAL(30,2)) AS crypto_usd,
@@ -36,7 +36,8 @@ FULL OUTER JOIN (SELECT user_id, sum(CASE WHEN is_enabled THEN monthly_volume EN
                         count(*) FILTER (WHERE is_enabled) AS n_enabled
                  FROM payment_gateways GROUP BY user_id) g
   ON coalesce(w.user_id, b.user_id) = g.user_id
-""", "crypto_wallets", "bank_accounts", "payment_gateways")
+"""
+_KPI_SQL = with_ledger(_KPI_BODY, "crypto_wallets", "bank_accounts", "payment_gateways")
 
 
 @query("portfolio_kpis", oracle=_KPI_SQL)
@@ -375,3 +376,94 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id)
 def q_rule_colors(spark, sf_dir):
     """Palette colour by rule position modulo 7."""
     return allocation.rule_colors(L(spark, sf_dir).allocation_rules)
+
+
+# ---------------------------------------------------------------------------
+# Bars, ranks, candidates
+# ---------------------------------------------------------------------------
+from tallyframe.operators import pairs  # noqa: E402
+
+_RANK_SQL = ("SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rank "
+             "FROM bank_accounts")
+_BARS_CTE = f"""bars AS (
+  SELECT user_id, 1 AS bar_pos, 'Crypto' AS label, CAST(NULL AS BIGINT) AS account_id,
+         CAST(crypto_usd AS DECIMAL(20,2)) AS value FROM kpis
+  UNION ALL
+  SELECT user_id, CASE rank WHEN 1 THEN 2 WHEN 4 THEN 3 WHEN 2 THEN 4 ELSE 5 END, name, id,
+         CAST(coalesce(balance, 0) AS DECIMAL(20,2)) FROM ({_RANK_SQL}) r WHERE rank <= 4
+  UNION ALL
+  SELECT user_id, 6, 'GW Volume', CAST(NULL AS BIGINT), CAST(gateway_volume_usd AS DECIMAL(20,2)) FROM kpis)"""
+
+
+def _pct_sql(v: str, rel: str) -> str:
+    return f"""
+SELECT b.*, CAST(floor(b.{v} * 100 / m.vmax + 0.5) AS INTEGER) AS pct, {usd_sql('b.' + v)} AS value_text
+FROM {rel} b JOIN (SELECT user_id, greatest(max({v}), 1) AS vmax FROM {rel} GROUP BY user_id) m
+  ON b.user_id = m.user_id"""
+
+
+@query("portfolio_bars", oracle=with_ledger(_pct_sql("value", "bars"),
+                                            "crypto_wallets", "bank_accounts", "payment_gateways",
+                                            extra_ctes=(f"kpis AS ({_KPI_BODY})", _BARS_CTE)))
+def q_portfolio_bars(spark, sf_dir):
+    """R2 (U1, A9, W2, W4): each owner's six bars (crypto, first four accounts in
+    newest-first order, enabled gateway volume) with percent of the largest."""
+    led = L(spark, sf_dir)
+    return portfolio.portfolio_bars(led.crypto_wallets, led.bank_accounts, led.payment_gateways)
+
+
+@query("gateway_volume_bars", oracle=with_ledger(
+    f"SELECT x.*, {case_map_sql('x.name', GATEWAY_COLORS, '#3D8EF0')} AS color FROM ("
+    + _pct_sql("monthly_volume", "active") + ") x",
+    "payment_gateways",
+    extra_ctes=("active AS (SELECT user_id, id AS gateway_id, name, monthly_volume FROM payment_gateways "
+                "WHERE monthly_volume > 0)",)))
+def q_gateway_volume_bars(spark, sf_dir):
+    """R6 (F13, A9, W4, X17): gateways with positive volume, percent of the owner's
+    largest volume, and colour."""
+    return portfolio.gateway_volume_bars(L(spark, sf_dir).payment_gateways)
+
+
+@query("bank_rank", oracle=with_ledger(
+    f"SELECT id, user_id, name, balance, created_at, CAST(rank AS INTEGER) AS rank FROM ({_RANK_SQL}) r WHERE rank <= 4",
+    "bank_accounts"))
+def q_bank_rank(spark, sf_dir):
+    """The first four accounts of each owner in newest-first order (bar sources)."""
+    return (portfolio.bank_rank(L(spark, sf_dir).bank_accounts, top=4)
+            .select("id", "user_id", "name", "balance", "created_at", "rank"))
+
+
+def _swap_requests(led: Ledger):
+    """Swap requests: one per line item; requester, from- and to-wallet come from the
+    line's supplier, part and line number."""
+    return led.driver("lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS request_id", "CAST(l_suppkey % 25 AS BIGINT) AS user_id",
+        "l_partkey AS from_wallet_id", "l_partkey + 25 * (l_linenumber - 1) AS to_wallet_id")
+
+
+@query("swap_pairs", oracle=with_ledger("""
+SELECT r.request_id, r.user_id, r.from_wallet_id, r.to_wallet_id, f.symbol AS from_symbol, t.symbol AS to_symbol,
+       CASE WHEN f.id IS NULL THEN 'unknown_from' WHEN t.id IS NULL THEN 'unknown_to'
+            WHEN f.user_id <> r.user_id THEN 'not_owner' WHEN t.user_id <> r.user_id THEN 'cross_owner'
+            WHEN r.from_wallet_id = r.to_wallet_id THEN 'same_wallet' ELSE 'ok' END AS status
+FROM (SELECT l_orderkey * 10 + l_linenumber AS request_id, CAST(l_suppkey % 25 AS BIGINT) AS user_id,
+             l_partkey AS from_wallet_id, l_partkey + 25 * (l_linenumber - 1) AS to_wallet_id FROM lineitem) r
+LEFT JOIN crypto_wallets f ON f.id = r.from_wallet_id
+LEFT JOIN crypto_wallets t ON t.id = r.to_wallet_id""", "crypto_wallets"))
+def q_swap_pairs(spark, sf_dir):
+    """Validate every swap request (both wallets the requester's, and distinct)
+    with two joins on wallet id; no owner's wallet pairs are enumerated."""
+    led = L(spark, sf_dir)
+    return pairs.swap_pairs(led.crypto_wallets, _swap_requests(led))
+
+
+@query("transfer_pairs", oracle=with_ledger("""
+SELECT a.id, a.user_id, a.name, CAST(o.n - 1 AS BIGINT) AS n_targets,
+       CAST(o.s - coalesce(a.balance, 0) AS DECIMAL(30,2)) AS targets_balance
+FROM bank_accounts a
+JOIN (SELECT user_id, count(*) AS n, coalesce(sum(balance), 0) AS s FROM bank_accounts GROUP BY user_id) o
+  ON o.user_id = a.user_id""", "bank_accounts"))
+def q_transfer_pairs(spark, sf_dir):
+    """J7 (Q12): per account, how many other accounts of the owner it can transfer
+    to, and their combined balance."""
+    return pairs.transfer_pairs(L(spark, sf_dir).bank_accounts)
