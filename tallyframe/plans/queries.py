@@ -467,3 +467,135 @@ def q_transfer_pairs(spark, sf_dir):
     """J7 (Q12): per account, how many other accounts of the owner it can transfer
     to, and their combined balance."""
     return pairs.transfer_pairs(L(spark, sf_dir).bank_accounts)
+
+
+# ---------------------------------------------------------------------------
+# Feeds and valuation
+# ---------------------------------------------------------------------------
+from tallyframe.operators import valuation  # noqa: E402
+from tallyframe.sources import feeds, landed  # noqa: E402
+from tallyframe.schemas import SYMBOL_TO_COIN  # noqa: E402
+
+_COINS_SQL = "coins(coin_id, factor) AS (VALUES " + ", ".join(
+    f"('{c}', CAST({f} AS DOUBLE))" for c, f in landed.PRICE_FACTORS.items()) + ")"
+_PRICES_CTE = """prices AS (
+  SELECT coin_id, usd, usd_24h_change, as_of FROM (
+    SELECT c.coin_id, e.value * c.factor AS usd, (e.value - 25.0) / 10.0 AS usd_24h_change,
+           max(e.ts) OVER (PARTITION BY c.coin_id) AS as_of,
+           row_number() OVER (PARTITION BY c.coin_id ORDER BY e.ts DESC, e.event_id DESC) AS rn
+    FROM events e JOIN coins c ON NOT (c.coin_id = 'tether' AND e.event_type = 'signup')
+    WHERE e.event_type NOT IN ('view', 'error')) t
+  WHERE rn = 1)"""
+
+
+@query("price_feed", oracle=with_ledger("SELECT * FROM prices", extra_ctes=(_COINS_SQL, _PRICES_CTE)))
+def q_price_feed(spark, sf_dir):
+    """Parse every landed price reply (coin map JSON) and keep the latest price
+    and 24h change per requested coin id; error replies drop out."""
+    return feeds.price_feed(landed.price_replies(L(spark, sf_dir)))
+
+
+_BANK_FEED_SQL = """
+SELECT c_custkey // 3 AS link_id,
+       CAST(min(c_nationkey) OVER (PARTITION BY c_custkey // 3) AS BIGINT) AS user_id,
+       'item-' || CAST(c_custkey // 3 AS VARCHAR) AS item_id,
+       (['Chase', 'Wise', 'Mercury', 'Bank of America'])[(c_custkey // 3) % 4 + 1] AS institution,
+       CAST(row_number() OVER (PARTITION BY c_custkey // 3 ORDER BY c_custkey) - 1 AS INTEGER) AS pos,
+       'Linked ' || lower(c_mktsegment) AS name, lower(c_mktsegment) AS account_type,
+       lpad(CAST((c_custkey * 37) % 10000 AS VARCHAR), 4, '0') AS last4,
+       CAST(coalesce(CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(c_acctbal AS DECIMAL(20,2)) END, 0) AS DECIMAL(20,2)) AS balance,
+       coalesce(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'USD' END, 'USD') AS currency
+FROM customer"""
+
+
+@query("bank_feed", oracle=_BANK_FEED_SQL)
+def q_bank_feed(spark, sf_dir):
+    """Parse every landed bank-link reply into one row per account (array order
+    kept), with available -> 0 and currency -> USD fallbacks."""
+    return feeds.bank_feed(landed.bank_link_replies(L(spark, sf_dir)))
+
+
+@query("linked_per_institution", oracle=f"""
+SELECT user_id, institution, count(*) AS n_accounts FROM ({_BANK_FEED_SQL}) f GROUP BY user_id, institution""")
+def q_linked_per_institution(spark, sf_dir):
+    """A10: accounts linked per owner and institution, from the parsed link replies."""
+    return valuation.linked_per_institution(feeds.bank_feed(landed.bank_link_replies(L(spark, sf_dir))))
+
+
+_CHAIN_CTE = """chain AS (
+  SELECT w.address, r.network,
+         CASE WHEN r.failed THEN NULL
+              WHEN r.is_sol THEN CAST(CAST(r.lamports AS DECIMAL(20,0)) * CAST(0.000000001 AS DECIMAL(10,9)) AS DECIMAL(20,8))
+              WHEN length(r.digits) > 31 THEN NULL
+              ELSE TRY_CAST(CASE WHEN length(r.units) <= 8 THEN '0.' || lpad(r.units, 8, '0')
+                                 ELSE left(r.units, length(r.units) - 8) || '.' || right(r.units, 8) END AS DECIMAL(20,8)) END
+           AS live_balance,
+         CASE WHEN r.failed THEN 'failed' WHEN r.is_sol THEN 'ok' WHEN length(r.digits) > 31 THEN 'bad_hex' ELSE 'ok' END AS status
+  FROM (
+    SELECT p_partkey AS id, p_partkey % 11 = 0 AS failed, p_partkey % 6 = 4 AS is_sol,
+           CASE p_partkey % 6 WHEN 1 THEN 'Ethereum' WHEN 2 THEN 'ETHEREUM' ELSE 'Solana' END AS network,
+           CAST(p_size AS BIGINT) * 1000000000 + p_partkey AS lamports, digits,
+           CASE WHEN length(digits) > 31 THEN NULL
+                ELSE CASE WHEN length(CAST(CAST('0x0' || digits AS HUGEINT) + 5000000000 AS VARCHAR)) > 10
+                          THEN left(CAST(CAST('0x0' || digits AS HUGEINT) + 5000000000 AS VARCHAR),
+                                    length(CAST(CAST('0x0' || digits AS HUGEINT) + 5000000000 AS VARCHAR)) - 10)
+                          ELSE '0' END END AS units
+    FROM (SELECT *, ltrim(CASE WHEN p_partkey % 19 = 0 THEN repeat('f', 32) WHEN p_partkey % 17 = 0 THEN '0'
+                               ELSE lower(hex(p_partkey)) || lpad(lower(hex(CAST(p_size AS BIGINT) * 1000000000000000)), 16, '0')
+                          END, '0') AS digits
+          FROM part WHERE p_partkey % 6 IN (1, 2, 4)) p) r
+  JOIN crypto_wallets w ON w.id = r.id)"""
+
+
+@query("chain_balance", oracle=with_ledger("SELECT * FROM chain", "crypto_wallets", extra_ctes=(_CHAIN_CTE,)))
+def q_chain_balance(spark, sf_dir):
+    """S7 + X9: parse every wallet's landed balance reply: hex wei -> ETH exactly
+    (values past 2^64 included), lamports -> SOL; failed and malformed replies kept
+    as status rows."""
+    return feeds.chain_balances(landed.chain_replies(L(spark, sf_dir)))
+
+
+_REFRESH_CTE = """refreshed AS (
+  SELECT w.id, w.user_id, w.name, w.address, w.symbol, w.network,
+         CAST(CASE WHEN lower(w.network) IN ('ethereum', 'solana') AND c.live_balance IS NOT NULL
+                   THEN c.live_balance ELSE w.balance END AS DECIMAL(20,8)) AS balance,
+         w.balance_usd, w.is_verified, w.created_at, w.updated_at,
+         CASE WHEN lower(w.network) IN ('ethereum', 'solana') AND c.live_balance IS NOT NULL
+              THEN 'live' ELSE 'stored' END AS balance_source
+  FROM crypto_wallets w
+  LEFT JOIN (SELECT * FROM chain WHERE status = 'ok') c
+    ON c.address = w.address AND lower(c.network) = lower(w.network))"""
+
+
+def _refreshed(led: Ledger):
+    return valuation.wallet_refresh(led.crypto_wallets, feeds.chain_balances(landed.chain_replies(led)))
+
+
+@query("wallet_refresh", oracle=with_ledger("SELECT * FROM refreshed", "crypto_wallets",
+                                            extra_ctes=(_CHAIN_CTE, _REFRESH_CTE)))
+def q_wallet_refresh(spark, sf_dir):
+    """Refresh Ethereum/Solana wallet balances from the parsed chain replies by
+    (address, network); failed calls keep the stored balance."""
+    return _refreshed(L(spark, sf_dir))
+
+
+_COIN_CASE = "CASE upper(symbol) " + " ".join(
+    f"WHEN '{s}' THEN '{c}'" for s, c in SYMBOL_TO_COIN.items()) + " END"
+
+
+@query("wallet_valuation", oracle=with_ledger(f"""
+SELECT w.id, w.user_id, w.name, w.symbol, w.network, w.coin_id, w.balance,
+       CAST(coalesce(CAST(p.usd AS DECIMAL(18,6)), 0) AS DECIMAL(18,6)) AS price_usd,
+       CAST(w.balance * coalesce(CAST(p.usd AS DECIMAL(18,6)), 0) AS DECIMAL(20,2)) AS usd_value,
+       p.usd_24h_change AS change_24h,
+       {fixed_sql('w.balance', 6)} AS balance_text,
+       {usd_sql('CAST(w.balance * coalesce(CAST(p.usd AS DECIMAL(18,6)), 0) AS DECIMAL(20,2))')} AS usd_value_text
+FROM (SELECT *, {_COIN_CASE} AS coin_id FROM refreshed) w
+LEFT JOIN prices p ON p.coin_id = w.coin_id""", "crypto_wallets",
+                                              extra_ctes=(_CHAIN_CTE, _REFRESH_CTE, _COINS_SQL, _PRICES_CTE)))
+def q_wallet_valuation(spark, sf_dir):
+    """R7 (J4, J5, X3): value every refreshed wallet at the latest feed price of its
+    coin (no price -> 0), with the feed's 24h change."""
+    led = L(spark, sf_dir)
+    prices = feeds.price_feed(landed.price_replies(led))
+    return valuation.wallet_valuation(_refreshed(led), prices)
