@@ -599,3 +599,101 @@ def q_wallet_valuation(spark, sf_dir):
     led = L(spark, sf_dir)
     prices = feeds.price_feed(landed.price_replies(led))
     return valuation.wallet_valuation(_refreshed(led), prices)
+
+
+# ---------------------------------------------------------------------------
+# Validation (V1-V6)
+# ---------------------------------------------------------------------------
+from tallyframe.operators import quality  # noqa: E402
+from tallyframe.schemas import LEDGER_SCHEMAS, WALLET_FIELD_LENGTHS  # noqa: E402
+from tallyframe.sources.bindings import LEDGER_TABLES  # noqa: E402
+
+
+def _all_tables(led: Ledger) -> dict:
+    return {t: getattr(led, t) for t in LEDGER_TABLES}
+
+
+def _in_list(vals) -> str:
+    return ", ".join(f"'{v}'" for v in vals)
+
+
+def _check_sql() -> str:
+    parts = []
+    for (t, col), allowed in quality.DOMAINS.items():
+        parts.append(f"SELECT '{t}' AS table_name, id AS row_id, '{col}' AS column_name, 'domain' AS violation "
+                     f"FROM {t} WHERE {col} IS NOT NULL AND {col} NOT IN ({_in_list(allowed)})")
+    for (t, col), (lo, hi) in quality.RANGES.items():
+        parts.append(f"SELECT '{t}', id, '{col}', 'range' FROM {t} WHERE NOT ({col} BETWEEN {lo} AND {hi})")
+    for t, cols in quality.REQUIRED.items():
+        for col in cols:
+            cond = f"{col} IS NULL"
+            if col in quality.BLANK_IS_MISSING.get(t, []):
+                cond += f" OR trim({col}) = ''"
+            parts.append(f"SELECT '{t}', id, '{col}', 'required' FROM {t} WHERE {cond}")
+    return with_ledger("\nUNION ALL\n".join(parts), *LEDGER_TABLES)
+
+
+@query("check_violations", oracle=_check_sql())
+def q_check_violations(spark, sf_dir):
+    """V1 + V3: CHECK-domain, percentage-range and required-field violations over all
+    eight ledger tables (NULL passes a CHECK; blank user names count as missing)."""
+    return quality.check_violations(_all_tables(L(spark, sf_dir)))
+
+
+@query("wallet_validation", oracle=with_ledger("\nUNION ALL\n".join(
+    f"SELECT 'crypto_wallets' AS table_name, id AS row_id, '{c}' AS column_name, 'length {lo}-{hi}' AS violation "
+    f"FROM crypto_wallets WHERE NOT coalesce(length(trim({c})) BETWEEN {lo} AND {hi}, FALSE)"
+    for c, (lo, hi) in WALLET_FIELD_LENGTHS.items()), "crypto_wallets"))
+def q_wallet_validation(spark, sf_dir):
+    """V2: wallet name/address/symbol/network trimmed lengths, all failures reported."""
+    return quality.wallet_validation(L(spark, sf_dir).crypto_wallets)
+
+
+@query("unique_violations", oracle=with_ledger("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{k}' AS column_name, CAST({k} AS VARCHAR) AS key_value, count(*) AS n_rows "
+    f"FROM {t} WHERE {k} IS NOT NULL GROUP BY {k} HAVING count(*) > 1"
+    for t, k in quality.UNIQUE_KEYS.items()), *quality.UNIQUE_KEYS))
+def q_unique_violations(spark, sf_dir):
+    """V4: e-mail, wallet address and bank item id values held by several rows (NULL
+    item ids never collide)."""
+    return quality.unique_violations(_all_tables(L(spark, sf_dir)))
+
+
+_CHILDREN = [t for t in LEDGER_TABLES if t != "users"]
+
+
+@query("orphan_rows", oracle=with_ledger("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, id AS row_id, user_id FROM {t} c "
+    f"WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = c.user_id)"
+    for t in _CHILDREN), *LEDGER_TABLES))
+def q_orphan_rows(spark, sf_dir):
+    """V5: child rows of the seven user-owned tables whose user does not exist."""
+    led = L(spark, sf_dir)
+    return quality.orphan_rows(led.users, {t: getattr(led, t) for t in _CHILDREN})
+
+
+def _length_sql() -> str:
+    parts = []
+    for t in LEDGER_TABLES:
+        for f in LEDGER_SCHEMAS[t].fields:
+            n = f.metadata.get("max_len")
+            if n:
+                parts.append(f"SELECT '{t}' AS table_name, id AS row_id, '{f.name}' AS column_name, "
+                             f"'longer than {n}' AS violation FROM {t} WHERE length({f.name}) > {n}")
+    return with_ledger("\nUNION ALL\n".join(parts), *LEDGER_TABLES)
+
+
+@query("length_violations", oracle=_length_sql())
+def q_length_violations(spark, sf_dir):
+    """V6: text values longer than their declared VARCHAR length, all tables."""
+    return quality.length_violations(_all_tables(L(spark, sf_dir)))
+
+
+@query("decimal_overflow", oracle="""
+SELECT 'raw' AS table_name, o_orderkey AS row_id, 'o_totalprice' AS column_name,
+       'does not fit decimal(8,2)' AS violation
+FROM orders WHERE o_totalprice IS NOT NULL AND TRY_CAST(o_totalprice AS DECIMAL(8,2)) IS NULL""")
+def q_decimal_overflow(spark, sf_dir):
+    """V6 (numbers): order totals that would overflow a DECIMAL(8,2) column on load."""
+    raw = L(spark, sf_dir).driver("orders").select("o_orderkey", "o_totalprice")
+    return quality.decimal_overflow(raw, "o_orderkey", {"o_totalprice": "decimal(8,2)"})
