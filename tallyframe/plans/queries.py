@@ -7,6 +7,7 @@ independent DuckDB formulation of the same result over the same bindings.
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tallyframe.operators import portfolio
 from tallyframe.plans.registry import query
@@ -697,3 +698,354 @@ def q_decimal_overflow(spark, sf_dir):
     """V6 (numbers): order totals that would overflow a DECIMAL(8,2) column on load."""
     raw = L(spark, sf_dir).driver("orders").select("o_orderkey", "o_totalprice")
     return quality.decimal_overflow(raw, "o_orderkey", {"o_totalprice": "decimal(8,2)"})
+
+
+# ---------------------------------------------------------------------------
+# Change application
+# ---------------------------------------------------------------------------
+from tallyframe.operators import changes  # noqa: E402
+from tallyframe.sources.bindings import RULE_SETS  # noqa: E402
+
+AS_OF = "2024-02-01 00:00:00"
+SESSION_AS_OF = "2024-01-25 00:00:00"
+_BANK_COLS = [f.name for f in LEDGER_SCHEMAS["bank_accounts"].fields]
+
+
+def _bank_changes(led: Ledger):
+    return feeds.bank_feed(landed.bank_link_replies(led)).selectExpr(
+        "user_id", "item_id AS plaid_item_id", "name", "institution AS bank_name", "account_type", "last4",
+        "balance", "currency", "'verified' AS status", "link_id", "pos")
+
+
+_UPSERT_COLS = ["name", "bank_name", "account_type", "last4", "balance", "currency", "status"]
+
+
+def _bank_upsert_sql() -> str:
+    src = {"name": "c.name", "bank_name": "c.institution", "account_type": "c.account_type",
+           "last4": "c.last4", "balance": "c.balance", "currency": "c.currency", "status": "'verified'"}
+    sel = []
+    for col in _BANK_COLS:
+        if col == "id":
+            sel.append("t.id")
+        elif col == "user_id":
+            sel.append("CASE WHEN t.id IS NULL THEN c.user_id ELSE t.user_id END AS user_id")
+        elif col in src:
+            sel.append(f"CASE WHEN c.item_id IS NOT NULL THEN {src[col]} ELSE t.{col} END AS {col}")
+        elif col == "plaid_item_id":
+            sel.append("coalesce(t.plaid_item_id, c.item_id) AS plaid_item_id")
+        elif col == "created_at":
+            sel.append(f"CASE WHEN t.id IS NULL THEN TIMESTAMP '{AS_OF}' ELSE t.created_at END AS created_at")
+        elif col == "updated_at":
+            sel.append(f"CASE WHEN c.item_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE t.updated_at END AS updated_at")
+        else:
+            sel.append(f"t.{col}")
+    return with_ledger(f"""
+SELECT {', '.join(sel)},
+       CASE WHEN t.id IS NOT NULL AND c.item_id IS NOT NULL THEN 'updated'
+            WHEN t.id IS NULL THEN 'inserted' ELSE 'unchanged' END AS change
+FROM (SELECT * FROM bank_accounts WHERE plaid_item_id IS NOT NULL) t
+FULL OUTER JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY link_id DESC, pos DESC) AS rn
+                                FROM ({_BANK_FEED_SQL}) f) x WHERE rn = 1) c
+  ON t.plaid_item_id = c.item_id
+UNION ALL
+SELECT *, 'unchanged' FROM bank_accounts WHERE plaid_item_id IS NULL""", "bank_accounts")
+
+
+@query("bank_upsert", oracle=_bank_upsert_sql())
+def q_bank_upsert(spark, sf_dir):
+    """D1 + W3 (Q13, Q14): upsert every parsed bank-link account into the account
+    snapshot on item id; the last account of an item wins, seven columns are
+    overwritten, owner/id/created_at kept, NULL item ids untouched."""
+    led = L(spark, sf_dir)
+    return changes.upsert(led.bank_accounts, _bank_changes(led), "plaid_item_id", _UPSERT_COLS,
+                          ["link_id", "pos"], AS_OF)
+
+
+def _rule_changes(led: Ledger):
+    """Percentage edits: one per view event; every 4th targets another owner's rule."""
+    return led.driver("events").where("event_type = 'view'").selectExpr(
+        "event_id", "ts",
+        "CAST(user_id * 10 + (event_id % 6) + 1 AS BIGINT) AS id",
+        "CAST(CASE WHEN event_id % 4 = 0 THEN user_id + 1 ELSE user_id END AS BIGINT) AS user_id",
+        "try_cast(get_json_object(props, '$.k') AS DECIMAL(5,2)) AS percentage")
+
+
+_RULE_CHANGES_SQL = """rule_changes AS (
+  SELECT event_id, ts, CAST(user_id * 10 + (event_id % 6) + 1 AS BIGINT) AS id,
+         CAST(CASE WHEN event_id % 4 = 0 THEN user_id + 1 ELSE user_id END AS BIGINT) AS user_id,
+         TRY_CAST(json_extract_string(props, '$.k') AS DECIMAL(5,2)) AS percentage
+  FROM events WHERE event_type = 'view')"""
+
+
+@query("apply_updates", oracle=with_ledger(f"""
+SELECT r.id, r.user_id, r.name,
+       CAST(CASE WHEN c.id IS NOT NULL THEN c.percentage ELSE r.percentage END AS DECIMAL(5,2)) AS percentage,
+       r.color, r.is_locked, r.is_auto, r.created_at,
+       CASE WHEN c.id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE r.updated_at END AS updated_at,
+       c.id IS NOT NULL AS changed
+FROM allocation_rules r
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, user_id ORDER BY ts DESC, event_id DESC) AS rn
+                          FROM rule_changes) x WHERE rn = 1) c
+  ON c.id = r.id AND c.user_id = r.user_id""", "allocation_rules", extra_ctes=(_RULE_CHANGES_SQL,)))
+def q_apply_updates(spark, sf_dir):
+    """D4 + D8: owner-checked percentage updates (last edit per rule wins) applied to
+    the rule snapshot, touching updated_at of changed rows."""
+    led = L(spark, sf_dir)
+    snap, _ = changes.apply_updates(led.allocation_rules, _rule_changes(led), ["percentage"],
+                                    ["ts", "event_id"], AS_OF)
+    return snap
+
+
+def _wallet_deletes(led: Ledger):
+    """Wallet delete requests: one per signup event."""
+    return led.driver("events").where("event_type = 'signup'").selectExpr(
+        "event_id AS request_id", "CAST(event_id div 5 AS BIGINT) AS id", "CAST(user_id % 25 AS BIGINT) AS user_id")
+
+
+_WALLET_DELETES_SQL = """wallet_deletes AS (
+  SELECT event_id AS request_id, CAST(event_id // 5 AS BIGINT) AS id, CAST(user_id % 25 AS BIGINT) AS user_id
+  FROM events WHERE event_type = 'signup')"""
+
+
+@query("apply_deletes", oracle=with_ledger("""
+SELECT * FROM crypto_wallets w
+WHERE EXISTS (SELECT 1 FROM wallet_deletes d WHERE d.id = w.id AND d.user_id = w.user_id)""",
+                                         "crypto_wallets", extra_ctes=(_WALLET_DELETES_SQL,)))
+def q_apply_deletes(spark, sf_dir):
+    """Owner-checked wallet deletes; returns the deleted rows (RETURNING *)."""
+    led = L(spark, sf_dir)
+    _, deleted, _ = changes.apply_deletes(led.crypto_wallets, _wallet_deletes(led))
+    return deleted
+
+
+@query("change_rejects", oracle=with_ledger("""
+SELECT 'rule_update' AS request_kind, event_id AS request_id, id, user_id FROM rule_changes c
+WHERE NOT EXISTS (SELECT 1 FROM allocation_rules r WHERE r.id = c.id AND r.user_id = c.user_id)
+UNION ALL
+SELECT 'wallet_delete', request_id, id, user_id FROM wallet_deletes d
+WHERE NOT EXISTS (SELECT 1 FROM crypto_wallets w WHERE w.id = d.id AND w.user_id = d.user_id)""",
+                                          "allocation_rules", "crypto_wallets",
+                                          extra_ctes=(_RULE_CHANGES_SQL, _WALLET_DELETES_SQL)))
+def q_change_rejects(spark, sf_dir):
+    """Update and delete requests that matched no row of the requesting owner
+    (not found, or another owner's row)."""
+    led = L(spark, sf_dir)
+    _, upd_rej = changes.apply_updates(led.allocation_rules, _rule_changes(led), ["percentage"],
+                                       ["ts", "event_id"], AS_OF)
+    _, _, del_rej = changes.apply_deletes(led.crypto_wallets, _wallet_deletes(led))
+    return (upd_rej.selectExpr("'rule_update' AS request_kind", "event_id AS request_id", "id", "user_id")
+            .unionByName(del_rej.selectExpr("'wallet_delete' AS request_kind", "request_id", "id", "user_id")))
+
+
+_CHILD_TABLES = ["refresh_tokens", "crypto_wallets", "bank_accounts", "payment_gateways",
+                 "allocation_rules", "transactions"]
+
+
+def _removed(led: Ledger):
+    return led.users.where("status = 'suspended'")
+
+
+@query("cascade_delete", oracle=with_ledger("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_before, "
+    f"count(*) FILTER (WHERE user_id IN (SELECT id FROM users WHERE status = 'suspended')) AS n_removed, "
+    f"count(*) FILTER (WHERE user_id IS NULL OR user_id NOT IN (SELECT id FROM users WHERE status = 'suspended')) AS n_kept "
+    f"FROM {t}" for t in _CHILD_TABLES), "users", *_CHILD_TABLES))
+def q_cascade_delete(spark, sf_dir):
+    """Removing every suspended user cascades over the six child tables; rows
+    before, removed and kept per table."""
+    led = L(spark, sf_dir)
+    return changes.cascade_summary({t: getattr(led, t) for t in _CHILD_TABLES}, _removed(led))
+
+
+@query("audit_set_null", oracle=with_ledger("""
+SELECT a.id, CASE WHEN s.id IS NULL THEN a.user_id END AS user_id, a.action, a.resource, a.details,
+       a.ip_address, a.created_at, s.id IS NOT NULL AS actor_removed
+FROM audit_logs a LEFT JOIN (SELECT id FROM users WHERE status = 'suspended') s ON s.id = a.user_id""",
+                                          "users", "audit_logs"))
+def q_audit_set_null(spark, sf_dir):
+    """Audit rows of removed (suspended) users keep their row with a NULL actor."""
+    led = L(spark, sf_dir)
+    return changes.audit_set_null(led.audit_logs, _removed(led))
+
+
+@query("fill_customer_id", oracle=with_ledger("""
+SELECT u.id, coalesce(u.stripe_customer_id, p.customer_id) AS stripe_customer_id,
+       u.stripe_customer_id IS NULL AND p.customer_id IS NOT NULL AS filled
+FROM users u LEFT JOIN (
+  SELECT user_id, customer_id FROM (
+    SELECT user_id, 'cus_' || CAST(event_id AS VARCHAR) AS customer_id,
+           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+    FROM events WHERE event_type = 'purchase') x WHERE rn = 1) p ON p.user_id = u.id""", "users"))
+def q_fill_customer_id(spark, sf_dir):
+    """D10 (Q23): give users without a processor customer id the id from their first
+    purchase event; existing ids are kept."""
+    led = L(spark, sf_dir)
+    proposals = led.driver("events").where("event_type = 'purchase'").selectExpr(
+        "user_id", "'cus_' || CAST(event_id AS STRING) AS customer_id", "ts", "event_id")
+    return changes.fill_customer_id(led.users, proposals, ["ts", "event_id"])
+
+
+_LATEST_SESSION_SQL = """latest AS (
+  SELECT id, user_id, token, expires_at, created_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn
+    FROM refresh_tokens WHERE user_id IS NOT NULL) x WHERE rn = 1)"""
+
+
+@query("latest_session", oracle=with_ledger("SELECT user_id, id, token, expires_at, created_at FROM latest",
+                                          "refresh_tokens", extra_ctes=(_LATEST_SESSION_SQL,)))
+def q_latest_session(spark, sf_dir):
+    """D2 + W3 (Q15): one session per user, the latest signup's token with its
+    7-day expiry."""
+    return changes.latest_session(L(spark, sf_dir).refresh_tokens)
+
+
+@query("rotate_sessions", oracle=with_ledger("""
+SELECT l.user_id, l.id, coalesce(r.token, l.token) AS token,
+       coalesce(r.ts + INTERVAL 7 DAY, l.expires_at) AS expires_at, l.created_at, r.token IS NOT NULL AS rotated
+FROM latest l LEFT JOIN (
+  SELECT user_id, token, ts FROM (
+    SELECT user_id, 'rt_rot_' || CAST(event_id AS VARCHAR) AS token, ts,
+           row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, 'rt_rot_' || CAST(event_id AS VARCHAR) DESC) AS rn
+    FROM events WHERE event_type = 'view') x WHERE rn = 1) r ON r.user_id = l.user_id""",
+                                           "refresh_tokens", extra_ctes=(_LATEST_SESSION_SQL,)))
+def q_rotate_sessions(spark, sf_dir):
+    """D9 + X20: rotate each user's session on their latest view event: new token,
+    expiry seven days after it."""
+    led = L(spark, sf_dir)
+    rotations = led.driver("events").where("event_type = 'view'").selectExpr(
+        "user_id", "'rt_rot_' || CAST(event_id AS STRING) AS token", "ts AS at")
+    return changes.rotate_sessions(changes.latest_session(led.refresh_tokens), rotations)
+
+
+@query("live_sessions", oracle=with_ledger(f"""
+SELECT l.user_id, l.id, l.token, l.expires_at, l.created_at, lower(trim(u.email)) AS email,
+       u.first_name, u.last_name, u.role
+FROM latest l JOIN users u ON u.id = l.user_id
+WHERE l.expires_at > TIMESTAMP '{SESSION_AS_OF}'""", "refresh_tokens", "users", extra_ctes=(_LATEST_SESSION_SQL,)))
+def q_live_sessions(spark, sf_dir):
+    """F14 + J10 + X20: sessions whose expiry (signup + 7 days) is after the as-of
+    time, joined to existing users."""
+    led = L(spark, sf_dir)
+    return changes.live_sessions(changes.latest_session(led.refresh_tokens), led.users, SESSION_AS_OF)
+
+
+def _wallet_adds(led: Ledger):
+    """Add-wallet requests: one per order (two orders ask for each address)."""
+    return led.driver("orders").selectExpr(
+        "o_orderkey AS request_id", "CAST(o_orderkey % 25 AS BIGINT) AS user_id",
+        "'Wallet ' || CAST(o_orderkey AS STRING) AS name",
+        "'0x' || lpad(lower(hex((o_orderkey div 2) * 7919)), 40, '0') AS address",
+        "'ETH' AS symbol", "'Ethereum' AS network",
+        "CAST(NULL AS DECIMAL(20,8)) AS balance", "CAST(NULL AS DECIMAL(20,2)) AS balance_usd",
+        "CAST(NULL AS BOOLEAN) AS is_verified")
+
+
+_WALLET_ADDS_SQL = """adds AS (
+  SELECT o_orderkey AS request_id, CAST(o_orderkey % 25 AS BIGINT) AS user_id,
+         'Wallet ' || CAST(o_orderkey AS VARCHAR) AS name,
+         '0x' || lpad(lower(hex((o_orderkey // 2) * 7919)), 40, '0') AS address,
+         'ETH' AS symbol, 'Ethereum' AS network, CAST(NULL AS DECIMAL(20,8)) AS balance,
+         CAST(NULL AS DECIMAL(20,2)) AS balance_usd, CAST(NULL AS BOOLEAN) AS is_verified
+  FROM orders)"""
+_FIRST_NEW_ADDS = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY request_id) AS rn FROM adds) x
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM crypto_wallets w WHERE w.address = x.address)"""
+
+
+@query("existing_keys", oracle=with_ledger(
+    "SELECT * FROM adds a WHERE EXISTS (SELECT 1 FROM crypto_wallets w WHERE w.address = a.address)",
+    "crypto_wallets", extra_ctes=(_WALLET_ADDS_SQL,)))
+def q_existing_keys(spark, sf_dir):
+    """Add-wallet requests whose address already exists ('Wallet already exists')."""
+    led = L(spark, sf_dir)
+    return changes.existing_keys(_wallet_adds(led), led.crypto_wallets, "address")
+
+
+@query("insert_absent", oracle=with_ledger(
+    f"SELECT request_id, user_id, name, address, symbol, network, balance, balance_usd, is_verified FROM ({_FIRST_NEW_ADDS}) y",
+    "crypto_wallets", extra_ctes=(_WALLET_ADDS_SQL,)))
+def q_insert_absent(spark, sf_dir):
+    """J2 + D3: add-wallet requests inserted only for new addresses; of two requests
+    for one address the first wins."""
+    led = L(spark, sf_dir)
+    return changes.insert_absent(led.crypto_wallets, _wallet_adds(led), "address", ["request_id"])
+
+
+@query("default_fill", oracle=with_ledger(
+    "SELECT request_id, user_id, name, address, symbol, network, CAST(coalesce(balance, 0) AS DECIMAL(20,8)) AS balance, "
+    f"CAST(coalesce(balance_usd, 0) AS DECIMAL(20,2)) AS balance_usd, coalesce(is_verified, FALSE) AS is_verified FROM ({_FIRST_NEW_ADDS}) y",
+    "crypto_wallets", extra_ctes=(_WALLET_ADDS_SQL,)))
+def q_default_fill(spark, sf_dir):
+    """The inserted wallets with the column defaults filled (balance 0, USD
+    balance 0, not verified)."""
+    led = L(spark, sf_dir)
+    new = changes.insert_absent(led.crypto_wallets, _wallet_adds(led), "address", ["request_id"])
+    return changes.fill_defaults(new, "crypto_wallets")
+
+
+@query("resolve_owner", oracle=with_ledger("""
+SELECT 'Primary BTC Wallet' AS name, 'bc1qseed' || CAST(c_custkey AS VARCHAR) AS address, 'BTC' AS symbol,
+       'bitcoin' AS network, lower(c_name) || '@example.com' AS owner_email, u.id AS user_id
+FROM customer c JOIN users u ON lower(trim(u.email)) = lower(trim(lower(c.c_name) || '@example.com'))
+WHERE c_mktsegment = 'BUILDING'""", "users"))
+def q_resolve_owner(spark, sf_dir):
+    """Seed wallet rows keyed by their owner's e-mail resolve to the owner's id
+    by a join on the normalised e-mail."""
+    led = L(spark, sf_dir)
+    seed = led.driver("customer").where("c_mktsegment = 'BUILDING'").selectExpr(
+        "'Primary BTC Wallet' AS name", "'bc1qseed' || CAST(c_custkey AS STRING) AS address", "'BTC' AS symbol",
+        "'bitcoin' AS network", "lower(c_name) || '@example.com' AS owner_email")
+    return changes.resolve_owner(seed, led.users)
+
+
+_SET_B = [r for r in RULE_SETS if r[0] == "B"]
+
+
+def _set_b_sql() -> str:
+    rows = ", ".join(f"('{n}', CAST({p} AS DECIMAL(5,2)), '{c}', {str(lk).upper()}, {str(au).upper()})"
+                     for _, _, n, p, c, lk, au in _SET_B)
+    return f"(SELECT * FROM (VALUES {rows}) AS s(name, percentage, color, is_locked, is_auto))"
+
+
+@query("seed_rules", oracle=with_ledger(f"""
+SELECT u.id AS user_id, s.name, s.percentage, s.color, s.is_locked, s.is_auto
+FROM users u JOIN {_set_b_sql()} s ON TRUE
+WHERE u.role = 'admin'
+  AND NOT EXISTS (SELECT 1 FROM allocation_rules r WHERE r.user_id = u.id AND r.name = s.name)""",
+                                      "users", "allocation_rules"))
+def q_seed_rules(spark, sf_dir):
+    """S2 + D3 (Q15): load the literal demo rule set for every admin user, skipping
+    (user, rule name) pairs that already exist."""
+    led = L(spark, sf_dir)
+    from decimal import Decimal
+
+    from tallyframe.sources.seeds import seed_for_users
+    rows = [{"name": n, "percentage": Decimal(p), "color": c, "is_locked": lk, "is_auto": au}
+            for _, _, n, p, c, lk, au in _SET_B]
+    batch = seed_for_users(led.users.where("role = 'admin'"), rows).withColumn(
+        "percentage", F.col("percentage").cast("decimal(5,2)"))
+    existing = led.allocation_rules.select("user_id", "name")
+    return batch.join(existing, ["user_id", "name"], "left_anti").select(
+        "user_id", "name", "percentage", "color", "is_locked", "is_auto")
+
+
+@query("series_rows", oracle="""
+WITH small AS (SELECT c_custkey AS user_id FROM customer c
+               WHERE (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) < 20)
+SELECT user_id, 'alloc' AS type, 'Internal' AS gateway, 'alloc' AS method,
+       CAST(10 * i AS DECIMAL(20,8)) AS amount, CAST(10 * i AS DECIMAL(20,2)) AS amount_usd,
+       'Auto allocation ' || CAST(i AS VARCHAR) AS description, 'settled' AS status,
+       'tx_alloc_' || CAST(i AS VARCHAR) AS tx_hash, CAST(0 AS DECIMAL(20,2)) AS fee
+FROM small, range(1, 6) t(i)
+UNION ALL
+SELECT user_id, 'receive', 'Stripe', 'card', CAST(5 * j AS DECIMAL(20,8)), CAST(5 * j AS DECIMAL(20,2)),
+       'Micro payment ' || CAST(j AS VARCHAR), 'settled', 'tx_micro_' || CAST(j AS VARCHAR), CAST(0 AS DECIMAL(20,2))
+FROM small, range(1, 9) t(j)""")
+def q_series_rows(spark, sf_dir):
+    """S3 + S4 + U2: for every user with fewer than 20 transactions (the guard), the
+    generated series: five alloc rows of 10*i and eight micro receipts of 5*j,
+    stacked by unionByName."""
+    from tallyframe.sources.seeds import series_rows
+    led = L(spark, sf_dir)
+    counts = led.driver("orders").groupBy(F.col("o_custkey").alias("user_id")).count()
+    users = led.driver("customer").select(F.col("c_custkey").alias("user_id"))
+    return series_rows(users, counts, guard=20)
