@@ -1049,3 +1049,116 @@ def q_series_rows(spark, sf_dir):
     counts = led.driver("orders").groupBy(F.col("o_custkey").alias("user_id")).count()
     users = led.driver("customer").select(F.col("c_custkey").alias("user_id"))
     return series_rows(users, counts, guard=20)
+
+
+# ---------------------------------------------------------------------------
+# Audit, logs, scans
+# ---------------------------------------------------------------------------
+from tallyframe.session import scratch_path  # noqa: E402
+from tallyframe.sources import audit, tables  # noqa: E402
+
+
+def _run_audit(led: Ledger):
+    runs = _runs(led)
+    allocations, _ = allocation.alloc_run(runs, led.allocation_rules)
+    return audit.run_audit(allocations, runs)
+
+
+@query("audit_append")
+def q_audit_append(spark, sf_dir):
+    """S9 + X19: audit rows for five of the ledger's actions, built from the jobs that
+    perform them: run_allocation (accepted runs with their allocation list),
+    add_rule (accepted rule requests), add_wallet (inserted wallets), delete_wallet
+    (deleted wallets) and link_bank (institution and account count per link)."""
+    led = L(spark, sf_dir)
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    rules_ok = allocation.rule_cap_check(led.allocation_rules, _cap_candidates(led)).where("accepted")
+    added = changes.insert_absent(led.crypto_wallets, _wallet_adds(led), "address", ["request_id"])
+    _, deleted, _ = changes.apply_deletes(led.crypto_wallets, _wallet_deletes(led))
+    links = (feeds.bank_feed(landed.bank_link_replies(led))
+             .groupBy("link_id", "user_id", "institution").agg(F.count("*").alias("accounts")))
+    return audit.audit_union([
+        _run_audit(led),
+        audit.action_audit(rules_ok.withColumn("at", at), "add_rule", "allocation_rules",
+                           ["name", "percentage"], "request_id", "at"),
+        audit.action_audit(added.withColumn("at", at), "add_wallet", "crypto_wallets",
+                           ["name", "address", "symbol", "network"], "request_id", "at"),
+        audit.action_audit(deleted.withColumn("at", at), "delete_wallet", "crypto_wallets", ["id"], "id", "at"),
+        audit.action_audit(links.withColumn("at", at), "link_bank", "bank_accounts",
+                           ["institution", "accounts"], "link_id", "at"),
+    ])
+
+
+_ACCEPTED_SQL = f"""accepted AS (
+  SELECT r.run_id, r.user_id, r.created_at, r.amount, a.id AS rule_id, a.name AS rule_name, a.percentage,
+         {_SHARE_SQL.format(a='r.amount', p='a.percentage')} AS share
+  FROM runs r
+  JOIN (SELECT user_id, sum(percentage) AS t FROM allocation_rules WHERE is_auto GROUP BY user_id) g
+    ON g.user_id = r.user_id AND g.t = 100
+  JOIN allocation_rules a ON a.user_id = r.user_id AND a.is_auto)"""
+
+
+@query("audit_details", oracle=with_ledger("""
+SELECT run_id, user_id, created_at, CAST(amount AS DECIMAL(20,2)) AS amount, 'all' AS source,
+       rule_id, rule_name, share, percentage FROM accepted""",
+                                         "transactions", "allocation_rules", extra_ctes=(_RUNS_SQL, _ACCEPTED_SQL)))
+def q_audit_details(spark, sf_dir):
+    """S10 + X19: the run_allocation audit records parsed back from their JSON details
+    into one typed row per allocation."""
+    return audit.audit_details(_run_audit(L(spark, sf_dir)))
+
+
+@query("last_run_breakdown", oracle=with_ledger(f"""
+SELECT l.user_id, a.id AS rule_id, a.name AS rule_name, a.color, a.percentage, l.amount,
+       {_SHARE_SQL.format(a='l.amount', p='a.percentage')} AS share,
+       '$' || printf('%,.2f', round({_SHARE_SQL.format(a='l.amount', p='a.percentage')}, 2)) AS share_text,
+       t.t <> 100 AS warn, CAST(t.t AS DECIMAL(7,2)) AS all_rules_pct
+FROM (SELECT DISTINCT user_id, run_id, CAST(amount AS DECIMAL(20,2)) AS amount FROM (
+        SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY created_at DESC, run_id DESC) AS rk
+        FROM accepted) x WHERE rk = 1) l
+JOIN (SELECT user_id, sum(percentage) AS t FROM allocation_rules GROUP BY user_id) t ON t.user_id = l.user_id
+JOIN allocation_rules a ON a.user_id = l.user_id""",
+                                              "transactions", "allocation_rules", extra_ctes=(_RUNS_SQL, _ACCEPTED_SQL)))
+def q_last_run_breakdown(spark, sf_dir):
+    """Each owner's last audited run amount (read back from the audit details,
+    not a constant) broken down over all the owner's rules."""
+    led = L(spark, sf_dir)
+    runs = (audit.audit_details(_run_audit(led))
+            .select("run_id", "user_id", "created_at", "amount").distinct())
+    return allocation.alloc_preview(allocation.latest_amount(runs), led.allocation_rules)
+
+
+@query("log_errors", oracle="""
+SELECT 'error' AS level, 'event ' || CAST(event_id AS VARCHAR) || ' failed for user ' || CAST(user_id AS VARCHAR) AS message,
+       date_trunc('millisecond', ts) AS timestamp
+FROM events WHERE event_type = 'error'""")
+def q_log_errors(spark, sf_dir):
+    """Land the application log as JSON lines (one line per event, millisecond
+    ISO timestamps), read it back with its declared schema, keep level 'error'."""
+    led = L(spark, sf_dir)
+    lines = led.driver("events").select(F.to_json(F.struct(
+        F.when(F.col("event_type") == "error", "error").otherwise("info").alias("level"),
+        F.concat(F.lit("event "), F.col("event_id").cast("string"),
+                 F.when(F.col("event_type") == "error", F.lit(" failed for user ")).otherwise(F.lit(" ok for user ")),
+                 F.col("user_id").cast("string")).alias("message"),
+        F.col("ts").cast("timestamp").alias("timestamp"))).alias("value"))
+    path = scratch_path(spark, "log")
+    lines.write.text(path)
+    return (audit.log_errors(audit.read_log(spark, path))
+            .select("level", "message", F.col("timestamp").cast("timestamp_ntz").alias("timestamp")))
+
+
+@query("ledger_scan", oracle=with_ledger("SELECT * FROM transactions", "transactions"))
+def q_ledger_scan(spark, sf_dir):
+    """Write the transactions ledger as a Parquet snapshot and scan it back with
+    the declared schema (no inference)."""
+    root = scratch_path(spark, "ledger")
+    tables.write_snapshot(L(spark, sf_dir).transactions, root, "transactions")
+    return tables.load_table(spark, root, "transactions")
+
+
+@query("table_counts", oracle=with_ledger("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in LEDGER_TABLES), *LEDGER_TABLES))
+def q_table_counts(spark, sf_dir):
+    """Row count of every ledger table (the after-restore check)."""
+    return tables.table_counts(_all_tables(L(spark, sf_dir)))
