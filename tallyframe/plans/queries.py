@@ -1162,3 +1162,85 @@ def q_ledger_scan(spark, sf_dir):
 def q_table_counts(spark, sf_dir):
     """Row count of every ledger table (the after-restore check)."""
     return tables.table_counts(_all_tables(L(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Streaming (S8, ST1-ST4)
+# ---------------------------------------------------------------------------
+from tallyframe.streaming import quota as quota_stream  # noqa: E402
+from tallyframe.streaming import webhook  # noqa: E402
+
+_WEBHOOK_SQL = """
+SELECT CAST(user_id AS BIGINT) AS user_id, 'receive' AS type, 'Stripe' AS gateway,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'card' END AS method,
+       CAST(CAST(CAST(round(value * 100) AS BIGINT) AS DECIMAL(20,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(20,8)) AS amount,
+       CAST(CAST(CAST(round(value * 100) AS BIGINT) AS DECIMAL(20,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(20,2)) AS amount_usd,
+       'Order ' || CAST(event_id AS VARCHAR) AS description,
+       CASE event_type WHEN 'purchase' THEN 'settled' ELSE 'failed' END AS status,
+       'pi_' || CAST(event_id AS VARCHAR) AS tx_hash, ts AS event_time
+FROM events WHERE event_type IN ('purchase', 'error')"""
+
+
+def _ingest(spark, sf_dir, deliveries: int, dedup: bool):
+    root = scratch_path(spark, "webhook")
+    events = landed.processor_events(L(spark, sf_dir))
+    for _ in range(deliveries):            # each delivery lands its own files
+        webhook.land_events(events, f"{root}/landing")
+    rows = webhook.route_events(webhook.read_events(spark, f"{root}/landing"))
+    if dedup:
+        rows = webhook.dedupe(rows)
+    webhook.run_to_parquet(rows, f"{root}/sink", f"{root}/checkpoint")
+    return (spark.read.parquet(f"{root}/sink")
+            .withColumn("event_time", F.col("event_time").cast("timestamp_ntz")))
+
+
+@query("webhook_ingest", oracle=_WEBHOOK_SQL)
+def q_webhook_ingest(spark, sf_dir):
+    """S8 + ST1 (X10, X21): land every event as a processor webhook delivery, stream
+    the landing folder (availableNow) and append routed ledger rows to Parquet."""
+    return _ingest(spark, sf_dir, deliveries=1, dedup=False)
+
+
+@query("webhook_dedup", oracle=_WEBHOOK_SQL)
+def q_webhook_dedup(spark, sf_dir):
+    """ST4 (Q10): every event delivered twice; the stream drops redeliveries by
+    tx_hash within the watermark, so each event yields one ledger row."""
+    return _ingest(spark, sf_dir, deliveries=2, dedup=True)
+
+
+@query("webhook_unhandled", oracle="""
+SELECT 'customer.' || event_type AS type, count(*) AS n_events FROM events
+WHERE event_type NOT IN ('purchase', 'error') GROUP BY event_type""")
+def q_webhook_unhandled(spark, sf_dir):
+    """ST2: unhandled event types counted by a complete-mode streaming aggregate."""
+    root = scratch_path(spark, "unhandled")
+    webhook.land_events(landed.processor_events(L(spark, sf_dir)), f"{root}/landing")
+    counts = webhook.unhandled_counts(webhook.read_events(spark, f"{root}/landing"))
+    webhook.run_complete_to_parquet(counts, f"{root}/sink", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/sink")
+
+
+QUOTA_LIMIT = 1   # the driver's request log is sparse per key and window; see README
+
+
+@query("quota_breaches", oracle=f"""
+SELECT ip, window_start, window_end, n_requests FROM (
+  SELECT '10.' || CAST(user_id % 256 AS VARCHAR) || '.0.1' AS ip,
+         time_bucket(INTERVAL 15 MINUTE, ts) AS window_start,
+         time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE AS window_end,
+         count(*) AS n_requests
+  FROM events GROUP BY ALL) w
+WHERE n_requests > {QUOTA_LIMIT}
+  AND window_end <= (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE""")
+def q_quota_breaches(spark, sf_dir):
+    """ST3 (Q27): stream the landed request log; per client IP and epoch-aligned
+    15-minute window, windows with more than QUOTA_LIMIT requests, emitted once the
+    watermark (15 minutes) closes them."""
+    root = scratch_path(spark, "quota")
+    quota_stream.land_requests(landed.request_log(L(spark, sf_dir)), f"{root}/landing")
+    breaches = quota_stream.quota_breaches(quota_stream.read_requests(spark, f"{root}/landing"),
+                                           max_requests=QUOTA_LIMIT)
+    webhook.run_to_parquet(breaches, f"{root}/sink", f"{root}/checkpoint")
+    return (spark.read.parquet(f"{root}/sink")
+            .select("ip", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n_requests"))

@@ -85,22 +85,28 @@ def chain_replies(led: Ledger) -> DataFrame:
 
 
 def processor_events(led: Ledger) -> DataFrame:
-    """Processor webhook deliveries, one per event: purchases succeed, errors fail,
-    other types are unhandled; amounts are integer cents; every 5th event lists no
-    payment method."""
+    """Processor webhook deliveries ``(type, data, event_time)``, one per event:
+    purchases succeed, errors fail, other types are unhandled; amounts are integer
+    cents; every 5th event lists no payment method."""
     return led.driver("events").select(
-        F.col("event_id"),
-        F.col("ts").cast("timestamp").alias("event_time"),
-        F.to_json(F.struct(
-            F.expr("CASE event_type WHEN 'purchase' THEN 'payment_intent.succeeded' "
-                   "WHEN 'error' THEN 'payment_intent.payment_failed' "
-                   "ELSE 'customer.' || event_type END").alias("type"),
-            F.struct(F.struct(
-                F.expr("'pi_' || CAST(event_id AS STRING)").alias("id"),
-                F.expr("CAST(round(value * 100) AS BIGINT)").alias("amount"),
-                F.expr("'Order ' || CAST(event_id AS STRING)").alias("description"),
-                F.expr("CASE WHEN event_id % 5 = 0 THEN CAST(array() AS ARRAY<STRING>) "
-                       "ELSE array('card', 'link') END").alias("payment_method_types"),
-                F.struct(F.col("user_id").cast("string").alias("user_id")).alias("metadata"),
-            ).alias("object")).alias("data"),
-        )).alias("body"))
+        F.expr("CASE event_type WHEN 'purchase' THEN 'payment_intent.succeeded' "
+               "WHEN 'error' THEN 'payment_intent.payment_failed' "
+               "ELSE 'customer.' || event_type END").alias("type"),
+        F.struct(F.struct(
+            F.expr("'pi_' || CAST(event_id AS STRING)").alias("id"),
+            F.expr("CAST(round(value * 100) AS BIGINT)").alias("amount"),
+            F.expr("'Order ' || CAST(event_id AS STRING)").alias("description"),
+            F.expr("CASE WHEN event_id % 5 = 0 THEN CAST(array() AS ARRAY<STRING>) "
+                   "ELSE array('card', 'link') END").alias("payment_method_types"),
+            F.struct(F.col("user_id").cast("string").alias("user_id")).alias("metadata"),
+        ).alias("object")).alias("data"),
+        F.col("ts").cast("timestamp").alias("event_time"))
+
+
+def request_log(led: Ledger) -> DataFrame:
+    """API request log ``(ip, path, ts)``: one request per event, from the client
+    address of its user."""
+    return led.driver("events").select(
+        F.expr("'10.' || CAST(user_id % 256 AS STRING) || '.0.1'").alias("ip"),
+        F.concat(F.lit("/api/"), F.col("event_type")).alias("path"),
+        F.col("ts").cast("timestamp").alias("ts"))
