@@ -6,7 +6,7 @@ because ``format_number`` alone rounds half-even.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.schemas import MONEY, QTY, SHARE, TOTAL
@@ -79,18 +79,19 @@ _CHUNK = 12
 
 def wei_digits(c) -> Column:
     """Hex digits of a ``0x`` wei string without prefix and leading zeros ('' for 0)."""
-    return F.regexp_replace(F.regexp_replace(F.lower(col_(c)), r"^0x", ""), r"^0+", "")
+    return F.regexp_replace(F.lower(col_(c)), r"^0x0*", "")
 
 
-def wei_hex_ok(c) -> Column:
-    d = wei_digits(c)
+def wei_hex_ok(c, digits=None) -> Column:
+    """A ``0x`` hex string with at most 31 significant digits (fits DECIMAL(38,0))."""
+    d = wei_digits(c) if digits is None else col_(digits)
     return (col_(c).isNotNull() & F.lower(col_(c)).rlike(r"^0x[0-9a-f]+$")
             & (F.length(d) <= WEI_MAX_HEX_DIGITS))
 
 
-def wei_to_decimal(c) -> Column:
-    """Exact wei as DECIMAL(38,0) from a validated hex string (see ``wei_hex_ok``)."""
-    padded = F.lpad(wei_digits(c), 3 * _CHUNK, "0")
+def wei_to_decimal(digits) -> Column:
+    """Exact wei as DECIMAL(38,0) from validated significant hex digits."""
+    padded = F.lpad(col_(digits), 3 * _CHUNK, "0")
     parts = [F.conv(F.substring(padded, 1 + i * _CHUNK, _CHUNK), 16, 10).cast("decimal(38,0)")
              for i in range(3)]
     two48 = F.lit(2 ** 48).cast("decimal(38,0)")
@@ -106,16 +107,24 @@ def shift_point(digits: Column, scale: int) -> Column:
                                 F.right(digits, F.lit(scale)))))
 
 
-def wei_to_eth(c) -> Column:
+def with_wei_to_eth(df: DataFrame, hex_col: str, out_col: str, ok_col: str) -> DataFrame:
     """Hex wei -> ETH as DECIMAL(20,8), half-up at 1e-8 ETH (= 1e10 wei).
 
-    The exact 38-digit value is rounded by adding 5e9 wei and dropping the last ten
-    digits of its text; the point is then inserted eight places from the right. Every
-    step is exact. A value too large for DECIMAL(20,8) gives null (``try_cast``).
+    Staged as successive columns so every step is computed once per row:
+    significant digits -> validity (``ok_col``: at most 31 digits, checked before any
+    arithmetic) -> exact DECIMAL(38,0) wei from three 48-bit ``conv`` chunks -> +5e9
+    and drop ten digits of the text (half-up rounding) -> insert the point eight places
+    from the right -> ``try_cast`` (null when too large for DECIMAL(20,8)).
     """
-    text = (wei_to_decimal(c) + F.lit(5_000_000_000).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string")
-    units = F.when(F.length(text) > 10, F.left(text, F.length(text) - 10)).otherwise(F.lit("0"))
-    return shift_point(units, 8).try_cast(QTY)
+    d, t = f"_{out_col}_digits", f"_{out_col}_text"
+    staged = (df.withColumn(d, wei_digits(hex_col))
+              .withColumn(ok_col, wei_hex_ok(hex_col, d))
+              .withColumn(t, F.when(F.col(ok_col), (wei_to_decimal(d) + F.lit(5_000_000_000).cast("decimal(38,0)"))
+                                    .cast("decimal(38,0)").cast("string"))))
+    units = F.when(F.length(t) > 10, F.left(F.col(t), F.length(t) - 10)).otherwise(F.lit("0"))
+    return (staged.withColumn(t, units)
+            .withColumn(out_col, F.when(F.col(ok_col), shift_point(F.col(t), 8).try_cast(QTY)))
+            .drop(d, t))
 
 
 T_DEC_HIGH = "decimal(38,2)"

@@ -25,7 +25,10 @@ from tallyframe.functions.text import clamp, int_or_zero
 from tallyframe.schemas import PCT, RULE_PALETTE
 
 PCT_TOTAL = "decimal(7,2)"
-HUNDRED = F.lit(100).cast(PCT_TOTAL)
+
+
+def _hundred():
+    return F.lit(100).cast(PCT_TOTAL)
 
 
 def rule_totals(rules: DataFrame) -> DataFrame:
@@ -34,15 +37,15 @@ def rule_totals(rules: DataFrame) -> DataFrame:
     t = rules.groupBy("user_id").agg(F.sum("percentage").cast(PCT_TOTAL).alias("total_pct"))
     return t.select(
         "user_id", "total_pct",
-        (F.col("total_pct") == HUNDRED).alias("is_on_target"),
-        F.greatest(HUNDRED - F.col("total_pct"), F.lit(0)).cast(PCT_TOTAL).alias("remaining_pct"),
-        F.greatest(F.col("total_pct") - HUNDRED, F.lit(0)).cast(PCT_TOTAL).alias("over_by_pct"),
-        F.when(F.col("total_pct") == HUNDRED, F.lit(None).cast("string"))
-         .when(F.col("total_pct") < HUNDRED,
+        (F.col("total_pct") == _hundred()).alias("is_on_target"),
+        F.greatest(_hundred() - F.col("total_pct"), F.lit(0)).cast(PCT_TOTAL).alias("remaining_pct"),
+        F.greatest(F.col("total_pct") - _hundred(), F.lit(0)).cast(PCT_TOTAL).alias("over_by_pct"),
+        F.when(F.col("total_pct") == _hundred(), F.lit(None).cast("string"))
+         .when(F.col("total_pct") < _hundred(),
                F.concat(F.lit("Rules sum to "), F.col("total_pct").cast("string"),
-                        F.lit("% — Remaining: "), (HUNDRED - F.col("total_pct")).cast(PCT_TOTAL).cast("string"), F.lit("%")))
+                        F.lit("% — Remaining: "), (_hundred() - F.col("total_pct")).cast(PCT_TOTAL).cast("string"), F.lit("%")))
          .otherwise(F.concat(F.lit("Rules sum to "), F.col("total_pct").cast("string"),
-                             F.lit("% — Over by "), (F.col("total_pct") - HUNDRED).cast(PCT_TOTAL).cast("string"), F.lit("%")))
+                             F.lit("% — Over by "), (F.col("total_pct") - _hundred()).cast(PCT_TOTAL).cast("string"), F.lit("%")))
          .alias("warning"))
 
 
@@ -62,7 +65,7 @@ def rule_cap_check(rules: DataFrame, candidates: DataFrame) -> DataFrame:
     new_total = (F.col("existing_pct") + F.col("percentage")).cast(PCT_TOTAL)
     return j.select("request_id", "user_id", "name", "percentage", "is_locked", "existing_pct",
                     new_total.alias("new_total_pct"),
-                    ((new_total <= HUNDRED) | F.coalesce(F.col("is_locked"), F.lit(False))).alias("accepted"))
+                    ((new_total <= _hundred()) | F.coalesce(F.col("is_locked"), F.lit(False))).alias("accepted"))
 
 
 def auto_rules(rules: DataFrame) -> DataFrame:
@@ -86,8 +89,8 @@ def alloc_run(runs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     gate = _gate(auto)
     r = runs.join(gate, "user_id", "left").withColumn(
         "rule_total_pct", F.coalesce(F.col("rule_total_pct"), F.lit(0).cast(PCT_TOTAL)))
-    ok = r.where(F.col("rule_total_pct") == HUNDRED)
-    rejects = r.where(F.col("rule_total_pct") != HUNDRED).select(
+    ok = r.where(F.col("rule_total_pct") == _hundred())
+    rejects = r.where(F.col("rule_total_pct") != _hundred()).select(
         "run_id", "user_id", "amount", "rule_total_pct",
         F.concat(F.lit("Total percentage must be 100%. Current total: "),
                  F.col("rule_total_pct").cast("string"), F.lit("%")).alias("error"))
@@ -109,7 +112,7 @@ def alloc_preview(amounts: DataFrame, rules: DataFrame) -> DataFrame:
             .select("user_id", "rule_id", "rule_name", "color", "percentage", "amount",
                     share("amount", "percentage").alias("share"),
                     usd_text(share("amount", "percentage")).alias("share_text"),
-                    (F.col("all_rules_pct") != HUNDRED).alias("warn"), "all_rules_pct"))
+                    (F.col("all_rules_pct") != _hundred()).alias("warn"), "all_rules_pct"))
 
 
 def latest_amount(runs: DataFrame) -> DataFrame:

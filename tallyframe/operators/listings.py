@@ -15,8 +15,15 @@ from tallyframe.functions import money as M
 from tallyframe.functions import text as X
 from tallyframe.schemas import PAGE_LIMIT, PAGE_OFFSET
 
-NEWEST_FIRST = [F.col("created_at").desc(), F.col("id").desc()]   # O1 (+ Q9 tie-break)
-OLDEST_FIRST = [F.col("created_at").asc(), F.col("id").asc()]     # O2
+
+def newest_first() -> list[Column]:
+    """O1 with the Q9 tie-break on id."""
+    return [F.col("created_at").desc(), F.col("id").desc()]
+
+
+def oldest_first() -> list[Column]:
+    """O2 with the id tie-break."""
+    return [F.col("created_at").asc(), F.col("id").asc()]
 
 
 def _owner(df: DataFrame, user_id) -> DataFrame:
@@ -32,7 +39,7 @@ def list_wallets(wallets: DataFrame, user_id=None) -> DataFrame:
                     M.fixed("balance", 4).alias("balance_text"),
                     M.usd_text("balance_usd").alias("balance_usd_text"),
                     X.symbol_color("symbol").alias("color"))
-            .orderBy(F.col("user_id"), *NEWEST_FIRST))
+            .orderBy(F.col("user_id"), *newest_first()))
 
 
 def list_banks(accounts: DataFrame, user_id=None) -> DataFrame:
@@ -43,7 +50,7 @@ def list_banks(accounts: DataFrame, user_id=None) -> DataFrame:
                     X.masked_account("last4").alias("masked"),
                     X.status_bucket("status").alias("status_color"),
                     M.usd_text("balance").alias("balance_text"))
-            .orderBy(F.col("user_id"), *NEWEST_FIRST))
+            .orderBy(F.col("user_id"), *newest_first()))
 
 
 def list_gateways(gateways: DataFrame, user_id=None) -> DataFrame:
@@ -55,7 +62,7 @@ def list_gateways(gateways: DataFrame, user_id=None) -> DataFrame:
                     X.gateway_color("name").alias("color"),
                     F.left(F.col("name"), F.lit(1)).alias("initial"),
                     M.usd_text("monthly_volume").alias("volume_text"))
-            .orderBy(F.col("user_id"), *NEWEST_FIRST))
+            .orderBy(F.col("user_id"), *newest_first()))
 
 
 def list_rules(rules: DataFrame, user_id=None) -> DataFrame:
@@ -64,7 +71,7 @@ def list_rules(rules: DataFrame, user_id=None) -> DataFrame:
     Rules per owner are few (their percentages are capped at 100 in total), so the
     position window over one owner's rules stays small.
     """
-    w = Window.partitionBy("user_id").orderBy(*OLDEST_FIRST)
+    w = Window.partitionBy("user_id").orderBy(*oldest_first())
     meta = F.concat(F.when(F.col("is_locked"), F.lit("Locked")).otherwise(F.lit("Adjustable")),
                     F.lit(" · "),
                     F.when(F.col("is_auto"), F.lit("Auto-run")).otherwise(F.lit("Manual only")))
@@ -84,7 +91,7 @@ def user_directory(users: DataFrame) -> DataFrame:
         X.display_name("first_name", "last_name", "email").alias("display_name"),
         X.initials("first_name", "last_name").alias("initials"),
         X.capitalize("role").alias("role_label"))
-        .orderBy(*NEWEST_FIRST))
+        .orderBy(*newest_first()))
 
 
 def find_users(users: DataFrame, emails: DataFrame) -> DataFrame:
@@ -148,19 +155,19 @@ def tx_search(txs: DataFrame, user_id=None, type: str | None = None, gateway: st
     """newest-first page of each owner's transactions after the optional filters."""
     n, o = page_args(limit, offset)
     return per_owner_page(tx_filter(txs, user_id, type, gateway).select(*TX_COLUMNS),
-                          n, o, NEWEST_FIRST)
+                          n, o, newest_first())
 
 
 def tx_page(txs: DataFrame, limit=PAGE_LIMIT, offset=PAGE_OFFSET) -> DataFrame:
     """O3 without an owner: one global newest-first page. Plans as a top-k
     (TakeOrderedAndProject), never a full sort."""
     n, o = page_args(limit, offset)
-    return txs.select(*TX_COLUMNS).orderBy(*NEWEST_FIRST).offset(o).limit(n)
+    return txs.select(*TX_COLUMNS).orderBy(*newest_first()).offset(o).limit(n)
 
 
 def recent_tx(txs: DataFrame, n: int = 6) -> DataFrame:
     """The ``n`` newest transactions of every owner."""
-    return per_owner_page(txs.select(*TX_COLUMNS), n, 0, NEWEST_FIRST)
+    return per_owner_page(txs.select(*TX_COLUMNS), n, 0, newest_first())
 
 
 def tx_by_id(txs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,4 +215,4 @@ def tx_statement(txs: DataFrame, user_id=None, type: str | None = None,
         X.time_text("created_at").alias("time_text"),
         X.datetime_text("created_at").alias("datetime_text"),
         X.long_date_text("created_at").alias("date_text"))
-        .orderBy(F.col("user_id"), *NEWEST_FIRST))
+        .orderBy(F.col("user_id"), *newest_first()))

@@ -28,8 +28,10 @@ def wallet_refresh(wallets: DataFrame, live: DataFrame) -> DataFrame:
     """Take the live balance for Ethereum/Solana wallets (network compared
     case-insensitively) when the wallet's call succeeded; otherwise keep the stored
     balance. ``balance_source`` tells which one was used."""
-    ok = live.where(F.col("status") == "ok").select(
-        F.col("address").alias("live_address"), F.lower("network").alias("live_network"), "live_balance")
+    # A conditional value, not a filter: a filter on ``status`` would be pushed below the
+    # parsing projections and inline the whole conversion into it.
+    ok = live.select(F.col("address").alias("live_address"), F.lower("network").alias("live_network"),
+                     F.when(F.col("status") == "ok", F.col("live_balance")).alias("live_balance"))
     j = wallets.join(ok, (wallets["address"] == ok["live_address"])
                      & (F.lower(wallets["network"]) == ok["live_network"]), "left")
     use_live = F.lower(F.col("network")).isin(*LIVE_NETWORKS) & F.col("live_balance").isNotNull()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.money import lamports_to_sol, wei_hex_ok, wei_to_eth
+from tallyframe.functions.money import lamports_to_sol, with_wei_to_eth
 from tallyframe.schemas import (BANK_FEED, ETH_REPLY, MONEY, PRICE_COIN_IDS, PRICE_MAP,
                                 SOL_REPLY)
 
@@ -51,21 +51,25 @@ def bank_feed(replies: DataFrame) -> DataFrame:
 def chain_balances(replies: DataFrame) -> DataFrame:
     """S7 + X9: ``replies(address, network, body)`` -> live balance per wallet.
 
-    Ethereum replies hold hex wei (converted exactly, see ``wei_to_eth``); Solana
+    Ethereum replies hold hex wei (converted exactly, see ``with_wei_to_eth``); Solana
     replies hold integer lamports. ``status`` is ok, failed (no result), bad_hex
-    (malformed or more than 31 hex digits, reported before any arithmetic) or
-    overflow (does not fit DECIMAL(20,8)).
+    (malformed or more than 31 hex digits, reported before any arithmetic),
+    overflow (does not fit DECIMAL(20,8)) or unsupported (another network).
+    Each reply is parsed once; later steps read the parsed columns.
     """
-    net = F.lower(F.col("network"))
-    eth = F.from_json("body", ETH_REPLY)["result"]
-    sol = F.from_json("body", SOL_REPLY)["result"]["value"]
-    hex_ok = wei_hex_ok(eth)
-    live = (F.when((net == "ethereum") & hex_ok, wei_to_eth(eth))
-            .when(net == "solana", lamports_to_sol(sol)))
-    status = (F.when((net == "ethereum") & eth.isNull(), "failed")
-              .when((net == "ethereum") & ~hex_ok, "bad_hex")
-              .when((net == "solana") & sol.isNull(), "failed")
+    parsed = replies.select(
+        "address", "network", F.lower("network").alias("_net"),
+        F.from_json("body", ETH_REPLY)["result"].alias("_eth"),
+        F.from_json("body", SOL_REPLY)["result"]["value"].alias("_sol"))
+    eth = parsed.withColumn("_eth", F.when(F.col("_net") == "ethereum", F.col("_eth")))
+    conv = with_wei_to_eth(eth, "_eth", "_eth_balance", "_hex_ok")
+    net = F.col("_net")
+    live = (F.when(net == "ethereum", F.col("_eth_balance"))
+            .when(net == "solana", lamports_to_sol("_sol")))
+    status = (F.when((net == "ethereum") & F.col("_eth").isNull(), "failed")
+              .when((net == "ethereum") & ~F.col("_hex_ok"), "bad_hex")
+              .when((net == "solana") & F.col("_sol").isNull(), "failed")
               .when(~net.isin("ethereum", "solana"), "unsupported")
               .when(live.isNull(), "overflow")
               .otherwise("ok"))
-    return replies.select("address", "network", live.alias("live_balance"), status.alias("status"))
+    return conv.select("address", "network", live.alias("live_balance"), status.alias("status"))
