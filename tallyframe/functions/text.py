@@ -72,8 +72,8 @@ def normalize_email(c) -> Column:
 
 
 def full_name(first, last) -> Column:
-    """``first last`` from trimmed parts."""
-    return F.concat_ws(" ", F.trim(col_(first)), F.trim(col_(last)))
+    """``first last`` from trimmed parts; blank parts are skipped."""
+    return F.concat_ws(" ", F.nullif(F.trim(col_(first)), F.lit("")), F.nullif(F.trim(col_(last)), F.lit("")))
 
 
 def initials(first, last) -> Column:

@@ -96,11 +96,13 @@ def upsert(target: DataFrame, changes: DataFrame, key: str, update_cols: list[st
     """
     cols = target.columns
     c_last = pick_per_key(changes.where(F.col(key).isNotNull()), [key], order, last=True)
-    t_key = target.where(F.col(key).isNotNull())
+    # explicit presence marker: an earlier insert may have left a NULL id
+    t_key = target.where(F.col(key).isNotNull()).withColumn("_in_target", F.lit(True))
     c = c_last.select(*[F.col(x).alias(f"_c_{x}") for x in c_last.columns])
     j = t_key.join(c, t_key[key] == c[f"_c_{key}"], "full")
-    matched = F.col("id").isNotNull() & F.col(f"_c_{key}").isNotNull()
-    inserted = F.col("id").isNull() & F.col(f"_c_{key}").isNotNull()
+    present = F.col("_in_target").isNotNull()
+    matched = present & F.col(f"_c_{key}").isNotNull()
+    inserted = ~present & F.col(f"_c_{key}").isNotNull()
 
     def pick(x: str) -> Column:
         cx = f"_c_{x}"

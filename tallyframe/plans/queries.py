@@ -135,7 +135,7 @@ def q_list_rules(spark, sf_dir):
 @query("user_directory", oracle=with_ledger("""
 SELECT id, lower(trim(email)) AS email, trim(first_name) AS first_name, trim(last_name) AS last_name,
        role, status, stripe_customer_id, last_login, created_at, updated_at,
-       coalesce(nullif(concat_ws(' ', trim(first_name), trim(last_name)), ''), lower(trim(email))) AS display_name,
+       coalesce(nullif(concat_ws(' ', nullif(trim(first_name), ''), nullif(trim(last_name), '')), ''), lower(trim(email))) AS display_name,
        upper(left(trim(first_name), 1) || left(trim(last_name), 1)) AS initials,
        upper(left(role, 1)) || substring(role, 2) AS role_label
 FROM users""", "users"))
@@ -147,7 +147,7 @@ def q_user_directory(spark, sf_dir):
 @query("find_users", oracle=with_ledger("""
 SELECT id, lower(trim(email)) AS email, trim(first_name) AS first_name, trim(last_name) AS last_name,
        role, status, stripe_customer_id, last_login, created_at, updated_at,
-       coalesce(nullif(concat_ws(' ', trim(first_name), trim(last_name)), ''), lower(trim(email))) AS display_name,
+       coalesce(nullif(concat_ws(' ', nullif(trim(first_name), ''), nullif(trim(last_name), '')), ''), lower(trim(email))) AS display_name,
        upper(left(trim(first_name), 1) || left(trim(last_name), 1)) AS initials,
        upper(left(role, 1)) || substring(role, 2) AS role_label
 FROM users

@@ -31,4 +31,5 @@ def rows(df, *cols):
     """Collect as a sorted list of tuples (optionally of selected columns)."""
     if cols:
         df = df.select(*cols)
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()),
+                  key=lambda t: tuple((v is not None, v if v is not None else 0) for v in t))
