@@ -2,58 +2,18 @@
 
 Usage: python tools/oracle_check.py [--sf-dir DIR] [name ...]
 
-For each query: same column names, same row count, same multiset of rows after
-normalising values (decimals and floats to 6 decimals, timestamps to ISO text).
 Queries without an oracle get a run-and-count check only.
 """
 
 from __future__ import annotations
 
 import argparse
-import datetime as dt
-import decimal
-import math
 import os
 import sys
 import time
-from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-                 "events", "documents", "embeddings", "pages", "benchmark", "labels",
-                 "conversations"]
-
-
-def norm(v):
-    if v is None:
-        return None
-    if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
-    if isinstance(v, decimal.Decimal):
-        return round(float(v), 6)
-    if isinstance(v, dt.datetime):
-        return v.replace(tzinfo=None).isoformat(sep=" ")
-    if isinstance(v, dt.date):
-        return v.isoformat()
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
-    if isinstance(v, dict):
-        return tuple(sorted((k, norm(x)) for k, x in v.items()))
-    if hasattr(v, "asDict"):
-        return norm(v.asDict(recursive=True))
-    return v
-
-
-def duck_connect(sf_dir: str):
-    import duckdb
-    con = duckdb.connect()
-    for t in DRIVER_TABLES:
-        p = f"{sf_dir}/{t}.parquet"
-        if os.path.exists(p):
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
-    return con
-
 
 def main() -> int:
     ap = argparse.ArgumentParser()
@@ -61,6 +21,7 @@ def main() -> int:
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
 
+    from tallyframe.plans.compare import compare, duck_connect
     from tallyframe.plans.registry import load_all
     from tallyframe.session import get_session
 
@@ -75,39 +36,19 @@ def main() -> int:
         t0 = time.time()
         try:
             sdf = q.build(spark, args.sf_dir)
-            s_cols = sdf.columns
-            s_rows = [tuple(norm(x) for x in r) for r in sdf.collect()]
+            if not q.oracle:
+                print(f"ROWS {name}: {sdf.count()} rows, no oracle ({time.time() - t0:.1f}s)")
+                continue
+            ok, msg, n = compare(sdf, con, q.oracle)
         except Exception as e:  # report and continue
-            print(f"FAIL {name}: spark error {type(e).__name__}: {str(e)[:400]}")
-            bad += 1
-            continue
-        ts = time.time() - t0
-        if not q.oracle:
-            print(f"ROWS {name}: {len(s_rows)} rows, no oracle ({ts:.1f}s)")
-            continue
-        try:
-            cur = con.execute(q.oracle)
-            d_cols = [c[0] for c in cur.description]
-            d_rows = [tuple(norm(x) for x in r) for r in cur.fetchall()]
-        except Exception as e:
-            print(f"FAIL {name}: duckdb error {str(e)[:400]}")
-            bad += 1
-            continue
-        if sorted(s_cols) != sorted(d_cols):
-            print(f"FAIL {name}: columns spark={s_cols} duck={d_cols}")
+            print(f"FAIL {name}: {type(e).__name__}: {str(e)[:400]}")
             bad += 1
             continue
-        order = [d_cols.index(c) for c in s_cols]
-        d_rows = [tuple(r[i] for i in order) for r in d_rows]
-        cs, cd = Counter(s_rows), Counter(d_rows)
-        if cs == cd:
-            print(f"OK   {name}: {len(s_rows)} rows ({ts:.1f}s)")
+        if ok:
+            print(f"OK   {name}: {n} rows ({time.time() - t0:.1f}s)")
         else:
             bad += 1
-            only_s = list((cs - cd).elements())[:3]
-            only_d = list((cd - cs).elements())[:3]
-            print(f"FAIL {name}: spark={len(s_rows)} duck={len(d_rows)} rows\n"
-                  f"   cols={s_cols}\n   spark-only={only_s}\n   duck-only={only_d}")
+            print(f"FAIL {name}: {msg}")
     print(f"{len(names) - bad}/{len(names)} passed")
     spark.stop()
     return 1 if bad else 0
