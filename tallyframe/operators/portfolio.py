@@ -56,6 +56,28 @@ def portfolio_kpis(wallets: DataFrame, accounts: DataFrame, gateways: DataFrame)
     return agg.withColumn("total_usd", total).select(*KPI_COLUMNS)
 
 
+def kpi_crypto(wallets: DataFrame) -> DataFrame:
+    """A1: crypto value per owner (null balances count as 0) and the asset count."""
+    return wallets.groupBy("user_id").agg(
+        F.coalesce(F.sum("balance_usd"), F.lit(0)).cast(TOTAL).alias("crypto_usd"),
+        F.count("*").alias("n_assets"))
+
+
+def kpi_banks(accounts: DataFrame) -> DataFrame:
+    """A2: bank balance per owner (null balances count as 0) and the account count."""
+    return accounts.groupBy("user_id").agg(
+        F.coalesce(F.sum("balance"), F.lit(0)).cast(TOTAL).alias("bank_usd"),
+        F.count("*").alias("n_accounts"))
+
+
+def kpi_gateways(gateways: DataFrame) -> DataFrame:
+    """A3 + F11: monthly volume over enabled gateways per owner and their count."""
+    enabled = F.coalesce(F.col("is_enabled"), F.lit(False))
+    return gateways.groupBy("user_id").agg(
+        F.coalesce(F.sum(F.when(enabled, F.col("monthly_volume"))), F.lit(0)).cast(TOTAL).alias("gateway_volume_usd"),
+        F.count_if(enabled).alias("n_enabled_gateways"))
+
+
 def portfolio_kpi_text(kpis: DataFrame) -> DataFrame:
     """KPI card texts (X2) for a ``portfolio_kpis`` result."""
     return kpis.select(

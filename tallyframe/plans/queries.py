@@ -15,6 +15,9 @@ from tallyframe.sources.bindings import Ledger, with_ledger
 
 
 def L(spark: SparkSession, sf_dir: str) -> Ledger:
+    # Ledger timestamps are zone-less; stream windows and text formats are defined in UTC.
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return Ledger(spark, sf_dir)
 
 
@@ -49,6 +52,31 @@ def q_portfolio_kpis(spark, sf_dir):
     return portfolio.portfolio_kpis(led.crypto_wallets, led.bank_accounts, led.payment_gateways)
 
 
+@query("kpi_crypto", oracle=with_ledger("""
+SELECT user_id, CAST(coalesce(sum(balance_usd), 0) AS DECIMAL(30,2)) AS crypto_usd, count(*) AS n_assets
+FROM crypto_wallets GROUP BY user_id""", "crypto_wallets"))
+def q_kpi_crypto(spark, sf_dir):
+    """A1: every owner's crypto total (null balances as 0) and asset count."""
+    return portfolio.kpi_crypto(L(spark, sf_dir).crypto_wallets)
+
+
+@query("kpi_banks", oracle=with_ledger("""
+SELECT user_id, CAST(coalesce(sum(balance), 0) AS DECIMAL(30,2)) AS bank_usd, count(*) AS n_accounts
+FROM bank_accounts GROUP BY user_id""", "bank_accounts"))
+def q_kpi_banks(spark, sf_dir):
+    """A2: every owner's bank total (null balances as 0) and linked-account count."""
+    return portfolio.kpi_banks(L(spark, sf_dir).bank_accounts)
+
+
+@query("kpi_gateways", oracle=with_ledger("""
+SELECT user_id, CAST(coalesce(sum(CASE WHEN is_enabled THEN monthly_volume END), 0) AS DECIMAL(30,2)) AS gateway_volume_usd,
+       count(*) FILTER (WHERE is_enabled) AS n_enabled_gateways
+FROM payment_gateways GROUP BY user_id""", "payment_gateways"))
+def q_kpi_gateways(spark, sf_dir):
+    """A3 + F11: every owner's monthly volume over enabled gateways and their count."""
+    return portfolio.kpi_gateways(L(spark, sf_dir).payment_gateways)
+
+
 # ---------------------------------------------------------------------------
 # DuckDB spellings of the display helpers (oracle side only)
 # ---------------------------------------------------------------------------
