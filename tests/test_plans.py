@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallyframe.plans.compare import compare, duck_connect
+from tallyframe.plans.compare import compare, duck_connect, type_diffs
 from tallyframe.plans.registry import load_all
 
 from .conftest import SF001
@@ -26,6 +26,7 @@ def test_oracle_parity_sf0001(spark, duck, name):
         return
     ok, msg, _ = compare(df, duck, q.oracle)
     assert ok, msg
+    assert type_diffs(df, duck, q.oracle) == []
 
 
 def _plan(df) -> str:

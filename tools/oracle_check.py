@@ -21,7 +21,7 @@ def main() -> int:
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
 
-    from tallyframe.plans.compare import compare, duck_connect
+    from tallyframe.plans.compare import compare, duck_connect, type_diffs
     from tallyframe.plans.registry import load_all
     from tallyframe.session import get_session
 
@@ -40,6 +40,9 @@ def main() -> int:
                 print(f"ROWS {name}: {sdf.count()} rows, no oracle ({time.time() - t0:.1f}s)")
                 continue
             ok, msg, n = compare(sdf, con, q.oracle)
+            diffs = type_diffs(sdf, con, q.oracle)
+            if ok and diffs:
+                ok, msg = False, "types differ: " + "; ".join(diffs)
         except Exception as e:  # report and continue
             print(f"FAIL {name}: {type(e).__name__}: {str(e)[:400]}")
             bad += 1
