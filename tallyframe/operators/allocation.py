@@ -6,10 +6,11 @@ floating point). The run gate compares the DECIMAL sum with exactly 100 (Q1).
 
 Scale notes
 -----------
-* Runs (one per ``alloc`` transaction) are the large, owner-skewed side. They are
-  joined to the owner's rules on ``user_id``; the rule side is at most a few rows per
-  owner, so AQE either broadcasts it or, in a sort-merge join, splits a hot owner's
-  run partition into chunks that each meet the same few rules (skew join).
+* Runs (one per ``alloc`` transaction) are the large, owner-skewed side. The rule
+  table is first cut to the owners that have runs (semi-join), then the gate and the
+  cut rules are joined to the runs on ``user_id`` through size-checked broadcasts
+  (``joins.checked_broadcast``), so the runs are never shuffled by owner; beyond the
+  size bound the join is a shuffle join whose hot partitions AQE splits.
 * Per-owner totals are partial aggregates; rule-level windows (offsets, colours,
   positions) run over one owner's rules only, which are few by construction (their
   percentages are capped at 100 in total).
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.money import share, usd_text
 from tallyframe.functions.text import clamp, int_or_zero
+from tallyframe.operators.joins import checked_broadcast
 from tallyframe.schemas import PCT, RULE_PALETTE
 
 PCT_TOTAL = "decimal(7,2)"
@@ -85,8 +87,12 @@ def alloc_run(runs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     owner's auto rules sum to exactly 100; otherwise one reject row per run with the
     total found (an owner without auto rules has total 0).
     """
-    auto = auto_rules(rules)
-    gate = _gate(auto)
+    # Semi-join reduction: only the rules of owners that have runs matter. The distinct
+    # run owners are a partial aggregate; broadcast after a size check, they filter the
+    # rule table during its scan, before the gate and the fan-out.
+    owners = checked_broadcast(runs.select("user_id").distinct())
+    auto = checked_broadcast(auto_rules(rules).join(owners, "user_id", "left_semi"))
+    gate = checked_broadcast(_gate(auto))
     r = runs.join(gate, "user_id", "left").withColumn(
         "rule_total_pct", F.coalesce(F.col("rule_total_pct"), F.lit(0).cast(PCT_TOTAL)))
     ok = r.where(F.col("rule_total_pct") == _hundred())
@@ -105,9 +111,11 @@ def alloc_run(runs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
 def alloc_preview(amounts: DataFrame, rules: DataFrame) -> DataFrame:
     """Preview of ``amounts(user_id, amount)`` over **all** the owner's rules,
     without the gate; ``warn`` is set when those rules do not sum to 100."""
-    totals = _gate(rules).withColumnRenamed("rule_total_pct", "all_rules_pct")
+    amounts = checked_broadcast(amounts)
+    own = rules.join(amounts.select("user_id"), "user_id", "left_semi")
+    totals = _gate(own).withColumnRenamed("rule_total_pct", "all_rules_pct")
     return (amounts.join(totals, "user_id")
-            .join(rules.select("user_id", F.col("id").alias("rule_id"), F.col("name").alias("rule_name"),
+            .join(own.select("user_id", F.col("id").alias("rule_id"), F.col("name").alias("rule_name"),
                                "percentage", "color"), "user_id")
             .select("user_id", "rule_id", "rule_name", "color", "percentage", "amount",
                     share("amount", "percentage").alias("share"),

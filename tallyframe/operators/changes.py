@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.schemas import DEFAULTS, LEDGER_SCHEMAS, SESSION_DAYS
+from tallyframe.operators.joins import checked_broadcast
 
 
 def _ts(as_of) -> Column:
@@ -214,8 +215,13 @@ def cascade_delete(children: dict[str, DataFrame], removed_users: DataFrame) ->
 
 
 def cascade_summary(children: dict[str, DataFrame], removed_users: DataFrame) -> DataFrame:
-    """D6 report: rows before, removed and kept per child table, in one pass each."""
-    marker = removed_users.select(F.col("id").alias("user_id"), F.lit(True).alias("_gone")).distinct()
+    """D6 report: rows before, removed and kept per child table, in one pass each.
+
+    The removed-user set is materialised once (a reliable checkpoint, broadcast when
+    its measured size allows) and read by every child table's join, instead of being
+    recomputed per table."""
+    marker = checked_broadcast(
+        removed_users.select(F.col("id").alias("user_id"), F.lit(True).alias("_gone")).distinct())
     parts = []
     for t, df in children.items():
         j = df.select("user_id").join(marker, "user_id", "left")
@@ -231,8 +237,9 @@ def cascade_summary(children: dict[str, DataFrame], removed_users: DataFrame) ->
 
 def audit_set_null(audit: DataFrame, removed_users: DataFrame) -> DataFrame:
     """``ON DELETE SET NULL``: audit rows of removed users keep their row with a
-    NULL actor."""
-    marker = removed_users.select(F.col("id").alias("user_id"), F.lit(True).alias("_gone")).distinct()
+    NULL actor. The removed-user marker is broadcast behind a size check."""
+    marker = checked_broadcast(
+        removed_users.select(F.col("id").alias("user_id"), F.lit(True).alias("_gone")).distinct())
     j = audit.join(marker, "user_id", "left")
     gone = F.coalesce(F.col("_gone"), F.lit(False))
     return j.select(*[F.when(gone, F.lit(None).cast("bigint")).otherwise(F.col("user_id")).alias("user_id")

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.joins import checked_broadcast
 from tallyframe.schemas import TOTAL
 
 
@@ -44,9 +45,9 @@ def swap_pairs(wallets: DataFrame, requests: DataFrame) -> DataFrame:
 def transfer_pairs(accounts: DataFrame) -> DataFrame:
     """Per account, the number of other accounts of its owner and their total
     balance (null balances count as 0)."""
-    per_owner = accounts.groupBy("user_id").agg(
+    per_owner = checked_broadcast(accounts.groupBy("user_id").agg(
         F.count("*").alias("n_accounts"),
-        F.coalesce(F.sum("balance"), F.lit(0)).cast(TOTAL).alias("owner_balance"))
+        F.coalesce(F.sum("balance"), F.lit(0)).cast(TOTAL).alias("owner_balance")))
     return (accounts.select("id", "user_id", "name", "balance")
             .join(per_owner, "user_id")
             .select("id", "user_id", "name",

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.money import usd_text
 from tallyframe.functions.text import gateway_color, percent_of
+from tallyframe.operators.joins import checked_broadcast
 from tallyframe.schemas import MONEY, TOTAL
 
 KPI_COLUMNS = ["user_id", "total_usd", "crypto_usd", "bank_usd", "gateway_volume_usd",
@@ -138,11 +139,11 @@ def portfolio_bars(wallets: DataFrame, accounts: DataFrame, gateways: DataFrame)
 def _with_percent_of_max(bars: DataFrame, value: str) -> DataFrame:
     """A9 + W4: percent of the owner's maximum (floored at 1), rounded to an integer.
 
-    The per-owner maximum is a partial aggregate joined back on ``user_id``; the join
-    side has one row per owner, which AQE broadcasts once its measured size is small,
-    and which the skew-join rule splits otherwise.
+    The per-owner maximum is a partial aggregate (one row per owner) joined back on
+    ``user_id`` through a size-checked broadcast, so the bars are not shuffled by owner.
     """
-    vmax = bars.groupBy("user_id").agg(F.greatest(F.max(value), F.lit(1).cast(MONEY)).alias("vmax"))
+    vmax = checked_broadcast(
+        bars.groupBy("user_id").agg(F.greatest(F.max(value), F.lit(1).cast(MONEY)).alias("vmax")))
     return (bars.join(vmax, "user_id")
             .withColumn("pct", percent_of(value, "vmax"))
             .withColumn("value_text", usd_text(value))

@@ -83,6 +83,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def materialize(df):
+    """Cut the lineage of an intermediate that several branches reuse.
+
+    A reliable ``checkpoint`` into the shared folder: computed once, read back by each
+    branch, and not lost with an executor (never ``localCheckpoint``).
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")

@@ -72,3 +72,22 @@ def test_entry_smoke(spark):
     assert df.columns == ["user_id", "total_usd", "crypto_usd", "bank_usd", "gateway_volume_usd",
                           "n_assets", "n_accounts", "n_enabled_gateways"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_checked_broadcast_bound(spark):
+    from tallyframe.operators.joins import checked_broadcast
+    small = spark.range(10).withColumnRenamed("id", "user_id")
+    big = spark.range(1000).withColumnRenamed("id", "user_id")
+    side = checked_broadcast(small, max_rows=100)
+    plan = _plan(big.join(side, "user_id"))
+    assert "BroadcastHashJoin" in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        over = checked_broadcast(small, max_rows=5)          # beyond the bound: no hint
+        plan = _plan(big.join(over, "user_id"))
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+        assert big.join(over, "user_id").count() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
