@@ -68,7 +68,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     dir). Only a ``local`` master without one gets a private temporary folder, as
     in tests; a cluster without a shared folder is an error, never a local path.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's checkpoint folder applies
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -100,7 +103,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    try:
+        return spark.sparkContext.master.startswith("local")
+    except Exception:
+        return False
 
 
 def default_sf_dir() -> str:

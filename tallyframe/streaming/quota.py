@@ -21,9 +21,12 @@ REQUEST_SCHEMA = T.StructType([T.StructField("ip", T.StringType()), T.StructFiel
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def land_requests(requests: DataFrame, path: str, files: int = 4) -> str:
-    (requests.select("ip", "path", "ts").repartition(files)
-     .write.mode("append").option("timestampFormat", TS_FORMAT).json(path))
+def land_requests(requests: DataFrame, path: str, files: int | None = None) -> str:
+    """Write requests ``(ip, path, ts)`` as JSON-line files."""
+    df = requests.select("ip", "path", "ts")
+    if files:                      # default: one file per input partition
+        df = df.repartition(files)
+    df.write.mode("append").option("timestampFormat", TS_FORMAT).json(path)
     return path
 
 

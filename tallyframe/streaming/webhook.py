@@ -25,10 +25,12 @@ TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 HANDLED = [EVENT_SUCCEEDED, EVENT_FAILED]
 
 
-def land_events(events: DataFrame, path: str, files: int = 4) -> str:
+def land_events(events: DataFrame, path: str, files: int | None = None) -> str:
     """Write event structs ``(type, data, event_time)`` as JSON-line files."""
-    (events.select("type", "data", "event_time").repartition(files)
-     .write.mode("append").option("timestampFormat", TS_FORMAT).json(path))
+    df = events.select("type", "data", "event_time")
+    if files:                      # default: one file per input partition
+        df = df.repartition(files)
+    df.write.mode("append").option("timestampFormat", TS_FORMAT).json(path)
     return path
 
 
