@@ -32,18 +32,46 @@ BASE_CONF = {
 }
 
 
+# Settings for the 100 TB target (about 1000 executors). Shuffles start with many
+# partitions and AQE coalesces them towards the advisory size, so one stage neither
+# spills from oversized partitions nor drowns in tiny ones; skewed partitions above
+# the threshold are split; executors being lost hand their shuffle blocks over first
+# (decommissioning), and large streaming state lives in RocksDB, checkpointed to the
+# shared folder.
+CLUSTER_PROFILE = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+    "spark.storage.decommission.rddBlocks.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+
 def get_session(master: str | None = None, app: str = "tallyframe",
                 shuffle_partitions: int | None = None,
-                extra: dict[str, str] | None = None) -> SparkSession:
+                extra: dict[str, str] | None = None, profile: str | None = None) -> SparkSession:
     """Create (or reuse) a SparkSession with the library's settings.
 
-    ``master`` is left to spark-submit when None. ``shuffle_partitions`` defaults
-    to 200 on a cluster; pass the core count for local runs.
+    ``master`` is left to spark-submit when None. ``profile="cluster"`` adds
+    ``CLUSTER_PROFILE`` (the 100 TB settings); ``shuffle_partitions`` overrides the
+    partition count (pass the core count for local runs). ``spark.checkpoint.dir``
+    must name a shared folder on a cluster (see ``checkpoint_root``).
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_PROFILE)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if extra:
