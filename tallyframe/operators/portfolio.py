@@ -133,7 +133,11 @@ def portfolio_bars(wallets: DataFrame, accounts: DataFrame, gateways: DataFrame)
                      F.col("name").alias("label"), F.col("id").alias("account_id"),
                      F.coalesce(F.col("balance"), F.lit(0)).cast(MONEY).alias("value")))
     bars = crypto.unionByName(banks).unionByName(gw)
-    return _with_percent_of_max(bars, "value")
+    # At most six bars per owner by construction, so the owner's maximum is a window
+    # over a bounded group: no join back and no second pass over the bars.
+    vmax = F.greatest(F.max("value").over(Window.partitionBy("user_id")), F.lit(1).cast(MONEY))
+    return (bars.withColumn("pct", percent_of("value", vmax))
+            .withColumn("value_text", usd_text("value")))
 
 
 def _with_percent_of_max(bars: DataFrame, value: str) -> DataFrame:

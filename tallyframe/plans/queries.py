@@ -533,7 +533,7 @@ SELECT c_custkey // 3 AS link_id,
        'Linked ' || lower(c_mktsegment) AS name, lower(c_mktsegment) AS account_type,
        lpad(CAST((c_custkey * 37) % 10000 AS VARCHAR), 4, '0') AS last4,
        CAST(coalesce(CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(c_acctbal AS DECIMAL(20,2)) END, 0) AS DECIMAL(20,2)) AS balance,
-       coalesce(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'USD' END, 'USD') AS currency
+       coalesce(nullif(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'USD' END, ''), 'USD') AS currency
 FROM customer"""
 
 

@@ -35,8 +35,8 @@ def price_feed(replies: DataFrame, coin_ids: list[str] | None = None) -> DataFra
 
 def bank_feed(replies: DataFrame) -> DataFrame:
     """``replies(link_id, user_id, body)`` -> one row per linked account, in array
-    order; ``available`` falls back to 0 (not to the current balance, Q24) and the
-    currency to USD."""
+    order; ``available`` falls back to 0 (not to the current balance, Q24) and a missing
+    or empty currency to USD."""
     p = replies.select("link_id", "user_id", F.from_json("body", BANK_FEED).alias("r"))
     return (p.select("link_id", "user_id", F.col("r.item_id").alias("item_id"),
                      F.col("r.institution").alias("institution"),
@@ -45,7 +45,7 @@ def bank_feed(replies: DataFrame) -> DataFrame:
                     F.col("a.name").alias("name"), F.col("a.type").alias("account_type"),
                     F.col("a.mask").alias("last4"),
                     F.coalesce(F.col("a.balances.available"), F.lit(0)).cast(MONEY).alias("balance"),
-                    F.coalesce(F.col("a.balances.iso_currency_code"), F.lit("USD")).alias("currency")))
+                    F.coalesce(F.nullif(F.col("a.balances.iso_currency_code"), F.lit("")), F.lit("USD")).alias("currency")))
 
 
 def chain_balances(replies: DataFrame) -> DataFrame:

@@ -63,25 +63,23 @@ def bank_link_replies(led: Ledger) -> DataFrame:
 
 
 def chain_replies(led: Ledger) -> DataFrame:
-    """One balance reply per wallet on an Ethereum or Solana network (case as stored):
-    hex wei for Ethereum, lamports for Solana; every 11th wallet's call failed, every
-    17th holds 0, every 19th Ethereum reply carries 32 hex digits (too large)."""
-    part = led.driver("part")
-    net = F.expr("CASE p_partkey % 6 WHEN 1 THEN 'Ethereum' WHEN 2 THEN 'ETHEREUM' WHEN 4 THEN 'Solana' END")
+    """One balance reply per wallet on an Ethereum or Solana network (any case): hex
+    wei for Ethereum, lamports for Solana, scaled from the part's size; every 11th
+    wallet's call failed, every 17th holds 0, every 19th Ethereum reply carries 32 hex
+    digits (too large)."""
+    wallets = (led.crypto_wallets.where(F.lower("network").isin("ethereum", "solana"))
+               .select("id", "address", "network"))
+    part = led.driver("part").select(F.col("p_partkey").alias("id"), "p_partkey", "p_size")
     eth_hex = F.expr(
         "CASE WHEN p_partkey % 19 = 0 THEN '0x' || repeat('f', 32) "
         "WHEN p_partkey % 17 = 0 THEN '0x0' "
         "ELSE '0x' || lower(hex(p_partkey)) || lpad(lower(hex(CAST(p_size AS BIGINT) * 1000000000000000)), 16, '0') END")
     lamports = F.expr("CAST(p_size AS BIGINT) * 1000000000 + p_partkey")
     body = (F.when(F.expr("p_partkey % 11 = 0"), F.lit('{"jsonrpc":"2.0","id":1,"error":{"code":-32000}}'))
-            .when(F.expr("p_partkey % 6 = 4"),
+            .when(F.lower("network") == "solana",
                   F.to_json(F.struct(F.struct(lamports.alias("value")).alias("result"))))
             .otherwise(F.to_json(F.struct(eth_hex.alias("result")))))
-    wallets = led.crypto_wallets.select("id", "address")
-    return (part.where("p_partkey % 6 IN (1, 2, 4)")
-            .select(F.col("p_partkey").alias("id"), net.alias("network"), body.alias("body"))
-            .join(wallets, "id")
-            .select("address", "network", "body"))
+    return wallets.join(part, "id").select("address", "network", body.alias("body"))
 
 
 def processor_events(led: Ledger) -> DataFrame:

@@ -82,9 +82,10 @@ def test_valuation_symbol_map_and_missing_price(spark):
 def test_bank_feed_fallbacks(spark):
     body = {"item_id": "item-1", "institution": "Chase", "accounts": [
         {"name": "A", "type": "checking", "mask": "1111", "balances": {"available": None, "iso_currency_code": None}},
-        {"name": "B", "type": "savings", "mask": "2222", "balances": {"available": 12.5, "iso_currency_code": "EUR"}}]}
+        {"name": "B", "type": "savings", "mask": "2222", "balances": {"available": 12.5, "iso_currency_code": "EUR"}},
+        {"name": "C", "type": "savings", "mask": "3333", "balances": {"available": 0, "iso_currency_code": ""}}]}
     replies = spark.createDataFrame([(1, 1, json.dumps(body))], "link_id long, user_id long, body string")
     got = [(r.pos, r.name, r.balance, r.currency) for r in feeds.bank_feed(replies).orderBy("pos").collect()]
-    assert got == [(0, "A", D("0.00"), "USD"), (1, "B", D("12.50"), "EUR")]
+    assert got == [(0, "A", D("0.00"), "USD"), (1, "B", D("12.50"), "EUR"), (2, "C", D("0.00"), "USD")]
     per = valuation.linked_per_institution(feeds.bank_feed(replies)).collect()
-    assert [(r.institution, r.n_accounts) for r in per] == [("Chase", 2)]
+    assert [(r.institution, r.n_accounts) for r in per] == [("Chase", 3)]
