@@ -1,4 +1,3 @@
-import datetime as dt
 from decimal import Decimal as D
 
 import pytest
@@ -125,4 +124,3 @@ def test_money_helpers(spark):
     r = df.select(M.usd_text("a"), M.usd_text("b"), M.usd_text(M.from_cents("c")), M.to_cents("b"),
                   X.int_or_zero(df.c.cast("string")), X.clamp(df.c, 0, 100)).collect()[0]
     assert tuple(r) == ("$0.13", "$1,234,567.13", "$123.45", 123456713, 12345, 100)
-    assert dt is not None
