@@ -11,19 +11,20 @@ Scale notes
   cut rules are joined to the runs on ``user_id`` through size-checked broadcasts
   (``joins.checked_broadcast``), so the runs are never shuffled by owner; beyond the
   size bound the join is a shuffle join whose hot partitions AQE splits.
-* Per-owner totals are partial aggregates; rule-level windows (offsets, colours,
-  positions) run over one owner's rules only, which are few by construction (their
-  percentages are capped at 100 in total).
+* Per-owner totals are partial aggregates; rule positions and running offsets use
+  ``windows.ordered_positions`` (range-partitioned, boundary-corrected), so even an
+  owner with a third of all rules is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.money import share, usd_text
 from tallyframe.functions.text import clamp, int_or_zero
 from tallyframe.operators.joins import checked_broadcast
+from tallyframe.operators.windows import ordered_positions
 from tallyframe.schemas import PCT, RULE_PALETTE
 
 PCT_TOTAL = "decimal(7,2)"
@@ -132,18 +133,20 @@ def latest_amount(runs: DataFrame) -> DataFrame:
 
 def rule_offsets(rules: DataFrame) -> DataFrame:
     """Donut offset of each rule = sum of the percentages of the owner's earlier
-    rules (oldest first); also the rule's own end point."""
-    w = (Window.partitionBy("user_id").orderBy("created_at", "id")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    start = F.coalesce(F.sum("percentage").over(w), F.lit(0)).cast(PCT_TOTAL)
-    return rules.select("user_id", "id", "name", "percentage", start.alias("offset_pct"),
-                        (start + F.col("percentage")).cast(PCT_TOTAL).alias("end_pct"))
+    rules (oldest first); also the rule's own end point. Computed with
+    ``ordered_positions``, so an owner with a huge number of rules is spread over
+    many tasks."""
+    r = ordered_positions(rules.select("user_id", "id", "name", "percentage", "created_at"),
+                          "user_id", ["created_at", "id"], value="percentage", running="_before")
+    start = r["_before"].cast(PCT_TOTAL)
+    return r.select("user_id", "id", "name", "percentage", start.alias("offset_pct"),
+                    (start + F.col("percentage")).cast(PCT_TOTAL).alias("end_pct"))
 
 
 def rule_colors(rules: DataFrame) -> DataFrame:
     """Palette colour by the rule's position (oldest first) modulo 7."""
-    w = Window.partitionBy("user_id").orderBy("created_at", "id")
     palette = F.array(*[F.lit(c) for c in RULE_PALETTE])
-    pos = F.row_number().over(w)
-    return rules.select("user_id", "id", "name", pos.alias("position"),
-                        F.element_at(palette, F.pmod(pos - 1, F.lit(len(RULE_PALETTE))) + 1).alias("palette_color"))
+    r = ordered_positions(rules.select("user_id", "id", "name", "created_at"), "user_id", ["created_at", "id"])
+    return r.select("user_id", "id", "name", "position",
+                    F.element_at(palette, F.pmod(F.col("position") - 1, F.lit(len(RULE_PALETTE))) + 1)
+                    .alias("palette_color"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import money as M
 from tallyframe.functions import text as X
+from tallyframe.operators.windows import ordered_positions
 from tallyframe.schemas import PAGE_LIMIT, PAGE_OFFSET
 
 
@@ -68,16 +69,17 @@ def list_gateways(gateways: DataFrame, user_id=None) -> DataFrame:
 def list_rules(rules: DataFrame, user_id=None) -> DataFrame:
     """F4 + O2: rules oldest first, with their position and the card meta text.
 
-    Rules per owner are few (their percentages are capped at 100 in total), so the
-    position window over one owner's rules stays small.
+    Positions come from ``ordered_positions`` (range-partitioned, boundary-corrected),
+    so an owner with very many rules is not gathered into one task.
     """
-    w = Window.partitionBy("user_id").orderBy(*oldest_first())
     meta = F.concat(F.when(F.col("is_locked"), F.lit("Locked")).otherwise(F.lit("Adjustable")),
                     F.lit(" · "),
                     F.when(F.col("is_auto"), F.lit("Auto-run")).otherwise(F.lit("Manual only")))
-    return (_owner(rules, user_id)
+    base = _owner(rules, user_id).select("id", "user_id", "name", "percentage", "color", "is_locked",
+                                         "is_auto", "created_at")
+    return (ordered_positions(base, "user_id", ["created_at", "id"])
             .select("id", "user_id", "name", "percentage", "color", "is_locked", "is_auto",
-                    "created_at", F.row_number().over(w).alias("position"), meta.alias("meta"))
+                    "created_at", "position", meta.alias("meta"))
             .orderBy("user_id", "position"))
 
 
