@@ -98,3 +98,18 @@ def test_swap_pairs_statuses(spark):
     got = dict(rows(pairs.swap_pairs(wallets, req), "request_id", "status"))
     assert got == {1: "ok", 2: "same_wallet", 3: "cross_owner", 4: "not_owner",
                    5: "unknown_from", 6: "unknown_to"}
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.integers(min_value=0, max_value=10 ** 9), min_size=1, max_size=8))
+def test_bar_percent_property(spark, cents):
+    g = frame(spark, "payment_gateways", [dict(id=i, user_id=1, name=f"g{i}", monthly_volume=D(c) / 100)
+                                          for i, c in enumerate(cents)])
+    pct = [r.pct for r in portfolio.gateway_volume_bars(g).collect()]
+    assert all(0 <= p <= 100 for p in pct)
+    if max(cents) >= 100:                      # maximum at least 1 -> someone is at 100
+        assert 100 in pct
