@@ -108,12 +108,12 @@ def test_short_address_edges(spark):
 
 def test_user_directory_texts(spark):
     users = frame(spark, "users", [
-        dict(id=1, email="  Admin@Example.COM ", first_name=" Diana ", last_name="Mercer", role="admin",
+        dict(id=1, email="  Admin@Example.COM ", first_name=" Jane ", last_name="Doe", role="admin",
              created_at=ts()),
         dict(id=2, email="x@y.z", first_name="", last_name="", role="user", created_at=ts(1))])
     d = {r.id: r for r in listings.user_directory(users).collect()}
-    assert d[1].email == "admin@example.com" and d[1].display_name == "Diana Mercer"
-    assert d[1].initials == "DM" and d[1].role_label == "Admin"
+    assert d[1].email == "admin@example.com" and d[1].display_name == "Jane Doe"
+    assert d[1].initials == "JD" and d[1].role_label == "Admin"
     assert d[2].display_name == "x@y.z"
     assert "password_hash" not in listings.user_directory(users).columns
 
