@@ -44,16 +44,22 @@ def main() -> None:
         reg[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
-    results = {}
+    results, errors = {}, {}
     for name in names:
-        run(name)                                    # warm-up (JIT, file listing, caches)
-        results[name] = round(statistics.median(run(name) for _ in range(reps)), 3)
+        try:
+            run(name)                                # warm-up (JIT, file listing, caches)
+            results[name] = round(statistics.median(run(name) for _ in range(reps)), 3)
+        except Exception as e:                       # keep measuring the others
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({
+    out = {
         "metric": "sum_of_median_query_seconds", "value": round(sum(results.values()), 3), "unit": "sec",
         "queries": results, "sf": sf, "spark": spark.version, "master": f"local[{cpus}]",
         "shuffle_partitions": cpus, "reps": reps,
-    }))
+    }
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 

@@ -16,6 +16,9 @@ over the earlier rows of the key) while splitting hot keys:
   (partition, key). Keys that continue across partitions are corrected from
   per-partition totals; only a partition's first and last key can continue, so that
   table has at most two rows per partition and is broadcast back.
+
+Rows whose key is NULL form one group on the plain path (a NULL owner has no
+ordering to split by).
 """
 
 from __future__ import annotations
