@@ -114,11 +114,10 @@ BANK_BAR_RANKS = [1, 4, 2, 3]
 
 
 def portfolio_bars(wallets: DataFrame, accounts: DataFrame, gateways: DataFrame) -> DataFrame:
-    """R2 (U1 + A9 + W4): per owner, the crypto total bar, one bar for each of the first
-    four accounts in newest-first order, and the enabled gateway volume bar, each with
+    """R2 (U1 + A9 + W4): per owner, six bars: the crypto total, one bar for each of the
+    first four accounts in newest-first order (0 and an em dash when the owner has fewer
+    accounts, as the dashboard shows), and the enabled gateway volume. Each bar carries
     its percent of the owner's largest bar (maximum floored at 1).
-
-    Missing accounts give no bar (the reference shows 0 for them).
     """
     kpis = portfolio_kpis(wallets, accounts, gateways)
     crypto = kpis.select("user_id", F.lit(1).alias("bar_pos"), F.lit("Crypto").alias("label"),
@@ -128,13 +127,15 @@ def portfolio_bars(wallets: DataFrame, accounts: DataFrame, gateways: DataFrame)
                      F.lit(None).cast("bigint").alias("account_id"),
                      F.col("gateway_volume_usd").cast(MONEY).alias("value"))
     pos = F.create_map(*[x for i, r in enumerate(BANK_BAR_RANKS) for x in (F.lit(r), F.lit(i + 2))])
-    banks = (bank_rank(accounts, top=len(BANK_BAR_RANKS))
+    slots = kpis.select("user_id", F.explode(F.array(*[F.lit(r) for r in BANK_BAR_RANKS])).alias("rank"))
+    ranked = bank_rank(accounts, top=len(BANK_BAR_RANKS)).select("user_id", "rank", "name", "id", "balance")
+    banks = (slots.join(ranked, ["user_id", "rank"], "left")
              .select("user_id", F.element_at(pos, F.col("rank")).alias("bar_pos"),
-                     F.col("name").alias("label"), F.col("id").alias("account_id"),
+                     F.coalesce(F.col("name"), F.lit("—")).alias("label"), F.col("id").alias("account_id"),
                      F.coalesce(F.col("balance"), F.lit(0)).cast(MONEY).alias("value")))
     bars = crypto.unionByName(banks).unionByName(gw)
-    # At most six bars per owner by construction, so the owner's maximum is a window
-    # over a bounded group: no join back and no second pass over the bars.
+    # Six bars per owner by construction, so the owner's maximum is a window over a
+    # bounded group: no join back and no second pass over the bars.
     vmax = F.greatest(F.max("value").over(Window.partitionBy("user_id")), F.lit(1).cast(MONEY))
     return (bars.withColumn("pct", percent_of("value", vmax))
             .withColumn("value_text", usd_text("value")))

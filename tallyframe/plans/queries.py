@@ -418,8 +418,10 @@ _BARS_CTE = f"""bars AS (
   SELECT user_id, 1 AS bar_pos, 'Crypto' AS label, CAST(NULL AS BIGINT) AS account_id,
          CAST(crypto_usd AS DECIMAL(20,2)) AS value FROM kpis
   UNION ALL
-  SELECT user_id, CASE rank WHEN 1 THEN 2 WHEN 4 THEN 3 WHEN 2 THEN 4 ELSE 5 END, name, id,
-         CAST(coalesce(balance, 0) AS DECIMAL(20,2)) FROM ({_RANK_SQL}) r WHERE rank <= 4
+  SELECT s.user_id, CASE s.rank WHEN 1 THEN 2 WHEN 4 THEN 3 WHEN 2 THEN 4 ELSE 5 END, coalesce(r.name, '—'), r.id,
+         CAST(coalesce(r.balance, 0) AS DECIMAL(20,2))
+  FROM (SELECT user_id, v.rank FROM kpis, (VALUES (1), (2), (3), (4)) AS v(rank)) s
+  LEFT JOIN ({_RANK_SQL}) r ON r.user_id = s.user_id AND r.rank = s.rank
   UNION ALL
   SELECT user_id, 6, 'GW Volume', CAST(NULL AS BIGINT), CAST(gateway_volume_usd AS DECIMAL(20,2)) FROM kpis)"""
 

@@ -60,7 +60,8 @@ def test_bars_all_zero_floor(spark):
     a = frame(spark, "bank_accounts", [dict(id=1, user_id=1, name="x", balance=D("0.00"), created_at=ts())])
     g = frame(spark, "payment_gateways", [dict(id=1, user_id=1, is_enabled=True, monthly_volume=D("0.00"))])
     got = portfolio.portfolio_bars(w, a, g).collect()
-    assert {r.pct for r in got} == {0}
+    assert {r.pct for r in got} == {0} and len(got) == 6
+    assert sorted(r.label for r in got if r.account_id is None and r.label not in ("Crypto", "GW Volume")) == ["—"] * 3
     g2 = frame(spark, "payment_gateways", [dict(id=1, user_id=1, is_enabled=True, monthly_volume=D("0.50"))])
     got2 = {r.label: r.pct for r in portfolio.portfolio_bars(w, a, g2).collect()}
     assert got2["GW Volume"] == 50     # max floored at 1
