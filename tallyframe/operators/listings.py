@@ -216,5 +216,6 @@ def tx_statement(txs: DataFrame, user_id=None, type: str | None = None,
         X.type_bucket("type").alias("type_color"),
         X.time_text("created_at").alias("time_text"),
         X.datetime_text("created_at").alias("datetime_text"),
-        X.long_date_text("created_at").alias("date_text"))
+        X.long_date_text("created_at").alias("date_text"),
+        X.iso_text("created_at").alias("iso_text"))
         .orderBy(F.col("user_id"), *newest_first()))

@@ -265,7 +265,8 @@ SELECT id, user_id, type, gateway, method, amount_usd, status, created_at,
        {TYPE_COLOR_SQL} AS type_color,
        strftime(created_at, '%H:%M:%S') AS time_text,
        strftime(created_at, '%Y-%m-%d %H:%M:%S') AS datetime_text,
-       strftime(created_at, '%a, %b %-d, %Y') AS date_text
+       strftime(created_at, '%a, %b %-d, %Y') AS date_text,
+       strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS iso_text
 FROM transactions""", "transactions"))
 def q_tx_statement(spark, sf_dir):
     """R3 (X1-X6, X13): every transaction as a statement line with display texts."""
