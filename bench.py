@@ -19,6 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "portfolio_kpis", "portfolio_bars", "gateway_volume_bars", "tx_statement", "tx_search",
     "recent_tx", "tx_page", "tx_text_search", "alloc_run", "alloc_rejects", "alloc_preview",
+    "rule_offsets", "price_feed", "chain_balance",
     "wallet_valuation", "swap_pairs", "transfer_pairs", "check_violations", "unique_violations",
     "bank_upsert", "apply_updates", "cascade_delete", "insert_absent", "audit_details",
     "webhook_ingest", "webhook_dedup", "quota_breaches",

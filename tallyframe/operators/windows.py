@@ -76,6 +76,8 @@ def ordered_positions(df: DataFrame, key: str, order: list[str], value: str | No
     (0 for the first row). ``order`` must be a total order within each key."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = checked_broadcast(df.groupBy(key).count().where(F.col("count") > hot_rows).select(key))
+    if hot.isEmpty():               # the usual case: every group is bounded
+        return _plain(df, key, order, value, position, running)
     normal = _plain(df.join(hot, key, "left_anti"), key, order, value, position, running)
     spread = _spread(df.join(hot, key, "left_semi"), key, order, value, position, running, n)
     return normal.unionByName(spread)
