@@ -45,3 +45,24 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
              for t, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def write_ledger(ledger, root: str, names: list[str] | None = None) -> str:
+    """Write every ledger table of ``ledger`` (anything with one attribute per table,
+    e.g. the bound ``Ledger``) as typed snapshots under ``root``."""
+    for name in names or list(LEDGER_SCHEMAS):
+        write_snapshot(getattr(ledger, name), root, name)
+    return root
+
+
+class SnapshotLedger:
+    """Ledger tables read from snapshots written by ``write_ledger`` (or by any job
+    that writes the declared schemas); same attributes as the bound ``Ledger``."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in LEDGER_SCHEMAS:
+            return load_table(self.spark, self.root, name)
+        raise AttributeError(name)

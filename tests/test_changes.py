@@ -167,3 +167,17 @@ def test_audit_sink_and_snapshot_round_trip(spark, tmp_dir):
     assert again.count() == 6
     counts = dict(rows(tables.table_counts({"w": w, "w2": again})))
     assert counts == {"w": 6, "w2": 6}
+
+
+def test_snapshot_ledger_gives_same_results(spark, tmp_dir):
+    from tallyframe.operators import portfolio
+    from tallyframe.sources.bindings import Ledger
+    from tallyframe.sources.tables import SnapshotLedger, write_ledger
+
+    from .conftest import SF001
+    bound = Ledger(spark, SF001)
+    write_ledger(bound, f"{tmp_dir}/ledger")
+    snap = SnapshotLedger(spark, f"{tmp_dir}/ledger")
+    a = portfolio.portfolio_kpis(bound.crypto_wallets, bound.bank_accounts, bound.payment_gateways)
+    b = portfolio.portfolio_kpis(snap.crypto_wallets, snap.bank_accounts, snap.payment_gateways)
+    assert rows(a) == rows(b) and len(rows(a)) == 25

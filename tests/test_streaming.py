@@ -82,3 +82,20 @@ def test_quota_stream_closed_windows(spark, tmp_dir):
     out = spark.read.parquet(f"{tmp_dir}/sink").select(F.col("window_start").cast("timestamp_ntz")).collect()
     # the first window is closed by the watermark; the last one is still open
     assert [r[0] for r in out] == [base]
+
+
+def test_late_requests_beyond_watermark_are_dropped(spark, tmp_dir):
+    base = dt.datetime(2024, 1, 1, 10, 0)
+    first = spark.createDataFrame([("a", "/x", base + dt.timedelta(minutes=m)) for m in (0, 1, 2, 60, 61)],
+                                  "ip string, path string, ts timestamp")
+    quota.land_requests(first, f"{tmp_dir}/landing")
+    s = quota.quota_breaches(quota.read_requests(spark, f"{tmp_dir}/landing"), max_requests=1)
+    webhook.run_to_parquet(s, f"{tmp_dir}/sink", f"{tmp_dir}/ckpt")
+    before = rows(spark.read.parquet(f"{tmp_dir}/sink"), "n_requests")
+    assert before == [(3,)]                        # 10:00 window closed; 11:00 window still open
+    # a late burst for the closed 10:00 window arrives after the watermark passed it
+    late = spark.createDataFrame([("a", "/x", base + dt.timedelta(minutes=5))] * 5, "ip string, path string, ts timestamp")
+    quota.land_requests(late, f"{tmp_dir}/landing")
+    s2 = quota.quota_breaches(quota.read_requests(spark, f"{tmp_dir}/landing"), max_requests=1)
+    webhook.run_to_parquet(s2, f"{tmp_dir}/sink", f"{tmp_dir}/ckpt")
+    assert rows(spark.read.parquet(f"{tmp_dir}/sink"), "n_requests") == before   # late rows dropped
