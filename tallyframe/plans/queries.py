@@ -315,7 +315,7 @@ def _cap_candidates(led: Ledger):
         "value > 40 AS is_locked")
 
 
-@query("rule_cap_check", oracle=with_ledger("""
+_CAP_BODY = """
 SELECT request_id, c.user_id, name, CAST(pct AS DECIMAL(5,2)) AS percentage, is_locked,
        CAST(coalesce(e.t, 0) AS DECIMAL(7,2)) AS existing_pct,
        CAST(coalesce(e.t, 0) + pct AS DECIMAL(7,2)) AS new_total_pct,
@@ -326,7 +326,10 @@ FROM (SELECT event_id AS request_id, user_id, 'Rule ' || CAST(event_id AS VARCHA
              value > 40 AS is_locked
       FROM events WHERE event_type = 'click') c
 LEFT JOIN (SELECT user_id, sum(percentage) AS t FROM allocation_rules GROUP BY user_id) e
-  ON c.user_id = e.user_id""", "allocation_rules"))
+  ON c.user_id = e.user_id"""
+
+
+@query("rule_cap_check", oracle=with_ledger(_CAP_BODY, "allocation_rules"))
 def q_rule_cap_check(spark, sf_dir):
     """A7 + X8: decide each click event's new-rule request against the owner's
     existing total (cap 100 unless locked), parsing and clamping the percentage."""
@@ -1095,7 +1098,44 @@ def _run_audit(led: Ledger):
     return audit.run_audit(allocations, runs)
 
 
-@query("audit_append")
+_ACCEPTED_SQL = f"""accepted AS (
+  SELECT r.run_id, r.user_id, r.created_at, r.amount, a.id AS rule_id, a.name AS rule_name, a.percentage,
+         {_SHARE_SQL.format(a='r.amount', p='a.percentage')} AS share
+  FROM runs r
+  JOIN (SELECT user_id, sum(percentage) AS t FROM allocation_rules WHERE is_auto GROUP BY user_id) g
+    ON g.user_id = r.user_id AND g.t = 100
+  JOIN allocation_rules a ON a.user_id = r.user_id AND a.is_auto)"""
+
+
+def _audit_append_sql() -> str:
+    at = f"TIMESTAMP '{AS_OF}'"
+    return with_ledger(f"""
+SELECT user_id, 'run_allocation' AS action, 'allocation' AS resource,
+       to_json({{'amount': CAST(amount AS DECIMAL(20,2)), 'source': 'all',
+                 'allocations': list({{'ruleId': rule_id, 'ruleName': rule_name, 'amount': share,
+                                      'percentage': CAST(percentage AS DECIMAL(18,2))}} ORDER BY rule_id)}})::VARCHAR AS details,
+       CAST(NULL AS VARCHAR) AS ip_address, created_at, run_id AS ref_id
+FROM accepted GROUP BY run_id, user_id, created_at, amount
+UNION ALL
+SELECT user_id, 'add_rule', 'allocation_rules',
+       to_json({{'name': name, 'percentage': CAST(percentage AS DECIMAL(18,2))}})::VARCHAR, NULL, {at}, request_id
+FROM ({_CAP_BODY}) cap WHERE accepted
+UNION ALL
+SELECT user_id, 'add_wallet', 'crypto_wallets',
+       to_json({{'name': name, 'address': address, 'symbol': symbol, 'network': network}})::VARCHAR, NULL, {at}, request_id
+FROM ({_FIRST_NEW_ADDS}) a
+UNION ALL
+SELECT user_id, 'delete_wallet', 'crypto_wallets', to_json({{'id': id}})::VARCHAR, NULL, {at}, id
+FROM crypto_wallets w WHERE EXISTS (SELECT 1 FROM wallet_deletes d WHERE d.id = w.id AND d.user_id = w.user_id)
+UNION ALL
+SELECT user_id, 'link_bank', 'bank_accounts', to_json({{'institution': institution, 'accounts': count(*)}})::VARCHAR,
+       NULL, {at}, link_id
+FROM ({_BANK_FEED_SQL}) f GROUP BY link_id, user_id, institution""",
+        "transactions", "allocation_rules", "crypto_wallets",
+        extra_ctes=(_RUNS_SQL, _ACCEPTED_SQL, _WALLET_ADDS_SQL, _WALLET_DELETES_SQL))
+
+
+@query("audit_append", oracle=_audit_append_sql())
 def q_audit_append(spark, sf_dir):
     """S9 + X19: audit rows for five of the ledger's actions, built from the jobs that
     perform them: run_allocation (accepted runs with their allocation list),
@@ -1120,15 +1160,6 @@ def q_audit_append(spark, sf_dir):
     ])
 
 
-_ACCEPTED_SQL = f"""accepted AS (
-  SELECT r.run_id, r.user_id, r.created_at, r.amount, a.id AS rule_id, a.name AS rule_name, a.percentage,
-         {_SHARE_SQL.format(a='r.amount', p='a.percentage')} AS share
-  FROM runs r
-  JOIN (SELECT user_id, sum(percentage) AS t FROM allocation_rules WHERE is_auto GROUP BY user_id) g
-    ON g.user_id = r.user_id AND g.t = 100
-  JOIN allocation_rules a ON a.user_id = r.user_id AND a.is_auto)"""
-
-
 @query("audit_details", oracle=with_ledger("""
 SELECT run_id, user_id, created_at, CAST(amount AS DECIMAL(20,2)) AS amount, 'all' AS source,
        rule_id, rule_name, share, percentage FROM accepted""",
