@@ -1,7 +1,8 @@
 """Run registered queries on a cluster and write each result as a Parquet snapshot.
 
-    spark-submit --conf spark.checkpoint.dir=<shared folder> -m tallyframe.run \\
-        --sf-dir <driver tables> --out <output root> [--profile cluster] name [name ...]
+    zip -r tallyframe.zip tallyframe
+    spark-submit --py-files tallyframe.zip --conf spark.checkpoint.dir=<shared folder> \\
+        tallyframe/run.py --sf-dir <driver tables> --out <output root> [--profile cluster] name ...
 
 Each result goes to ``<out>/<name>`` (a new path; an existing one is an error, so a
 rerun never overwrites an earlier snapshot). ``--list`` prints the registered names.

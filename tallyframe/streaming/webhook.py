@@ -70,20 +70,30 @@ def dedupe(rows: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return rows.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["tx_hash"])
 
 
-def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over everything available (``availableNow``) into Parquet."""
-    q = (stream.writeStream.format("parquet").outputMode(mode)
-         .option("path", sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
-def run_complete_to_parquet(stream: DataFrame, sink: str, checkpoint: str) -> None:
+def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append",
+                   every: str | None = None):
+    """Run a stream into Parquet with its checkpoint in ``checkpoint``.
+
+    By default it processes everything available (``availableNow``) and returns when
+    done; with ``every`` (e.g. ``"1 minute"``) it runs continuously on that
+    processing-time trigger and the started query is returned."""
+    w = (stream.writeStream.format("parquet").outputMode(mode)
+         .option("path", sink).option("checkpointLocation", checkpoint))
+    if every:
+        return w.trigger(processingTime=every).start()
+    w.trigger(availableNow=True).start().awaitTermination()
+    return None
+
+
+def run_complete_to_parquet(stream: DataFrame, sink: str, checkpoint: str, every: str | None = None):
     """Run an aggregating stream in complete mode; each micro-batch's full result
-    replaces the previous one (idempotent overwrite per batch)."""
+    replaces the previous one (idempotent overwrite per batch). ``every`` as in
+    ``run_to_parquet``."""
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(sink)
 
-    q = (stream.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    w = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    if every:
+        return w.trigger(processingTime=every).start()
+    w.trigger(availableNow=True).start().awaitTermination()
+    return None
