@@ -31,15 +31,19 @@ def _ts(as_of) -> Column:
     return F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of
 
 
-def pick_per_key(df: DataFrame, keys: list[str], order: list[str], last: bool = True) -> DataFrame:
+def pick_per_key(df: DataFrame, keys: list[str], order: list[str], last: bool = True,
+                 count_as: str | None = None) -> DataFrame:
     """One row per key, the one with the greatest (``last``) or smallest ``order``.
 
     Ties on ``order`` are broken by the remaining columns, so the pick is deterministic.
+    With ``count_as``, the number of rows of the key is added from the same aggregate.
     """
     payload = [c for c in df.columns if c not in keys]
     ordered = F.struct(F.struct(*[F.col(c) for c in order]).alias("o"), F.struct(*payload).alias("row"))
-    agg = F.max(ordered) if last else F.min(ordered)
-    return df.groupBy(*keys).agg(agg.alias("_m")).select(*keys, "_m.row.*")
+    aggs = [(F.max(ordered) if last else F.min(ordered)).alias("_m")]
+    if count_as:
+        aggs.append(F.count("*").alias(count_as))
+    return df.groupBy(*keys).agg(*aggs).select(*keys, "_m.row.*", *([count_as] if count_as else []))
 
 
 # ---------------------------------------------------------------------------
@@ -93,10 +97,12 @@ def upsert(target: DataFrame, changes: DataFrame, key: str, update_cols: list[st
     (Q14). Matched target rows take ``update_cols`` from the change and keep every
     other column; ``updated_at`` is touched (D8). Unmatched changes are inserted with
     the table's defaults. Returns the new snapshot with a ``change`` column
-    (updated / inserted / unchanged).
+    (updated / inserted / unchanged) and ``n_changes``, the number of change rows that
+    targeted the row's key (more than 1 means several were collapsed into the last).
     """
     cols = target.columns
-    c_last = pick_per_key(changes.where(F.col(key).isNotNull()), [key], order, last=True)
+    c_last = pick_per_key(changes.where(F.col(key).isNotNull()), [key], order, last=True,
+                          count_as="n_changes")
     # explicit presence marker: an earlier insert may have left a NULL id
     t_key = target.where(F.col(key).isNotNull()).withColumn("_in_target", F.lit(True))
     c = c_last.select(*[F.col(x).alias(f"_c_{x}") for x in c_last.columns])
@@ -120,7 +126,8 @@ def upsert(target: DataFrame, changes: DataFrame, key: str, update_cols: list[st
         return F.col(x).alias(x)
 
     change = F.when(matched, "updated").when(inserted, "inserted").otherwise("unchanged")
-    merged = j.select(*[pick(x) for x in cols], change.alias("change"))
+    merged = j.select(*[pick(x) for x in cols], change.alias("change"),
+                      F.coalesce(F.col("_c_n_changes"), F.lit(0)).alias("n_changes"))
     new_null = changes.where(F.col(key).isNull())
     null_cols = []
     for x in cols:
@@ -129,8 +136,9 @@ def upsert(target: DataFrame, changes: DataFrame, key: str, update_cols: list[st
         else:
             v = F.col(x) if x in new_null.columns else F.lit(None)
             null_cols.append(v.cast(target.schema[x].dataType).alias(x))
-    null_rows = new_null.select(*null_cols, F.lit("inserted").alias("change"))
-    untouched = target.where(F.col(key).isNull()).withColumn("change", F.lit("unchanged"))
+    null_rows = new_null.select(*null_cols, F.lit("inserted").alias("change"), F.lit(1).cast("bigint").alias("n_changes"))
+    untouched = (target.where(F.col(key).isNull()).withColumn("change", F.lit("unchanged"))
+                 .withColumn("n_changes", F.lit(0).cast("bigint")))
     return merged.unionByName(null_rows).unionByName(untouched)
 
 

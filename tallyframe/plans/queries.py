@@ -776,13 +776,15 @@ def _bank_upsert_sql() -> str:
     return with_ledger(f"""
 SELECT {', '.join(sel)},
        CASE WHEN t.id IS NOT NULL AND c.item_id IS NOT NULL THEN 'updated'
-            WHEN t.id IS NULL THEN 'inserted' ELSE 'unchanged' END AS change
+            WHEN t.id IS NULL THEN 'inserted' ELSE 'unchanged' END AS change,
+       coalesce(c.n_changes, 0) AS n_changes
 FROM (SELECT * FROM bank_accounts WHERE plaid_item_id IS NOT NULL) t
-FULL OUTER JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY link_id DESC, pos DESC) AS rn
+FULL OUTER JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY link_id DESC, pos DESC) AS rn,
+                                       count(*) OVER (PARTITION BY item_id) AS n_changes
                                 FROM ({_BANK_FEED_SQL}) f) x WHERE rn = 1) c
   ON t.plaid_item_id = c.item_id
 UNION ALL
-SELECT *, 'unchanged' FROM bank_accounts WHERE plaid_item_id IS NULL""", "bank_accounts")
+SELECT *, 'unchanged', CAST(0 AS BIGINT) FROM bank_accounts WHERE plaid_item_id IS NULL""", "bank_accounts")
 
 
 @query("bank_upsert", oracle=_bank_upsert_sql())

@@ -37,6 +37,7 @@ def test_upsert_semantics(spark):
     got = {(r.plaid_item_id, r.name): r for r in out.collect()}
     a = got[("item-A", "second")]
     assert (a.id, a.user_id, a.last4, a.balance, a.change) == (1, 1, "2222", D("20.00"), "updated")
+    assert a.n_changes == 2                               # two accounts collapsed into the last (Q13)
     assert a.created_at == ts(0) and a.updated_at == dt.datetime(2024, 2, 1)
     assert got[("item-B", "old2")].change == "unchanged"
     c = got[("item-C", "new")]
@@ -49,8 +50,8 @@ def test_upsert_semantics(spark):
 def test_upsert_twice_is_once(spark):
     once = changes.upsert(_accounts(spark), _changes(spark), "plaid_item_id", COLS, ["link_id", "pos"], AS_OF)
     keyed = _changes(spark).where("plaid_item_id IS NOT NULL")
-    twice = changes.upsert(once.drop("change"), keyed, "plaid_item_id", COLS, ["link_id", "pos"], AS_OF)
-    strip = [c for c in once.columns if c != "change"]
+    twice = changes.upsert(once.drop("change", "n_changes"), keyed, "plaid_item_id", COLS, ["link_id", "pos"], AS_OF)
+    strip = [c for c in once.columns if c not in ("change", "n_changes")]
     assert rows(once.where("plaid_item_id IS NOT NULL"), *strip) == rows(twice.where("plaid_item_id IS NOT NULL"), *strip)
 
 
