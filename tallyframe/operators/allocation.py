@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.money import share, usd_text
 from tallyframe.functions.text import clamp, int_or_zero
-from tallyframe.operators.joins import checked_broadcast
+from tallyframe.operators.joins import checked_broadcast, measured
 from tallyframe.operators.windows import ordered_positions
 from tallyframe.schemas import PCT, RULE_PALETTE
 
@@ -92,8 +92,9 @@ def alloc_run(runs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     # run owners are a partial aggregate; broadcast after a size check, they filter the
     # rule table during its scan, before the gate and the fan-out.
     owners = checked_broadcast(runs.select("user_id").distinct())
-    auto = checked_broadcast(auto_rules(rules).join(owners, "user_id", "left_semi"))
-    gate = checked_broadcast(_gate(auto))
+    auto, bounded = measured(auto_rules(rules).join(owners, "user_id", "left_semi"))
+    gate = _gate(auto)                      # at most one row per rule of ``auto``
+    gate = F.broadcast(gate) if bounded else checked_broadcast(gate)
     r = runs.join(gate, "user_id", "left").withColumn(
         "rule_total_pct", F.coalesce(F.col("rule_total_pct"), F.lit(0).cast(PCT_TOTAL)))
     ok = r.where(F.col("rule_total_pct") == _hundred())

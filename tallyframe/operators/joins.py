@@ -28,7 +28,14 @@ BROADCAST_MAX_ROWS = int(os.environ.get("TALLYFRAME_BROADCAST_MAX_ROWS", "200000
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``df`` materialised, with a broadcast hint when it has at most ``max_rows`` rows."""
+    return measured(df, max_rows)[0]
+
+
+def measured(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
+    """Like ``checked_broadcast``, also telling whether the bound held. A side derived
+    from a bounded one by aggregation or filtering is bounded too and can be broadcast
+    without being measured again."""
     m = materialize(df)
     if m.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(m)
-    return m
+        return F.broadcast(m), True
+    return m, False
