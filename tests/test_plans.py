@@ -91,3 +91,14 @@ def test_checked_broadcast_bound(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+
+
+def test_search_filter_pushed_into_stored_ledger(spark, tmp_dir):
+    from tallyframe.operators import listings
+    from tallyframe.sources.bindings import Ledger
+    from tallyframe.sources.tables import SnapshotLedger, write_ledger
+    write_ledger(Ledger(spark, SF001), f"{tmp_dir}/ledger", names=["transactions"])
+    txs = SnapshotLedger(spark, f"{tmp_dir}/ledger").transactions
+    plan = _plan(listings.tx_search(txs, type="receive", gateway="Stripe,Wise"))
+    assert "EqualTo(type,receive)" in plan and "In(gateway, [Stripe,Wise])" in plan
+    assert plan.count("WindowGroupLimit") >= 2
