@@ -66,9 +66,10 @@ def rule_cap_check(rules: DataFrame, candidates: DataFrame) -> DataFrame:
     j = c.join(existing, "user_id", "left").withColumn(
         "existing_pct", F.coalesce(F.col("existing_pct"), F.lit(0).cast(PCT_TOTAL)))
     new_total = (F.col("existing_pct") + F.col("percentage")).cast(PCT_TOTAL)
+    accepted = (new_total <= _hundred()) | F.coalesce(F.col("is_locked"), F.lit(False))
     return j.select("request_id", "user_id", "name", "percentage", "is_locked", "existing_pct",
-                    new_total.alias("new_total_pct"),
-                    ((new_total <= _hundred()) | F.coalesce(F.col("is_locked"), F.lit(False))).alias("accepted"))
+                    new_total.alias("new_total_pct"), accepted.alias("accepted"),
+                    F.when(~accepted, F.lit("Total percentage cannot exceed 100%.")).alias("error"))
 
 
 def auto_rules(rules: DataFrame) -> DataFrame:

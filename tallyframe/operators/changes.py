@@ -176,14 +176,19 @@ def live_sessions(sessions: DataFrame, users: DataFrame, as_of) -> DataFrame:
 # Owner-checked updates and deletes
 # ---------------------------------------------------------------------------
 def apply_updates(target: DataFrame, changes: DataFrame, set_cols: list[str], order: list[str],
-                  as_of, keys: tuple[str, ...] = ("id", "user_id")) -> tuple[DataFrame, DataFrame]:
+                  as_of, keys: tuple[str, ...] = ("id", "user_id"),
+                  valid: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """D4 + D8: ``UPDATE t SET set_cols WHERE id = ? AND user_id = ?`` for every change.
 
-    The last change per row wins. Returns ``(snapshot, rejects)``: the full new
-    snapshot with ``updated_at`` touched and a ``changed`` flag, and the changes that
-    matched no row of that owner (A11).
+    Changes failing ``valid`` (e.g. a percentage outside 0..100) are refused before
+    any update. The last valid change per row wins. Returns ``(snapshot, rejects)``:
+    the full new snapshot with ``updated_at`` touched and a ``changed`` flag, and the
+    refused changes with a ``reason`` (invalid value, or not found / not owned, A11).
     """
     keys = list(keys)
+    ok = F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)
+    invalid = changes.where(~ok).withColumn("reason", F.lit("invalid value"))
+    changes = changes.where(ok)
     last = pick_per_key(changes, keys, order).select(*keys, *[F.col(c).alias(f"_n_{c}") for c in set_cols],
                                                      F.lit(True).alias("_hit"))
     j = target.join(last, keys, "left")
@@ -197,8 +202,9 @@ def apply_updates(target: DataFrame, changes: DataFrame, set_cols: list[str], or
         else:
             out.append(F.col(x))
     snapshot = j.select(*out, hit.alias("changed"))
-    rejects = changes.join(target.select(*keys), keys, "left_anti")
-    return snapshot, rejects
+    missing = (changes.join(target.select(*keys), keys, "left_anti")
+               .withColumn("reason", F.lit("not found or not owned")))
+    return snapshot, missing.unionByName(invalid)
 
 
 def apply_deletes(target: DataFrame, requests: DataFrame,

@@ -319,7 +319,9 @@ _CAP_BODY = """
 SELECT request_id, c.user_id, name, CAST(pct AS DECIMAL(5,2)) AS percentage, is_locked,
        CAST(coalesce(e.t, 0) AS DECIMAL(7,2)) AS existing_pct,
        CAST(coalesce(e.t, 0) + pct AS DECIMAL(7,2)) AS new_total_pct,
-       (coalesce(e.t, 0) + pct <= 100) OR coalesce(is_locked, FALSE) AS accepted
+       (coalesce(e.t, 0) + pct <= 100) OR coalesce(is_locked, FALSE) AS accepted,
+       CASE WHEN NOT ((coalesce(e.t, 0) + pct <= 100) OR coalesce(is_locked, FALSE))
+            THEN 'Total percentage cannot exceed 100%.' END AS error
 FROM (SELECT event_id AS request_id, user_id, 'Rule ' || CAST(event_id AS VARCHAR) AS name,
              least(greatest(coalesce(TRY_CAST(CASE WHEN event_id % 13 = 0 THEN 'n/a'
                                                    ELSE json_extract_string(props, '$.k') END AS INTEGER), 0), 0), 100) AS pct,
@@ -797,6 +799,11 @@ def q_bank_upsert(spark, sf_dir):
                           ["link_id", "pos"], AS_OF)
 
 
+def _PCT_VALID():
+    """The update route refuses percentages outside 0..100 (and missing ones)."""
+    return F.col("percentage").between(0, 100)
+
+
 def _rule_changes(led: Ledger):
     """Percentage edits: one per view event; every 4th targets another owner's rule."""
     return led.driver("events").where("event_type = 'view'").selectExpr(
@@ -821,14 +828,15 @@ SELECT r.id, r.user_id, r.name,
        c.id IS NOT NULL AS changed
 FROM allocation_rules r
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, user_id ORDER BY ts DESC, event_id DESC) AS rn
-                          FROM rule_changes) x WHERE rn = 1) c
+                          FROM rule_changes WHERE percentage BETWEEN 0 AND 100) x WHERE rn = 1) c
   ON c.id = r.id AND c.user_id = r.user_id""", "allocation_rules", extra_ctes=(_RULE_CHANGES_SQL,)))
 def q_apply_updates(spark, sf_dir):
-    """D4 + D8: owner-checked percentage updates (last edit per rule wins) applied to
-    the rule snapshot, touching updated_at of changed rows."""
+    """D4 + D8: owner-checked percentage updates (values outside 0..100 refused, last
+    valid edit per rule wins) applied to the rule snapshot, touching updated_at of
+    changed rows."""
     led = L(spark, sf_dir)
     snap, _ = changes.apply_updates(led.allocation_rules, _rule_changes(led), ["percentage"],
-                                    ["ts", "event_id"], AS_OF)
+                                    ["ts", "event_id"], AS_OF, valid=_PCT_VALID())
     return snap
 
 
@@ -855,22 +863,28 @@ def q_apply_deletes(spark, sf_dir):
 
 
 @query("change_rejects", oracle=with_ledger("""
-SELECT 'rule_update' AS request_kind, event_id AS request_id, id, user_id FROM rule_changes c
-WHERE NOT EXISTS (SELECT 1 FROM allocation_rules r WHERE r.id = c.id AND r.user_id = c.user_id)
+SELECT 'rule_update' AS request_kind, event_id AS request_id, id, user_id, 'not found or not owned' AS reason
+FROM rule_changes c
+WHERE percentage BETWEEN 0 AND 100
+  AND NOT EXISTS (SELECT 1 FROM allocation_rules r WHERE r.id = c.id AND r.user_id = c.user_id)
+UNION ALL
+SELECT 'rule_update', event_id, id, user_id, 'invalid value' FROM rule_changes
+WHERE NOT coalesce(percentage BETWEEN 0 AND 100, FALSE)
 UNION ALL
-SELECT 'wallet_delete', request_id, id, user_id FROM wallet_deletes d
+SELECT 'wallet_delete', request_id, id, user_id, 'not found or not owned' FROM wallet_deletes d
 WHERE NOT EXISTS (SELECT 1 FROM crypto_wallets w WHERE w.id = d.id AND w.user_id = d.user_id)""",
                                           "allocation_rules", "crypto_wallets",
                                           extra_ctes=(_RULE_CHANGES_SQL, _WALLET_DELETES_SQL)))
 def q_change_rejects(spark, sf_dir):
-    """Update and delete requests that matched no row of the requesting owner
-    (not found, or another owner's row)."""
+    """Update and delete requests that were refused: invalid percentage, or no
+    row of the requesting owner (not found, or another owner's row)."""
     led = L(spark, sf_dir)
     _, upd_rej = changes.apply_updates(led.allocation_rules, _rule_changes(led), ["percentage"],
-                                       ["ts", "event_id"], AS_OF)
+                                       ["ts", "event_id"], AS_OF, valid=_PCT_VALID())
     _, _, del_rej = changes.apply_deletes(led.crypto_wallets, _wallet_deletes(led))
-    return (upd_rej.selectExpr("'rule_update' AS request_kind", "event_id AS request_id", "id", "user_id")
-            .unionByName(del_rej.selectExpr("'wallet_delete' AS request_kind", "request_id", "id", "user_id")))
+    return (upd_rej.selectExpr("'rule_update' AS request_kind", "event_id AS request_id", "id", "user_id", "reason")
+            .unionByName(del_rej.selectExpr("'wallet_delete' AS request_kind", "request_id", "id", "user_id",
+                                            "'not found or not owned' AS reason")))
 
 
 _CHILD_TABLES = ["refresh_tokens", "crypto_wallets", "bank_accounts", "payment_gateways",

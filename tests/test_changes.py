@@ -182,3 +182,15 @@ def test_snapshot_ledger_gives_same_results(spark, tmp_dir):
     a = portfolio.portfolio_kpis(bound.crypto_wallets, bound.bank_accounts, bound.payment_gateways)
     b = portfolio.portfolio_kpis(snap.crypto_wallets, snap.bank_accounts, snap.payment_gateways)
     assert rows(a) == rows(b) and len(rows(a)) == 25
+
+
+def test_out_of_range_updates_are_refused(spark):
+    from pyspark.sql import functions as F
+    *_, rules = seed_b(spark)
+    ch = spark.createDataFrame([(1, 1, D("101.00"), 1), (2, 1, None, 2), (3, 1, D("0.00"), 3)],
+                               "id long, user_id long, percentage decimal(5,2), seq long")
+    snap, rej = changes.apply_updates(rules, ch, ["percentage"], ["seq"], AS_OF,
+                                      valid=F.col("percentage").between(0, 100))
+    got = {r.id: r.percentage for r in snap.collect()}
+    assert got[1] == D("15.00") and got[2] == D("30.00") and got[3] == D("0.00")
+    assert rows(rej, "id", "reason") == [(1, "invalid value"), (2, "invalid value")]
