@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.schemas import DEFAULTS, LEDGER_SCHEMAS, SESSION_DAYS
+from tallyframe.schemas import DEFAULTS, LEDGER_SCHEMAS, ROLES, SESSION_DAYS
 from tallyframe.operators.joins import checked_broadcast
 
 
@@ -86,6 +86,34 @@ def resolve_owner(seed: DataFrame, users: DataFrame, email_col: str = "owner_ema
             .join(u, "_email").drop("_email"))
 
 
+def create_users(users: DataFrame, requests: DataFrame) -> DataFrame:
+    """Admin user creation over a batch ``requests(request_id, email, first_name,
+    last_name, role)``: e-mail normalised, names trimmed (X12); e-mail and both names
+    required, blank counting as missing (V3); role in the allowed set, default
+    ``user``; an e-mail that already exists, or that an earlier request of the batch
+    takes, is refused (J1). Accepted rows are the new users with status ``active``
+    (D3, D11); refused rows carry the reason.
+    """
+    r = requests.select(
+        "request_id", F.lower(F.trim("email")).alias("email"),
+        F.trim("first_name").alias("first_name"), F.trim("last_name").alias("last_name"),
+        F.coalesce(F.col("role"), F.lit(DEFAULTS["users"]["role"])).alias("role"))
+    missing = (F.coalesce(F.col("email"), F.lit("")) == "") | (F.coalesce(F.col("first_name"), F.lit("")) == "") \
+        | (F.coalesce(F.col("last_name"), F.lit("")) == "")
+    known = users.select(F.lower(F.trim("email")).alias("email")).where(F.col("email").isNotNull()).distinct() \
+        .withColumn("_exists", F.lit(True))
+    first = pick_per_key(r.where(~missing).select("email", "request_id"), ["email"], ["request_id"], last=False) \
+        .withColumnRenamed("request_id", "_first_request")
+    j = r.join(known, "email", "left").join(first, "email", "left")
+    error = (F.when(missing, "Email, password, first name, and last name are required.")
+             .when(~F.col("role").isin(ROLES), "Invalid role.")
+             .when(F.coalesce(F.col("_exists"), F.lit(False)) | (F.col("request_id") != F.col("_first_request")),
+                   "A user with this email already exists."))
+    return j.select("request_id", "email", "first_name", "last_name", "role",
+                    F.when(error.isNull(), F.lit(DEFAULTS["users"]["status"])).alias("status"),
+                    error.isNull().alias("accepted"), error.alias("error"))
+
+
 # ---------------------------------------------------------------------------
 # Upsert (D1, D2)
 # ---------------------------------------------------------------------------

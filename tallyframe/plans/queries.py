@@ -887,6 +887,87 @@ def q_change_rejects(spark, sf_dir):
                                             "'not found or not owned' AS reason")))
 
 
+def _user_requests(led: Ledger):
+    """User-creation requests: one per signup event. Every third asks for an e-mail a
+    customer already has (typed in another case, with spaces); every seventh leaves
+    the last name blank; the role comes from the event value."""
+    return led.driver("events").where("event_type = 'signup'").selectExpr(
+        "event_id AS request_id",
+        "CASE WHEN event_id % 3 = 0 THEN ' Customer#' || lpad(CAST(user_id AS STRING), 9, '0') || '@Example.com' "
+        "ELSE 'new' || CAST(user_id AS STRING) || '@example.com' END AS email",
+        "'First' || CAST(event_id AS STRING) AS first_name",
+        "CASE WHEN event_id % 7 = 0 THEN '  ' ELSE 'Last' || CAST(user_id AS STRING) END AS last_name",
+        "CASE WHEN value > 40 THEN 'auditor' WHEN value < 5 THEN 'owner' ELSE NULL END AS role")
+
+
+_USER_REQ_SQL = """reqs AS (
+  SELECT event_id AS request_id,
+         lower(trim(CASE WHEN event_id % 3 = 0 THEN ' Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '@Example.com'
+                         ELSE 'new' || CAST(user_id AS VARCHAR) || '@example.com' END)) AS email,
+         trim('First' || CAST(event_id AS VARCHAR)) AS first_name,
+         trim(CASE WHEN event_id % 7 = 0 THEN '  ' ELSE 'Last' || CAST(user_id AS VARCHAR) END) AS last_name,
+         coalesce(CASE WHEN value > 40 THEN 'auditor' WHEN value < 5 THEN 'owner' ELSE NULL END, 'user') AS role
+  FROM events WHERE event_type = 'signup')"""
+
+
+@query("user_create", oracle=with_ledger("""
+SELECT request_id, email, first_name, last_name, role,
+       CASE WHEN err IS NULL THEN 'active' END AS status, err IS NULL AS accepted, err AS error
+FROM (
+  SELECT r.*,
+         CASE WHEN coalesce(r.email, '') = '' OR coalesce(r.first_name, '') = '' OR coalesce(r.last_name, '') = ''
+                THEN 'Email, password, first name, and last name are required.'
+              WHEN r.role NOT IN ('admin', 'user', 'auditor') THEN 'Invalid role.'
+              WHEN EXISTS (SELECT 1 FROM users u WHERE lower(trim(u.email)) = r.email)
+                   OR r.request_id <> (SELECT min(r2.request_id) FROM reqs r2
+                                       WHERE r2.email = r.email AND coalesce(r2.email, '') <> ''
+                                         AND coalesce(r2.first_name, '') <> '' AND coalesce(r2.last_name, '') <> '')
+                THEN 'A user with this email already exists.' END AS err
+  FROM reqs r) x""", "users", extra_ctes=(_USER_REQ_SQL,)))
+def q_user_create(spark, sf_dir):
+    """Admin user creation (X12, V3, J1, D3, D11): every signup event's request
+    normalised, checked for required fields, allowed role and an e-mail that is new
+    (in the table and earlier in the batch); accepted rows are the new active users."""
+    led = L(spark, sf_dir)
+    return changes.create_users(led.users, _user_requests(led))
+
+
+_STATUSES = ["active", "suspended", "deleted"]
+
+
+def _status_changes(led: Ledger):
+    """Status changes by an admin: one per error event, for user ``user_id * 7``;
+    the status cycles through the allowed values plus one that is not allowed."""
+    return led.driver("events").where("event_type = 'error'").selectExpr(
+        "event_id", "ts", "CAST(user_id * 7 AS BIGINT) AS id",
+        "CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'suspended' WHEN 2 THEN 'deleted' "
+        "ELSE 'banned' END AS status")
+
+
+@query("user_status_update", oracle=with_ledger(f"""
+SELECT u.id, u.email, u.password_hash, u.first_name, u.last_name, u.role,
+       CASE WHEN c.id IS NOT NULL THEN c.status ELSE u.status END AS status,
+       u.stripe_customer_id, u.last_login, u.created_at,
+       CASE WHEN c.id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE u.updated_at END AS updated_at,
+       c.id IS NOT NULL AS changed
+FROM users u LEFT JOIN (
+  SELECT id, status FROM (
+    SELECT id, status, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) AS rn
+    FROM (SELECT event_id, ts, CAST(user_id * 7 AS BIGINT) AS id,
+                 CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'suspended' WHEN 2 THEN 'deleted'
+                      ELSE 'banned' END AS status
+          FROM events WHERE event_type = 'error') e
+    WHERE status IN ('active', 'suspended', 'deleted')) x WHERE rn = 1) c ON c.id = u.id""", "users"))
+def q_user_status_update(spark, sf_dir):
+    """D4 (user status) + D8: admin status changes without an owner check; values
+    outside active/suspended/deleted are refused; the last valid change per user
+    applies and touches updated_at."""
+    led = L(spark, sf_dir)
+    snap, _ = changes.apply_updates(led.users, _status_changes(led), ["status"], ["ts", "event_id"], AS_OF,
+                                    keys=("id",), valid=F.col("status").isin(_STATUSES))
+    return snap
+
+
 _CHILD_TABLES = ["refresh_tokens", "crypto_wallets", "bank_accounts", "payment_gateways",
                  "allocation_rules", "transactions"]
 

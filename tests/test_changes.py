@@ -194,3 +194,19 @@ def test_out_of_range_updates_are_refused(spark):
     got = {r.id: r.percentage for r in snap.collect()}
     assert got[1] == D("15.00") and got[2] == D("30.00") and got[3] == D("0.00")
     assert rows(rej, "id", "reason") == [(1, "invalid value"), (2, "invalid value")]
+
+
+def test_create_users_rules(spark):
+    users = frame(spark, "users", [dict(id=1, email=" Taken@X.io ")])
+    req = spark.createDataFrame([
+        (1, "taken@x.io", "A", "B", None),          # exists (normalised)
+        (2, " New@X.io ", " Ann ", "Lee", None),    # ok, default role
+        (3, "new@x.io", "C", "D", "admin"),         # same e-mail as an earlier request
+        (4, "other@x.io", "E", "  ", "user"),       # blank last name
+        (5, "third@x.io", "F", "G", "owner")],      # role not allowed
+        "request_id long, email string, first_name string, last_name string, role string")
+    got = {r.request_id: r for r in changes.create_users(users, req).collect()}
+    assert got[2].accepted and (got[2].email, got[2].first_name, got[2].role, got[2].status) == ("new@x.io", "Ann", "user", "active")
+    assert got[1].error == got[3].error == "A user with this email already exists."
+    assert got[4].error.startswith("Email, password") and got[5].error == "Invalid role."
+    assert not any(got[i].accepted for i in (1, 3, 4, 5)) and got[5].status is None
