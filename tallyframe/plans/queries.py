@@ -968,6 +968,35 @@ def q_user_status_update(spark, sf_dir):
     return snap
 
 
+def _gateway_toggles(led: Ledger):
+    """Enable/disable requests: one per click event, for gateway ``user_id`` by owner
+    ``user_id % 25``; the new flag comes from the event value."""
+    return led.driver("events").where("event_type = 'click'").selectExpr(
+        "event_id", "ts", "CAST(user_id AS BIGINT) AS id", "CAST(user_id % 25 AS BIGINT) AS user_id",
+        "value > 25 AS is_enabled")
+
+
+@query("gateway_toggle", oracle=with_ledger(f"""
+SELECT g.id, g.user_id, g.name, g.api_key, g.webhook_secret, g.fee, g.fixed_fee,
+       CASE WHEN c.id IS NOT NULL THEN c.is_enabled ELSE g.is_enabled END AS is_enabled,
+       g.monthly_volume, g.transaction_count, g.created_at,
+       CASE WHEN c.id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE g.updated_at END AS updated_at,
+       c.id IS NOT NULL AS changed
+FROM payment_gateways g LEFT JOIN (
+  SELECT id, user_id, is_enabled FROM (
+    SELECT CAST(user_id AS BIGINT) AS id, CAST(user_id % 25 AS BIGINT) AS user_id, value > 25 AS is_enabled,
+           row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+    FROM events WHERE event_type = 'click') x WHERE rn = 1) c
+  ON c.id = g.id AND c.user_id = g.user_id""", "payment_gateways"))
+def q_gateway_toggle(spark, sf_dir):
+    """D4 (gateway flag) + D8: owner-checked enable/disable of gateways; the last
+    request per gateway wins; requests for another owner's gateway change nothing."""
+    led = L(spark, sf_dir)
+    snap, _ = changes.apply_updates(led.payment_gateways, _gateway_toggles(led), ["is_enabled"],
+                                    ["ts", "event_id"], AS_OF)
+    return snap
+
+
 _CHILD_TABLES = ["refresh_tokens", "crypto_wallets", "bank_accounts", "payment_gateways",
                  "allocation_rules", "transactions"]
 
