@@ -910,7 +910,7 @@ _USER_REQ_SQL = """reqs AS (
   FROM events WHERE event_type = 'signup')"""
 
 
-@query("user_create", oracle=with_ledger("""
+_USER_CREATE_BODY = """
 SELECT request_id, email, first_name, last_name, role,
        CASE WHEN err IS NULL THEN 'active' END AS status, err IS NULL AS accepted, err AS error
 FROM (
@@ -923,7 +923,10 @@ FROM (
                                        WHERE r2.email = r.email AND coalesce(r2.email, '') <> ''
                                          AND coalesce(r2.first_name, '') <> '' AND coalesce(r2.last_name, '') <> '')
                 THEN 'A user with this email already exists.' END AS err
-  FROM reqs r) x""", "users", extra_ctes=(_USER_REQ_SQL,)))
+  FROM reqs r) x"""
+
+
+@query("user_create", oracle=with_ledger(_USER_CREATE_BODY, "users", extra_ctes=(_USER_REQ_SQL,)))
 def q_user_create(spark, sf_dir):
     """Admin user creation (X12, V3, J1, D3, D11): every signup event's request
     normalised, checked for required fields, allowed role and an e-mail that is new
@@ -944,7 +947,7 @@ def _status_changes(led: Ledger):
         "ELSE 'banned' END AS status")
 
 
-@query("user_status_update", oracle=with_ledger(f"""
+_USER_STATUS_BODY = f"""
 SELECT u.id, u.email, u.password_hash, u.first_name, u.last_name, u.role,
        CASE WHEN c.id IS NOT NULL THEN c.status ELSE u.status END AS status,
        u.stripe_customer_id, u.last_login, u.created_at,
@@ -957,7 +960,10 @@ FROM users u LEFT JOIN (
                  CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'suspended' WHEN 2 THEN 'deleted'
                       ELSE 'banned' END AS status
           FROM events WHERE event_type = 'error') e
-    WHERE status IN ('active', 'suspended', 'deleted')) x WHERE rn = 1) c ON c.id = u.id""", "users"))
+    WHERE status IN ('active', 'suspended', 'deleted')) x WHERE rn = 1) c ON c.id = u.id"""
+
+
+@query("user_status_update", oracle=with_ledger(_USER_STATUS_BODY, "users"))
 def q_user_status_update(spark, sf_dir):
     """D4 (user status) + D8: admin status changes without an owner check; values
     outside active/suspended/deleted are refused; the last valid change per user
@@ -968,6 +974,19 @@ def q_user_status_update(spark, sf_dir):
     return snap
 
 
+def _rule_deletes(led: Ledger):
+    """Rule delete requests: one per error event, for one of the user's rules."""
+    return led.driver("events").where("event_type = 'error'").selectExpr(
+        "event_id AS request_id", "CAST(user_id * 10 + (event_id % 6) + 1 AS BIGINT) AS id",
+        "CAST(user_id AS BIGINT) AS user_id")
+
+
+def _bank_deletes(led: Ledger):
+    """Bank account delete requests: one per purchase event."""
+    return led.driver("events").where("event_type = 'purchase'").selectExpr(
+        "event_id AS request_id", "CAST(event_id div 7 AS BIGINT) AS id", "CAST(user_id % 25 AS BIGINT) AS user_id")
+
+
 def _gateway_toggles(led: Ledger):
     """Enable/disable requests: one per click event, for gateway ``user_id`` by owner
     ``user_id % 25``; the new flag comes from the event value."""
@@ -1256,17 +1275,40 @@ FROM crypto_wallets w WHERE EXISTS (SELECT 1 FROM wallet_deletes d WHERE d.id =
 UNION ALL
 SELECT user_id, 'link_bank', 'bank_accounts', to_json({{'institution': institution, 'accounts': count(*)}})::VARCHAR,
        NULL, {at}, link_id
-FROM ({_BANK_FEED_SQL}) f GROUP BY link_id, user_id, institution""",
-        "transactions", "allocation_rules", "crypto_wallets",
-        extra_ctes=(_RUNS_SQL, _ACCEPTED_SQL, _WALLET_ADDS_SQL, _WALLET_DELETES_SQL))
+FROM ({_BANK_FEED_SQL}) f GROUP BY link_id, user_id, institution
+UNION ALL
+SELECT user_id, 'login', 'auth', CAST(NULL AS VARCHAR), NULL, created_at, id FROM refresh_tokens
+UNION ALL
+SELECT CAST(NULL AS BIGINT), 'create_user', 'users', to_json({{'email': email, 'role': role}})::VARCHAR, NULL, {at},
+       request_id
+FROM ({_USER_CREATE_BODY}) uc WHERE accepted
+UNION ALL
+SELECT CAST(NULL AS BIGINT), 'change_user_status', 'users',
+       to_json({{'target_user_id': id, 'status': status}})::VARCHAR, NULL, {at}, id
+FROM ({_USER_STATUS_BODY}) us WHERE changed
+UNION ALL
+SELECT user_id, 'delete_rule', 'allocation_rules', to_json({{'id': id}})::VARCHAR, NULL, {at}, id
+FROM allocation_rules r WHERE EXISTS (
+  SELECT 1 FROM events e WHERE e.event_type = 'error'
+     AND CAST(e.user_id * 10 + (e.event_id % 6) + 1 AS BIGINT) = r.id AND CAST(e.user_id AS BIGINT) = r.user_id)
+UNION ALL
+SELECT user_id, 'delete_bank', 'bank_accounts', to_json({{'id': id}})::VARCHAR, NULL, {at}, id
+FROM bank_accounts b WHERE EXISTS (
+  SELECT 1 FROM events e WHERE e.event_type = 'purchase'
+     AND CAST(e.event_id // 7 AS BIGINT) = b.id AND CAST(e.user_id % 25 AS BIGINT) = b.user_id)""",
+        "transactions", "allocation_rules", "crypto_wallets", "users", "refresh_tokens", "bank_accounts",
+        extra_ctes=(_RUNS_SQL, _ACCEPTED_SQL, _WALLET_ADDS_SQL, _WALLET_DELETES_SQL, _USER_REQ_SQL))
 
 
 @query("audit_append", oracle=_audit_append_sql())
 def q_audit_append(spark, sf_dir):
-    """S9 + X19: audit rows for five of the ledger's actions, built from the jobs that
-    perform them: run_allocation (accepted runs with their allocation list),
-    add_rule (accepted rule requests), add_wallet (inserted wallets), delete_wallet
-    (deleted wallets) and link_bank (institution and account count per link)."""
+    """S9 + X19: audit rows for all ten of the ledger's actions, built from the jobs
+    that perform them: login (each session creation, no details), create_user
+    (accepted user requests), change_user_status (applied status changes),
+    run_allocation (accepted runs with their allocation list), add_rule (accepted
+    rule requests), delete_rule and delete_bank (owner-checked deletes), add_wallet
+    (inserted wallets), delete_wallet (deleted wallets) and link_bank (institution and
+    account count per link). Admin actions without a known actor have a NULL user."""
     led = L(spark, sf_dir)
     at = F.lit(AS_OF).cast("timestamp_ntz")
     rules_ok = allocation.rule_cap_check(led.allocation_rules, _cap_candidates(led)).where("accepted")
@@ -1274,7 +1316,21 @@ def q_audit_append(spark, sf_dir):
     _, deleted, _ = changes.apply_deletes(led.crypto_wallets, _wallet_deletes(led))
     links = (feeds.bank_feed(landed.bank_link_replies(led))
              .groupBy("link_id", "user_id", "institution").agg(F.count("*").alias("accounts")))
+    created = changes.create_users(led.users, _user_requests(led)).where("accepted")
+    status_snap, _ = changes.apply_updates(led.users, _status_changes(led), ["status"], ["ts", "event_id"],
+                                           AS_OF, keys=("id",), valid=F.col("status").isin(_STATUSES))
+    _, rules_gone, _ = changes.apply_deletes(led.allocation_rules, _rule_deletes(led))
+    _, banks_gone, _ = changes.apply_deletes(led.bank_accounts, _bank_deletes(led))
+    no_actor = F.lit(None).cast("bigint")
     return audit.audit_union([
+        audit.action_audit(led.refresh_tokens, "login", "auth", None, "id", "created_at"),
+        audit.action_audit(created.withColumn("user_id", no_actor).withColumn("at", at), "create_user", "users",
+                           ["email", "role"], "request_id", "at"),
+        audit.action_audit(status_snap.where("changed").select(F.col("id").alias("target_user_id"), "status")
+                           .withColumn("user_id", no_actor).withColumn("at", at),
+                           "change_user_status", "users", ["target_user_id", "status"], "target_user_id", "at"),
+        audit.action_audit(rules_gone.withColumn("at", at), "delete_rule", "allocation_rules", ["id"], "id", "at"),
+        audit.action_audit(banks_gone.withColumn("at", at), "delete_bank", "bank_accounts", ["id"], "id", "at"),
         _run_audit(led),
         audit.action_audit(rules_ok.withColumn("at", at), "add_rule", "allocation_rules",
                            ["name", "percentage"], "request_id", "at"),

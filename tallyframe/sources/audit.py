@@ -16,9 +16,11 @@ from tallyframe.schemas import LOG_LINE, RUN_DETAILS
 AUDIT_COLUMNS = ["user_id", "action", "resource", "details", "ip_address", "created_at", "ref_id"]
 
 
-def _audit(df: DataFrame, action: str, resource: str, details: F.Column, ref: str, at: str | None) -> DataFrame:
+def _audit(df: DataFrame, action: str, resource: str, details: F.Column | None, ref: str,
+           at: str | None) -> DataFrame:
+    text = F.to_json(details) if details is not None else F.lit(None).cast("string")
     return df.select(F.col("user_id").cast("bigint").alias("user_id"), F.lit(action).alias("action"),
-                     F.lit(resource).alias("resource"), F.to_json(details).alias("details"),
+                     F.lit(resource).alias("resource"), text.alias("details"),
                      F.lit(None).cast("string").alias("ip_address"),
                      (F.col(at) if at else F.lit(None)).cast("timestamp_ntz").alias("created_at"),
                      F.col(ref).cast("bigint").alias("ref_id"))
@@ -41,10 +43,12 @@ def run_audit(allocations: DataFrame, runs: DataFrame, source: str = "all") -> D
     return _audit(j, "run_allocation", "allocation", details, "run_id", "created_at")
 
 
-def action_audit(df: DataFrame, action: str, resource: str, detail_cols: list[str],
+def action_audit(df: DataFrame, action: str, resource: str, detail_cols: list[str] | None,
                  ref: str, at: str | None = None) -> DataFrame:
-    """S9 for the other actions: details are the named columns as a JSON object."""
-    return _audit(df, action, resource, F.struct(*[F.col(c) for c in detail_cols]), ref, at)
+    """S9 for the other actions: details are the named columns as a JSON object
+    (no details when ``detail_cols`` is None, as for a login)."""
+    details = F.struct(*[F.col(c) for c in detail_cols]) if detail_cols else None
+    return _audit(df, action, resource, details, ref, at)
 
 
 def audit_union(parts: list[DataFrame]) -> DataFrame:
