@@ -61,7 +61,13 @@ def rule_cap_check(rules: DataFrame, candidates: DataFrame) -> DataFrame:
     the new percentage is at most 100, or when the new rule is locked (Q3: an owner
     without rules has total 0).
     """
-    existing = rules.groupBy("user_id").agg(F.sum("percentage").cast(PCT_TOTAL).alias("existing_pct"))
+    # Only the requesting owners' totals are needed: when those owners are few
+    # (measured), the rule table is cut to them and their totals are broadcast.
+    owners, few = measured(candidates.select("user_id").distinct())
+    needed = rules.join(owners, "user_id", "left_semi") if few else rules
+    existing = needed.groupBy("user_id").agg(F.sum("percentage").cast(PCT_TOTAL).alias("existing_pct"))
+    if few:
+        existing = F.broadcast(existing)    # at most one row per measured owner
     c = candidates.withColumn("percentage", clamp(int_or_zero("pct_text"), 0, 100).cast(PCT))
     j = c.join(existing, "user_id", "left").withColumn(
         "existing_pct", F.coalesce(F.col("existing_pct"), F.lit(0).cast(PCT_TOTAL)))
@@ -90,10 +96,13 @@ def alloc_run(runs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     total found (an owner without auto rules has total 0).
     """
     # Semi-join reduction: only the rules of owners that have runs matter. The distinct
-    # run owners are a partial aggregate; broadcast after a size check, they filter the
-    # rule table during its scan, before the gate and the fan-out.
-    owners = checked_broadcast(runs.select("user_id").distinct())
-    auto, bounded = measured(auto_rules(rules).join(owners, "user_id", "left_semi"))
+    # run owners are a partial aggregate; when they are few (measured), they are
+    # broadcast and filter the rule table during its scan, before the gate and the
+    # fan-out. Otherwise the rules are used whole (no shuffle of the rule table for a
+    # filter that would not cut it down).
+    owners, few = measured(runs.select("user_id").distinct())
+    cut = auto_rules(rules).join(owners, "user_id", "left_semi") if few else auto_rules(rules)
+    auto, bounded = measured(cut)
     gate = _gate(auto)                      # at most one row per rule of ``auto``
     gate = F.broadcast(gate) if bounded else checked_broadcast(gate)
     r = runs.join(gate, "user_id", "left").withColumn(
