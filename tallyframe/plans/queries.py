@@ -987,6 +987,32 @@ def _bank_deletes(led: Ledger):
         "event_id AS request_id", "CAST(event_id div 7 AS BIGINT) AS id", "CAST(user_id % 25 AS BIGINT) AS user_id")
 
 
+@query("rule_deletes", oracle=with_ledger("""
+SELECT * FROM allocation_rules r WHERE EXISTS (
+  SELECT 1 FROM events e WHERE e.event_type = 'error'
+     AND CAST(e.user_id * 10 + (e.event_id % 6) + 1 AS BIGINT) = r.id AND CAST(e.user_id AS BIGINT) = r.user_id)""",
+                                        "allocation_rules"))
+def q_rule_deletes(spark, sf_dir):
+    """D5 (rules): owner-checked rule deletes, one request per error event; returns
+    the deleted rows."""
+    led = L(spark, sf_dir)
+    _, deleted, _ = changes.apply_deletes(led.allocation_rules, _rule_deletes(led))
+    return deleted
+
+
+@query("bank_deletes", oracle=with_ledger("""
+SELECT * FROM bank_accounts b WHERE EXISTS (
+  SELECT 1 FROM events e WHERE e.event_type = 'purchase'
+     AND CAST(e.event_id // 7 AS BIGINT) = b.id AND CAST(e.user_id % 25 AS BIGINT) = b.user_id)""",
+                                        "bank_accounts"))
+def q_bank_deletes(spark, sf_dir):
+    """D5 (accounts): owner-checked bank account deletes, one request per purchase
+    event; returns the deleted rows."""
+    led = L(spark, sf_dir)
+    _, deleted, _ = changes.apply_deletes(led.bank_accounts, _bank_deletes(led))
+    return deleted
+
+
 def _gateway_toggles(led: Ledger):
     """Enable/disable requests: one per click event, for gateway ``user_id`` by owner
     ``user_id % 25``; the new flag comes from the event value."""
