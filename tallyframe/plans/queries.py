@@ -560,7 +560,7 @@ def q_linked_per_institution(spark, sf_dir):
 
 
 _CHAIN_CTE = """chain AS (
-  SELECT w.address, r.network,
+  SELECT r.address, r.network,
          CASE WHEN r.failed THEN NULL
               WHEN r.is_sol THEN CAST(CAST(r.lamports AS DECIMAL(20,0)) * CAST(0.000000001 AS DECIMAL(10,9)) AS DECIMAL(20,8))
               WHEN length(r.digits) > 31 THEN NULL
@@ -569,8 +569,7 @@ _CHAIN_CTE = """chain AS (
            AS live_balance,
          CASE WHEN r.failed THEN 'failed' WHEN r.is_sol THEN 'ok' WHEN length(r.digits) > 31 THEN 'bad_hex' ELSE 'ok' END AS status
   FROM (
-    SELECT p_partkey AS id, p_partkey % 11 = 0 AS failed, p_partkey % 6 = 4 AS is_sol,
-           CASE p_partkey % 6 WHEN 1 THEN 'Ethereum' WHEN 2 THEN 'ETHEREUM' ELSE 'Solana' END AS network,
+    SELECT id, address, p_partkey % 11 = 0 AS failed, lower(network) = 'solana' AS is_sol, network,
            CAST(p_size AS BIGINT) * 1000000000 + p_partkey AS lamports, digits,
            CASE WHEN length(digits) > 31 THEN NULL
                 ELSE CASE WHEN length(CAST(CAST('0x0' || digits AS HUGEINT) + 5000000000 AS VARCHAR)) > 10
@@ -580,8 +579,8 @@ _CHAIN_CTE = """chain AS (
     FROM (SELECT *, ltrim(CASE WHEN p_partkey % 19 = 0 THEN repeat('f', 32) WHEN p_partkey % 17 = 0 THEN '0'
                                ELSE lower(hex(p_partkey)) || lpad(lower(hex(CAST(p_size AS BIGINT) * 1000000000000000)), 16, '0')
                           END, '0') AS digits
-          FROM part WHERE p_partkey % 6 IN (1, 2, 4)) p) r
-  JOIN crypto_wallets w ON w.id = r.id)"""
+          FROM crypto_wallets w JOIN part ON part.p_partkey = w.id
+          WHERE lower(w.network) IN ('ethereum', 'solana')) p) r)"""
 
 
 @query("chain_balance", oracle=with_ledger("SELECT * FROM chain", "crypto_wallets", extra_ctes=(_CHAIN_CTE,)))
