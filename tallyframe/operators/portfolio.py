@@ -120,20 +120,27 @@ def portfolio_bars(wallets: DataFrame, accounts: DataFrame, gateways: DataFrame)
     its percent of the owner's largest bar (maximum floored at 1).
     """
     kpis = portfolio_kpis(wallets, accounts, gateways)
-    crypto = kpis.select("user_id", F.lit(1).alias("bar_pos"), F.lit("Crypto").alias("label"),
-                         F.lit(None).cast("bigint").alias("account_id"),
-                         F.col("crypto_usd").cast(MONEY).alias("value"))
-    gw = kpis.select("user_id", F.lit(6).alias("bar_pos"), F.lit("GW Volume").alias("label"),
-                     F.lit(None).cast("bigint").alias("account_id"),
-                     F.col("gateway_volume_usd").cast(MONEY).alias("value"))
-    pos = F.create_map(*[x for i, r in enumerate(BANK_BAR_RANKS) for x in (F.lit(r), F.lit(i + 2))])
-    slots = kpis.select("user_id", F.explode(F.array(*[F.lit(r) for r in BANK_BAR_RANKS])).alias("rank"))
-    ranked = bank_rank(accounts, top=len(BANK_BAR_RANKS)).select("user_id", "rank", "name", "id", "balance")
-    banks = (slots.join(ranked, ["user_id", "rank"], "left")
-             .select("user_id", F.element_at(pos, F.col("rank")).alias("bar_pos"),
-                     F.coalesce(F.col("name"), F.lit("—")).alias("label"), F.col("id").alias("account_id"),
-                     F.coalesce(F.col("balance"), F.lit(0)).cast(MONEY).alias("value")))
-    bars = crypto.unionByName(banks).unionByName(gw)
+    # One KPI row per owner is exploded into its six bar slots (a literal array, no
+    # join), so the KPI aggregate runs once for all bars. Bank slots carry the rank
+    # they show and are filled from the owner's first four accounts.
+    def slot(pos, label, rank, value):
+        return F.struct(F.lit(pos).alias("bar_pos"), F.lit(label).cast("string").alias("slot_label"),
+                        F.lit(rank).cast("int").alias("rank"), value.cast(MONEY).alias("slot_value"))
+
+    slot_list = ([slot(1, "Crypto", None, F.col("crypto_usd"))]
+                 + [slot(i + 2, None, r, F.lit(None)) for i, r in enumerate(BANK_BAR_RANKS)]
+                 + [slot(6, "GW Volume", None, F.col("gateway_volume_usd"))])
+    slots = kpis.select("user_id", F.explode(F.array(*slot_list)).alias("s")).select("user_id", "s.*")
+    ranked = bank_rank(accounts, top=len(BANK_BAR_RANKS)).select(
+        "user_id", "rank", F.col("name").alias("acct_name"), F.col("id").alias("account_id"),
+        F.col("balance").alias("acct_balance"))
+    is_bank = F.col("rank").isNotNull()
+    bars = slots.join(ranked, ["user_id", "rank"], "left").select(
+        "user_id", "bar_pos",
+        F.when(is_bank, F.coalesce(F.col("acct_name"), F.lit("—"))).otherwise(F.col("slot_label")).alias("label"),
+        "account_id",
+        F.when(is_bank, F.coalesce(F.col("acct_balance"), F.lit(0))).otherwise(F.col("slot_value"))
+        .cast(MONEY).alias("value"))
     # Six bars per owner by construction, so the owner's maximum is a window over a
     # bounded group: no join back and no second pass over the bars.
     vmax = F.greatest(F.max("value").over(Window.partitionBy("user_id")), F.lit(1).cast(MONEY))
