@@ -16,9 +16,10 @@ grows with the links and not with the pairs that share some passage:
    first ``n - ceil(threshold * n) + 1`` shingles; sizes and positions bound the overlap.
 
 Links are first counted for a star around the smallest node of every prefix shingle (at
-most one pair per posting). Components of these links are collapsed, and all pairs of the
-postings that lie in *different* components follow; pairs within a component can't change
-the result. So no group of near copies is ever expanded into all its pairs.
+most one pair per posting). Components of these links are collapsed, and the pairs of
+postings that lie in *different* components and pass the bounds follow; pairs within a
+component can't change the result. So no group of near copies is ever expanded into all
+its pairs.
 
 Sets are the nodes: documents with equal sets share a node and are never paired.
 """
@@ -161,13 +162,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     sigs = signed.where("id is not null").select(F.explode("sigs").alias("sig"), short)
     candidates = written(sigs.repartition("sig").sortWithinPartitions("sig", "short")
                          .mapInArrow(_repeated, "short long").distinct(), "jaccard-candidates")
+    # From here on a node goes by a number: it is written once, so it stays the same.
     chosen = (members.where("id is not null and node is not null").withColumn("short", F.xxhash64("node"))
               .join(sized(candidates), "short", "left_semi")
               .groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n")))
-    chosen = written(chosen, "jaccard-chosen")
+    chosen = written(chosen.withColumn("number", F.monotonically_increasing_id()), "jaccard-chosen")
     texts = rows.join(sized(chosen.select("id").distinct()), "id", "left_semi")
-    sets = (texts.mapInArrow(_gram_rows(width), "node binary, grams array<long>")
-            .join(sized(chosen.select("node", "n")), "node").dropDuplicates(["node"]))
+    sets = (texts.mapInArrow(_gram_rows(width), "key binary, grams array<long>")
+            .join(sized(chosen.select(F.col("node").alias("key"), F.col("number").alias("node"), "n")), "key")
+            .drop("key").dropDuplicates(["node"]))
     grams = written(sets.select("node", "n", F.explode("grams").alias("gram")), "jaccard-grams")
 
     df = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
@@ -182,7 +185,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     segments = written(kept.groupBy("node", F.shiftrightunsigned("gram", 64 - FRAGMENT_BITS).alias("fragment"))
                        .agg(F.collect_list("gram").alias("grams")), "jaccard-segments")
 
-    def side(df: DataFrame, s: str, *more: str) -> DataFrame:
+    def side(df: DataFrame, s: str, *more: F.Column) -> DataFrame:
         return df.select("gram", *more, *(F.col(c).alias(f"{s}{c}") for c in ("node", "n", "p")))
 
     ends = _possible(percent)
@@ -198,18 +201,27 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     found = materialize(_overlaps(stars, segments, percent))
 
     root = components(found)
-    placed = postings.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialize(placed)
-    mixed = placed.select("gram", "root").distinct()
-    several = mixed.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    mixed = mixed.join(several, "gram")
-    across = mixed.withColumnRenamed("root", "xroot").join(
-        mixed.withColumnRenamed("root", "yroot"), "gram").where("xroot < yroot")
-    rest = fit(across.join(side(placed, "x", F.col("root").alias("xroot")), ["gram", "xroot"])
-               .join(side(placed, "y", F.col("root").alias("yroot")), ["gram", "yroot"]))
+    placed = written(postings.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")),
+                     "jaccard-placed")
+    several = placed.groupBy("gram").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("gram")
+    # One row for each component, size and gram, with its best place, decides what can link.
+    best = written(placed.join(several, "gram").groupBy("gram", "root", "n").agg(F.min("p").alias("p")), "jaccard-best")
+    # Of two sets the smaller has a common shingle within this shorter prefix.
+    early = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent) - F.lit(1e-6))
+    x, y = (b.select("gram", F.col("root").alias(f"{s}root"), F.col("n").alias(n), F.col("p").alias(p))
+            for b, s, n, p in ((best.where(F.col("p") <= early), "x", "na", "pa"), (best, "y", "nb", "pb")))
+    across = x.join(y, (x["gram"] == y["gram"]) & (F.col("xroot") != F.col("yroot"))
+                    & (F.col("na") <= F.col("nb")) & ends).select(
+        x["gram"], "xroot", "yroot", F.col("na").alias("xn"), F.col("nb").alias("yn"))
+    rest = fit(across.join(side(placed, "x", F.col("root").alias("xroot")), ["gram", "xroot", "xn"])
+               .join(side(placed, "y", F.col("root").alias("yroot")), ["gram", "yroot", "yn"]))
     rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")
     more = _overlaps(rest, segments, percent)
-    return members, materialize(found.unionByName(more))
+    names = chosen.select(F.col("number"), F.col("node"))
+    both = found.unionByName(more)
+    for end in ("a", "b"):
+        both = both.join(names.withColumnRenamed("node", f"{end}_node"), F.col(end) == F.col("number")).drop("number", end)
+    return members, materialize(both.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
