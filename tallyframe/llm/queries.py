@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.chat import digests, format_conversations, read_back
 from tallyframe.llm.common import table
 from tallyframe.llm.decontaminate import contained_items
 from tallyframe.llm.jaccard import near_duplicate_groups
+from tallyframe.llm.licenses import scan_licenses
+from tallyframe.llm.line_dedup import dedup_lines
 from tallyframe.llm.mixing import mix
 from tallyframe.llm.oracles import ORACLES  # noqa: F401
 from tallyframe.llm.packing import pack_tokens
 from tallyframe.llm.quality_rules import quality_rules
+from tallyframe.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -57,3 +61,33 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = F.when(F.col("source") == "src0", "crawl").otherwise("curated")
     weights = {("crawl",): 0.25, ("curated",): 0.75, ("curated", "en"): 2.0, ("crawl", "en"): 2.0}
     return mix(table(spark, sf_dir, "documents"), weights, domain=domain).drop("row").withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page, written, normalised and read back by the sidecar index."""
+    return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+@_query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted form; conversation -1 consists
+    of control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(
+        F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return digests(read_back(format_conversations(turns.unionByName(extra))))
+
+
+@_query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence words, places and labels of every document."""
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("expressions").withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers that repeat an earlier run of 50 words or more, for every document."""
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_lines", "n_removed", "removed", F.length("clean_text").alias("n_chars_left"))
