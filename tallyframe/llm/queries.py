@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.chat import digests, format_conversations, read_back
 from tallyframe.llm.common import table
 from tallyframe.llm.decontaminate import contained_items
+from tallyframe.llm.html_extract import extract_main_text
 from tallyframe.llm.jaccard import near_duplicate_groups
 from tallyframe.llm.licenses import scan_licenses
 from tallyframe.llm.line_dedup import dedup_lines
@@ -63,6 +64,12 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights, domain=domain).drop("row").withColumnRenamed("id", "doc_id")
 
 
+@_query
+def op1_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record per page, written, normalised and read back by the sidecar index."""
