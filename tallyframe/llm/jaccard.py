@@ -15,8 +15,8 @@ grows with the links and not with the pairs that share some passage:
 3. *Prefix and position.* Ordered by (frequency, hash), linked sets share one of their
    first ``n - ceil(threshold * n) + 1`` shingles; sizes and positions bound the overlap.
 
-Links are first counted for a star around the smallest node of every prefix shingle (at
-most one pair per posting). Components of these links are collapsed, and the pairs of
+Links are first counted for a star around the most central node of every prefix shingle
+(at most one pair per posting): the copy with the fewest changes links with most others. Components of these links are collapsed, and the pairs of
 postings that lie in *different* components and pass the bounds follow; pairs within a
 component can't change the result. So no group of near copies is ever expanded into all
 its pairs.
@@ -178,8 +178,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     enough = shared.groupBy("node", "n").agg(F.count("*").alias("m")).where(
         100 * F.col("m") >= percent * F.col("n")).select("node", "m")
     order = Window.partitionBy("node").orderBy("df", "gram")
+    # The more of its shingles others have, the closer a set is to the middle of its copies.
+    centrality = F.sum("df").over(Window.partitionBy("node")) / F.col("n")
     kept = written(shared.join(enough, "node").select("node", "n", "gram", (
-        F.col("n") - F.col("m") + F.row_number().over(order) - 1).alias("p")), "jaccard-kept")
+        F.col("n") - F.col("m") + F.row_number().over(order) - 1).alias("p"), centrality.alias("c")), "jaccard-kept")
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100 - F.lit(1e-6))
     postings = written(kept.where(F.col("p") <= prefix), "jaccard-postings")
     segments = written(kept.groupBy("node", F.shiftrightunsigned("gram", 64 - FRAGMENT_BITS).alias("fragment"))
@@ -195,8 +197,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         ok = pairs.select("*", *bounds).where(ends).drop("pa", "pb", "na", "nb")
         return ok.select(*_pair("x", "y")).distinct()
 
-    centre = postings.groupBy("gram").agg(F.min(F.struct("node", "n", "p")).alias("c")).select(
-        "gram", F.col("c.node").alias("xnode"), F.col("c.n").alias("xn"), F.col("c.p").alias("xp"))
+    centre = postings.groupBy("gram").agg(F.max(F.struct("c", "node", "n", "p")).alias("x")).select(
+        "gram", F.col("x.node").alias("xnode"), F.col("x.n").alias("xn"), F.col("x.p").alias("xp"))
     stars = materialize(fit(side(postings, "y").join(centre, "gram").where("xnode != ynode")))
     found = materialize(_overlaps(stars, segments, percent))
 
@@ -212,9 +214,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             for b, s, n, p in ((best.where(F.col("p") <= early), "x", "na", "pa"), (best, "y", "nb", "pb")))
     across = x.join(y, (x["gram"] == y["gram"]) & (F.col("xroot") != F.col("yroot"))
                     & (F.col("na") <= F.col("nb")) & ends).select(
-        x["gram"], "xroot", "yroot", F.col("na").alias("xn"), F.col("nb").alias("yn"))
-    rest = fit(across.join(side(placed, "x", F.col("root").alias("xroot")), ["gram", "xroot", "xn"])
-               .join(side(placed, "y", F.col("root").alias("yroot")), ["gram", "yroot", "yn"]))
+        x["gram"], "xroot", "yroot", F.col("na").alias("xn"), "nb", "pb")
+    # Each member must pass against the best place of the other side before that is expanded.
+    members_x = (across.join(side(placed, "x", F.col("root").alias("xroot")), ["gram", "xroot", "xn"])
+                 .select("*", F.col("xn").alias("na"), F.col("xp").alias("pa")).where(ends)
+                 .select("gram", "xnode", "xn", "xp", "yroot", F.col("nb").alias("yn")))
+    rest = fit(members_x.join(side(placed, "y", F.col("root").alias("yroot")), ["gram", "yroot", "yn"]))
     rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")
     more = _overlaps(rest, segments, percent)
     names = chosen.select(F.col("number"), F.col("node"))
