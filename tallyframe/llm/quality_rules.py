@@ -90,10 +90,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def clean(docs: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars") -> DataFrame:
     """The rows of ``docs`` that are kept, with all columns; failed lines are cut out of the
     text, and ``n_chars`` (where there is such a column) is then counted anew."""
-    d = _judge(docs.select(F.struct("*").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                           F.monotonically_increasing_id().alias("row")), "row")
-    # Naming ``row`` in the filter keeps Spark from evaluating the rules once more below.
-    d = d.where(F.col("kept") & (F.col("row") >= 0))
+    d = _judge(docs.select(F.struct("*").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    d = d.where("kept")
     cut = F.col("n_failed_lines") > 0
     new = {text_col: F.when(cut, F.col("clean_text")).otherwise(F.col(f"id.`{text_col}`"))}
     if n_chars_col in docs.columns:
@@ -102,9 +100,9 @@ def clean(docs: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars")
     return d.select(*(new.get(c, F.col(f"id.`{c}`")).alias(c) for c in docs.columns))
 
 
-def _judge(d: DataFrame, *more: str) -> DataFrame:
-    """The columns of ``quality_rules`` (and ``more``) for ``d`` (id, text)."""
-    d = d.select("id", *more, "text", words_of(F.col("text")).alias("words"), F.filter(
+def _judge(d: DataFrame) -> DataFrame:
+    """The columns of ``quality_rules`` for ``d`` (id, text)."""
+    d = d.select("id", "text", words_of(F.col("text")).alias("words"), F.filter(
         F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]")).alias("lines"))
     d = d.select("*", _window_hashes("words", WINDOW).alias("win"))
     d = d.select("*", F.when(F.size(F.array_distinct("win")) < F.size("win"), _twice("win", None, 0))
@@ -116,7 +114,7 @@ def _judge(d: DataFrame, *more: str) -> DataFrame:
     visible = lambda c: F.length(F.regexp_replace(c, f"{WS}+", ""))
     repeat = F.expr(f"aggregate(transform(places, (p, i) -> least({WINDOW}, coalesce(get(places, i + 1), p + {WINDOW}) - p)),"
                     " 0L, (a, x) -> a + x)")
-    d = d.select("id", *more, F.size("words").cast("long").alias("n_words"), visible(F.col("text")).cast("long").alias("word_chars"),
+    d = d.select("id", F.size("words").cast("long").alias("n_words"), visible(F.col("text")).cast("long").alias("word_chars"),
                  F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                  repeat.alias("n_repeat_words"), F.size("lines").alias("n_lines"),
@@ -126,5 +124,8 @@ def _judge(d: DataFrame, *more: str) -> DataFrame:
                  .alias("clean_text"))
     d = d.select("*", ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") >
                         MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"))
-    return d.select("*", (~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("word_chars")))
-                    .alias("kept"))
+    d = d.select("*", (~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("word_chars")))
+                 .alias("kept"))
+    # A generator of one row each: a filter on the verdict would otherwise be pushed down into the
+    # rules and repeat their whole expressions many times over.
+    return d.select(F.inline(F.array(F.struct(*d.columns))))
