@@ -25,7 +25,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table from ``written`` that nothing reads any more. Where there
+    is no JVM to ask (Spark Connect) they stay until the shared folder is cleared."""
+    spark = df.sparkSession
+    if getattr(spark, "_jsc", None) is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

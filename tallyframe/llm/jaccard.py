@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import components, sized, written
+from tallyframe.llm.common import components, discard, sized, written
 from tallyframe.llm.grams import Fragments, WordHashes, shingles
 from tallyframe.session import materialize
 
@@ -156,12 +156,13 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     id_type = rows.schema["id"].dataType.simpleString()
     signed = written(rows.mapInArrow(_sign(width, percent), f"id {id_type}, n long, node binary, sigs array<long>"),
                      "jaccard-sets")
-    members = signed.select("id", "n", "node")
+    members = written(signed.select("id", "n", "node"), "jaccard-members")
 
     short = F.xxhash64("node").alias("short")
     sigs = signed.where("id is not null").select(F.explode("sigs").alias("sig"), short)
     candidates = written(sigs.repartition("sig").sortWithinPartitions("sig", "short")
                          .mapInArrow(_repeated, "short long").distinct(), "jaccard-candidates")
+    discard(signed)         # by far the largest table here
     # From here on a node goes by a number: it is written once, so it stays the same.
     chosen = (members.where("id is not null and node is not null").withColumn("short", F.xxhash64("node"))
               .join(sized(candidates), "short", "left_semi")
@@ -170,7 +171,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     texts = rows.join(sized(chosen.select("id").distinct()), "id", "left_semi")
     sets = (texts.mapInArrow(_gram_rows(width), "key binary, grams array<long>")
             .join(sized(chosen.select(F.col("node").alias("key"), F.col("number").alias("node"), "n")), "key")
-            .drop("key").dropDuplicates(["node"]))
+            .drop("key"))
+    rows_of = members.join(sized(chosen.select("id", "node")), ["id", "node"], "left_semi")
+    if not rows_of.groupBy("id", "node").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        sets = sets.dropDuplicates(["node"])        # rows repeated under one id
     grams = written(sets.select("node", "n", F.explode("grams").alias("gram")), "jaccard-grams")
 
     df = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
