@@ -62,8 +62,9 @@ def clamp(c, lo, hi) -> Column:
 
 
 def int_or_zero(c) -> Column:
-    """Integer parse or 0 (never raises under ANSI)."""
-    return F.coalesce(col_(c).try_cast("int"), F.lit(0))
+    """The leading integer as JS ``parseInt`` reads it, or 0 (never raises under ANSI)."""
+    lead = F.regexp_extract(col_(c).cast("string"), r"^\s*([+-]?\d+)", 1)
+    return F.coalesce(lead.try_cast("int"), F.lit(0))
 
 
 def normalize_email(c) -> Column:
@@ -127,9 +128,13 @@ def first_element(c) -> Column:
 def percent_of(v, vmax) -> Column:
     """JS ``Math.round(v / max * 100)`` = ``floor(x + 0.5)``, as INT.
 
-    Computed in DECIMAL, so ties round up exactly as JS does (also for negatives)."""
-    ratio = col_(v).cast("decimal(30,2)") * 100 / col_(vmax).cast("decimal(30,2)")
-    return F.floor(ratio + F.lit("0.5").cast("decimal(2,1)")).cast("int")
+    Exact in whole cents: ``floor((200 * v + m) / (2 * m))``; no intermediate rounding, and
+    ties round up as JS does (also for negatives)."""
+    cents = [(col_(c).cast("decimal(28,2)") * 100).cast("decimal(30,0)") for c in (v, vmax)]
+    sign = F.signum(cents[1]).cast("decimal(1,0)")
+    value, top = (cents[0] * sign).cast("decimal(30,0)"), F.abs(cents[1])
+    over = (value * 200 + top).cast("decimal(38,0)")
+    return ((over - F.pmod(over, (top * 2).cast("decimal(38,0)"))) / (top * 2).cast("decimal(38,0)")).cast("int")
 
 
 # date/time texts (session time zone is pinned to UTC).

@@ -90,8 +90,8 @@ def create_users(users: DataFrame, requests: DataFrame) -> DataFrame:
     """Admin user creation over a batch ``requests(request_id, email, first_name,
     last_name, role)``: e-mail normalised, names trimmed (X12); e-mail and both names
     required, blank counting as missing (V3); role in the allowed set, default
-    ``user``; an e-mail that already exists, or that an earlier request of the batch
-    takes, is refused (J1). Accepted rows are the new users with status ``active``
+    ``user``; an e-mail that already exists, or that an earlier valid request of the
+    batch takes, is refused (J1); a request refused for another reason takes nothing. Accepted rows are the new users with status ``active``
     (D3, D11); refused rows carry the reason.
     """
     r = requests.select(
@@ -102,7 +102,7 @@ def create_users(users: DataFrame, requests: DataFrame) -> DataFrame:
         | (F.coalesce(F.col("last_name"), F.lit("")) == "")
     known = users.select(F.lower(F.trim("email")).alias("email")).where(F.col("email").isNotNull()).distinct() \
         .withColumn("_exists", F.lit(True))
-    first = pick_per_key(r.where(~missing).select("email", "request_id"), ["email"], ["request_id"], last=False) \
+    first = pick_per_key(r.where(~missing & F.col("role").isin(ROLES)).select("email", "request_id"), ["email"], ["request_id"], last=False) \
         .withColumnRenamed("request_id", "_first_request")
     j = r.join(known, "email", "left").join(first, "email", "left")
     error = (F.when(missing, "Email, password, first name, and last name are required.")

@@ -7,7 +7,7 @@ broadcast instead, but only behind a measured size check:
 
 1. the side is materialised once (a reliable checkpoint in the shared folder), so its
    size is known and later branches read it instead of recomputing it;
-2. at most ``max_rows + 1`` rows are counted;
+2. its rows are counted (a partial aggregate);
 3. within the bound it is broadcast (the large side is never shuffled); beyond it, it
    is returned as is and Spark plans a shuffle join, where AQE's skew-join rule splits
    the hot owner's partitions.
@@ -36,6 +36,6 @@ def measured(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFra
     from a bounded one by aggregation or filtering is bounded too and can be broadcast
     without being measured again."""
     m = materialize(df)
-    if m.limit(max_rows + 1).count() <= max_rows:
+    if m.count() <= max_rows:
         return F.broadcast(m), True
     return m, False

@@ -8,6 +8,8 @@ rows per owner, so a hot owner is cut down before it reaches one task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,15 +116,13 @@ def gateway_list(gateway: str | None) -> list[str]:
 
 
 def page_args(limit=PAGE_LIMIT, offset=PAGE_OFFSET) -> tuple[int, int]:
-    """O3: integer parse; unparsable or zero limit -> 50, unparsable offset -> 0."""
+    """O3: leading integers, as JS ``parseInt`` reads them; unparsable, zero or negative limit
+    -> 50, unparsable or negative offset -> 0."""
     def parse(v):
-        try:
-            return int(str(v).strip())
-        except (TypeError, ValueError):
-            return 0
-    n = parse(limit) or PAGE_LIMIT
-    o = parse(offset) or PAGE_OFFSET
-    return n, max(o, 0)
+        lead = re.match(r"\s*([+-]?\d+)", str(v))
+        return int(lead[1]) if lead else 0
+    n, o = parse(limit), parse(offset) or PAGE_OFFSET
+    return n if n > 0 else PAGE_LIMIT, max(o, 0)
 
 
 def tx_filter(txs: DataFrame, user_id=None, type: str | None = None,

@@ -35,9 +35,13 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def quota_breaches(requests: DataFrame, max_requests: int = QUOTA_MAX_REQUESTS,
-                   window: str = QUOTA_WINDOW, watermark: str | None = QUOTA_WINDOW) -> DataFrame:
+                   window: str = QUOTA_WINDOW, watermark: str | None = None) -> DataFrame:
     """ST3: ``(ip, window_start, window_end, n_requests)`` for windows with more than
-    ``max_requests`` requests. ``watermark=None`` for batch input."""
+    ``max_requests`` requests, open windows included.
+
+    By default every request counts, however late (batch input, or a stream in complete
+    mode: ``webhook.run_complete_to_parquet``). ``watermark`` bounds a stream's state for
+    append mode: closed windows only, and later requests are dropped."""
     r = requests.withWatermark("ts", watermark) if watermark else requests
     counts = r.groupBy(F.window("ts", window).alias("w"), "ip").agg(F.count("*").alias("n_requests"))
     return counts.where(F.col("n_requests") > max_requests).select(

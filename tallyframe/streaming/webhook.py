@@ -65,8 +65,15 @@ def unhandled_counts(events: DataFrame) -> DataFrame:
             .groupBy("type").agg(F.count("*").alias("n_events")))
 
 
-def dedupe(rows: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """ST4: drop redelivered events (same ``tx_hash``) seen within the watermark."""
+def dedupe(rows: DataFrame, watermark: str | None = None) -> DataFrame:
+    """ST4: drop redelivered events (same ``tx_hash``).
+
+    By default every first delivery is kept, however late it comes and however files fall
+    into micro-batches; the state holds one key per event (in RocksDB under the cluster
+    profile). ``watermark`` bounds that state, at the price of dropping events that come
+    later than it, first deliveries too."""
+    if watermark is None:
+        return rows.dropDuplicates(["tx_hash"])
     return rows.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["tx_hash"])
 
 

@@ -32,7 +32,8 @@ def test_gateway_list_parsing():
 
 
 @pytest.mark.parametrize("limit,offset,expected", [
-    (0, 0, (50, 0)), ("abc", "x", (50, 0)), (None, None, (50, 0)), ("20", "10", (20, 10)), (6, 0, (6, 0))])
+    (0, 0, (50, 0)), ("abc", "x", (50, 0)), (None, None, (50, 0)), ("20", "10", (20, 10)), (6, 0, (6, 0)),
+    ("10abc", "3.7", (10, 3)), ("-5", "-1", (50, 0))])
 def test_page_args(limit, offset, expected):
     assert listings.page_args(limit, offset) == expected
 

@@ -21,3 +21,16 @@ def test_percent_rounds_like_js_for_negatives(spark):
     got = [r[0] for r in df.select(percent_of("v", "m")).collect()]      # ratio = v * 100 / m = v
     # Math.round: -2.5 -> -2, -2.6 -> -3, 2.5 -> 3
     assert got == [-2, -3, 3, 0]
+
+
+def test_percent_is_exact_just_below_a_tie(spark):
+    df = spark.sql("SELECT CAST(494999996 AS DECIMAL(18,2)) v, CAST(1000000000 AS DECIMAL(18,2)) m "
+                   "UNION ALL SELECT 495, 1000 UNION ALL SELECT -495, 1000 UNION ALL SELECT 1000, 1000")
+    assert sorted(r[0] for r in df.select(percent_of("v", "m")).collect()) == [-49, 49, 50, 100]
+
+
+def test_leading_integers(spark):
+    from tallyframe.functions.text import int_or_zero
+
+    df = spark.createDataFrame([("12.7",), ("12abc",), (" -3x",), ("x1",), (None,), ("99999999999",)], "c string")
+    assert [r[0] for r in df.select(int_or_zero("c")).collect()] == [12, 12, -3, 0, 0, 0]

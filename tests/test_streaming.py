@@ -77,25 +77,48 @@ def test_quota_stream_closed_windows(spark, tmp_dir):
             + [("a", "/x", base + dt.timedelta(hours=1, seconds=i)) for i in range(3)])
     req = spark.createDataFrame(data, "ip string, path string, ts timestamp")
     quota.land_requests(req, f"{tmp_dir}/landing", files=1)
-    s = quota.quota_breaches(quota.read_requests(spark, f"{tmp_dir}/landing"), max_requests=2)
+    s = quota.quota_breaches(quota.read_requests(spark, f"{tmp_dir}/landing"), max_requests=2, watermark="15 minutes")
     webhook.run_to_parquet(s, f"{tmp_dir}/sink", f"{tmp_dir}/ckpt")
     out = spark.read.parquet(f"{tmp_dir}/sink").select(F.col("window_start").cast("timestamp_ntz")).collect()
     # the first window is closed by the watermark; the last one is still open
     assert [r[0] for r in out] == [base]
 
 
+def test_time_mixed_files_lose_no_row(spark, tmp_dir):
+    """One file per micro-batch, latest first: the same result as all at once."""
+    base = dt.datetime(2024, 1, 1, 10, 0)
+    times = [base + dt.timedelta(hours=h, minutes=m) for h in (9, 0, 5, 0, 9, 2) for m in (0, 3)]
+    req = [("a", "/x", t) for t in times]
+    for k in range(0, len(req), 2):
+        one = spark.createDataFrame(req[k:k + 2], "ip string, path string, ts timestamp")
+        quota.land_requests(one, f"{tmp_dir}/landing", files=1)
+        s = quota.quota_breaches(quota.read_requests(spark, f"{tmp_dir}/landing"), max_requests=2)
+        webhook.run_complete_to_parquet(s, f"{tmp_dir}/sink", f"{tmp_dir}/ckpt")
+    got = rows(spark.read.parquet(f"{tmp_dir}/sink").select(F.hour("window_start").alias("h"), "n_requests"))
+    assert got == [(10, 4), (19, 4)]
+
+    ev = [(f"h{k % 5}", base - dt.timedelta(hours=k)) for k in range(10)]
+    for k, e in enumerate(ev):
+        spark.createDataFrame([e], "tx_hash string, event_time timestamp").write.mode("append").parquet(f"{tmp_dir}/events")
+        stream = spark.readStream.schema("tx_hash string, event_time timestamp").parquet(f"{tmp_dir}/events")
+        webhook.run_to_parquet(webhook.dedupe(stream), f"{tmp_dir}/once", f"{tmp_dir}/once-ckpt")
+    assert rows(spark.read.parquet(f"{tmp_dir}/once"), "tx_hash") == [(f"h{k}",) for k in range(5)]
+
+
 def test_late_requests_beyond_watermark_are_dropped(spark, tmp_dir):
     base = dt.datetime(2024, 1, 1, 10, 0)
     first = spark.createDataFrame([("a", "/x", base + dt.timedelta(minutes=m)) for m in (0, 1, 2, 60, 61)],
                                   "ip string, path string, ts timestamp")
     quota.land_requests(first, f"{tmp_dir}/landing")
-    s = quota.quota_breaches(quota.read_requests(spark, f"{tmp_dir}/landing"), max_requests=1)
+    s = quota.quota_breaches(quota.read_requests(spark, f"{tmp_dir}/landing"), max_requests=1,
+                              watermark="15 minutes")
     webhook.run_to_parquet(s, f"{tmp_dir}/sink", f"{tmp_dir}/ckpt")
     before = rows(spark.read.parquet(f"{tmp_dir}/sink"), "n_requests")
     assert before == [(3,)]                        # 10:00 window closed; 11:00 window still open
     # a late burst for the closed 10:00 window arrives after the watermark passed it
     late = spark.createDataFrame([("a", "/x", base + dt.timedelta(minutes=5))] * 5, "ip string, path string, ts timestamp")
     quota.land_requests(late, f"{tmp_dir}/landing")
-    s2 = quota.quota_breaches(quota.read_requests(spark, f"{tmp_dir}/landing"), max_requests=1)
+    s2 = quota.quota_breaches(quota.read_requests(spark, f"{tmp_dir}/landing"), max_requests=1,
+                              watermark="15 minutes")
     webhook.run_to_parquet(s2, f"{tmp_dir}/sink", f"{tmp_dir}/ckpt")
     assert rows(spark.read.parquet(f"{tmp_dir}/sink"), "n_requests") == before   # late rows dropped
