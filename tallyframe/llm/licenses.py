@@ -70,7 +70,8 @@ def parse_expression(text: str) -> list[tuple[str, ...]] | None:
 def evaluate(postfix: list[tuple[str, ...]]) -> list[frozenset[str]]:
     """The choices that an expression leaves, each a set of licences that apply together:
     ``or`` joins the choices of both sides, ``and`` combines them, ``with`` attaches an
-    exception to its licence."""
+    exception to its licence. There can be exponentially many; ``normal_form`` has as many
+    names as the expression."""
     stack: list[list[frozenset[str]]] = []
     for kind, name in postfix:
         if kind == "id":
@@ -86,6 +87,30 @@ def evaluate(postfix: list[tuple[str, ...]]) -> list[frozenset[str]]:
     return stack[0]
 
 
+def normal_form(postfix: list[tuple[str, ...]]) -> str:
+    """The value of an expression as text: choices joined by ``|``, licences that apply together
+    by ``+``, one within the other in brackets; operands are distinct and sorted."""
+    marks = {"or": "|", "and": "+", "with": " with "}
+    stack: list[tuple[str, set[str]]] = []
+
+    def text(mark: str, parts: set[str], inside: bool) -> str:
+        joined = mark.join(sorted(parts))
+        return f"({joined})" if inside and len(parts) > 1 else joined
+
+    for kind, name in postfix:
+        if kind == "id":
+            stack.append(("", {name}))
+            continue
+        mark, right, left = marks[name], stack.pop(), stack.pop()
+        if name == "with":
+            stack.append(("", {text(*left, True) + mark + text(*right, True)}))
+            continue
+        parts = left[1] if left[0] == mark else {text(*left, True)}
+        parts.update(right[1] if right[0] == mark else [text(*right, True)])
+        stack.append((mark, parts))
+    return text(*stack[0], False)
+
+
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for phrase in (*BASE, *NOTICES, *TAGS):
@@ -114,7 +139,7 @@ def scan_text(text: str, automaton: ahocorasick.Automaton) -> tuple:
     for m in _TAG.finditer(text) if tagged else ():
         postfix = parse_expression(m[1])
         if postfix:
-            expressions.append("|".join(sorted("+".join(sorted(c)) for c in evaluate(postfix))))
+            expressions.append(normal_form(postfix))
             labels.update(name for kind, name in postfix if kind == "id")
     labels |= base
     # A tag is a statement; a notice a strong sign; further places add little.
@@ -140,7 +165,7 @@ def _task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, expressions, score): one
     row per row of ``docs``. Labels are distinct, sorted and joined by commas; ``expressions``
-    has the choices of each tag, licences joined by ``+`` and choices by ``|``.
+    has the ``normal_form`` of each tag's expression.
 
     Null texts count as empty: no words, no labels, score 0. Overlapping places all count.
     Repeated rows are scanned alike; an empty table gives no rows."""

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyframe.llm.chat import digests, format_conversations, read_back
-from tallyframe.llm.licenses import _automaton, evaluate, parse_expression, scan_licenses, scan_text
+from tallyframe.llm.licenses import _automaton, evaluate, normal_form, parse_expression, scan_licenses, scan_text
 from tallyframe.llm.line_dedup import dedup_lines
 from tallyframe.llm.queries import QUERIES
 from tallyframe.llm.warc import normalise, read_records, round_trip, write_archives
@@ -111,6 +111,17 @@ def test_expressions():
     assert row[5] == "gpl-2.0+,mit" and row[6] == ["gpl-2.0+|mit"] and row[7] == 1.0
 
 
+def test_normal_form_stays_as_long_as_the_expression():
+    form = lambda e: normal_form(parse_expression(e))
+    assert form("MIT and (BSD-3-Clause or ISC)") == "(bsd-3-clause|isc)+mit"
+    assert form("b or a or (b) or c and b") == "(b+c)|a|b"
+    assert form("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT") == "gpl-2.0-only with classpath-exception-2.0|mit"
+    assert form("(x or x) and x") == "x"
+    line = " AND ".join(f"(a{k} OR b{k})" for k in range(60))      # 2^60 choices
+    got, = scan_text("SPDX-License-Identifier: " + line, _automaton())[6]
+    assert len(got) <= len(line) and got.count("|") == 60
+
+
 def test_license_edges(spark):
     df = spark.createDataFrame([(1, None, "t"), (None, "", "t"), (2, "The MIT License " * 9000, "t"),
                                 (2, "The MIT License " * 9000, "t")], "doc_id long, text string, labels string")
