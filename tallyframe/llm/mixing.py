@@ -58,12 +58,12 @@ def leaf_budgets(supply: DataFrame, weights: Weights, budget: float | None, max_
         leaves = leaves.withColumn(f"w{depth}", _weight(weights, depth))
     usable = (F.col("w1") > 0) & (F.col("w2") > 0) & (F.col("w3") > 0)
     leaves = leaves.withColumn("cap", F.col("supply") * F.lit(float(max_epochs))).where(usable & (F.col("supply") > 0))
-    total = leaves.agg(F.sum("supply").cast("double").alias("budget")) if budget is None else None
     for depth, key in enumerate(LEVELS, 1):
-        nodes = leaves.groupBy(*LEVELS[:depth]).agg(F.sum("cap").alias("cap"), F.first(f"w{depth}").alias("w"))
-        if depth == 1:
-            nodes = nodes.withColumn("budget", F.lit(float(budget))) if total is None else nodes.join(
-                F.broadcast(total))          # a single row
+        nodes = leaves.groupBy(*LEVELS[:depth]).agg(F.sum("cap").alias("cap"), F.first(f"w{depth}").alias("w"),
+                                                    F.sum("supply").alias("supply"))
+        if depth == 1:      # the domains are one group below the root; by default it has all tokens
+            everything = F.sum("supply").over(Window.partitionBy(F.lit(0))).cast("double")
+            nodes = nodes.withColumn("budget", everything if budget is None else F.lit(float(budget)))
         else:
             nodes = nodes.join(filled, LEVELS[:depth - 1])  # noqa: F821  the level above
         filled = _water_fill(nodes, LEVELS[:depth - 1], key).select(*LEVELS[:depth], "budget")
