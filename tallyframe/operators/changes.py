@@ -200,6 +200,22 @@ def live_sessions(sessions: DataFrame, users: DataFrame, as_of) -> DataFrame:
     return live.join(u, "user_id")
 
 
+def session_check(sessions: DataFrame, users: DataFrame, requests: DataFrame, as_of) -> DataFrame:
+    """``requests(request_id, user_id, token)`` pass if that user holds a session with that
+    token whose expiry is strictly after ``as_of``, and the user exists. Accepted requests
+    carry the user's public fields, refused ones the reason. A NULL user or token never
+    matches; every request gives one row."""
+    held = (sessions.where(F.col("expires_at") > _ts(as_of)).select("user_id", "token").distinct()
+            .withColumn("_held", F.lit(True)))
+    u = users.select(F.col("id").alias("user_id"), F.lower(F.trim("email")).alias("email"),
+                     "first_name", "last_name", "role", F.lit(True).alias("_known"))
+    j = requests.select("request_id", "user_id", "token").join(held, ["user_id", "token"], "left").join(u, "user_id", "left")
+    error = (F.when(F.col("_held").isNull(), "Invalid or expired refresh token.")
+             .when(F.col("_known").isNull(), "User not found."))
+    fields = [F.when(error.isNull(), F.col(c)).alias(c) for c in ("email", "first_name", "last_name", "role")]
+    return j.select("request_id", "user_id", *fields, error.isNull().alias("accepted"), error.alias("error"))
+
+
 # ---------------------------------------------------------------------------
 # Owner-checked updates and deletes
 # ---------------------------------------------------------------------------

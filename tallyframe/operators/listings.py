@@ -105,6 +105,15 @@ def find_users(users: DataFrame, emails: DataFrame) -> DataFrame:
             .join(keys, F.col("email") == F.col("email_key"), "left_semi"))
 
 
+def users_by_id(users: DataFrame, requests: DataFrame) -> DataFrame:
+    """F9 + F17: the profile (5 columns) and the customer id of the user that each of
+    ``requests(request_id, user_id)`` asks for; one row per request, with a reason where
+    there is no such user (a NULL id included)."""
+    u = users.select("id", "email", "first_name", "last_name", "role", "stripe_customer_id")
+    return (requests.select("request_id", "user_id").join(u, F.col("user_id") == F.col("id"), "left")
+            .select("request_id", *u.columns, F.when(F.col("id").isNull(), "User not found.").alias("error")))
+
+
 # ---------------------------------------------------------------------------
 # Transaction search
 # ---------------------------------------------------------------------------

@@ -107,10 +107,11 @@ def unique_violations(tables: dict[str, DataFrame]) -> DataFrame:
 def orphan_rows(users: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
     """V5: child rows whose ``user_id`` has no user (NULL foreign keys pass)."""
     ids = users.select(F.col("id").alias("user_id"))
-    out = [df.where(F.col("user_id").isNotNull()).join(ids, "user_id", "left_anti")
-           .select(F.lit(t).alias("table_name"), F.col("id").alias("row_id"), "user_id")
-           for t, df in children.items()]
-    return _union(out)
+    # One narrow union and one join: the users are shuffled (or broadcast) once, not per table.
+    rows = _union([df.select(F.lit(t).alias("table_name"), F.col("id").alias("row_id"), "user_id")
+                   for t, df in children.items()])
+    return (rows.where(F.col("user_id").isNotNull()).join(ids, "user_id", "left_anti")
+            .select("table_name", "row_id", "user_id"))
 
 
 def length_violations(tables: dict[str, DataFrame]) -> DataFrame:

@@ -27,11 +27,16 @@ LIVE_NETWORKS = ("ethereum", "solana")
 def wallet_refresh(wallets: DataFrame, live: DataFrame) -> DataFrame:
     """Take the live balance for Ethereum/Solana wallets (network compared
     case-insensitively) when the wallet's call succeeded; otherwise keep the stored
-    balance. ``balance_source`` tells which one was used."""
+    balance. Of several successful replies for one wallet the newest by ``fetched_at``
+    counts (ties, and replies without a time: the largest balance), so a wallet stays one
+    row. ``balance_source`` tells which balance was used."""
     # A conditional value, not a filter: a filter on ``status`` would be pushed below the
     # parsing projections and inline the whole conversion into it.
-    ok = live.select(F.col("address").alias("live_address"), F.lower("network").alias("live_network"),
+    at = F.col("fetched_at") if "fetched_at" in live.columns else F.lit(None).cast("timestamp_ntz")
+    ok = live.select(F.col("address").alias("live_address"), F.lower("network").alias("live_network"), at.alias("_at"),
                      F.when(F.col("status") == "ok", F.col("live_balance")).alias("live_balance"))
+    newest = F.max_by("live_balance", F.when(F.col("live_balance").isNotNull(), F.struct("_at", "live_balance")))
+    ok = ok.groupBy("live_address", "live_network").agg(newest.alias("live_balance"))
     j = wallets.join(ok, (wallets["address"] == ok["live_address"])
                      & (F.lower(wallets["network"]) == ok["live_network"]), "left")
     use_live = F.lower(F.col("network")).isin(*LIVE_NETWORKS) & F.col("live_balance").isNotNull()

@@ -190,6 +190,17 @@ def q_find_users(spark, sf_dir):
     return listings.find_users(led.users, emails)
 
 
+@query("users_by_id", oracle=with_ledger("""
+SELECT e.event_id AS request_id, u.id, u.email, u.first_name, u.last_name, u.role, u.stripe_customer_id,
+       CASE WHEN u.id IS NULL THEN 'User not found.' END AS error
+FROM events e LEFT JOIN users u ON u.id = e.user_id""", "users"))
+def q_users_by_id(spark, sf_dir):
+    """F9 + F17: profile and customer id by user id; every event asks for its user."""
+    led = L(spark, sf_dir)
+    asked = led.driver("events").selectExpr("event_id AS request_id", "CAST(user_id AS BIGINT) AS user_id")
+    return listings.users_by_id(led.users, asked)
+
+
 # ---------------------------------------------------------------------------
 # Transactions: search, pages, lookups, statement
 # ---------------------------------------------------------------------------
@@ -1134,6 +1145,27 @@ def q_live_sessions(spark, sf_dir):
     return changes.live_sessions(changes.latest_session(led.refresh_tokens), led.users, SESSION_AS_OF)
 
 
+@query("session_check", oracle=with_ledger(f"""
+SELECT request_id, user_id,
+       CASE WHEN error IS NULL THEN lower(trim(email)) END AS email,
+       CASE WHEN error IS NULL THEN first_name END AS first_name,
+       CASE WHEN error IS NULL THEN last_name END AS last_name,
+       CASE WHEN error IS NULL THEN role END AS role, error IS NULL AS accepted, error
+FROM (SELECT e.event_id AS request_id, CAST(e.user_id AS BIGINT) AS user_id, u.email, u.first_name, u.last_name, u.role,
+             CASE WHEN NOT EXISTS (SELECT 1 FROM latest l WHERE l.user_id = e.user_id
+                                   AND l.token = 'rt_' || CAST(e.event_id AS VARCHAR)
+                                   AND l.expires_at > TIMESTAMP '{SESSION_AS_OF}') THEN 'Invalid or expired refresh token.'
+                  WHEN u.id IS NULL THEN 'User not found.' END AS error
+      FROM events e LEFT JOIN users u ON u.id = e.user_id) x""", "refresh_tokens", "users",
+                                         extra_ctes=(_LATEST_SESSION_SQL,)))
+def q_session_check(spark, sf_dir):
+    """every event presents a token; only a user's latest, unexpired one passes."""
+    led = L(spark, sf_dir)
+    asked = led.driver("events").selectExpr("event_id AS request_id", "CAST(user_id AS BIGINT) AS user_id",
+                                            "'rt_' || CAST(event_id AS STRING) AS token")
+    return changes.session_check(changes.latest_session(led.refresh_tokens), led.users, asked, SESSION_AS_OF)
+
+
 def _wallet_adds(led: Ledger):
     """Add-wallet requests: one per order (two orders ask for each address)."""
     return led.driver("orders").selectExpr(

@@ -49,7 +49,8 @@ def bank_feed(replies: DataFrame) -> DataFrame:
 
 
 def chain_balances(replies: DataFrame) -> DataFrame:
-    """S7 + X9: ``replies(address, network, body)`` -> live balance per wallet.
+    """S7 + X9: ``replies(address, network, body)`` -> live balance per reply; ``fetched_at`` is
+    carried along where the replies have it.
 
     Ethereum replies hold hex wei (converted exactly, see ``with_wei_to_eth``); Solana
     replies hold integer lamports. ``status`` is ok, failed (no result), bad_hex
@@ -57,8 +58,9 @@ def chain_balances(replies: DataFrame) -> DataFrame:
     overflow (does not fit DECIMAL(20,8)) or unsupported (another network).
     Each reply is parsed once; later steps read the parsed columns.
     """
+    at = [c for c in ("fetched_at",) if c in replies.columns]
     parsed = replies.select(
-        "address", "network", F.lower("network").alias("_net"),
+        "address", "network", *at, F.lower("network").alias("_net"),
         F.from_json("body", ETH_REPLY)["result"].alias("_eth"),
         F.from_json("body", SOL_REPLY)["result"]["value"].alias("_sol"))
     eth = parsed.withColumn("_eth", F.when(F.col("_net") == "ethereum", F.col("_eth")))
@@ -72,4 +74,4 @@ def chain_balances(replies: DataFrame) -> DataFrame:
               .when(~net.isin("ethereum", "solana"), "unsupported")
               .when(live.isNull(), "overflow")
               .otherwise("ok"))
-    return conv.select("address", "network", live.alias("live_balance"), status.alias("status"))
+    return conv.select("address", "network", *at, live.alias("live_balance"), status.alias("status"))

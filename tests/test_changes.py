@@ -116,6 +116,19 @@ def test_sessions_latest_rotate_live(spark):
     assert rows(live, "user_id", "email") == [(1, "a@b.c")]   # user 2 expires exactly at as_of
 
 
+def test_session_check_needs_user_and_token(spark):
+    s = frame(spark, "refresh_tokens", [
+        dict(id=1, user_id=1, token="t1", expires_at=ts(70)), dict(id=2, user_id=1, token="t1", expires_at=ts(80)),
+        dict(id=3, user_id=2, token="t2", expires_at=ts(60)), dict(id=4, user_id=9, token="t9", expires_at=ts(70))])
+    users = frame(spark, "users", [dict(id=1, email=" A@B.C"), dict(id=2, email="x")])
+    asked = spark.createDataFrame([(1, 1, "t1"), (2, 1, "t2"), (3, 2, "t2"), (4, 9, "t9"), (5, None, "t1"), (6, 1, None)],
+                                  "request_id long, user_id long, token string")
+    got = changes.session_check(s, users, asked, ts(60).strftime("%Y-%m-%d %H:%M:%S"))
+    bad = "Invalid or expired refresh token."
+    assert rows(got, "request_id", "email", "error") == [
+        (1, "a@b.c", None), (2, None, bad), (3, None, bad), (4, None, "User not found."), (5, None, bad), (6, None, bad)]
+
+
 def test_customer_id_and_owner_resolution(spark):
     users = frame(spark, "users", [dict(id=1, email=" A@x.io ", stripe_customer_id="cus_keep"),
                                    dict(id=2, email="b@x.io")])

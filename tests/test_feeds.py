@@ -58,6 +58,18 @@ def test_refresh_keeps_stored_on_failure(spark):
     assert got == {1: (D("1.5"), "live"), 2: (D("6"), "stored"), 3: (D("7"), "stored")}
 
 
+def test_refresh_takes_the_newest_successful_reply(spark):
+    w = frame(spark, "crypto_wallets", [dict(id=1, user_id=1, address="s1", network="Solana", balance=D("5"))])
+    reply = lambda n: json.dumps({"result": {"value": n}})
+    replies = spark.createDataFrame([
+        ("s1", "SOLANA", ts(1), reply(3000000000)), ("s1", "solana", ts(2), reply(2000000000)),
+        ("s1", "solana", ts(3), json.dumps({"error": 1}))], "address string, network string, fetched_at timestamp_ntz, body string")
+    live = feeds.chain_balances(replies)
+    assert [(r.id, r.balance, r.balance_source) for r in valuation.wallet_refresh(w, live).collect()] == [(1, D("2"), "live")]
+    timeless = valuation.wallet_refresh(w, live.drop("fetched_at")).collect()
+    assert [(r.id, r.balance) for r in timeless] == [(1, D("3"))]
+
+
 def test_price_feed_latest_per_coin(spark):
     replies = spark.createDataFrame([
         (1, ts(0), json.dumps({"bitcoin": {"usd": 100.0, "usd_24h_change": 1.0},

@@ -2,6 +2,8 @@ from decimal import Decimal as D
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyframe.functions import money as M
 from tallyframe.functions import text as X
 from tallyframe.operators import listings
@@ -119,6 +121,14 @@ def test_user_directory_texts(spark):
     assert "password_hash" not in listings.user_directory(users).columns
 
 
+def test_users_by_id(spark):
+    users = frame(spark, "users", [dict(id=1, email="a@b.c", role="user", stripe_customer_id="cus_1")])
+    asked = spark.createDataFrame([(7, 1), (8, 2), (9, None), (10, 1)], "request_id long, user_id long")
+    got = sorted(tuple(r) for r in listings.users_by_id(users, asked).select(
+        "request_id", F.coalesce("stripe_customer_id", F.lit("")), F.coalesce("error", F.lit(""))).collect())
+    assert got == [(7, "cus_1", ""), (8, "", "User not found."), (9, "", "User not found."), (10, "cus_1", "")]
+
+
 def test_money_helpers(spark):
     df = spark.createDataFrame([(D("0.125"), D("1234567.125"), 12345)],
                                "a decimal(20,3), b decimal(20,3), c long")
