@@ -23,6 +23,7 @@ HEADLINE = [
     "wallet_valuation", "swap_pairs", "transfer_pairs", "check_violations", "unique_violations",
     "bank_upsert", "apply_updates", "cascade_delete", "insert_absent", "audit_details",
     "webhook_ingest", "webhook_dedup", "quota_breaches",
+    "audit_append", "user_create", "last_run_breakdown", "orphan_rows",
 ]
 
 

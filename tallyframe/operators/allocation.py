@@ -159,5 +159,5 @@ def rule_colors(rules: DataFrame) -> DataFrame:
     palette = F.array(*[F.lit(c) for c in RULE_PALETTE])
     r = ordered_positions(rules.select("user_id", "id", "name", "created_at"), "user_id", ["created_at", "id"])
     return r.select("user_id", "id", "name", "position",
-                    F.element_at(palette, F.pmod(F.col("position") - 1, F.lit(len(RULE_PALETTE))) + 1)
+                    F.element_at(palette, (F.pmod(F.col("position") - 1, F.lit(len(RULE_PALETTE))) + 1).cast("int"))
                     .alias("palette_color"))

@@ -267,8 +267,9 @@ def apply_deletes(target: DataFrame, requests: DataFrame,
 # User removal (D6, D7) and customer ids
 # ---------------------------------------------------------------------------
 def cascade_delete(children: dict[str, DataFrame], removed_users: DataFrame) -> dict[str, DataFrame]:
-    """``ON DELETE CASCADE``: each child table without the removed users' rows."""
-    ids = removed_users.select(F.col("id").alias("user_id")).distinct()
+    """``ON DELETE CASCADE``: each child table without the removed users' rows. The removed
+    ids are materialised once and broadcast behind a size check."""
+    ids = checked_broadcast(removed_users.select(F.col("id").alias("user_id")).distinct())
     return {t: df.join(ids, "user_id", "left_anti") for t, df in children.items()}
 
 

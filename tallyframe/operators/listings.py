@@ -3,7 +3,10 @@
 Every listing works for all owners at once; ``user_id=None`` means no owner filter.
 Per-owner pages use ``row_number() <= n`` over the owner, which Spark plans with a
 partial ``WindowGroupLimit`` ahead of the shuffle: each map task ships at most ``n``
-rows per owner, so a hot owner is cut down before it reaches one task.
+rows per owner, so a hot owner is cut down before it reaches one task. Pages too deep
+for that (``GROUP_LIMIT``) take positions from ``ordered_positions``, which splits hot
+owners. Listings are sorted before their display texts are made, so that the sort moves
+the stored columns only.
 """
 
 from __future__ import annotations
@@ -19,6 +22,10 @@ from tallyframe.operators.windows import ordered_positions
 from tallyframe.schemas import PAGE_LIMIT, PAGE_OFFSET
 
 
+#: Rows up to which Spark plans a group limit (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+
+
 def newest_first() -> list[Column]:
     """O1 with the Q9 tie-break on id."""
     return [F.col("created_at").desc(), F.col("id").desc()]
@@ -35,37 +42,34 @@ def _owner(df: DataFrame, user_id) -> DataFrame:
 
 def list_wallets(wallets: DataFrame, user_id=None) -> DataFrame:
     """F1 + X3 + X7 + X17: wallet cards, newest first per owner."""
-    return (_owner(wallets, user_id)
+    return (_owner(wallets, user_id).orderBy(F.col("user_id"), *newest_first())
             .select("id", "user_id", "name", "address", "symbol", "network", "balance",
                     "balance_usd", "is_verified", "created_at",
                     X.short_address("address").alias("short_address"),
                     M.fixed("balance", 4).alias("balance_text"),
                     M.usd_text("balance_usd").alias("balance_usd_text"),
-                    X.symbol_color("symbol").alias("color"))
-            .orderBy(F.col("user_id"), *newest_first()))
+                    X.symbol_color("symbol").alias("color")))
 
 
 def list_banks(accounts: DataFrame, user_id=None) -> DataFrame:
     """F2 + X15 + X5: bank cards; routing number, item id and access token stay out."""
-    return (_owner(accounts, user_id)
+    return (_owner(accounts, user_id).orderBy(F.col("user_id"), *newest_first())
             .select("id", "user_id", "name", "bank_name", "account_type", "last4", "balance",
                     "currency", "status", "created_at",
                     X.masked_account("last4").alias("masked"),
                     X.status_bucket("status").alias("status_color"),
-                    M.usd_text("balance").alias("balance_text"))
-            .orderBy(F.col("user_id"), *newest_first()))
+                    M.usd_text("balance").alias("balance_text")))
 
 
 def list_gateways(gateways: DataFrame, user_id=None) -> DataFrame:
     """F3 + X16 + X17: gateway cards; API key and webhook secret stay out."""
-    return (_owner(gateways, user_id)
+    return (_owner(gateways, user_id).orderBy(F.col("user_id"), *newest_first())
             .select("id", "user_id", "name", "fee", "fixed_fee", "is_enabled", "monthly_volume",
                     "transaction_count", "created_at",
                     X.fee_label("fee", "fixed_fee").alias("fee_label"),
                     X.gateway_color("name").alias("color"),
                     F.left(F.col("name"), F.lit(1)).alias("initial"),
-                    M.usd_text("monthly_volume").alias("volume_text"))
-            .orderBy(F.col("user_id"), *newest_first()))
+                    M.usd_text("monthly_volume").alias("volume_text")))
 
 
 def list_rules(rules: DataFrame, user_id=None) -> DataFrame:
@@ -88,21 +92,19 @@ def list_rules(rules: DataFrame, user_id=None) -> DataFrame:
 def user_directory(users: DataFrame) -> DataFrame:
     """F5 + F9 + F17 + X12 + X14 + X18: user listing without the password hash, e-mail
     normalised, display name, initials and role label; newest first."""
-    return (users.select(
+    return users.orderBy(*newest_first()).select(
         "id", X.normalize_email("email").alias("email"),
         F.trim("first_name").alias("first_name"), F.trim("last_name").alias("last_name"),
         "role", "status", "stripe_customer_id", "last_login", "created_at", "updated_at",
         X.display_name("first_name", "last_name", "email").alias("display_name"),
         X.initials("first_name", "last_name").alias("initials"),
         X.capitalize("role").alias("role_label"))
-        .orderBy(*newest_first()))
 
 
 def find_users(users: DataFrame, emails: DataFrame) -> DataFrame:
     """users whose normalised e-mail is in ``emails(email)`` (also normalised)."""
     keys = emails.select(X.normalize_email("email").alias("email_key")).distinct()
-    return (user_directory(users)
-            .join(keys, F.col("email") == F.col("email_key"), "left_semi"))
+    return user_directory(users.join(keys, X.normalize_email("email") == F.col("email_key"), "left_semi"))
 
 
 def users_by_id(users: DataFrame, requests: DataFrame) -> DataFrame:
@@ -156,9 +158,10 @@ TX_COLUMNS = ["id", "user_id", "type", "gateway", "method", "amount", "amount_us
 def per_owner_page(df: DataFrame, limit: int, offset: int, order: list[Column]) -> DataFrame:
     """Rows ``offset+1 .. offset+limit`` of each owner in ``order`` (W6, O3 per owner)."""
     w = Window.partitionBy("user_id").orderBy(*order)
-    return (df.withColumn("position", F.row_number().over(w))
-            .where(F.col("position") <= offset + limit)
-            .where(F.col("position") > offset))
+    placed = (df.withColumn("position", F.row_number().over(w)) if offset + limit <= GROUP_LIMIT
+              else ordered_positions(df, "user_id", order))
+    return (placed.where(F.col("position") <= offset + limit).where(F.col("position") > offset)
+            .withColumn("position", F.col("position").cast("bigint")))
 
 
 def tx_search(txs: DataFrame, user_id=None, type: str | None = None, gateway: str | None = None,
@@ -212,8 +215,8 @@ def tx_statement(txs: DataFrame, user_id=None, type: str | None = None,
     The output is sorted by (owner, newest first); Spark range-partitions on the full
     sort key, so a hot owner spreads over many tasks.
     """
-    df = tx_filter(txs, user_id, type, gateway)
-    return (df.select(
+    df = tx_filter(txs, user_id, type, gateway).orderBy(F.col("user_id"), *newest_first())
+    return df.select(
         "id", "user_id", "type", "gateway", "method", "amount_usd", "status", "created_at",
         M.usd_text_signed("amount_usd", "type").alias("amount_text"),
         X.fallback_text("description", "from_address").alias("description_text"),
@@ -227,4 +230,3 @@ def tx_statement(txs: DataFrame, user_id=None, type: str | None = None,
         X.datetime_text("created_at").alias("datetime_text"),
         X.long_date_text("created_at").alias("date_text"),
         X.iso_text("created_at").alias("iso_text"))
-        .orderBy(F.col("user_id"), *newest_first()))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.money import usd_text
 from tallyframe.functions.text import gateway_color, percent_of
 from tallyframe.operators.joins import checked_broadcast
+from tallyframe.operators.windows import ordered_positions
 from tallyframe.schemas import MONEY, TOTAL
 
 KPI_COLUMNS = ["user_id", "total_usd", "crypto_usd", "bank_usd", "gateway_volume_usd",
@@ -98,13 +99,13 @@ def bank_rank(accounts: DataFrame, top: int | None = None) -> DataFrame:
 
     With ``top`` set, only ranks 1..top are kept; Spark then inserts a partial
     ``WindowGroupLimit`` before the shuffle, so each map task ships at most ``top``
-    rows per owner and a hot owner never reaches one task whole.
+    rows per owner and a hot owner never reaches one task whole. Without it the ranks (bigint)
+    come from ``ordered_positions``, which splits hot owners.
     """
+    if top is None:
+        return ordered_positions(accounts, "user_id", [F.col("created_at").desc(), F.col("id").desc()], position="rank")
     w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    ranked = accounts.withColumn("rank", F.row_number().over(w))
-    if top is not None:
-        ranked = ranked.where(F.col("rank") <= top)
-    return ranked
+    return accounts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
 # The bar layout: positions of the dashboard's six bars. Bank bars take the owner's

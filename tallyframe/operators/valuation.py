@@ -4,8 +4,8 @@ Scale notes
 -----------
 * The live balances are joined to wallets on the wallet address (a unique key), a
   plain sort-merge/hash join without owner skew.
-* The price table has one row per requested coin id (a fixed list of six), a proven
-  size bound, so it is broadcast; the symbol -> coin id lookup is a literal map
+* The price table has one row per requested coin id. It is counted and broadcast within
+  the bound of ``checked_broadcast``; the symbol -> coin id lookup is a literal map
   expression, not a join.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.money import fixed, usd_text
+from tallyframe.operators.joins import checked_broadcast
 from tallyframe.schemas import MONEY, QTY, SYMBOL_TO_COIN
 
 PRICE = "decimal(18,6)"   # balance (scale 8) x price (scale 6) stays exact in DECIMAL(38)
@@ -54,7 +55,7 @@ def coin_id(symbol) -> F.Column:
 def wallet_valuation(wallets: DataFrame, prices: DataFrame) -> DataFrame:
     """J5 + R7 + X3: value every wallet as ``balance * usd price`` (no price -> 0) with
     the coin's 24h change from the feed (Q25) and the balance shown with 6 decimals."""
-    p = F.broadcast(prices.select("coin_id", "usd", "usd_24h_change"))
+    p = checked_broadcast(prices.select("coin_id", "usd", "usd_24h_change"))
     w = wallets.withColumn("coin_id", coin_id("symbol"))
     price = F.coalesce(F.col("usd").cast(PRICE), F.lit(0).cast(PRICE))
     return (w.join(p, "coin_id", "left")

@@ -6,7 +6,9 @@ independent DuckDB formulation of the same result over the same bindings.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators import portfolio
@@ -151,7 +153,7 @@ def q_list_gateways(spark, sf_dir):
 
 @query("list_rules", oracle=with_ledger("""
 SELECT id, user_id, name, percentage, color, is_locked, is_auto, created_at,
-       CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS INTEGER) AS position,
+       row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS position,
        CASE WHEN is_locked THEN 'Locked' ELSE 'Adjustable' END || ' · ' ||
        CASE WHEN is_auto THEN 'Auto-run' ELSE 'Manual only' END AS meta
 FROM allocation_rules""", "allocation_rules"))
@@ -179,14 +181,12 @@ SELECT id, lower(trim(email)) AS email, trim(first_name) AS first_name, trim(las
        upper(left(trim(first_name), 1) || left(trim(last_name), 1)) AS initials,
        upper(left(role, 1)) || substring(role, 2) AS role_label
 FROM users
-WHERE lower(trim(email)) IN (SELECT lower(trim(upper(c_name) || '@example.com')) FROM customer
-                             WHERE c_mktsegment = 'BUILDING')""", "users"))
+WHERE lower(trim(email)) IN (SELECT lower(trim(upper(c_name) || '@example.com')) FROM customer)""", "users"))
 def q_find_users(spark, sf_dir):
     """look users up by e-mail after normalising both sides (X12); the lookup
-    list is every BUILDING-segment customer's address typed in another case."""
+    list is every customer's address typed in another case."""
     led = L(spark, sf_dir)
-    emails = (led.driver("customer").where("c_mktsegment = 'BUILDING'")
-              .selectExpr("upper(c_name) || '@example.com' AS email"))
+    emails = led.driver("customer").selectExpr("upper(c_name) || '@example.com' AS email")
     return listings.find_users(led.users, emails)
 
 
@@ -206,7 +206,7 @@ def q_users_by_id(spark, sf_dir):
 # ---------------------------------------------------------------------------
 def _page_sql(where: str, lo: int, hi: int) -> str:
     return with_ledger(f"""
-SELECT {TX_COLS_SQL}, CAST(position AS INTEGER) AS position FROM (
+SELECT {TX_COLS_SQL}, position FROM (
   SELECT {TX_COLS_SQL},
          row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS position
   FROM transactions WHERE {where}) t
@@ -318,9 +318,9 @@ def q_rule_totals(spark, sf_dir):
 
 
 def _cap_candidates(led: Ledger):
-    """New-rule requests: one per click event; the percentage text comes from the
+    """New-rule requests: one per event; the percentage text comes from the
     event's JSON props (``k``), unparsable for every 13th event."""
-    return led.driver("events").where("event_type = 'click'").selectExpr(
+    return led.driver("events").selectExpr(
         "event_id AS request_id", "user_id", "'Rule ' || CAST(event_id AS STRING) AS name",
         "CASE WHEN event_id % 13 = 0 THEN 'n/a' ELSE get_json_object(props, '$.k') END AS pct_text",
         "value > 40 AS is_locked")
@@ -337,14 +337,14 @@ FROM (SELECT event_id AS request_id, user_id, 'Rule ' || CAST(event_id AS VARCHA
              least(greatest(coalesce(TRY_CAST(CASE WHEN event_id % 13 = 0 THEN 'n/a'
                                                    ELSE json_extract_string(props, '$.k') END AS INTEGER), 0), 0), 100) AS pct,
              value > 40 AS is_locked
-      FROM events WHERE event_type = 'click') c
+      FROM events) c
 LEFT JOIN (SELECT user_id, sum(percentage) AS t FROM allocation_rules GROUP BY user_id) e
   ON c.user_id = e.user_id"""
 
 
 @query("rule_cap_check", oracle=with_ledger(_CAP_BODY, "allocation_rules"))
 def q_rule_cap_check(spark, sf_dir):
-    """A7 + X8: decide each click event's new-rule request against the owner's
+    """A7 + X8: decide each event's new-rule request against the owner's
     existing total (cap 100 unless locked), parsing and clamping the percentage."""
     led = L(spark, sf_dir)
     return allocation.rule_cap_check(led.allocation_rules, _cap_candidates(led))
@@ -415,7 +415,7 @@ _PALETTE_SQL = "[" + ", ".join(f"'{c}'" for c in RULE_PALETTE) + "]"
 
 
 @query("rule_colors", oracle=with_ledger(f"""
-SELECT user_id, id, name, CAST(pos AS INTEGER) AS position,
+SELECT user_id, id, name, pos AS position,
        {_PALETTE_SQL}[((pos - 1) % {len(RULE_PALETTE)}) + 1] AS palette_color
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS pos
       FROM allocation_rules) r""", "allocation_rules"))
@@ -532,7 +532,7 @@ _PRICES_CTE = """prices AS (
            max(e.ts) OVER (PARTITION BY c.coin_id) AS as_of,
            row_number() OVER (PARTITION BY c.coin_id ORDER BY e.ts DESC, e.event_id DESC) AS rn
     FROM events e JOIN coins c ON NOT (c.coin_id = 'tether' AND e.event_type = 'signup')
-    WHERE e.event_type NOT IN ('view', 'error')) t
+    WHERE e.event_type <> 'error') t
   WHERE rn = 1)"""
 
 
@@ -815,8 +815,8 @@ def _PCT_VALID():
 
 
 def _rule_changes(led: Ledger):
-    """Percentage edits: one per view event; every 4th targets another owner's rule."""
-    return led.driver("events").where("event_type = 'view'").selectExpr(
+    """Percentage edits: one per event; every 4th targets another owner's rule."""
+    return led.driver("events").selectExpr(
         "event_id", "ts",
         "CAST(user_id * 10 + (event_id % 6) + 1 AS BIGINT) AS id",
         "CAST(CASE WHEN event_id % 4 = 0 THEN user_id + 1 ELSE user_id END AS BIGINT) AS user_id",
@@ -827,7 +827,7 @@ _RULE_CHANGES_SQL = """rule_changes AS (
   SELECT event_id, ts, CAST(user_id * 10 + (event_id % 6) + 1 AS BIGINT) AS id,
          CAST(CASE WHEN event_id % 4 = 0 THEN user_id + 1 ELSE user_id END AS BIGINT) AS user_id,
          TRY_CAST(json_extract_string(props, '$.k') AS DECIMAL(5,2)) AS percentage
-  FROM events WHERE event_type = 'view')"""
+  FROM events)"""
 
 
 @query("apply_updates", oracle=with_ledger(f"""
@@ -851,14 +851,14 @@ def q_apply_updates(spark, sf_dir):
 
 
 def _wallet_deletes(led: Ledger):
-    """Wallet delete requests: one per signup event."""
-    return led.driver("events").where("event_type = 'signup'").selectExpr(
+    """Wallet delete requests: one per event."""
+    return led.driver("events").selectExpr(
         "event_id AS request_id", "CAST(event_id div 5 AS BIGINT) AS id", "CAST(user_id % 25 AS BIGINT) AS user_id")
 
 
 _WALLET_DELETES_SQL = """wallet_deletes AS (
   SELECT event_id AS request_id, CAST(event_id // 5 AS BIGINT) AS id, CAST(user_id % 25 AS BIGINT) AS user_id
-  FROM events WHERE event_type = 'signup')"""
+  FROM events)"""
 
 
 @query("apply_deletes", oracle=with_ledger("""
@@ -872,6 +872,17 @@ def q_apply_deletes(spark, sf_dir):
     return deleted
 
 
+@query("delete_survivors", oracle=with_ledger("""
+SELECT * FROM crypto_wallets w
+WHERE NOT EXISTS (SELECT 1 FROM wallet_deletes d WHERE d.id = w.id AND d.user_id = w.user_id)""",
+                                            "crypto_wallets", extra_ctes=(_WALLET_DELETES_SQL,)))
+def q_delete_survivors(spark, sf_dir):
+    """The wallet snapshot after the owner-checked deletes."""
+    led = L(spark, sf_dir)
+    survivors, _, _ = changes.apply_deletes(led.crypto_wallets, _wallet_deletes(led))
+    return survivors
+
+
 @query("change_rejects", oracle=with_ledger("""
 SELECT 'rule_update' AS request_kind, event_id AS request_id, id, user_id, 'not found or not owned' AS reason
 FROM rule_changes c
@@ -898,10 +909,10 @@ def q_change_rejects(spark, sf_dir):
 
 
 def _user_requests(led: Ledger):
-    """User-creation requests: one per signup event. Every third asks for an e-mail a
+    """User-creation requests: one per event. Every third asks for an e-mail a
     customer already has (typed in another case, with spaces); every seventh leaves
     the last name blank; the role comes from the event value."""
-    return led.driver("events").where("event_type = 'signup'").selectExpr(
+    return led.driver("events").selectExpr(
         "event_id AS request_id",
         "CASE WHEN event_id % 3 = 0 THEN ' Customer#' || lpad(CAST(user_id AS STRING), 9, '0') || '@Example.com' "
         "ELSE 'new' || CAST(user_id AS STRING) || '@example.com' END AS email",
@@ -917,7 +928,7 @@ _USER_REQ_SQL = """reqs AS (
          trim('First' || CAST(event_id AS VARCHAR)) AS first_name,
          trim(CASE WHEN event_id % 7 = 0 THEN '  ' ELSE 'Last' || CAST(user_id AS VARCHAR) END) AS last_name,
          coalesce(CASE WHEN value > 40 THEN 'auditor' WHEN value < 5 THEN 'owner' ELSE NULL END, 'user') AS role
-  FROM events WHERE event_type = 'signup')"""
+  FROM events)"""
 
 
 _USER_CREATE_BODY = """
@@ -939,7 +950,7 @@ FROM (
 
 @query("user_create", oracle=with_ledger(_USER_CREATE_BODY, "users", extra_ctes=(_USER_REQ_SQL,)))
 def q_user_create(spark, sf_dir):
-    """Admin user creation (X12, V3, J1, D3, D11): every signup event's request
+    """Admin user creation (X12, V3, J1, D3, D11): every event's request
     normalised, checked for required fields, allowed role and an e-mail that is new
     (in the table and earlier in the batch); accepted rows are the new active users."""
     led = L(spark, sf_dir)
@@ -950,9 +961,9 @@ _STATUSES = ["active", "suspended", "deleted"]
 
 
 def _status_changes(led: Ledger):
-    """Status changes by an admin: one per error event, for user ``user_id * 7``;
+    """Status changes by an admin: one per event, for user ``user_id * 7``;
     the status cycles through the allowed values plus one that is not allowed."""
-    return led.driver("events").where("event_type = 'error'").selectExpr(
+    return led.driver("events").selectExpr(
         "event_id", "ts", "CAST(user_id * 7 AS BIGINT) AS id",
         "CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'suspended' WHEN 2 THEN 'deleted' "
         "ELSE 'banned' END AS status")
@@ -970,7 +981,7 @@ FROM users u LEFT JOIN (
     FROM (SELECT event_id, ts, CAST(user_id * 7 AS BIGINT) AS id,
                  CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'suspended' WHEN 2 THEN 'deleted'
                       ELSE 'banned' END AS status
-          FROM events WHERE event_type = 'error') e
+          FROM events) e
     WHERE status IN ('active', 'suspended', 'deleted')) x WHERE rn = 1) c ON c.id = u.id"""
 
 
@@ -986,25 +997,24 @@ def q_user_status_update(spark, sf_dir):
 
 
 def _rule_deletes(led: Ledger):
-    """Rule delete requests: one per error event, for one of the user's rules."""
-    return led.driver("events").where("event_type = 'error'").selectExpr(
+    """Rule delete requests: one per event, for one of the user's rules."""
+    return led.driver("events").selectExpr(
         "event_id AS request_id", "CAST(user_id * 10 + (event_id % 6) + 1 AS BIGINT) AS id",
         "CAST(user_id AS BIGINT) AS user_id")
 
 
 def _bank_deletes(led: Ledger):
-    """Bank account delete requests: one per purchase event."""
-    return led.driver("events").where("event_type = 'purchase'").selectExpr(
+    """Bank account delete requests: one per event."""
+    return led.driver("events").selectExpr(
         "event_id AS request_id", "CAST(event_id div 7 AS BIGINT) AS id", "CAST(user_id % 25 AS BIGINT) AS user_id")
 
 
 @query("rule_deletes", oracle=with_ledger("""
 SELECT * FROM allocation_rules r WHERE EXISTS (
-  SELECT 1 FROM events e WHERE e.event_type = 'error'
-     AND CAST(e.user_id * 10 + (e.event_id % 6) + 1 AS BIGINT) = r.id AND CAST(e.user_id AS BIGINT) = r.user_id)""",
+  SELECT 1 FROM events e WHERE CAST(e.user_id * 10 + (e.event_id % 6) + 1 AS BIGINT) = r.id AND CAST(e.user_id AS BIGINT) = r.user_id)""",
                                         "allocation_rules"))
 def q_rule_deletes(spark, sf_dir):
-    """D5 (rules): owner-checked rule deletes, one request per error event; returns
+    """D5 (rules): owner-checked rule deletes, one request per event; returns
     the deleted rows."""
     led = L(spark, sf_dir)
     _, deleted, _ = changes.apply_deletes(led.allocation_rules, _rule_deletes(led))
@@ -1013,11 +1023,10 @@ def q_rule_deletes(spark, sf_dir):
 
 @query("bank_deletes", oracle=with_ledger("""
 SELECT * FROM bank_accounts b WHERE EXISTS (
-  SELECT 1 FROM events e WHERE e.event_type = 'purchase'
-     AND CAST(e.event_id // 7 AS BIGINT) = b.id AND CAST(e.user_id % 25 AS BIGINT) = b.user_id)""",
+  SELECT 1 FROM events e WHERE CAST(e.event_id // 7 AS BIGINT) = b.id AND CAST(e.user_id % 25 AS BIGINT) = b.user_id)""",
                                         "bank_accounts"))
 def q_bank_deletes(spark, sf_dir):
-    """D5 (accounts): owner-checked bank account deletes, one request per purchase
+    """D5 (accounts): owner-checked bank account deletes, one request per
     event; returns the deleted rows."""
     led = L(spark, sf_dir)
     _, deleted, _ = changes.apply_deletes(led.bank_accounts, _bank_deletes(led))
@@ -1025,9 +1034,9 @@ def q_bank_deletes(spark, sf_dir):
 
 
 def _gateway_toggles(led: Ledger):
-    """Enable/disable requests: one per click event, for gateway ``user_id`` by owner
+    """Enable/disable requests: one per event, for gateway ``user_id`` by owner
     ``user_id % 25``; the new flag comes from the event value."""
-    return led.driver("events").where("event_type = 'click'").selectExpr(
+    return led.driver("events").selectExpr(
         "event_id", "ts", "CAST(user_id AS BIGINT) AS id", "CAST(user_id % 25 AS BIGINT) AS user_id",
         "value > 25 AS is_enabled")
 
@@ -1042,7 +1051,7 @@ FROM payment_gateways g LEFT JOIN (
   SELECT id, user_id, is_enabled FROM (
     SELECT CAST(user_id AS BIGINT) AS id, CAST(user_id % 25 AS BIGINT) AS user_id, value > 25 AS is_enabled,
            row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
-    FROM events WHERE event_type = 'click') x WHERE rn = 1) c
+    FROM events) x WHERE rn = 1) c
   ON c.id = g.id AND c.user_id = g.user_id""", "payment_gateways"))
 def q_gateway_toggle(spark, sf_dir):
     """D4 (gateway flag) + D8: owner-checked enable/disable of gateways; the last
@@ -1073,6 +1082,18 @@ def q_cascade_delete(spark, sf_dir):
     return changes.cascade_summary({t: getattr(led, t) for t in _CHILD_TABLES}, _removed(led))
 
 
+@query("cascade_survivors", oracle=with_ledger("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, id, user_id FROM {t} "
+    f"WHERE user_id IS NULL OR user_id NOT IN (SELECT id FROM users WHERE status = 'suspended')"
+    for t in _CHILD_TABLES), "users", *_CHILD_TABLES))
+def q_cascade_survivors(spark, sf_dir):
+    """The rows of all six child tables that stay once the suspended users are removed."""
+    led = L(spark, sf_dir)
+    kept = changes.cascade_delete({t: getattr(led, t) for t in _CHILD_TABLES}, _removed(led))
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(t).alias("table_name"), "id", "user_id") for t, df in kept.items()])
+
+
 @query("audit_set_null", oracle=with_ledger("""
 SELECT a.id, CASE WHEN s.id IS NULL THEN a.user_id END AS user_id, a.action, a.resource, a.details,
        a.ip_address, a.created_at, s.id IS NOT NULL AS actor_removed
@@ -1091,12 +1112,12 @@ FROM users u LEFT JOIN (
   SELECT user_id, customer_id FROM (
     SELECT user_id, 'cus_' || CAST(event_id AS VARCHAR) AS customer_id,
            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
-    FROM events WHERE event_type = 'purchase') x WHERE rn = 1) p ON p.user_id = u.id""", "users"))
+    FROM events) x WHERE rn = 1) p ON p.user_id = u.id""", "users"))
 def q_fill_customer_id(spark, sf_dir):
     """D10 (Q23): give users without a processor customer id the id from their first
-    purchase event; existing ids are kept."""
+    event; existing ids are kept."""
     led = L(spark, sf_dir)
-    proposals = led.driver("events").where("event_type = 'purchase'").selectExpr(
+    proposals = led.driver("events").selectExpr(
         "user_id", "'cus_' || CAST(event_id AS STRING) AS customer_id", "ts", "event_id")
     return changes.fill_customer_id(led.users, proposals, ["ts", "event_id"])
 
@@ -1122,13 +1143,13 @@ FROM latest l LEFT JOIN (
   SELECT user_id, token, ts FROM (
     SELECT user_id, 'rt_rot_' || CAST(event_id AS VARCHAR) AS token, ts,
            row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, 'rt_rot_' || CAST(event_id AS VARCHAR) DESC) AS rn
-    FROM events WHERE event_type = 'view') x WHERE rn = 1) r ON r.user_id = l.user_id""",
+    FROM events) x WHERE rn = 1) r ON r.user_id = l.user_id""",
                                            "refresh_tokens", extra_ctes=(_LATEST_SESSION_SQL,)))
 def q_rotate_sessions(spark, sf_dir):
-    """D9 + X20: rotate each user's session on their latest view event: new token,
+    """D9 + X20: rotate each user's session on their latest event: new token,
     expiry seven days after it."""
     led = L(spark, sf_dir)
-    rotations = led.driver("events").where("event_type = 'view'").selectExpr(
+    rotations = led.driver("events").selectExpr(
         "user_id", "'rt_rot_' || CAST(event_id AS STRING) AS token", "ts AS at")
     return changes.rotate_sessions(changes.latest_session(led.refresh_tokens), rotations)
 
@@ -1222,13 +1243,12 @@ def q_default_fill(spark, sf_dir):
 @query("resolve_owner", oracle=with_ledger("""
 SELECT 'Primary BTC Wallet' AS name, 'bc1qseed' || CAST(c_custkey AS VARCHAR) AS address, 'BTC' AS symbol,
        'bitcoin' AS network, lower(c_name) || '@example.com' AS owner_email, u.id AS user_id
-FROM customer c JOIN users u ON lower(trim(u.email)) = lower(trim(lower(c.c_name) || '@example.com'))
-WHERE c_mktsegment = 'BUILDING'""", "users"))
+FROM customer c JOIN users u ON lower(trim(u.email)) = lower(trim(lower(c.c_name) || '@example.com'))""", "users"))
 def q_resolve_owner(spark, sf_dir):
     """Seed wallet rows keyed by their owner's e-mail resolve to the owner's id
     by a join on the normalised e-mail."""
     led = L(spark, sf_dir)
-    seed = led.driver("customer").where("c_mktsegment = 'BUILDING'").selectExpr(
+    seed = led.driver("customer").selectExpr(
         "'Primary BTC Wallet' AS name", "'bc1qseed' || CAST(c_custkey AS STRING) AS address", "'BTC' AS symbol",
         "'bitcoin' AS network", "lower(c_name) || '@example.com' AS owner_email")
     return changes.resolve_owner(seed, led.users)
@@ -1347,13 +1367,11 @@ FROM ({_USER_STATUS_BODY}) us WHERE changed
 UNION ALL
 SELECT user_id, 'delete_rule', 'allocation_rules', to_json({{'id': id}})::VARCHAR, NULL, {at}, id
 FROM allocation_rules r WHERE EXISTS (
-  SELECT 1 FROM events e WHERE e.event_type = 'error'
-     AND CAST(e.user_id * 10 + (e.event_id % 6) + 1 AS BIGINT) = r.id AND CAST(e.user_id AS BIGINT) = r.user_id)
+  SELECT 1 FROM events e WHERE CAST(e.user_id * 10 + (e.event_id % 6) + 1 AS BIGINT) = r.id AND CAST(e.user_id AS BIGINT) = r.user_id)
 UNION ALL
 SELECT user_id, 'delete_bank', 'bank_accounts', to_json({{'id': id}})::VARCHAR, NULL, {at}, id
 FROM bank_accounts b WHERE EXISTS (
-  SELECT 1 FROM events e WHERE e.event_type = 'purchase'
-     AND CAST(e.event_id // 7 AS BIGINT) = b.id AND CAST(e.user_id % 25 AS BIGINT) = b.user_id)""",
+  SELECT 1 FROM events e WHERE CAST(e.event_id // 7 AS BIGINT) = b.id AND CAST(e.user_id % 25 AS BIGINT) = b.user_id)""",
         "transactions", "allocation_rules", "crypto_wallets", "users", "refresh_tokens", "bank_accounts",
         extra_ctes=(_RUNS_SQL, _ACCEPTED_SQL, _WALLET_ADDS_SQL, _WALLET_DELETES_SQL, _USER_REQ_SQL))
 
@@ -1450,13 +1468,18 @@ def q_log_errors(spark, sf_dir):
             .select("level", "message", F.col("timestamp").cast("timestamp_ntz").alias("timestamp")))
 
 
-@query("ledger_scan", oracle=with_ledger("SELECT * FROM transactions", "transactions"))
-def q_ledger_scan(spark, sf_dir):
-    """Write the transactions ledger as a Parquet snapshot and scan it back with
-    the declared schema (no inference)."""
-    root = scratch_path(spark, "ledger")
-    tables.write_snapshot(L(spark, sf_dir).transactions, root, "transactions")
-    return tables.load_table(spark, root, "transactions")
+def _scan_query(name: str, table: str) -> None:
+    @query(name, oracle=with_ledger(f"SELECT * FROM {table}", table))
+    def scan(spark, sf_dir):
+        """Write a ledger table as a Parquet snapshot and scan it back with the declared
+        schema (no inference)."""
+        root = scratch_path(spark, "ledger")
+        tables.write_snapshot(getattr(L(spark, sf_dir), table), root, table)
+        return tables.load_table(spark, root, table)
+
+
+for _table in LEDGER_TABLES:
+    _scan_query("ledger_scan" if _table == "transactions" else f"ledger_scan_{_table}", _table)
 
 
 @query("table_counts", oracle=with_ledger("\nUNION ALL\n".join(

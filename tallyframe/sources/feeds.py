@@ -19,17 +19,23 @@ def price_feed(replies: DataFrame, coin_ids: list[str] | None = None) -> DataFra
     """``replies(reply_id, fetched_at, body)`` -> latest price per requested coin.
 
     The body is a map coin id -> {usd, usd_24h_change}; error bodies carry no coin and
-    drop out. The latest price per coin is a ``max_by`` aggregate, combined map-side,
-    so a feed with billions of polls reduces to one row per coin before any shuffle.
+    drop out. The latest price per coin (ties: the largest reply id, a bigint) is a ``max_by``
+    over one decimal made of both, so that it is hash-aggregated map-side without a sort, and
+    a feed with billions of polls reduces to one row per coin before any shuffle. A reply
+    without a time counts as the oldest.
     """
     ids = coin_ids or PRICE_COIN_IDS
     ticks = (replies
              .select("reply_id", "fetched_at", F.explode(F.from_json("body", PRICE_MAP)).alias("coin_id", "p"))
              .where(F.col("coin_id").isin(ids) & F.col("p.usd").isNotNull()))
-    order = F.struct("fetched_at", "reply_id")
+    # Microseconds above 64 bits of reply id: ordered like the pair (fetched_at, reply_id).
+    at = F.coalesce(F.unix_micros(F.col("fetched_at").cast("timestamp")), F.lit(-(1 << 62)))
+    order = (at.cast("decimal(19,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(38,0)") \
+        + F.col("reply_id").cast("decimal(19,0)")
+    ticks = ticks.select("coin_id", "p", "fetched_at", order.cast("decimal(38,0)").alias("at"))
     return ticks.groupBy("coin_id").agg(
-        F.max_by(F.col("p.usd"), order).alias("usd"),
-        F.max_by(F.col("p.usd_24h_change"), order).alias("usd_24h_change"),
+        F.max_by(F.col("p.usd"), F.col("at")).alias("usd"),
+        F.max_by(F.col("p.usd_24h_change"), F.col("at")).alias("usd_24h_change"),
         F.max("fetched_at").alias("as_of"))
 
 

@@ -22,9 +22,9 @@ PRICE_FACTORS = {"bitcoin": 4000.0, "ethereum": 250.0, "tether": 0.04, "binancec
 
 
 def price_replies(led: Ledger) -> DataFrame:
-    """One price reply per non-view event (a poll); ``error`` events land an error
+    """One price reply per event (a poll); ``error`` events land an error
     body; replies polled on ``signup`` events omit tether."""
-    ev = led.driver("events").where("event_type <> 'view'")
+    ev = led.driver("events")
     entries = ", ".join(
         f"'{coin}', named_struct('usd', value * {factor}D, 'usd_24h_change', (value - 25.0D) / 10.0D)"
         for coin, factor in PRICE_FACTORS.items())

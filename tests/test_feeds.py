@@ -82,6 +82,18 @@ def test_price_feed_latest_per_coin(spark):
     assert got == {"bitcoin": (110.0, 2.0), "tether": (1.0, 0.0)}
 
 
+def test_price_feed_ties_and_missing_times(spark):
+    def reply(i, at, usd):
+        return (i, at, json.dumps({"bitcoin": {"usd": usd, "usd_24h_change": 0.0}}))
+    schema = "reply_id long, fetched_at timestamp_ntz, body string"
+    tied = spark.createDataFrame([reply(-3, ts(1), 1.0), reply(7, ts(1), 2.0), reply(9, ts(0), 3.0),
+                                  reply(99, None, 4.0), reply(1, ts(1), 5.0)], schema)
+    assert [r.usd for r in feeds.price_feed(tied).collect()] == [2.0]
+    assert [r.usd for r in feeds.price_feed(spark.createDataFrame([reply(1, None, 4.0)], schema)).collect()] == [4.0]
+    plan = feeds.price_feed(tied)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_valuation_symbol_map_and_missing_price(spark):
     w, *_ = seed_b(spark)
     prices = spark.createDataFrame([("bitcoin", 60000.0, 1.5)], "coin_id string, usd double, usd_24h_change double")

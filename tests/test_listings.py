@@ -53,6 +53,14 @@ def test_search_filters_and_tie_break(spark):
     assert [r.id for r in page] == [3, 2]
 
 
+def test_deep_page_equals_the_group_limited_one(spark):
+    txs = _txs(spark)
+    want = [tuple(r) for r in listings.tx_search(txs).orderBy("user_id", "position").collect()]
+    deep = listings.tx_search(txs, limit=listings.GROUP_LIMIT + 1)
+    assert [tuple(r) for r in deep.orderBy("user_id", "position").collect()] == want
+    assert deep.schema == listings.tx_search(txs).schema
+
+
 def test_recent_and_global_page(spark):
     txs = _txs(spark)
     recent = {(r.user_id, r.id) for r in listings.recent_tx(txs, 2).collect()}

@@ -30,3 +30,21 @@ def test_positions_only_both_paths(spark):
     want = [(1, 1), (2, 2), (3, 1)]
     assert rows(ordered_positions(df, "k", ["t", "id"]), "id", "position") == want
     assert rows(ordered_positions(df, "k", ["t", "id"], hot_rows=0, partitions=2), "id", "position") == want
+
+
+def test_hot_null_key_is_split(spark):
+    data = [(None if i % 2 else i % 5, i % 7, i) for i in range(400)]
+    df = spark.createDataFrame(data, "k long, t long, id long")
+    got = ordered_positions(df, "k", ["t", "id"], value="id", hot_rows=100, partitions=9)
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = df.select("k", "id", F.row_number().over(w).alias("position"), F.coalesce(F.sum("id").over(
+        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("running_before"))
+    cols = ["id", "position", "running_before"]
+    assert rows(got, *cols) == rows(want, *cols)
+
+
+def test_descending_order(spark):
+    df = spark.createDataFrame([(1, i) for i in range(50)], "k long, id long")
+    want = [(i, 50 - i) for i in range(50)]
+    for hot in (10, 1000):
+        assert rows(ordered_positions(df, "k", [F.col("id").desc()], hot_rows=hot, partitions=4), "id", "position") == want
