@@ -8,7 +8,8 @@ array merges adjacent turns of one role into a block, and blocks are concatenate
 
 Control strings (``<s>``, ``</s>``, ``<sep>``, ``[INST]``, ``[/INST]``, ``<<SYS>>``,
 ``<</SYS>>``) never appear inside escaped text: a backslash is put behind their first
-character, and backslashes are doubled. Undoing both, from left to right, is exact.
+character, and backslashes are doubled; a line break in a role is written as a backslash and
+``n``. Undoing all, from left to right, is exact.
 
 The loss mask covers what an assistant says, without role, separators and end marks: spans
 of (start, length) in code points of the formatted string.
@@ -32,19 +33,30 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
+def escape_role(role: Column) -> Column:
+    """An escaped role without line breaks, which end the role. No control string starts with
+    ``n``, so a single backslash before it stands for a line break alone."""
+    return F.regexp_replace(escape(role), "\n", r"\\n")
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
+
+
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                          text_col: str = "text") -> DataFrame:
     """(conv_id, formatted, loss_mask): one row per conversation.
 
     Turns go by turn number, nulls first; ties by role and text, so repeated rows all appear.
     Null roles and texts are empty. Rows without a conversation id form one conversation.
-    Roles are escaped like texts. An empty table gives no rows; other columns are not read."""
+    Roles are escaped like texts, line breaks in them too. An empty table gives no rows; other
+    columns are not read."""
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(
         F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     merged = sorted_turns.select("conv_id", F.transform("turns", lambda t: F.struct(
-        escape(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == LOSS_ROLE).alias("loss")))
+        escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == LOSS_ROLE).alias("loss")))
         .alias("turns"))
     # Every turn knows what stands before and behind its text: this is the merge.
     pieces = merged.select("conv_id", F.transform("turns", lambda t, i: F.struct(
@@ -71,7 +83,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         F.split("formatted", END), lambda b: b != "").alias("blocks"))
     turns = F.flatten(F.transform("blocks", lambda b: F.transform(
         F.split(F.substr(b, F.instr(b, "\n") + 1), SEP), lambda x: F.struct(
-            unescape(F.substr(b, F.lit(len(BEGIN) + 1), F.instr(b, "\n") - len(BEGIN) - 1)).alias("role"),
+            unescape_role(F.substr(b, F.lit(len(BEGIN) + 1), F.instr(b, "\n") - len(BEGIN) - 1)).alias("role"),
             unescape(x).alias("text")))))
     return blocks.select("conv_id", "formatted", turns.alias("turns"), F.transform("loss_mask", lambda m: unescape(
         F.substr("formatted", (m["start"] + 1).cast("int"), m["length"].cast("int")))).alias("loss_texts"))

@@ -50,7 +50,7 @@ def test_chat_of_the_driver_table(spark):
 def test_chat_of_odd_rows(spark):
     rnd = random.Random(2)
     bits = ["<s>", "</s>", "<sep>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\", "<", "s>", "/", "\n", "é😀", " ", "$1"]
-    rows = [(c, t, rnd.choice(["user", "assistant", "assistant", None, "<s>r\n"[:4]]), rnd.choice(
+    rows = [(c, t, rnd.choice(["user", "assistant", "assistant", None, "<s>r", "<s>r\n", "a\\n", "\\\n\nb"]), rnd.choice(
         [None, "", *("".join(rnd.choices(bits, k=rnd.randrange(1, 9))) for _ in range(8))]))
         for c in range(40) for t in range(rnd.randrange(1, 9))]
     rows += [(None, None, "assistant", "x"), (7, 0, "assistant", "twice"), (7, 0, "assistant", "twice"),
