@@ -240,6 +240,49 @@ def test_line_dedup_matches_all_suffixes(spark):
             assert r.clean_text == text
 
 
+def any_copy_brute(rows, min_words):
+    """Removed line numbers by (id, text): from every line on, the longest run with any earlier copy."""
+    docs = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    seqs = [[x for x in (t or "").split("\n") if x.encode().split()] for _, t in docs]
+    places, removed = defaultdict(list), [set() for _ in docs]
+    for d, s in enumerate(seqs):
+        for i, x in enumerate(s):
+            n = 0
+            for e, j in places[x]:
+                m = 1
+                while i + m < len(s) and j + m < len(seqs[e]) and s[i + m] == seqs[e][j + m]:
+                    m += 1
+                n = max(n, m)
+            if sum(len(x.encode().split()) for x in s[i:i + n]) >= min_words:
+                removed[d].update(range(i, i + n))
+            places[x].append((d, i))
+    return {docs[d]: sorted(removed[d]) for d in range(len(docs))}
+
+
+def test_line_dedup_follows_any_earlier_copy(spark):
+    head = " ".join(f"h{k}" for k in range(60))
+    rows = [(2 * k + n, f"{head}\ntail a{k}\ntail b{k}") for k in range(20) for n in (0, 1)]
+    assert {r.id: r.removed for r in dedup(spark, rows, 50)} == {
+        i: [] if i == 0 else [0, 1, 2] if i % 2 else [0] for i, _ in rows}
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_line_dedup_matches_the_longest_run_of_any_copy(spark, seed):
+    rnd = random.Random(seed)
+    pool = [" ".join(f"w{rnd.randrange(30)}" for _ in range(rnd.choice([1, 1, 2, 4, 8, 14]))) for _ in range(12)]
+    runs = [[rnd.choice(pool) for _ in range(rnd.randrange(2, 12))] for _ in range(6)]
+    rows = []
+    for n in range(120):
+        parts = [rnd.choice([rnd.choice(runs), [f"unique {n} {k}"], [rnd.choice(pool)], ["", "  "]])
+                 for k in range(rnd.randrange(0, 9))]
+        rows.append((n, "\n".join(itertools.chain.from_iterable(parts))))
+    rows += rows[:5]
+    want = any_copy_brute(rows, 12)
+    got = dedup(spark, rows, 12)
+    assert Counter((r.id, r.n_lines, tuple(r.removed)) for r in got) == Counter(
+        (i, sum(1 for x in t.split("\n") if x.strip()), tuple(want[i, t])) for i, t in rows)
+
+
 def test_line_dedup_of_the_driver_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
     want = dedup_brute(rows, 50)
