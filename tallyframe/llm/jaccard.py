@@ -55,8 +55,8 @@ def _key(grams: np.ndarray) -> bytes | None:
 
 
 def _sign(width: int, percent: int):
-    """(id, text) -> (id, n, node, sigs): ``sigs`` is null where this task has published the
-    node's signatures before, so many copies send few of them."""
+    """(id, text) -> (id, n, node, sigs): ``sigs`` is empty where this task has published the
+    node's signatures before, so many copies send few of them. Rows without an id publish none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, cuts, seen = WordHashes(), Fragments(percent), set()
@@ -64,10 +64,10 @@ def _sign(width: int, percent: int):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 sizes, nodes, sigs, fresh = [], [], [], []
-                for text in part.column(1):
+                for i, text in zip(part.column(0), part.column(1)):
                     g = shingles(text.as_py(), width, words)
                     key = _key(g)
-                    new = key is not None and key not in seen
+                    new = key is not None and i.is_valid and key not in seen
                     if new:
                         if len(seen) >= SEEN:
                             seen.clear()
@@ -159,7 +159,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     members = written(signed.select("id", "n", "node"), "jaccard-members")
 
     short = F.xxhash64("node").alias("short")
-    sigs = signed.where("id is not null").select(F.explode("sigs").alias("sig"), short)
+    sigs = signed.select(F.explode("sigs").alias("sig"), short)
     candidates = written(sigs.repartition("sig").sortWithinPartitions("sig", "short")
                          .mapInArrow(_repeated, "short long").distinct(), "jaccard-candidates")
     discard(signed)         # by far the largest table here

@@ -87,6 +87,15 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
         (4, 1, 4), (5, 1, 4), (5, 1, 4), (None, 1, None)]
 
 
+def test_null_id_ahead_of_a_text_and_its_near_copy(spark):
+    words = [f"w{k}" for k in range(100)]
+    text, near = " ".join(words), " ".join(words[:99] + ["other"])
+    schema = "doc_id long, text string"
+    df = spark.createDataFrame([(None, text), (2, text), (1, near)], schema).coalesce(1)    # one task, in this order
+    assert sorted(map(tuple, near_duplicate_groups(df).collect()), key=str) == [
+        (1, 96, 1), (2, 96, 1), (None, 96, None)]
+
+
 def test_linked_sets_share_a_signature():
     """The pigeonhole bound, on random pairs right at the threshold."""
     rnd, words = random.Random(5), WordHashes()
