@@ -23,6 +23,9 @@ WEIGHTS = {("crawl",): 0.35, ("curated",): 0.65,
            ("crawl", "en"): 0.6, ("crawl", "de"): 0.15, ("crawl", "fr"): 0.15, ("crawl", "es"): 0.1,
            ("curated", "en"): 0.6, ("curated", "de"): 0.15, ("curated", "fr"): 0.15, ("curated", "es"): 0.1}
 
+#: Names a row by its doc_id and a hash of its text, within a stage.
+KEY = "_row_key"
+
 
 def domain_of() -> F.Column:
     return F.when(F.col("source") == "src0", "crawl").otherwise("curated")
@@ -35,24 +38,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of five-word Jaccard similarity 0.8 or more, and
-    of rows repeated under one doc_id one. Rows without a doc_id stay."""
-    groups = written(near_duplicate_groups(docs, width=5, percent=80).where("id is not null"), "pipeline-groups")
-    losers = groups.where(F.col("id") != F.col("group")).select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(sized(losers), "doc_id", "left_anti")
-    again = written(groups.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("k")).where("k > 1")
-                    .select("doc_id"), "pipeline-repeats")
+    of rows equal in doc_id and text one. Texts that share a doc_id are judged one by one. Rows
+    without a doc_id stay."""
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("hash")))
+    rows = docs.withColumn(KEY, key)
+    groups = written(near_duplicate_groups(rows, KEY, width=5, percent=80).where("id is not null"), "pipeline-groups")
+    losers = groups.where(F.col("id") != F.col("group")).select(F.col("id").alias(KEY)).distinct()
+    kept = rows.join(sized(losers), KEY, "left_anti")
+    again = written(groups.groupBy(F.col("id").alias(KEY)).agg(F.count("*").alias("k")).where("k > 1")
+                    .select(KEY), "pipeline-repeats")
     if again.isEmpty():
         return kept.select(docs.columns)
     again = sized(again)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    once = kept.join(again, KEY, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, KEY, "left_anti").unionByName(once).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that contain a benchmark item. Rows without a doc_id stay."""
-    found = written(contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(),
-                    "pipeline-contained")
-    return docs.join(sized(found), "doc_id", "left_anti").select(docs.columns)
+    """Removes the rows, also those without a doc_id, whose text contains a benchmark item."""
+    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), F.xxhash64("text").alias("hash"))
+    rows = docs.withColumn(KEY, key)
+    found = written(contained_items(rows, table(spark, sf_dir, "benchmark"), KEY).select(F.col("doc_id").alias(KEY))
+                    .distinct(), "pipeline-contained")
+    return rows.join(sized(found), KEY, "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

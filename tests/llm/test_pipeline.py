@@ -75,3 +75,23 @@ def test_stages_on_odd_rows(spark):
     assert cp.mixing(spark, one, SF001).columns == df.columns
     for _, stage in cp.STAGES:
         assert stage(spark, df.limit(0), SF001).count() == 0
+
+
+def test_texts_that_share_an_id_are_judged_one_by_one(spark):
+    item = spark.read.parquet(f"{SF001}/benchmark.parquet").orderBy("item_id").first().text
+    words = [f"w{k}" for k in range(100)]
+    text, near, other, more = " ".join(words), " ".join(words[:99] + ["x"]), "an entirely different clean text", "one more clean text"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def left(stage, rows):
+        df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], schema)
+        out = stage(spark, df, SF001)
+        assert out.columns == df.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    assert left(cp.near_duplicates, [(1, text), (2, near), (2, other)]) == [(1, text), (2, other)]
+    got = left(cp.near_duplicates, [(3, text), (3, near), (3, other), (3, other)])
+    assert len(got) == 2 and (3, other) in got
+    dirty = f"some words {item} more words"
+    assert left(cp.decontaminate, [(4, dirty), (4, other), (None, dirty), (None, more), (5, more)]) == sorted(
+        [(4, other), (None, more), (5, more)], key=str)
