@@ -11,6 +11,9 @@ from tallyframe.session import materialize, scratch_path
 BROADCAST_ROWS = 500_000
 
 
+#: Rows of one key that a shuffle join may always have in one task.
+HOT_ROWS = 1_000
+
 #: Makes Spark remove a write's shuffle files as soon as it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -45,6 +48,19 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """Inner join of ``left`` with the columns of ``right`` but ``rows``; ``right`` has one row per key, and
+    says in ``rows`` how many of ``left`` have it. Both are read several times: pass written tables.
+
+    Keys with more than a ten-thousandth of all rows of ``left`` (``HOT_ROWS`` at least) are no more than
+    10,000 and are broadcast; all others join by a shuffle, in which no key weighs more than that."""
+    bound = max(HOT_ROWS, left.count() // 10_000)
+    hot = F.broadcast(right.where(F.col(rows) > bound).drop(rows))
+    rest = left.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(
+        right.where(F.col(rows) <= bound).drop(rows), keys)
+    return left.join(hot, keys).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

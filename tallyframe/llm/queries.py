@@ -11,13 +11,16 @@ from tallyframe.llm.chat import digests, format_conversations, read_back
 from tallyframe.llm.common import table
 from tallyframe.llm.decontaminate import contained_items
 from tallyframe.llm.html_extract import extract_main_text
+from tallyframe.llm.infill import fill_in_middle, restored
 from tallyframe.llm.jaccard import near_duplicate_groups
 from tallyframe.llm.licenses import scan_licenses
 from tallyframe.llm.line_dedup import dedup_lines
 from tallyframe.llm.mixing import mix
 from tallyframe.llm.oracles import ORACLES  # noqa: F401
 from tallyframe.llm.packing import pack_tokens
+from tallyframe.llm.periodic_runs import periodic_runs, with_planted_periods
 from tallyframe.llm.quality_rules import quality_rules
+from tallyframe.llm.substring_dedup import dedup_substrings
 from tallyframe.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +101,34 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line numbers that repeat an earlier run of 50 words or more, for every document."""
     return dedup_lines(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_lines", "n_removed", "removed", F.length("clean_text").alias("n_chars_left"))
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, one text in ten with a planted period."""
+    found = periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")), "id")
+    best = F.expr("array_min(transform(runs, r -> struct(-r.length as l, r.start as start, r.period as period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    found = found.withColumn("best", best).withColumn("length", -F.col("best.l"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), "best.start", "length", "best.period",
+        F.floor(1000 * F.col("length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@_query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in fill-in-middle form, and the digest of the text rebuilt from it."""
+    d = fill_in_middle(table(spark, sf_dir, "documents"))
+    return d.select(F.col("id").alias("doc_id"), "n", "form", F.col("start").alias("prefix_chars"),
+                    (F.col("end") - F.col("start")).alias("middle_chars"),
+                    F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                    F.sha2(restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+@_query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows of 35 words that occur more than once."""
+    return dedup_substrings(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
