@@ -98,3 +98,69 @@ contained AS (
 
 
 ORACLES["op8_decontaminate"] = "WITH " + contained_sql("documents") + "\nSELECT * FROM contained"
+
+
+_CLEAN_WORDS = r"[x for x in regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+') if x <> '']"
+
+# CRC-32 bit by bit, as DuckDB has no function for it.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: list_transform(range(0, 8), lambda j: CAST((ascii(c) >> CAST(j AS INT)) & 1 AS BIGINT))))),
+  lambda c, b: CASE WHEN xor(c & 1, b) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+ORACLES["op11_periodic_runs"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_CLEAN_WORDS} AS o, {_CRC} AS h FROM documents),
+cut AS (SELECT r, doc_id, o, len(o) AS n, h % 10 = 0 AND len(o) > 0 AS planted, (h // 10) AS g FROM d),
+place AS (SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM cut),
+texts AS (SELECT r, doc_id, n, CASE WHEN planted THEN
+            [o[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1] for i in range(0, n)] ELSE o END AS w FROM place),
+words AS (SELECT r, n, i, w[i + 1] AS x FROM texts, unnest(range(0, n)) AS t(i)),
+equal AS (SELECT a.r, a.i, b.i - a.i AS q FROM words a JOIN words b
+          ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal),
+stretches AS (SELECT r, min(i) AS start, count(*) + q AS length, q FROM islands GROUP BY r, q, island
+              HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+gone AS (SELECT DISTINCT r, i FROM runs, unnest(range(start + period, start + length)) AS t(i)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (r, i) GROUP BY r),
+per AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+               min(struct_pack(l := -length, s := start, p := period)) AS best FROM runs GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, (-best.l)::BIGINT AS length,
+       best.p::BIGINT AS period, (1000 * -best.l // best.p)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM texts LEFT JOIN per USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(text, '[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+') AS units,
+         [CAST('0x' || x[8 * k + 1:8 * k + 8] AS BIGINT) for k in range(0, 4)] AS h FROM d),
+cuts AS (
+  SELECT *, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a,
+         greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50
+              THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+parts AS (
+  SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m,
+         array_to_string(units[b + 1:len(units)], '') AS s FROM cuts)
+SELECT doc_id, len(units)::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+ORACLES["op13_substring_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_CLEAN_WORDS} AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i + 1:i + 35], ' ') AS g FROM d, unnest(range(0, len(w) - 34)) AS t(i)),
+often AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + o AS i FROM windows JOIN often USING (g), unnest(range(0, 35)) AS t(o)),
+words AS (SELECT r, i, w[i + 1] AS x FROM d, unnest(range(0, len(w))) AS t(i)),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
