@@ -62,9 +62,12 @@ def clamp(c, lo, hi) -> Column:
 
 
 def int_or_zero(c) -> Column:
-    """The leading integer as JS ``parseInt`` reads it, or 0 (never raises under ANSI)."""
+    """The leading integer as JS ``parseInt`` reads it, or 0 (never raises under ANSI); beyond
+    the int range its nearest end, whatever the number of digits."""
     lead = F.regexp_extract(col_(c).cast("string"), r"^\s*([+-]?\d+)", 1)
-    return F.coalesce(lead.try_cast("int"), F.lit(0))
+    low, high = F.lit(-(1 << 31)), F.lit((1 << 31) - 1)
+    number = F.least(F.greatest(lead.try_cast("decimal(38,0)"), low), high).cast("int")
+    return F.coalesce(number, F.when(lead.startswith("-"), low).when(lead != "", high), F.lit(0))
 
 
 def normalize_email(c) -> Column:

@@ -120,6 +120,25 @@ def alloc_run(runs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     return allocations, rejects
 
 
+def run_records(runs: DataFrame, rules: DataFrame, amount: str = "amount") -> DataFrame:
+    """S9 + R4: the accepted runs, each with ``allocations``: one (ruleId, ruleName, amount, percentage) per
+    auto rule of its owner, by rule id.
+
+    The rule list of an owner whose auto rules sum to 100 is gathered once (an audit record holds it
+    whole); runs join it on the owner behind a size check and compute their shares in place, so
+    they're neither multiplied by the rules nor shuffled."""
+    owners, few = measured(runs.select("user_id").distinct())
+    cut = auto_rules(rules).join(owners, "user_id", "left_semi") if few else auto_rules(rules)
+    lists = cut.groupBy("user_id").agg(
+        F.sum("percentage").cast(PCT_TOTAL).alias("_total"),
+        F.sort_array(F.collect_list(F.struct("id", "name", "percentage"))).alias("_rules")).where(
+        F.col("_total") == _hundred()).drop("_total")
+    j = runs.join(F.broadcast(lists) if few else checked_broadcast(lists), "user_id")
+    return j.withColumn("allocations", F.transform("_rules", lambda r: F.struct(
+        r["id"].alias("ruleId"), r["name"].alias("ruleName"), share(F.col(amount), r["percentage"]).alias("amount"),
+        r["percentage"].alias("percentage")))).drop("_rules")
+
+
 def alloc_preview(amounts: DataFrame, rules: DataFrame) -> DataFrame:
     """Preview of ``amounts(user_id, amount)`` over **all** the owner's rules,
     without the gate; ``warn`` is set when those rules do not sum to 100."""

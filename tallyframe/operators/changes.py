@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.schemas import DEFAULTS, LEDGER_SCHEMAS, ROLES, SESSION_DAYS
 from tallyframe.operators.joins import checked_broadcast
+from tallyframe.operators.windows import ordered_positions
 
 
 def _ts(as_of) -> Column:
@@ -32,18 +33,20 @@ def _ts(as_of) -> Column:
 
 
 def pick_per_key(df: DataFrame, keys: list[str], order: list[str], last: bool = True,
-                 count_as: str | None = None) -> DataFrame:
+                 count_as: str | None = None, extra: tuple[Column, ...] = ()) -> DataFrame:
     """One row per key, the one with the greatest (``last``) or smallest ``order``.
 
     Ties on ``order`` are broken by the remaining columns, so the pick is deterministic.
-    With ``count_as``, the number of rows of the key is added from the same aggregate.
+    With ``count_as``, the number of rows of the key is added from the same aggregate, and so are
+    the named aggregates ``extra``.
     """
     payload = [c for c in df.columns if c not in keys]
     ordered = F.struct(F.struct(*[F.col(c) for c in order]).alias("o"), F.struct(*payload).alias("row"))
     aggs = [(F.max(ordered) if last else F.min(ordered)).alias("_m")]
     if count_as:
         aggs.append(F.count("*").alias(count_as))
-    return df.groupBy(*keys).agg(*aggs).select(*keys, "_m.row.*", *([count_as] if count_as else []))
+    grouped = df.groupBy(*keys).agg(*aggs, *extra)
+    return grouped.select(*keys, "_m.row.*", *[c for c in grouped.columns if c not in keys and c != "_m"])
 
 
 # ---------------------------------------------------------------------------
@@ -92,9 +95,11 @@ def create_users(users: DataFrame, requests: DataFrame) -> DataFrame:
     required, blank counting as missing (V3); role in the allowed set, default
     ``user``; an e-mail that already exists, or that an earlier valid request of the
     batch takes, is refused (J1); a request refused for another reason takes nothing. Accepted rows are the new users with status ``active``
-    (D3, D11); refused rows carry the reason.
+    (D3, D11); refused rows carry the reason. Further columns of the requests (as the actor) are kept.
     """
+    further = [c for c in requests.columns if c not in ("request_id", "email", "first_name", "last_name", "role")]
     r = requests.select(
+        *further,
         "request_id", F.lower(F.trim("email")).alias("email"),
         F.trim("first_name").alias("first_name"), F.trim("last_name").alias("last_name"),
         F.coalesce(F.col("role"), F.lit(DEFAULTS["users"]["role"])).alias("role"))
@@ -111,14 +116,14 @@ def create_users(users: DataFrame, requests: DataFrame) -> DataFrame:
                    "A user with this email already exists."))
     return j.select("request_id", "email", "first_name", "last_name", "role",
                     F.when(error.isNull(), F.lit(DEFAULTS["users"]["status"])).alias("status"),
-                    error.isNull().alias("accepted"), error.alias("error"))
+                    error.isNull().alias("accepted"), error.alias("error"), *further)
 
 
 # ---------------------------------------------------------------------------
 # Upsert (D1, D2)
 # ---------------------------------------------------------------------------
 def upsert(target: DataFrame, changes: DataFrame, key: str, update_cols: list[str],
-           order: list[str], as_of) -> DataFrame:
+           order: list[str], as_of, id_col: str = "id") -> DataFrame:
     """``INSERT ... ON CONFLICT (key) DO UPDATE SET update_cols``.
 
     The last change per key wins (Q13); changes with a NULL key are always inserted
@@ -127,10 +132,22 @@ def upsert(target: DataFrame, changes: DataFrame, key: str, update_cols: list[st
     the table's defaults. Returns the new snapshot with a ``change`` column
     (updated / inserted / unchanged) and ``n_changes``, the number of change rows that
     targeted the row's key (more than 1 means several were collapsed into the last).
+
+    A table's sequence gives every attempted insert a number, so an inserted row without an
+    ``id_col`` of its own gets the greatest id plus the place, by ``order`` (a total order), of
+    its key's first change among all changes; changes that update leave gaps. Places are
+    numbered by ``ordered_positions``, in many tasks when the changes are many.
     """
     cols = target.columns
-    c_last = pick_per_key(changes.where(F.col(key).isNotNull()), [key], order, last=True,
-                          count_as="n_changes")
+    given = id_col in changes.columns
+    if not given:
+        top = target.agg(F.max(id_col)).first()[0] or 0
+        attempts = ordered_positions(changes.withColumn("_all", F.lit(0)), "_all", order, position=id_col)
+        changes = attempts.drop("_all").withColumn(id_col, F.col(id_col) + F.lit(top))
+    c_last = pick_per_key(changes.where(F.col(key).isNotNull()), [key], order, last=True, count_as="n_changes",
+                          extra=() if given else (F.min(id_col).alias("_first_id"),))
+    if not given:
+        c_last = c_last.drop(id_col).withColumnRenamed("_first_id", id_col)
     # explicit presence marker: an earlier insert may have left a NULL id
     t_key = target.where(F.col(key).isNotNull()).withColumn("_in_target", F.lit(True))
     c = c_last.select(*[F.col(x).alias(f"_c_{x}") for x in c_last.columns])
@@ -221,20 +238,20 @@ def session_check(sessions: DataFrame, users: DataFrame, requests: DataFrame, as
 # ---------------------------------------------------------------------------
 def apply_updates(target: DataFrame, changes: DataFrame, set_cols: list[str], order: list[str],
                   as_of, keys: tuple[str, ...] = ("id", "user_id"),
-                  valid: Column | None = None) -> tuple[DataFrame, DataFrame]:
+                  valid: Column | None = None, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """D4 + D8: ``UPDATE t SET set_cols WHERE id = ? AND user_id = ?`` for every change.
 
     Changes failing ``valid`` (e.g. a percentage outside 0..100) are refused before
     any update. The last valid change per row wins. Returns ``(snapshot, rejects)``:
-    the full new snapshot with ``updated_at`` touched and a ``changed`` flag, and the
-    refused changes with a ``reason`` (invalid value, or not found / not owned, A11).
+    the full new snapshot with ``updated_at`` touched, a ``changed`` flag and the columns ``carry``
+    of the change that applied (as an actor's id), and the refused changes with a ``reason`` (invalid value, or not found / not owned, A11).
     """
     keys = list(keys)
     ok = F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)
     invalid = changes.where(~ok).withColumn("reason", F.lit("invalid value"))
     changes = changes.where(ok)
-    last = pick_per_key(changes, keys, order).select(*keys, *[F.col(c).alias(f"_n_{c}") for c in set_cols],
-                                                     F.lit(True).alias("_hit"))
+    last = pick_per_key(changes, keys, order).select(
+        *keys, *[F.col(c).alias(f"_n_{c}") for c in (*set_cols, *carry)], F.lit(True).alias("_hit"))
     j = target.join(last, keys, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     out = []
@@ -245,7 +262,7 @@ def apply_updates(target: DataFrame, changes: DataFrame, set_cols: list[str], or
             out.append(F.when(hit, _ts(as_of)).otherwise(F.col(x)).alias(x))
         else:
             out.append(F.col(x))
-    snapshot = j.select(*out, hit.alias("changed"))
+    snapshot = j.select(*out, hit.alias("changed"), *[F.col(f"_n_{c}").alias(c) for c in carry])
     missing = (changes.join(target.select(*keys), keys, "left_anti")
                .withColumn("reason", F.lit("not found or not owned")))
     return snapshot, missing.unionByName(invalid)

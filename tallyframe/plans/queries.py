@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import portfolio
 from tallyframe.plans.registry import query
-from tallyframe.sources.bindings import Ledger, with_ledger
+from tallyframe.sources.bindings import Ledger, duck_type, with_ledger
 
 
 def L(spark: SparkSession, sf_dir: str) -> Ledger:
@@ -287,7 +287,7 @@ def q_tx_statement(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Allocation
 # ---------------------------------------------------------------------------
-from tallyframe.operators import allocation  # noqa: E402
+from tallyframe.operators import acceptance, allocation  # noqa: E402
 from tallyframe.schemas import RULE_PALETTE  # noqa: E402
 
 
@@ -350,6 +350,50 @@ def q_rule_cap_check(spark, sf_dir):
     return allocation.rule_cap_check(led.allocation_rules, _cap_candidates(led))
 
 
+def _rule_requests(led: Ledger):
+    """New-rule requests in their order: one per event, at its time, from its user's address;
+    percentages as typed (unparsable for every 13th event, far too large for every 29th)."""
+    return led.driver("events").selectExpr(
+        "event_id AS request_id", "CAST(user_id AS BIGINT) AS user_id", "'Rule ' || CAST(event_id AS STRING) AS name",
+        "CASE WHEN event_id % 13 = 0 THEN 'n/a' WHEN event_id % 29 = 0 THEN '99999999999' "
+        "ELSE CAST(event_id % 11 AS STRING) || '%' END AS pct_text",
+        "event_id % 17 = 0 AS is_locked", "ts AS asked_at", f"{_IP} AS ip_address")
+
+
+_IP = "'10.' || CAST(user_id % 256 AS STRING) || '.0.1'"
+_IP_SQL = "'10.' || CAST(user_id % 256 AS VARCHAR) || '.0.1'"
+_ACCEPT_CTES = ("""rule_requests AS (
+  SELECT event_id AS request_id, CAST(user_id AS BIGINT) AS user_id, 'Rule ' || CAST(event_id AS VARCHAR) AS name,
+         CAST(CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_id % 29 = 0 THEN 100 ELSE event_id % 11 END AS DECIMAL(5,2)) AS pct,
+         event_id % 17 = 0 AS is_locked, ts AS asked_at, """ + _IP_SQL + """ AS ip_address,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events)""", """accepted_rules AS (
+  SELECT r.*, CAST(coalesce(t.total, 0) AS DECIMAL(18,2)) AS before,
+         is_locked OR coalesce(t.total, 0) + pct <= 100 AS ok
+  FROM rule_requests r LEFT JOIN (SELECT user_id, sum(percentage) AS total FROM allocation_rules GROUP BY user_id) t
+    USING (user_id) WHERE n = 1
+  UNION ALL
+  SELECT r.*, CAST(a.before + CASE WHEN a.ok THEN a.pct ELSE 0 END AS DECIMAL(18,2)),
+         r.is_locked OR a.before + CASE WHEN a.ok THEN a.pct ELSE 0 END + r.pct <= 100
+  FROM accepted_rules a JOIN rule_requests r ON r.user_id = a.user_id AND r.n = a.n + 1)""")
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("rule_acceptance", oracle=recursive(with_ledger("""
+SELECT request_id, user_id, name, is_locked, asked_at, ip_address, CAST(pct AS DECIMAL(5,2)) AS percentage,
+       before AS total_before, CAST(before + pct AS DECIMAL(18,2)) AS total_asked, ok AS accepted,
+       CASE WHEN NOT ok THEN 'Total percentage cannot exceed 100%.' END AS error
+FROM accepted_rules""", "allocation_rules", extra_ctes=_ACCEPT_CTES)))
+def q_rule_acceptance(spark, sf_dir):
+    """A7 + X8 in order: every event's new-rule request decided against the owner's stored
+    total plus all requests accepted before it; refused requests add nothing."""
+    led = L(spark, sf_dir)
+    return acceptance.accept_in_order(led.allocation_rules, _rule_requests(led))
+
+
 @query("alloc_run", oracle=with_ledger(f"""
 SELECT r.run_id, r.user_id, a.id AS rule_id, a.name AS rule_name, a.percentage, r.amount,
        {_SHARE_SQL.format(a='r.amount', p='a.percentage')} AS share
@@ -546,7 +590,8 @@ def q_price_feed(spark, sf_dir):
 _BANK_FEED_SQL = """
 SELECT c_custkey // 3 AS link_id,
        CAST(min(c_nationkey) OVER (PARTITION BY c_custkey // 3) AS BIGINT) AS user_id,
-       'item-' || CAST(c_custkey // 3 AS VARCHAR) AS item_id,
+       CASE WHEN (c_custkey // 3) % 10 = 3 THEN 'new-item-' || CAST(c_custkey // 3 AS VARCHAR)
+            WHEN (c_custkey // 3) % 23 <> 5 THEN 'item-' || CAST(c_custkey // 3 AS VARCHAR) END AS item_id,
        (['Chase', 'Wise', 'Mercury', 'Bank of America'])[(c_custkey // 3) % 4 + 1] AS institution,
        CAST(row_number() OVER (PARTITION BY c_custkey // 3 ORDER BY c_custkey) - 1 AS INTEGER) AS pos,
        'Linked ' || lower(c_mktsegment) AS name, lower(c_mktsegment) AS account_type,
@@ -738,12 +783,12 @@ def q_length_violations(spark, sf_dir):
 
 @query("decimal_overflow", oracle="""
 SELECT 'raw' AS table_name, o_orderkey AS row_id, 'o_totalprice' AS column_name,
-       'does not fit decimal(8,2)' AS violation
-FROM orders WHERE o_totalprice IS NOT NULL AND TRY_CAST(o_totalprice AS DECIMAL(8,2)) IS NULL""")
+       'does not fit decimal(7,2)' AS violation
+FROM orders WHERE o_totalprice IS NOT NULL AND TRY_CAST(o_totalprice AS DECIMAL(7,2)) IS NULL""")
 def q_decimal_overflow(spark, sf_dir):
-    """V6 (numbers): order totals that would overflow a DECIMAL(8,2) column on load."""
+    """V6 (numbers): order totals that would overflow a DECIMAL(7,2) column on load."""
     raw = L(spark, sf_dir).driver("orders").select("o_orderkey", "o_totalprice")
-    return quality.decimal_overflow(raw, "o_orderkey", {"o_totalprice": "decimal(8,2)"})
+    return quality.decimal_overflow(raw, "o_orderkey", {"o_totalprice": "decimal(7,2)"})
 
 
 # ---------------------------------------------------------------------------
@@ -763,16 +808,19 @@ def _bank_changes(led: Ledger):
         "balance", "currency", "'verified' AS status", "link_id", "pos")
 
 
+_BANK_TYPES = {f.name: duck_type(f.dataType.simpleString()) for f in LEDGER_SCHEMAS["bank_accounts"].fields}
 _UPSERT_COLS = ["name", "bank_name", "account_type", "last4", "balance", "currency", "status"]
 
 
 def _bank_upsert_sql() -> str:
     src = {"name": "c.name", "bank_name": "c.institution", "account_type": "c.account_type",
            "last4": "c.last4", "balance": "c.balance", "currency": "c.currency", "status": "'verified'"}
+    null = src | {"id": "(SELECT max(id) FROM bank_accounts) + c.nth", "user_id": "c.user_id",
+                  "created_at": f"TIMESTAMP '{AS_OF}'", "updated_at": f"TIMESTAMP '{AS_OF}'"}
     sel = []
     for col in _BANK_COLS:
         if col == "id":
-            sel.append("t.id")
+            sel.append("coalesce(t.id, (SELECT max(id) FROM bank_accounts) + c.attempt) AS id")
         elif col == "user_id":
             sel.append("CASE WHEN t.id IS NULL THEN c.user_id ELSE t.user_id END AS user_id")
         elif col in src:
@@ -792,11 +840,16 @@ SELECT {', '.join(sel)},
        coalesce(c.n_changes, 0) AS n_changes
 FROM (SELECT * FROM bank_accounts WHERE plaid_item_id IS NOT NULL) t
 FULL OUTER JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY link_id DESC, pos DESC) AS rn,
-                                       count(*) OVER (PARTITION BY item_id) AS n_changes
-                                FROM ({_BANK_FEED_SQL}) f) x WHERE rn = 1) c
+                                       count(*) OVER (PARTITION BY item_id) AS n_changes,
+                                       min(nth) OVER (PARTITION BY item_id) AS attempt
+                                FROM attempts WHERE item_id IS NOT NULL) x WHERE rn = 1) c
   ON t.plaid_item_id = c.item_id
 UNION ALL
-SELECT *, 'unchanged', CAST(0 AS BIGINT) FROM bank_accounts WHERE plaid_item_id IS NULL""", "bank_accounts")
+SELECT {', '.join(f"CAST({null.get(col, 'NULL')} AS {_BANK_TYPES[col]}) AS {col}" for col in _BANK_COLS)}, 'inserted', CAST(1 AS BIGINT)
+FROM attempts c WHERE item_id IS NULL
+UNION ALL
+SELECT *, 'unchanged', CAST(0 AS BIGINT) FROM bank_accounts WHERE plaid_item_id IS NULL""", "bank_accounts",
+                       extra_ctes=(f"attempts AS (SELECT *, row_number() OVER (ORDER BY link_id, pos) AS nth FROM ({_BANK_FEED_SQL}) f)",))
 
 
 @query("bank_upsert", oracle=_bank_upsert_sql())
@@ -1316,9 +1369,7 @@ from tallyframe.sources import audit, tables  # noqa: E402
 
 
 def _run_audit(led: Ledger):
-    runs = _runs(led)
-    allocations, _ = allocation.alloc_run(runs, led.allocation_rules)
-    return audit.run_audit(allocations, runs)
+    return audit.run_audit(allocation.run_records(_runs(led), led.allocation_rules).withColumn("ip_address", F.expr(_IP)))
 
 
 _ACCEPTED_SQL = f"""accepted AS (
@@ -1332,48 +1383,49 @@ _ACCEPTED_SQL = f"""accepted AS (
 
 def _audit_append_sql() -> str:
     at = f"TIMESTAMP '{AS_OF}'"
-    return with_ledger(f"""
+    return recursive(with_ledger(f"""
 SELECT user_id, 'run_allocation' AS action, 'allocation' AS resource,
        to_json({{'amount': CAST(amount AS DECIMAL(20,2)), 'source': 'all',
                  'allocations': list({{'ruleId': rule_id, 'ruleName': rule_name, 'amount': share,
                                       'percentage': CAST(percentage AS DECIMAL(18,2))}} ORDER BY rule_id)}})::VARCHAR AS details,
-       CAST(NULL AS VARCHAR) AS ip_address, created_at, run_id AS ref_id
+       {_IP_SQL} AS ip_address, created_at, run_id AS ref_id
 FROM accepted GROUP BY run_id, user_id, created_at, amount
 UNION ALL
 SELECT user_id, 'add_rule', 'allocation_rules',
-       to_json({{'name': name, 'percentage': CAST(percentage AS DECIMAL(18,2))}})::VARCHAR, NULL, {at}, request_id
-FROM ({_CAP_BODY}) cap WHERE accepted
+       to_json({{'name': name, 'percentage': CAST(pct AS DECIMAL(18,2))}})::VARCHAR, ip_address, asked_at, request_id
+FROM accepted_rules WHERE ok
 UNION ALL
 SELECT user_id, 'add_wallet', 'crypto_wallets',
-       to_json({{'name': name, 'address': address, 'symbol': symbol, 'network': network}})::VARCHAR, NULL, {at}, request_id
+       to_json({{'name': name, 'address': address, 'symbol': symbol, 'network': network}})::VARCHAR, {_IP_SQL}, {at}, request_id
 FROM ({_FIRST_NEW_ADDS}) a
 UNION ALL
-SELECT user_id, 'delete_wallet', 'crypto_wallets', to_json({{'id': id}})::VARCHAR, NULL, {at}, id
+SELECT user_id, 'delete_wallet', 'crypto_wallets', to_json({{'id': id}})::VARCHAR, {_IP_SQL}, {at}, id
 FROM crypto_wallets w WHERE EXISTS (SELECT 1 FROM wallet_deletes d WHERE d.id = w.id AND d.user_id = w.user_id)
 UNION ALL
 SELECT user_id, 'link_bank', 'bank_accounts', to_json({{'institution': institution, 'accounts': count(*)}})::VARCHAR,
-       NULL, {at}, link_id
+       {_IP_SQL}, {at}, link_id
 FROM ({_BANK_FEED_SQL}) f GROUP BY link_id, user_id, institution
 UNION ALL
-SELECT user_id, 'login', 'auth', CAST(NULL AS VARCHAR), NULL, created_at, id FROM refresh_tokens
+SELECT user_id, 'login', 'auth', CAST(NULL AS VARCHAR), {_IP_SQL}, created_at, id FROM refresh_tokens
 UNION ALL
-SELECT CAST(NULL AS BIGINT), 'create_user', 'users', to_json({{'email': email, 'role': role}})::VARCHAR, NULL, {at},
+SELECT user_id, 'create_user', 'users', to_json({{'email': email, 'role': role}})::VARCHAR, {_IP_SQL}, {at},
        request_id
-FROM ({_USER_CREATE_BODY}) uc WHERE accepted
+FROM (SELECT uc.*, CAST(e.user_id AS BIGINT) AS user_id FROM ({_USER_CREATE_BODY}) uc JOIN events e ON e.event_id = uc.request_id) c
+WHERE accepted
 UNION ALL
-SELECT CAST(NULL AS BIGINT), 'change_user_status', 'users',
-       to_json({{'target_user_id': id, 'status': status}})::VARCHAR, NULL, {at}, id
-FROM ({_USER_STATUS_BODY}) us WHERE changed
+SELECT user_id, 'change_user_status', 'users',
+       to_json({{'target_user_id': id, 'status': status}})::VARCHAR, {_IP_SQL}, {at}, id
+FROM (SELECT us.*, CAST(id // 7 AS BIGINT) AS user_id FROM ({_USER_STATUS_BODY}) us) c WHERE changed
 UNION ALL
-SELECT user_id, 'delete_rule', 'allocation_rules', to_json({{'id': id}})::VARCHAR, NULL, {at}, id
+SELECT user_id, 'delete_rule', 'allocation_rules', to_json({{'id': id}})::VARCHAR, {_IP_SQL}, {at}, id
 FROM allocation_rules r WHERE EXISTS (
   SELECT 1 FROM events e WHERE CAST(e.user_id * 10 + (e.event_id % 6) + 1 AS BIGINT) = r.id AND CAST(e.user_id AS BIGINT) = r.user_id)
 UNION ALL
-SELECT user_id, 'delete_bank', 'bank_accounts', to_json({{'id': id}})::VARCHAR, NULL, {at}, id
+SELECT user_id, 'delete_bank', 'bank_accounts', to_json({{'id': id}})::VARCHAR, {_IP_SQL}, {at}, id
 FROM bank_accounts b WHERE EXISTS (
   SELECT 1 FROM events e WHERE CAST(e.event_id // 7 AS BIGINT) = b.id AND CAST(e.user_id % 25 AS BIGINT) = b.user_id)""",
         "transactions", "allocation_rules", "crypto_wallets", "users", "refresh_tokens", "bank_accounts",
-        extra_ctes=(_RUNS_SQL, _ACCEPTED_SQL, _WALLET_ADDS_SQL, _WALLET_DELETES_SQL, _USER_REQ_SQL))
+        extra_ctes=(_RUNS_SQL, _ACCEPTED_SQL, _WALLET_ADDS_SQL, _WALLET_DELETES_SQL, _USER_REQ_SQL, *_ACCEPT_CTES)))
 
 
 @query("audit_append", oracle=_audit_append_sql())
@@ -1384,38 +1436,43 @@ def q_audit_append(spark, sf_dir):
     run_allocation (accepted runs with their allocation list), add_rule (accepted
     rule requests), delete_rule and delete_bank (owner-checked deletes), add_wallet
     (inserted wallets), delete_wallet (deleted wallets) and link_bank (institution and
-    account count per link). Admin actions without a known actor have a NULL user."""
+    account count per link), each with its actor and client address. The rows are appended to
+    the date-partitioned sink and read back from it."""
     led = L(spark, sf_dir)
     at = F.lit(AS_OF).cast("timestamp_ntz")
-    rules_ok = allocation.rule_cap_check(led.allocation_rules, _cap_candidates(led)).where("accepted")
+    rules_ok = acceptance.accept_in_order(led.allocation_rules, _rule_requests(led)).where("accepted")
     added = changes.insert_absent(led.crypto_wallets, _wallet_adds(led), "address", ["request_id"])
     _, deleted, _ = changes.apply_deletes(led.crypto_wallets, _wallet_deletes(led))
     links = (feeds.bank_feed(landed.bank_link_replies(led))
              .groupBy("link_id", "user_id", "institution").agg(F.count("*").alias("accounts")))
-    created = changes.create_users(led.users, _user_requests(led)).where("accepted")
-    status_snap, _ = changes.apply_updates(led.users, _status_changes(led), ["status"], ["ts", "event_id"],
-                                           AS_OF, keys=("id",), valid=F.col("status").isin(_STATUSES))
+    asked = led.driver("events").select(F.col("event_id").alias("request_id"), F.col("user_id").cast("bigint"))
+    created = changes.create_users(led.users, _user_requests(led).join(asked, "request_id")).where("accepted")
+    status_snap, _ = changes.apply_updates(
+        led.users, _status_changes(led).withColumn("user_id", F.expr("id div 7")), ["status"], ["ts", "event_id"], AS_OF,
+        keys=("id",), valid=F.col("status").isin(_STATUSES), carry=("user_id",))
     _, rules_gone, _ = changes.apply_deletes(led.allocation_rules, _rule_deletes(led))
     _, banks_gone, _ = changes.apply_deletes(led.bank_accounts, _bank_deletes(led))
-    no_actor = F.lit(None).cast("bigint")
-    return audit.audit_union([
-        audit.action_audit(led.refresh_tokens, "login", "auth", None, "id", "created_at"),
-        audit.action_audit(created.withColumn("user_id", no_actor).withColumn("at", at), "create_user", "users",
-                           ["email", "role"], "request_id", "at"),
-        audit.action_audit(status_snap.where("changed").select(F.col("id").alias("target_user_id"), "status")
-                           .withColumn("user_id", no_actor).withColumn("at", at),
-                           "change_user_status", "users", ["target_user_id", "status"], "target_user_id", "at"),
-        audit.action_audit(rules_gone.withColumn("at", at), "delete_rule", "allocation_rules", ["id"], "id", "at"),
-        audit.action_audit(banks_gone.withColumn("at", at), "delete_bank", "bank_accounts", ["id"], "id", "at"),
+
+    def rows(df, action, resource, details, ref, at=at):
+        return audit.action_audit(df.withColumn("at", at).withColumn("ip_address", F.expr(_IP)), action, resource, details,
+                                  ref, "at")
+
+    everything = audit.audit_union([
+        rows(led.refresh_tokens, "login", "auth", None, "id", F.col("created_at")),
+        rows(created, "create_user", "users", ["email", "role"], "request_id"),
+        rows(status_snap.where("changed").select(F.col("id").alias("target_user_id"), "status", "user_id"),
+             "change_user_status", "users", ["target_user_id", "status"], "target_user_id"),
+        rows(rules_gone, "delete_rule", "allocation_rules", ["id"], "id"),
+        rows(banks_gone, "delete_bank", "bank_accounts", ["id"], "id"),
         _run_audit(led),
-        audit.action_audit(rules_ok.withColumn("at", at), "add_rule", "allocation_rules",
-                           ["name", "percentage"], "request_id", "at"),
-        audit.action_audit(added.withColumn("at", at), "add_wallet", "crypto_wallets",
-                           ["name", "address", "symbol", "network"], "request_id", "at"),
-        audit.action_audit(deleted.withColumn("at", at), "delete_wallet", "crypto_wallets", ["id"], "id", "at"),
-        audit.action_audit(links.withColumn("at", at), "link_bank", "bank_accounts",
-                           ["institution", "accounts"], "link_id", "at"),
+        rows(rules_ok, "add_rule", "allocation_rules", ["name", "percentage"], "request_id", F.col("asked_at")),
+        rows(added, "add_wallet", "crypto_wallets", ["name", "address", "symbol", "network"], "request_id"),
+        rows(deleted, "delete_wallet", "crypto_wallets", ["id"], "id"),
+        rows(links, "link_bank", "bank_accounts", ["institution", "accounts"], "link_id"),
     ])
+    sink = scratch_path(spark, "audit")
+    audit.append_audit(everything, sink, period="month")
+    return spark.read.parquet(sink).select(everything.columns)
 
 
 @query("audit_details", oracle=with_ledger("""

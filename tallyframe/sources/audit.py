@@ -18,29 +18,22 @@ AUDIT_COLUMNS = ["user_id", "action", "resource", "details", "ip_address", "crea
 
 def _audit(df: DataFrame, action: str, resource: str, details: F.Column | None, ref: str,
            at: str | None) -> DataFrame:
-    text = F.to_json(details) if details is not None else F.lit(None).cast("string")
+    """Audit rows; the client address comes from a column ``ip_address``, where ``df`` has one."""
+    text = F.to_json(details, {"ignoreNullFields": "false"}) if details is not None else F.lit(None).cast("string")
+    ip = F.col("ip_address") if "ip_address" in df.columns else F.lit(None)
     return df.select(F.col("user_id").cast("bigint").alias("user_id"), F.lit(action).alias("action"),
                      F.lit(resource).alias("resource"), text.alias("details"),
-                     F.lit(None).cast("string").alias("ip_address"),
+                     ip.cast("string").alias("ip_address"),
                      (F.col(at) if at else F.lit(None)).cast("timestamp_ntz").alias("created_at"),
                      F.col(ref).cast("bigint").alias("ref_id"))
 
 
-def run_audit(allocations: DataFrame, runs: DataFrame, source: str = "all") -> DataFrame:
-    """S9 for ``run_allocation``: one audit row per accepted run whose details hold
-    ``{amount, source, allocations: [{ruleId, ruleName, amount, percentage}]}``.
-
-    The allocation list of one run has one entry per rule of its owner (a handful),
-    so gathering it per run stays small; runs are grouped by their own id, not by
-    owner, so a hot owner is spread over many groups.
-    """
-    per_run = allocations.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("rule_id").alias("ruleId"), F.col("rule_name").alias("ruleName"),
-        F.col("share").alias("amount"), F.col("percentage").alias("percentage")))).alias("allocations"))
-    j = runs.join(per_run, "run_id")
+def run_audit(records: DataFrame, source: str = "all") -> DataFrame:
+    """S9 for ``run_allocation``: one audit row per accepted run (``allocation.run_records``) whose
+    details hold ``{amount, source, allocations: [{ruleId, ruleName, amount, percentage}]}``."""
     details = F.struct(F.col("amount").cast("decimal(20,2)").alias("amount"), F.lit(source).alias("source"),
                        F.col("allocations"))
-    return _audit(j, "run_allocation", "allocation", details, "run_id", "created_at")
+    return _audit(records, "run_allocation", "allocation", details, "run_id", "created_at")
 
 
 def action_audit(df: DataFrame, action: str, resource: str, detail_cols: list[str] | None,
@@ -55,10 +48,12 @@ def audit_union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def append_audit(audit: DataFrame, path: str) -> None:
-    """S9 sink: append audit rows to a Parquet table partitioned by day."""
-    (audit.withColumn("dt", F.to_date("created_at"))
-     .write.mode("append").partitionBy("dt").parquet(path))
+def append_audit(audit: DataFrame, path: str, period: str = "day") -> None:
+    """S9 sink: append audit rows to a Parquet table partitioned by ``dt``, the day (or the first day of
+    the ``period``) of the row. Rows are range-partitioned on the period, then on reference and
+    action, so a task writes a few neighbouring periods and a full one is split."""
+    dated = audit.withColumn("dt", F.to_date(F.date_trunc(period, "created_at")))
+    (dated.repartitionByRange("dt", "ref_id", "action").write.mode("append").partitionBy("dt").parquet(path))
 
 
 def audit_details(audit: DataFrame) -> DataFrame:

@@ -107,12 +107,12 @@ BINDINGS: dict[str, Binding] = {
         ("id", "CAST(c_custkey AS BIGINT)"),
         ("email", "'  ' || upper(c_name) || '@EXAMPLE.COM '"),
         ("password_hash", "'not-a-hash'"),
-        ("first_name", "split_part(c_name, '#', 1)"),
-        ("last_name", "split_part(c_name, '#', 2)"),
+        ("first_name", "CASE WHEN c_custkey % 211 <> 5 THEN split_part(c_name, '#', 1) END"),
+        ("last_name", "CASE WHEN c_custkey % 223 = 7 THEN '  ' ELSE split_part(c_name, '#', 2) END"),
         ("role", "CASE c_mktsegment WHEN 'BUILDING' THEN 'admin' WHEN 'MACHINERY' THEN 'auditor' "
                  "WHEN 'HOUSEHOLD' THEN 'owner' ELSE 'user' END"),
-        ("status", "CASE WHEN c_acctbal < 0 THEN 'suspended' WHEN c_acctbal < 100 THEN NULL "
-                   "ELSE 'active' END"),
+        ("status", "CASE WHEN c_custkey % 101 = 3 THEN 'locked' WHEN c_acctbal < 0 THEN 'suspended' "
+                   "WHEN c_acctbal < 100 THEN NULL ELSE 'active' END"),
         ("stripe_customer_id", "CASE WHEN c_custkey % 4 = 0 THEN 'cus_' || CAST(c_custkey AS STRING) END"),
         ("last_login", ("CAST(NULL AS TIMESTAMP_NTZ)", "CAST(NULL AS TIMESTAMP)")),
         ("created_at", _ts("2023-01-01 00:00:00", "MINUTE", "c_custkey")),
@@ -127,8 +127,8 @@ BINDINGS: dict[str, Binding] = {
     ), where="event_type = 'signup'"),
     "crypto_wallets": Binding("part", (
         ("id", "CAST(p_partkey AS BIGINT)"),
-        ("user_id", "CAST(p_partkey % 25 AS BIGINT)"),
-        ("name", "p_name"),
+        ("user_id", "CAST(CASE WHEN p_partkey % 499 = 11 THEN 9000000000 ELSE p_partkey % 25 END AS BIGINT)"),
+        ("name", "CASE WHEN p_partkey % 409 = 10 THEN repeat('long name ', 12) WHEN p_partkey % 401 <> 9 THEN p_name END"),
         ("address", "CASE WHEN p_partkey % 50 = 7 THEN 'w' || CAST(p_partkey AS STRING) "
                     "WHEN p_partkey % 6 = 0 THEN 'bc1q' || lpad(lower(hex(p_partkey * 7919)), 38, '0') "
                     "WHEN p_partkey % 6 = 4 THEN 'So1' || lpad(upper(hex(p_partkey * 7919)), 41, 'x') "
@@ -151,7 +151,8 @@ BINDINGS: dict[str, Binding] = {
         ("routing_number", "CASE WHEN c_custkey % 2 = 0 THEN '111000025' END"),
         ("balance", "CASE WHEN c_custkey % 89 = 0 THEN NULL ELSE CAST(c_acctbal AS DECIMAL(20,2)) END"),
         ("currency", "'USD'"),
-        ("status", _case("c_custkey % 3", ["verified", "pending", "error"])),
+        ("status", "CASE WHEN c_custkey % 103 = 5 THEN 'closed' WHEN c_custkey % 3 = 0 THEN 'verified' "
+                   "WHEN c_custkey % 3 = 1 THEN 'pending' ELSE 'error' END"),
         ("plaid_item_id", ("CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'item-' || CAST(c_custkey div 2 AS STRING) END",
                            "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'item-' || CAST(c_custkey // 2 AS STRING) END")),
         ("plaid_access_token", "'access-' || CAST(c_custkey AS STRING)"),
@@ -176,8 +177,10 @@ BINDINGS: dict[str, Binding] = {
     "allocation_rules": Binding("customer", (
         ("id", "CAST(c_custkey * 10 + pos AS BIGINT)"),
         ("user_id", "CAST(c_custkey AS BIGINT)"),
-        ("name", "rule_name"),
-        ("percentage", "rule_pct"),
+        ("name", "CASE WHEN c_custkey % 311 = 8 AND pos = 2 THEN NULL ELSE rule_name END"),
+        # owners on target, below it and over it, and some percentages out of range
+        ("percentage", "CAST(CASE WHEN c_custkey % 307 = 6 AND pos = 5 THEN 120 WHEN c_custkey % 9 = 4 AND pos = 1 "
+                       "THEN rule_pct - 12.50 WHEN c_custkey % 9 = 7 AND pos = 1 THEN rule_pct + 5 ELSE rule_pct END AS DECIMAL(5,2))"),
         ("color", "rule_color"),
         ("is_locked", "rule_locked"),
         ("is_auto", "rule_auto"),
@@ -187,8 +190,8 @@ BINDINGS: dict[str, Binding] = {
     "transactions": Binding("orders", (
         ("id", "CAST(o_orderkey AS BIGINT)"),
         ("user_id", "CAST(c_nationkey AS BIGINT)"),
-        ("type", "CASE o_orderpriority WHEN '1-URGENT' THEN 'receive' WHEN '2-HIGH' THEN 'send' "
-                 "WHEN '3-MEDIUM' THEN 'swap' WHEN '4-NOT SPECIFIED' THEN 'alloc' ELSE 'fee' END"),
+        ("type", "CASE WHEN o_orderkey % 1009 = 3 THEN 'refund' ELSE CASE o_orderpriority WHEN '1-URGENT' THEN 'receive' WHEN '2-HIGH' THEN 'send' "
+                 "WHEN '3-MEDIUM' THEN 'swap' WHEN '4-NOT SPECIFIED' THEN 'alloc' ELSE 'fee' END END"),
         ("gateway", _case("o_orderkey % 6", TX_GATEWAYS)),
         ("method", "CASE o_orderkey % 5 WHEN 0 THEN 'card' WHEN 1 THEN 'ACH' WHEN 2 THEN 'wire' "
                    "WHEN 3 THEN 'Bank' ELSE NULL END"),
@@ -198,7 +201,8 @@ BINDINGS: dict[str, Binding] = {
         ("to_address", "CASE WHEN o_orderkey % 3 = 1 THEN 'acct_' || CAST(o_custkey AS STRING) END"),
         ("description", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE "
                         "c_name || ' order ' || CAST(o_orderkey AS STRING) END"),
-        ("status", "CASE o_orderstatus WHEN 'F' THEN 'settled' WHEN 'O' THEN 'pending' ELSE 'confirmed' END"),
+        ("status", "CASE WHEN o_orderkey % 1013 = 4 THEN 'void' WHEN o_orderstatus = 'F' THEN 'settled' "
+                   "WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'confirmed' END"),
         ("tx_hash", "'tx_' || CAST(o_orderkey AS STRING)"),
         ("fee", "CAST(CAST(o_totalprice AS DECIMAL(20,2)) * CAST(0.0029 AS DECIMAL(5,4)) AS DECIMAL(20,2))"),
         ("created_at", "o_orderdate"),
@@ -268,7 +272,7 @@ _DUCK_TYPES = {"timestamp_ntz": "TIMESTAMP", "string": "VARCHAR", "bigint": "BIG
                "int": "INTEGER", "boolean": "BOOLEAN"}
 
 
-def _duck_type(spark_type: str) -> str:
+def duck_type(spark_type: str) -> str:
     return _DUCK_TYPES.get(spark_type, spark_type.upper())
 
 
@@ -283,7 +287,7 @@ def duck_cte(name: str) -> str:
     inner = f"SELECT {', '.join(b.select_list('duckdb'))} FROM {src}"
     if b.where:
         inner += f" WHERE {b.where}"
-    casts = ", ".join(f"CAST({f.name} AS {_duck_type(f.dataType.simpleString())}) AS {f.name}"
+    casts = ", ".join(f"CAST({f.name} AS {duck_type(f.dataType.simpleString())}) AS {f.name}"
                       for f in LEDGER_SCHEMAS[name].fields)
     return f"{name} AS (SELECT {casts} FROM ({inner}) AS b)"
 

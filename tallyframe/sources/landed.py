@@ -38,7 +38,7 @@ def price_replies(led: Ledger) -> DataFrame:
 def bank_link_replies(led: Ledger) -> DataFrame:
     """One account-link reply per three consecutive customers: item id, institution,
     and the three accounts (available balance missing for every 11th customer, currency
-    missing for every 4th)."""
+    missing for every 4th). Some items are not linked yet, and some replies name none."""
     cust = led.driver("customer").selectExpr(
         "c_custkey div 3 AS grp", "c_custkey", "c_nationkey", "c_name", "c_acctbal", "c_mktsegment")
     acct = F.struct(
@@ -54,7 +54,8 @@ def bank_link_replies(led: Ledger) -> DataFrame:
         F.min("c_custkey").alias("first_key"),
         F.sort_array(F.collect_list(F.struct("c_custkey", acct.alias("a")))).alias("rows"))
     body = F.to_json(F.struct(
-        F.concat(F.lit("item-"), F.col("grp").cast("string")).alias("item_id"),
+        F.when(F.col("grp") % 10 == 3, F.concat(F.lit("new-item-"), F.col("grp").cast("string")))
+        .when(F.col("grp") % 23 != 5, F.concat(F.lit("item-"), F.col("grp").cast("string"))).alias("item_id"),
         F.element_at(F.array(*[F.lit(b) for b in ["Chase", "Wise", "Mercury", "Bank of America"]]),
                      (F.col("grp") % 4 + 1).cast("int")).alias("institution"),
         F.transform("rows", lambda r: r["a"]).alias("accounts")))
