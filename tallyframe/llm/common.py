@@ -53,11 +53,11 @@ def join_split(left: DataFrame, right: DataFrame, keys: list[str], rows: str) ->
     says in ``rows`` how many of ``left`` have it. Both are read several times: pass written tables.
 
     Keys with more than a ten-thousandth of all rows of ``left`` (``HOT_ROWS`` at least) are no more than
-    10,000 and are broadcast; all others join by a shuffle, in which no key weighs more than that."""
+    10,000 and are broadcast; all others join by a shuffle at every size, in which no key weighs more than that."""
     bound = max(HOT_ROWS, left.count() // 10_000)
     hot = F.broadcast(right.where(F.col(rows) > bound).drop(rows))
     rest = left.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(
-        right.where(F.col(rows) <= bound).drop(rows), keys)
+        right.where(F.col(rows) <= bound).drop(rows).hint("merge"), keys)
     return left.join(hot, keys).unionByName(rest)
 
 

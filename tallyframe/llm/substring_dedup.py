@@ -15,6 +15,9 @@ all, and for the others one occurrence of each context is extended.
 *Maximal repeats.* Matched windows that overlap or touch are one stretch; every word of it has a copy
 within ``min_words`` matched words, and no window that sticks out of it has one.
 
+What is joined grows with the corpus, so the joins are merge joins at every size; only the keys
+that ``join_split`` takes apart are broadcast.
+
 A window is known by the 64-bit hash of its anchor and another of all its words, taken with
 different multipliers: 128 bits in all.
 """
@@ -32,8 +35,6 @@ from tallyframe.llm.common import discard, join_split, written
 from tallyframe.llm.grams import WordHashes, mixed
 
 MIN_WORDS = 35
-#: Bytes of spans up to which they are broadcast to the texts.
-BROADCAST_BYTES = 64 << 20
 SPANS = "array<struct<start:bigint,end:bigint>>"
 ALL = -1
 
@@ -166,17 +167,15 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     contexts = written(contexts, "substring-contexts")
     asked = contexts.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", F.when(
         F.col("n") > 1, 2).otherwise(1).alias("many")))).alias("asked"))
-    texts = keyed.select("k1", "k2", "text").join(_sized_bytes(written(asked, "substring-asked"), "size(asked) * 16 + 24"),
-                                                  ["k1", "k2"])
-    extended = texts.select("text", "asked", "k1", "k2")
-    extended = written(extended.select("text", "asked").mapInArrow(
+    texts = keyed.select("k1", "k2", "text").join(asked.hint("merge"), ["k1", "k2"])
+    extended = written(texts.select("text", "asked").mapInArrow(
         _extensions(min_words), f"{_ANCHOR}, many int, j int, place int, extension bigint"), "substring-extensions")
     alike = ["seed", "place", "extension"]
     matched = written(extended.groupBy(alike).agg(F.sum("many").alias("total"), F.count("*").alias("n")).where("total > 1")
                       .select(*alike, "n"), "substring-matched")
     found = join_split(extended, matched, alike, "n").groupBy("seed", "context").agg(
         F.expr("bit_or(shiftleft(1L, j))").alias("mask"))
-    some = found.join(contexts.select("seed", "context", "n"), ["seed", "context"]).select("seed", "context", "n", "mask")
+    some = found.join(contexts.select("seed", "context", "n").hint("merge"), ["seed", "context"]).select("seed", "context", "n", "mask")
     verdicts = written(same.unionByName(some), "substring-verdicts")
     out = written(join_split(anchors, verdicts, ["seed", "context"], "n").groupBy("k1", "k2", "start").agg(
         F.expr("bit_or(mask)").alias("mask")), "substring-windows")
@@ -185,12 +184,6 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out
 
 
-def _sized_bytes(df: DataFrame, width: str) -> DataFrame:
-    """A written ``df`` with a broadcast hint if its measured bytes are within ``BROADCAST_BYTES``."""
-    held = df.agg(F.sum(F.expr(width))).first()[0] or 0
-    return F.broadcast(df) if held <= BROADCAST_BYTES else df
-
-
 def _cleaned(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Seeds(min_words)
@@ -242,9 +235,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if min_words < 2:
         raise ValueError("min_words must be 2 or more")
     windows = repeated_windows(docs, id_col, text_col, min_words)
-    per_text = written(windows.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "mask")).alias("found")),
-                       "substring-spans")
+    per_text = windows.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
     keyed = _keyed(docs, id_col, text_col)
-    d = keyed.join(_sized_bytes(per_text, "size(found) * 16 + 24"), ["k1", "k2"], "left").select("id", "text", "found")
+    d = keyed.join(per_text.hint("merge"), ["k1", "k2"], "left").select("id", "text", "found")
     kind = d.schema["id"].dataType.simpleString()
     return d.mapInArrow(_cleaned(min_words), f"id {kind}, n_words bigint, n_removed bigint, spans {SPANS}, kept string")

@@ -254,9 +254,7 @@ def test_substrings_of_odd_rows(spark, monkeypatch, m, split):
     rows = [(None if k % 9 == 0 else k % 60, t, "s", k) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id int, text string, spans string, kept int")
     if split:                                          # every key that repeats is a hot one
-        from tallyframe.llm import substring_dedup
         monkeypatch.setattr(common, "HOT_ROWS", 1)
-        monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 0)
     got = dedup_substrings(df, min_words=m).collect()
     assert sorted((r.n_words, r.n_removed, r.kept) for r in got) == sorted(substrings_brute(texts, m))
     assert all(r.n_removed == sum(x.end - x.start for x in r.spans) for r in got)
