@@ -1625,3 +1625,150 @@ def q_quota_breaches(spark, sf_dir):
     return (spark.read.parquet(f"{root}/sink")
             .select("ip", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                     F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n_requests"))
+
+
+# ---------------------------------------------------------------------------
+# Session life cycle, first-request windows, several sinks (D2, D9, F14, J10, ST1-ST4, S8)
+# ---------------------------------------------------------------------------
+from tallyframe.operators import sessions  # noqa: E402
+from tallyframe.streaming import keyed, sinks  # noqa: E402
+
+_SESSION_CTES = ("""session_events AS (
+  SELECT event_id, CAST(CASE WHEN user_id % 20 = 7 THEN user_id + 100000000 ELSE user_id END AS BIGINT) AS user_id,
+         CASE event_type WHEN 'signup' THEN 'login' WHEN 'error' THEN 'logout' ELSE 'refresh' END AS kind,
+         CASE WHEN event_type IN ('signup', 'error') OR event_id % 9 = 0 THEN NULL
+              ELSE 'st_' || CAST(CASE WHEN event_id % 5 = 0 THEN lag(event_id, 2) OVER w ELSE lag(event_id) OVER w END AS VARCHAR)
+         END AS token, 'st_' || CAST(event_id AS VARCHAR) AS new_token, ts AS happened,
+         row_number() OVER w AS n
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""", """cycle AS (
+  SELECT CAST(NULL AS BIGINT) AS event_id, user_id, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS TIMESTAMP) AS happened,
+         CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS held, CAST(NULL AS TIMESTAMP) AS until
+  FROM (SELECT DISTINCT user_id FROM session_events) u
+  UNION ALL
+  SELECT event_id, user_id, kind, happened, n, error,
+         CASE WHEN error IS NULL AND kind <> 'logout' THEN new_token ELSE held END,
+         CASE WHEN error IS NULL AND kind <> 'logout' THEN happened + INTERVAL 7 DAY ELSE until END
+  FROM (SELECT e.*, c.held, c.until,
+               CASE WHEN e.kind = 'login' THEN CASE WHEN e.user_id NOT IN (SELECT id FROM users) THEN 'Invalid credentials.' END
+                    WHEN e.kind = 'refresh' AND coalesce(e.token, '') = '' THEN 'Refresh token required.'
+                    WHEN e.kind = 'refresh' AND NOT coalesce(e.token = c.held AND c.until > e.happened, FALSE)
+                      THEN 'Invalid or expired refresh token.' END AS error
+        FROM cycle c JOIN session_events e ON e.user_id = c.user_id AND e.n = c.n + 1) x)""")
+
+_OUTCOMES_SQL = recursive(with_ledger("""
+SELECT event_id, user_id, kind, happened AS at, error IS NULL AS accepted, error,
+       CASE WHEN error IS NULL AND kind <> 'logout' THEN held END AS session_token,
+       CASE WHEN error IS NULL AND kind <> 'logout' THEN until END AS expires_at
+FROM cycle WHERE n > 0""", "users", extra_ctes=_SESSION_CTES))
+
+
+@query("session_outcomes", oracle=_OUTCOMES_SQL)
+def q_session_outcomes(spark, sf_dir):
+    """D2 + D9 + F14 + J10 + X20: every sign-in event decided in order: a login replaces the session, a
+    refresh rotates it if it presents its unexpired token, all others are refused."""
+    led = L(spark, sf_dir)
+    return sessions.session_outcomes(landed.session_events(led), led.users)
+
+
+@query("sessions_after", oracle=recursive(with_ledger("""
+SELECT user_id, held AS token, until AS expires_at, until - INTERVAL 7 DAY AS updated_at
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS back FROM cycle) x
+WHERE back = 1 AND held IS NOT NULL""", "users", extra_ctes=_SESSION_CTES)))
+def q_sessions_after(spark, sf_dir):
+    """D2 + D9: the session that each user holds after all sign-in events."""
+    led = L(spark, sf_dir)
+    return sessions.sessions_after(sessions.session_outcomes(landed.session_events(led), led.users))
+
+
+LANDINGS = 4
+
+
+def _landed_in_turn(spark, rows, at: str, root: str, run) -> None:
+    """Lands ``rows`` in ``LANDINGS`` equal periods of ``at``, one after another, and runs the stream after each: it stops
+    and goes on from its checkpoint in between."""
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    for k in range(LANDINGS):
+        low, high = (first + (last - first) * x / LANDINGS for x in (k, k + 1))
+        late = F.col(at) >= F.lit(low) if k else F.lit(True)
+        rows.where(late & ((F.col(at) < F.lit(high)) if k < LANDINGS - 1 else F.lit(True))).write.mode("append").parquet(
+            f"{root}/landing")
+        run()
+
+
+@query("session_stream", oracle=_OUTCOMES_SQL)
+def q_session_stream(spark, sf_dir):
+    """D2 + D9 + F14 + J10 as a stream: the same outcomes from keyed state (``transformWithState``), over four
+    landings with a restart between them."""
+    led, root = L(spark, sf_dir), scratch_path(spark, "sessions")
+    events = landed.session_events(led)
+    with keyed.rocksdb(spark, idle_batches=False):
+        _landed_in_turn(spark, events, "at", root, lambda: webhook.run_to_parquet(keyed.session_stream(
+            spark.readStream.schema(events.schema).parquet(f"{root}/landing"), led.users), f"{root}/out", f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("quota_first_request", oracle=f"""
+WITH RECURSIVE requests AS (SELECT {_IP_SQL} AS ip, ts FROM events),
+following AS (SELECT a.ip, a.ts, b.ts AS next FROM (SELECT DISTINCT ip, ts FROM requests) a
+              ASOF LEFT JOIN (SELECT DISTINCT ip, ts FROM requests) b ON a.ip = b.ip AND b.ts >= a.ts + INTERVAL 15 MINUTE),
+opened AS (
+  SELECT f.ip, f.ts, f.next FROM following f JOIN (SELECT ip, min(ts) AS ts FROM requests GROUP BY ip) m USING (ip, ts)
+  UNION ALL
+  SELECT f.ip, f.ts, f.next FROM opened o JOIN following f ON f.ip = o.ip AND f.ts = o.next)
+SELECT o.ip, o.ts AS window_start, o.ts + INTERVAL 15 MINUTE AS window_end, count(*) AS n_requests
+FROM opened o JOIN requests r ON r.ip = o.ip AND r.ts >= o.ts AND r.ts < o.ts + INTERVAL 15 MINUTE
+WHERE o.next IS NOT NULL OR o.ts + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+GROUP BY o.ip, o.ts HAVING count(*) > {QUOTA_LIMIT}""")
+def q_quota_first_request(spark, sf_dir):
+    """ST3 as the limiter counted: windows of 15 minutes that start at an address's first request, from
+    keyed state with event-time timers, over four landings with a restart between them; closed windows
+    with more than QUOTA_LIMIT requests."""
+    root = scratch_path(spark, "windows")
+    requests = landed.request_log(L(spark, sf_dir)).select("event_id", "ip", "ts")
+    with keyed.rocksdb(spark):
+        _landed_in_turn(spark, requests, "ts", root, lambda: webhook.run_to_parquet(keyed.first_request_windows(
+            spark.readStream.schema(requests.schema).parquet(f"{root}/landing"), QUOTA_LIMIT), f"{root}/out",
+            f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/out")
+
+
+_SINKS_SQL = f"""
+SELECT status AS sink, tx_hash AS object_id, user_id, method, amount_usd, event_time, CAST(NULL AS VARCHAR) AS outcome, CAST(1 AS BIGINT) AS n
+FROM ({_WEBHOOK_SQL}) s
+UNION ALL
+SELECT 'unhandled', 'pi_' || CAST(event_id AS VARCHAR), NULL, NULL, NULL, ts, NULL, 1
+FROM events, range(0, 2) twice(k) WHERE event_type NOT IN ('purchase', 'error')
+UNION ALL
+SELECT 'deliveries', 'pi_' || CAST(event_id AS VARCHAR), NULL, NULL, NULL, NULL, o.outcome, sum(o.n)::BIGINT
+FROM events, (VALUES ('stored', 1), ('repeated', 1)) o(outcome, n) WHERE event_type IN ('purchase', 'error') GROUP BY ALL
+UNION ALL
+SELECT 'deliveries', 'pi_' || CAST(event_id AS VARCHAR), NULL, NULL, NULL, NULL, 'unhandled', 2
+FROM events WHERE event_type NOT IN ('purchase', 'error')"""
+
+
+@query("webhook_sinks", oracle=_SINKS_SQL)
+def q_webhook_sinks(spark, sf_dir):
+    """S8 + ST1 + ST2 + ST4 + S9: one stream into four sinks, every event delivered twice in different
+    micro-batches: settled and failed rows once, unhandled events, and an audit of all deliveries."""
+    root = scratch_path(spark, "sinks")
+    events = landed.processor_events(L(spark, sf_dir))
+    late = F.abs(F.xxhash64("data.object.id")) % LANDINGS
+    for k in range(LANDINGS + 1):              # each event lands in turn k and again in turn k + 1
+        events.where((late == k) | (late == k - 1)).write.mode("append").parquet(f"{root}/landing")
+        sinks.run_sinks(spark.readStream.schema(webhook.EVENT_FILE_SCHEMA).parquet(f"{root}/landing"), f"{root}/out",
+                        f"{root}/checkpoint")
+
+    none = lambda t: F.lit(None).cast(t)
+    paid = [sinks.read_sink(spark, f"{root}/out", s).select(
+        F.lit(s).alias("sink"), F.col("tx_hash").alias("object_id"), "user_id", "method", "amount_usd",
+        F.col("event_time").cast("timestamp_ntz").alias("event_time"), none("string").alias("outcome"),
+        F.lit(1).cast("bigint").alias("n")) for s in ("settled", "failed")]
+    ignored = sinks.read_sink(spark, f"{root}/out", "unhandled").select(
+        F.lit("unhandled").alias("sink"), "object_id", none("bigint").alias("user_id"), none("string").alias("method"),
+        none("decimal(20,2)").alias("amount_usd"), F.col("event_time").cast("timestamp_ntz").alias("event_time"),
+        none("string").alias("outcome"), F.lit(1).cast("bigint").alias("n"))
+    audited = sinks.read_sink(spark, f"{root}/out", "deliveries").groupBy("object_id", "outcome").agg(
+        F.sum("n_deliveries").alias("n")).select(
+        F.lit("deliveries").alias("sink"), "object_id", none("bigint").alias("user_id"), none("string").alias("method"),
+        none("decimal(20,2)").alias("amount_usd"), none("timestamp_ntz").alias("event_time"), "outcome", "n")
+    return paid[0].unionByName(paid[1]).unionByName(ignored).unionByName(audited)

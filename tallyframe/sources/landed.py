@@ -11,7 +11,7 @@ operators, on whatever payloads arrive.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.sources.bindings import Ledger
@@ -102,10 +102,25 @@ def processor_events(led: Ledger) -> DataFrame:
         F.col("ts").cast("timestamp").alias("event_time"))
 
 
+def session_events(led: Ledger) -> DataFrame:
+    """Sign-in events ``(event_id, user_id, kind, token, new_token, at)``, one per event: sign-ups log in, errors log
+    out, all others refresh with the token of the user's event before (every 5th with an older
+    one, every 9th with none). Some users are unknown."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ev = led.driver("events").select("event_id", "user_id", "event_type", "ts", F.lag("event_id").over(order).alias("prev"),
+                                     F.lag("event_id", 2).over(order).alias("older"))
+    return ev.select(
+        "event_id", F.expr("CAST(CASE WHEN user_id % 20 = 7 THEN user_id + 100000000 ELSE user_id END AS BIGINT)").alias("user_id"),
+        F.expr("CASE event_type WHEN 'signup' THEN 'login' WHEN 'error' THEN 'logout' ELSE 'refresh' END").alias("kind"),
+        F.expr("CASE WHEN event_type IN ('signup', 'error') OR event_id % 9 = 0 THEN NULL "
+               "ELSE 'st_' || CAST(CASE WHEN event_id % 5 = 0 THEN older ELSE prev END AS STRING) END").alias("token"),
+        F.expr("'st_' || CAST(event_id AS STRING)").alias("new_token"), F.col("ts").alias("at"))
+
+
 def request_log(led: Ledger) -> DataFrame:
-    """API request log ``(ip, path, ts)``: one request per event, from the client
+    """API request log ``(event_id, ip, path, ts)``: one request per event, from the client
     address of its user."""
     return led.driver("events").select(
-        F.expr("'10.' || CAST(user_id % 256 AS STRING) || '.0.1'").alias("ip"),
+        "event_id", F.expr("'10.' || CAST(user_id % 256 AS STRING) || '.0.1'").alias("ip"),
         F.concat(F.lit("/api/"), F.col("event_type")).alias("path"),
         F.col("ts").cast("timestamp").alias("ts"))
