@@ -1772,3 +1772,36 @@ def q_webhook_sinks(spark, sf_dir):
         F.lit("deliveries").alias("sink"), "object_id", none("bigint").alias("user_id"), none("string").alias("method"),
         none("decimal(20,2)").alias("amount_usd"), none("timestamp_ntz").alias("event_time"), "outcome", "n")
     return paid[0].unionByName(paid[1]).unionByName(ignored).unionByName(audited)
+
+
+# ---------------------------------------------------------------------------
+# Committed snapshots
+# ---------------------------------------------------------------------------
+from tallyframe.sources.snapshots import Snapshots  # noqa: E402
+
+
+@query("snapshot_commits", oracle=with_ledger(f"""
+SELECT 0 AS version, id, user_id, name, percentage, updated_at FROM allocation_rules
+UNION ALL SELECT 1, id, user_id, name, percentage, updated_at FROM updated
+UNION ALL SELECT 2, id, user_id, name, percentage, updated_at FROM updated r WHERE NOT EXISTS (
+  SELECT 1 FROM events e WHERE e.event_id % 3 = 0 AND CAST(e.user_id * 10 + (e.event_id % 6) + 1 AS BIGINT) = r.id
+                           AND CAST(e.user_id AS BIGINT) = r.user_id)""", "allocation_rules", extra_ctes=(_RULE_CHANGES_SQL, f"""updated AS (
+  SELECT r.id, r.user_id, r.name, CAST(CASE WHEN c.id IS NOT NULL THEN c.percentage ELSE r.percentage END AS DECIMAL(5,2)) AS percentage,
+         CASE WHEN c.id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE r.updated_at END AS updated_at
+  FROM allocation_rules r
+  LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, user_id ORDER BY ts DESC, event_id DESC) AS rn
+                            FROM rule_changes WHERE percentage BETWEEN 0 AND 100) x WHERE rn = 1) c
+    ON c.id = r.id AND c.user_id = r.user_id)""")))
+def q_snapshot_commits(spark, sf_dir):
+    """D4 + D5 + D8 committed: the rule table as version 0, with the owner-checked updates as version 1, and without
+    the deleted rules as version 2, each commit rewriting the buckets it touches; all three read back."""
+    led = L(spark, sf_dir)
+    snap = Snapshots(spark, scratch_path(spark, "rules"))
+    snap.create(led.allocation_rules)
+    edits = _rule_changes(led)
+    snap.change(edits.select("id"), lambda part: changes.apply_updates(
+        part, edits, ["percentage"], ["ts", "event_id"], AS_OF, valid=_PCT_VALID())[0])
+    deletes = _rule_deletes(led).where("request_id % 3 = 0")
+    snap.change(deletes.select("id"), lambda part: changes.apply_deletes(part, deletes)[0])
+    return reduce(DataFrame.unionByName, [
+        snap.read(v).select(F.lit(v).alias("version"), "id", "user_id", "name", "percentage", "updated_at") for v in range(3)])

@@ -13,18 +13,36 @@ from pyspark.sql import functions as F
 from tallyframe.functions.money import lamports_to_sol, with_wei_to_eth
 from tallyframe.schemas import (BANK_FEED, ETH_REPLY, MONEY, PRICE_COIN_IDS, PRICE_MAP,
                                 SOL_REPLY)
+from tallyframe.session import materialize
 
 
 def price_feed(replies: DataFrame, coin_ids: list[str] | None = None) -> DataFrame:
     """``replies(reply_id, fetched_at, body)`` -> latest price per requested coin.
 
     The body is a map coin id -> {usd, usd_24h_change}; error bodies carry no coin and
-    drop out. The latest price per coin (ties: the largest reply id, a bigint) is a ``max_by``
-    over one decimal made of both, so that it is hash-aggregated map-side without a sort, and
-    a feed with billions of polls reduces to one row per coin before any shuffle. A reply
-    without a time counts as the oldest.
+    drop out. Ties go to the largest reply id, a bigint; a reply without a time counts as the oldest.
+
+    Only the newest replies are parsed: those of the last hour (a filter on ``fetched_at`` that
+    reaches the scan), then of the last 8, 64, ... hours, until each requested coin has
+    a price. Whatever is older than all found prices can't be the latest of any coin; a coin that
+    no reply carries leads to the whole feed being read. One number per step reaches the driver.
     """
-    ids = coin_ids or PRICE_COIN_IDS
+    ids = list(dict.fromkeys(coin_ids or PRICE_COIN_IDS))
+    micros = F.unix_micros(F.col("fetched_at").cast("timestamp"))
+    oldest, newest = replies.agg(F.min(micros), F.max(micros)).first()
+    span = 3_600_000_000
+    while newest is not None and newest - span > oldest:
+        since = F.timestamp_micros(F.lit(newest - span)).cast(replies.schema["fetched_at"].dataType)
+        latest = materialize(_latest_prices(replies.where(F.col("fetched_at") > since), ids))
+        if latest.count() == len(ids):
+            return latest
+        span *= 8
+    return _latest_prices(replies, ids)
+
+
+def _latest_prices(replies: DataFrame, ids: list[str]) -> DataFrame:
+    """Latest price of each coin of ``ids`` in ``replies``: a ``max_by`` over one decimal made of time and
+    reply id, hash-aggregated map-side without a sort."""
     ticks = (replies
              .select("reply_id", "fetched_at", F.explode(F.from_json("body", PRICE_MAP)).alias("coin_id", "p"))
              .where(F.col("coin_id").isin(ids) & F.col("p.usd").isNotNull()))
