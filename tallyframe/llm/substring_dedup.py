@@ -68,8 +68,9 @@ def _last_minimum(values: np.ndarray, width: int) -> np.ndarray:
     at, reach = np.arange(len(values)), 1
     while reach < width:
         by = min(reach, width - reach)
-        a, b = at[:-by], at[by:]
-        at, reach = np.where(values[b] <= values[a], b, a), reach + by
+        later = values[by:] <= values[:-by]
+        at = np.where(later, at[by:], at[:-by])
+        values, reach = np.minimum(values[by:], values[:-by]), reach + by
     return at
 
 
