@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import money as M
 from tallyframe.functions import text as X
+from tallyframe.operators.joins import checked_broadcast
 from tallyframe.operators.windows import ordered_positions
 from tallyframe.schemas import PAGE_LIMIT, PAGE_OFFSET
+from tallyframe.session import materialize
 
 
 #: Rows up to which Spark plans a group limit (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
+#: Rows up to the end of a global page that a top-k may gather.
+DEEP_PAGE = 10_000
 
 
 def newest_first() -> list[Column]:
@@ -174,11 +178,32 @@ def tx_search(txs: DataFrame, user_id=None, type: str | None = None, gateway: st
 
 def tx_page(txs: DataFrame, limit=PAGE_LIMIT, offset=PAGE_OFFSET) -> DataFrame:
     """O3 without an owner: one global newest-first page. Plans as a top-k
-    (TakeOrderedAndProject), never a full sort."""
+    (TakeOrderedAndProject), never a full sort; pages that end behind ``DEEP_PAGE`` rows go by
+    ``deep_page``."""
     n, o = page_args(limit, offset)
+    if o + n > DEEP_PAGE:
+        return deep_page(txs.select(*TX_COLUMNS), n, o)
     return txs.select(*TX_COLUMNS).orderBy(*newest_first()).offset(o).limit(n)
 
 
+def deep_page(txs: DataFrame, n: int, offset: int, partitions: int | None = None) -> DataFrame:
+    """A page far behind the start, without gathering what is ahead of it: the keys (time, id) are
+    range-partitioned once, the rows per partition (one number each, at the driver) tell which partitions
+    the page lies in, and only those are sorted. No task holds more than a partition and ``n`` rows.
+    The page's rows are fetched by their unique ids."""
+    n_parts = partitions or int(txs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(txs.select("created_at", "id").repartitionByRange(n_parts, *newest_first())
+                         .withColumn("_pid", F.spark_partition_id()))
+    ahead, needed, skip = 0, [], 0
+    for pid, size in sorted(ranged.groupBy("_pid").count().collect()):
+        if ahead < offset + n and ahead + size > offset:
+            skip = skip if needed else offset - ahead
+            needed.append(pid)
+        ahead += size
+    page = ranged.where(F.col("_pid").isin(needed)).orderBy(*newest_first()).offset(skip).limit(n).select("id")
+    return txs.join(checked_broadcast(page), "id", "left_semi").orderBy(*newest_first())
+
+
 def recent_tx(txs: DataFrame, n: int = 6) -> DataFrame:
     """The ``n`` newest transactions of every owner."""
     return per_owner_page(txs.select(*TX_COLUMNS), n, 0, newest_first())

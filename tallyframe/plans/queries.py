@@ -1805,3 +1805,32 @@ def q_snapshot_commits(spark, sf_dir):
     snap.change(deletes.select("id"), lambda part: changes.apply_deletes(part, deletes)[0])
     return reduce(DataFrame.unionByName, [
         snap.read(v).select(F.lit(v).alias("version"), "id", "user_id", "name", "percentage", "updated_at") for v in range(3)])
+
+
+# ---------------------------------------------------------------------------
+# Deep pages and the substring index
+# ---------------------------------------------------------------------------
+from tallyframe.sources.textindex import TextIndex  # noqa: E402
+
+DEEP_OFFSET = 12_000
+
+
+@query("tx_deep_page", oracle=with_ledger(
+    f"SELECT {TX_COLS_SQL} FROM transactions ORDER BY created_at DESC, id DESC LIMIT 500 OFFSET {DEEP_OFFSET}", "transactions"))
+def q_tx_deep_page(spark, sf_dir):
+    """O3: a global page far behind the newest transactions, found by row counts of range partitions."""
+    return listings.tx_page(L(spark, sf_dir).transactions, limit=500, offset=DEEP_OFFSET)
+
+
+SEARCH_TERMS = ["Customer#000000011", "ORDER 77", "acct_13", "5", "no such text"]
+
+
+@query("tx_index_search", oracle=with_ledger("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS term, {TX_COLS_SQL} FROM transactions WHERE lower(from_address) LIKE '%{t.lower().replace('_', '!_')}%' ESCAPE '!' "
+    f"OR lower(description) LIKE '%{t.lower().replace('_', '!_')}%' ESCAPE '!' OR CAST(id AS VARCHAR) LIKE '%{t.lower().replace('_', '!_')}%' ESCAPE '!'"
+    for t in SEARCH_TERMS), "transactions"))
+def q_tx_index_search(spark, sf_dir):
+    """the transactions that hold each of several terms, by the substring index: blocks from intersected
+    three-letter postings, rows verified."""
+    index = TextIndex(spark, scratch_path(spark, "text-index")).build(L(spark, sf_dir).transactions, blocks=32)
+    return reduce(DataFrame.unionByName, [index.search(t).select(F.lit(t).alias("term"), *listings.TX_COLUMNS) for t in SEARCH_TERMS])
