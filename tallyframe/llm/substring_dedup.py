@@ -106,7 +106,8 @@ _ANCHOR = "seed bigint, context bigint"
 
 
 def _anchors(min_words: int):
-    schema = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "seed", "context")] + [("start", pa.int32())])
+    schema = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "seed", "context")]
+                       + [(c, pa.int32()) for c in ("start", "size")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Seeds(min_words)
@@ -117,7 +118,7 @@ def _anchors(min_words: int):
                     n = len(got[0])
                     keys = [np.full(n, k.as_py(), np.int64) for k in (k1, k2)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, got[0], got[5])]
-                                                     + [pa.array(got[1], pa.int32())], schema=schema)
+                                                     + [pa.array(x, pa.int32()) for x in got[1:3]], schema=schema)
 
     return run
 
@@ -153,17 +154,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      min_words: int = MIN_WORDS) -> DataFrame:
     """(k1, k2, start, mask): of the windows of ``min_words`` words from ``start`` on that share an anchor,
-    bit ``j`` of ``mask`` says that the one from ``start + j`` on also starts elsewhere (``ALL``: each one)."""
+    bit ``j`` of ``mask`` says that the one from ``start + j`` on also starts elsewhere."""
     keyed = _keyed(docs, id_col, text_col)
     anchors = written(keyed.select("k1", "k2", "text").mapInArrow(
-        _anchors(min_words), f"{_KEY}, {_ANCHOR}, start int"), "substring-anchors")
+        _anchors(min_words), f"{_KEY}, {_ANCHOR}, start int, size int"), "substring-anchors")
     seeds = written(anchors.groupBy("seed").agg(F.count("*").alias("n"), F.min("context").alias("context"), F.max(
         "context").alias("other")).where("n > 1"), "substring-seeds")
     same = seeds.where("context = other").select("seed", "context", "n", F.lit(ALL).cast("bigint").alias("mask"))
 
     # One occurrence, and the number of all, of each context of the other seeds.
     mixed_seeds = seeds.where("context != other").select("seed", "n")
-    contexts = join_split(anchors, mixed_seeds, ["seed"], "n").groupBy("seed", "context").agg(
+    contexts = join_split(anchors.drop("size"), mixed_seeds, ["seed"], "n").groupBy("seed", "context").agg(
         F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "start")))
     contexts = written(contexts, "substring-contexts")
     asked = contexts.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", F.when(
@@ -178,8 +179,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.expr("bit_or(shiftleft(1L, j))").alias("mask"))
     some = found.join(contexts.select("seed", "context", "n").hint("merge"), ["seed", "context"]).select("seed", "context", "n", "mask")
     verdicts = written(same.unionByName(some), "substring-verdicts")
+    mask = F.expr(f"if(mask = {ALL}, shiftleft(1L, size) - 1, mask)")
     out = written(join_split(anchors, verdicts, ["seed", "context"], "n").groupBy("k1", "k2", "start").agg(
-        F.expr("bit_or(mask)").alias("mask")), "substring-windows")
+        F.bit_or(mask).alias("mask")), "substring-windows")
     for done in (anchors, extended):
         discard(done)
     return out
@@ -187,7 +189,6 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _cleaned(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = Seeds(min_words)
         schema = None
         for batch in batches:
             schema = schema or pa.schema([
@@ -198,14 +199,12 @@ def _cleaned(min_words: int):
                 text = text.as_py()
                 tokens, found, stretches = text.split(), found.as_py() or [], []
                 if found:
-                    got = seeds.of(text)
-                    sizes = dict(zip(got[1].tolist(), got[2].tolist()))
+                    first, mask = np.array([(x["start"], x["mask"]) for x in found], np.int64).T
+                    at, j = np.nonzero(mask[:, None] >> np.arange(32) & 1)
+                    starts = first[at] + j
                     edge = np.zeros(len(tokens) + 1, np.int64)
-                    for x in found:
-                        bits = x["mask"]
-                        starts = np.array([x["start"] + j for j in range(sizes[x["start"]]) if bits >> j & 1])
-                        edge[starts] += 1
-                        edge[starts + min_words] -= 1
+                    edge[starts] += 1                   # windows start at different words
+                    edge[:] -= np.bincount(starts + min_words, minlength=len(edge))
                     gone = np.cumsum(edge) > 0
                     turns = np.flatnonzero(np.diff(gone, prepend=False)).reshape(-1, 2)
                     stretches = [{"start": int(a), "end": int(b)} for a, b in turns]
