@@ -66,8 +66,9 @@ def int_or_zero(c) -> Column:
     the int range its nearest end, whatever the number of digits."""
     lead = F.regexp_extract(col_(c).cast("string"), r"^\s*([+-]?\d+)", 1)
     low, high = F.lit(-(1 << 31)), F.lit((1 << 31) - 1)
-    number = F.least(F.greatest(lead.try_cast("decimal(38,0)"), low), high).cast("int")
-    return F.coalesce(number, F.when(lead.startswith("-"), low).when(lead != "", high), F.lit(0))
+    number = lead.try_cast("decimal(38,0)")         # null without a number, or with too many digits
+    return (F.when(number.isNotNull(), F.least(F.greatest(number, low), high).cast("int"))
+            .when(lead.startswith("-"), low).when(lead != "", high).otherwise(F.lit(0)))
 
 
 def normalize_email(c) -> Column:

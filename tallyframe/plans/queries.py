@@ -1834,3 +1834,47 @@ def q_tx_index_search(spark, sf_dir):
     three-letter postings, rows verified."""
     index = TextIndex(spark, scratch_path(spark, "text-index")).build(L(spark, sf_dir).transactions, blocks=32)
     return reduce(DataFrame.unionByName, [index.search(t).select(F.lit(t).alias("term"), *listings.TX_COLUMNS) for t in SEARCH_TERMS])
+
+
+# ---------------------------------------------------------------------------
+# Details as VARIANT, rejected lines
+# ---------------------------------------------------------------------------
+@query("audit_variant", oracle=with_ledger("""
+SELECT id, user_id, TRY_CAST(json_extract_string(d, '$.k') AS BIGINT) AS k, json_extract_string(d, '$.nested.tag') AS tag, NULL AS reason
+FROM (SELECT id, user_id, CASE WHEN id % 7 = 0 THEN '{"nested":{"tag":"t' || CAST(id AS VARCHAR) || '"}}'
+             WHEN id % 41 = 0 THEN NULL ELSE details END AS d FROM audit_logs WHERE id % 31 <> 5) e
+UNION ALL
+SELECT id, user_id, NULL, NULL, 'details are no JSON' FROM audit_logs WHERE id % 31 = 5""", "audit_logs"))
+def q_audit_variant(spark, sf_dir):
+    """S10 + X19: audit details of several shapes parsed once into VARIANT, stored, and read by path; cut-off
+    details are rejects, and none vanishes."""
+    led = L(spark, sf_dir)
+    rows = led.audit_logs.select("id", "user_id", F.expr(
+        "CASE WHEN id % 31 = 5 THEN left(details, 4) || CAST(id AS STRING) "
+        "WHEN id % 7 = 0 THEN '{\"nested\":{\"tag\":\"t' || CAST(id AS STRING) || '\"}}' WHEN id % 41 = 0 THEN NULL ELSE details END").alias("details"))
+    parsed, rejects = audit.ingest_details(rows)
+    path = scratch_path(spark, "variant")
+    parsed.write.parquet(path)
+    stored = spark.read.parquet(path).select(
+        "id", "user_id", audit.detail("$.k", "bigint").alias("k"), audit.detail("$.nested.tag", "string").alias("tag"),
+        F.lit(None).cast("string").alias("reason"))
+    return stored.unionByName(rejects.select("id", "user_id", F.lit(None).cast("bigint").alias("k"),
+                                             F.lit(None).cast("string").alias("tag"), "reason"))
+
+
+@query("log_rejects", oracle="""
+SELECT CASE WHEN event_id % 23 = 2 THEN 'no level' ELSE 'malformed' END AS reason, count(*) AS n_lines
+FROM events WHERE event_id % 23 = 2 OR event_id % 17 = 0 OR event_id % 19 = 1 GROUP BY ALL""")
+def q_log_rejects(spark, sf_dir):
+    """A log with cut-off lines, plain text and lines without a level: what the error view can't use is
+    counted by reason."""
+    led = L(spark, sf_dir)
+    line = F.to_json(F.struct(F.when(F.expr("event_id % 23 <> 2"), "error").alias("level"),
+                              F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("message"),
+                              F.col("ts").cast("timestamp").alias("timestamp")))
+    lines = led.driver("events").select(
+        F.when(F.expr("event_id % 23 = 2"), line).when(F.expr("event_id % 17 = 0"), F.substring(line, 1, 25))
+        .when(F.expr("event_id % 19 = 1"), F.lit("Error: connection reset")).otherwise(line).alias("value"))
+    path = scratch_path(spark, "log")
+    lines.write.text(path)
+    return audit.log_rejects(spark, path).groupBy("reason").agg(F.count("*").alias("n_lines"))

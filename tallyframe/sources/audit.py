@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.schemas import LOG_LINE, RUN_DETAILS
 
@@ -68,9 +69,37 @@ def audit_details(audit: DataFrame) -> DataFrame:
                     F.col("a.amount").alias("share"), F.col("a.percentage").alias("percentage")))
 
 
+def ingest_details(audit: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S10 + X19: the JSON details of any action parsed once, at ingest, into a VARIANT column ``details_v``, whose
+    fields are read later by path (``detail``) without parsing the text again or naming a schema. Returns
+    ``(rows, rejects)``: details that are no JSON make a row of the rejects, with the text as it came."""
+    # As the one element of a list, so that text behind the value is an error too.
+    parsed = audit.withColumn("_list", F.try_parse_json(F.concat(F.lit("["), "details", F.lit("]"))))
+    parsed = parsed.withColumn("details_v", F.when(F.try_variant_get("_list", "$[1]", "variant").isNull(),
+                                                   F.try_variant_get("_list", "$[0]", "variant"))).drop("_list")
+    bad = F.col("details").isNotNull() & F.col("details_v").isNull()
+    return (parsed.where(~bad).drop("details"),
+            parsed.where(bad).drop("details_v").withColumn("reason", F.lit("details are no JSON")))
+
+
+def detail(path: str, type_: str) -> F.Column:
+    """A field of the parsed details (``$.a.b[0]``) as ``type_``; null where there is none or it is of another kind."""
+    return F.try_variant_get("details_v", path, type_)
+
+
+def log_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The log lines that ``read_log`` can't use, each with a ``reason``: malformed (no JSON object, or cut off), or
+    no level. With the used lines they make up the file."""
+    fields = T.StructType([*LOG_LINE.fields, T.StructField("line", T.StringType())])
+    lines = spark.read.schema(fields).option("columnNameOfCorruptRecord", "line").json(path)
+    reason = F.when(F.col("line").isNotNull(), "malformed").when(F.col("level").isNull(), "no level")
+    return lines.withColumn("reason", reason).where("reason is not null")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Structured JSON-lines application log with its declared schema."""
-    return spark.read.schema(LOG_LINE).json(path)
+    """Structured JSON-lines application log with its declared schema. Lines that are malformed or
+    have no level are left to ``log_rejects``."""
+    return spark.read.schema(LOG_LINE).json(path).where("level is not null")
 
 
 def log_errors(log: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ BINDINGS: dict[str, Binding] = {
     ), where="event_type = 'signup'"),
     "crypto_wallets": Binding("part", (
         ("id", "CAST(p_partkey AS BIGINT)"),
-        ("user_id", "CAST(CASE WHEN p_partkey % 499 = 11 THEN 9000000000 ELSE p_partkey % 25 END AS BIGINT)"),
+        ("user_id", "CAST(p_partkey % 25 AS BIGINT)"),
         ("name", "CASE WHEN p_partkey % 409 = 10 THEN repeat('long name ', 12) WHEN p_partkey % 401 <> 9 THEN p_name END"),
         ("address", "CASE WHEN p_partkey % 50 = 7 THEN 'w' || CAST(p_partkey AS STRING) "
                     "WHEN p_partkey % 6 = 0 THEN 'bc1q' || lpad(lower(hex(p_partkey * 7919)), 38, '0') "
@@ -210,7 +210,7 @@ BINDINGS: dict[str, Binding] = {
     ), joins=(("customer", "o_custkey = c_custkey"),)),
     "audit_logs": Binding("events", (
         ("id", "CAST(event_id AS BIGINT)"),
-        ("user_id", "CAST(user_id AS BIGINT)"),
+        ("user_id", "CAST(CASE WHEN event_id % 499 = 11 THEN 9000000000 ELSE user_id END AS BIGINT)"),
         ("action", "event_type"),
         ("resource", "'events'"),
         ("details", "props"),

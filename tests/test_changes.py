@@ -41,7 +41,9 @@ def test_upsert_semantics(spark):
     assert a.created_at == ts(0) and a.updated_at == dt.datetime(2024, 2, 1)
     assert got[("item-B", "old2")].change == "unchanged"
     c = got[("item-C", "new")]
-    assert (c.id, c.user_id, c.change, c.currency) == (None, 7, "inserted", "EUR")
+    # the sequence numbers every attempt, so the third change takes 3 + 3 (the greatest id is 3)
+    assert (c.id, c.user_id, c.change, c.currency) == (6, 7, "inserted", "EUR")
+    assert [got[(None, k)].id for k in ("nullkey1", "nullkey2")] == [7, 8]
     assert got[(None, "nokey")].change == "unchanged"
     assert {n for (k, n) in got if k is None} == {"nokey", "nullkey1", "nullkey2"}   # NULL keys never merge
     assert out.count() == 6

@@ -32,5 +32,5 @@ def test_percent_is_exact_just_below_a_tie(spark):
 def test_leading_integers(spark):
     from tallyframe.functions.text import int_or_zero
 
-    df = spark.createDataFrame([("12.7",), ("12abc",), (" -3x",), ("x1",), (None,), ("99999999999",)], "c string")
-    assert [r[0] for r in df.select(int_or_zero("c")).collect()] == [12, 12, -3, 0, 0, 0]
+    df = spark.createDataFrame([("12.7",), ("12abc",), (" -3x",), ("x1",), (None,), ("99999999999",), ("-" + "9" * 40,)], "c string")
+    assert [r[0] for r in df.select(int_or_zero("c")).collect()] == [12, 12, -3, 0, 0, (1 << 31) - 1, -(1 << 31)]
