@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators import portfolio
-from tallyframe.plans.registry import query
+from tallyframe.plans.registry import REGISTRY, query
 from tallyframe.sources.bindings import Ledger, duck_type, with_ledger
 
 
@@ -1878,3 +1878,22 @@ def q_log_rejects(spark, sf_dir):
     path = scratch_path(spark, "log")
     lines.write.text(path)
     return audit.log_rejects(spark, path).groupBy("reason").agg(F.count("*").alias("n_lines"))
+
+
+# ---------------------------------------------------------------------------
+# Owner-clustered storage
+# ---------------------------------------------------------------------------
+from tallyframe.sources import clustered  # noqa: E402
+
+CLUSTER_HOT_ROWS = 200
+
+
+@query("alloc_run_clustered", oracle=REGISTRY["alloc_run"].oracle)
+def q_alloc_run_clustered(spark, sf_dir):
+    """S1 + J9 + R4: runs and rules written as tables bucketed by owner (hot owners dealt over slots), then
+    allocated bucket by bucket without an exchange."""
+    led = L(spark, sf_dir)
+    store = clustered.Clustered(spark, buckets=16, hot_rows=CLUSTER_HOT_ROWS)
+    runs = store.fact(_runs(led).select("run_id", "user_id", "amount"), "runs", "run_id")
+    rules = store.side(led.allocation_rules.select("id", "user_id", "name", "percentage", "is_auto"), "rules")
+    return clustered.alloc_run(runs, rules)
