@@ -14,12 +14,12 @@ each segment is.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary's texts are cut into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_WORDS = regex.compile(PATTERN)
 LENGTH = 2048
 GROUP_TOKENS = 1 << 21
 #: Characters tokenized at once; longer texts are cut where a word ends.
@@ -46,14 +47,22 @@ def encoder(path: str):
 
 
 def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
-    """Cuts before a space that follows a word, where the pattern also cuts; a longer run
-    without such a place is cut at ``size``."""
+    """Cuts where the pattern itself ends a word, behind a letter or digit, or behind other visible ASCII
+    ahead of white space, so that the pieces have the ids of the whole text. (Behind white space the pattern
+    looks on to what follows.) Only within one word longer than ``size`` characters a cut is forced."""
     at = 0
     while len(text) - at > size:
-        ends = [m.start() for m in re.finditer(r"(?<=\S) (?=\S)", text[at:at + size])]
-        cut = ends[-1] if ends else size
-        yield text[at:at + cut]
-        at += cut
+        cut = None
+        for m in _WORDS.finditer(text, at):
+            end = m.end()
+            if end - at > size:
+                break
+            last = text[end - 1]
+            if last.isalpha() or last.isdecimal() or ("!" <= last <= "~" and text[end:end + 1] in (" ", "\n", "\t", "\r")):
+                cut = end
+        cut = cut or at + size
+        yield text[at:cut]
+        at = cut
     yield text[at:]
 
 

@@ -89,9 +89,14 @@ class RecordReader:
 
 
 def _replace(system: fs.FileSystem, part: str, path: str) -> None:
-    if system.get_file_info(path).type != fs.FileType.NotFound:
+    """Puts ``part`` in the place of ``path``: in one step where the file system can."""
+    try:
+        system.move(part, path)
+    except OSError:
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            raise
         system.delete_file(path)
-    system.move(part, path)
+        system.move(part, path)
 
 
 def _write_task(folder: str):
@@ -132,13 +137,23 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return written(p.mapInArrow(_write_task(folder), "file string, records long"), "warc-files")
 
 
-def _inflated(stream, inflate) -> Iterator[bytes]:
-    """The plain bytes of a gzip stream, in pieces of bounded size."""
+def _inflated(stream) -> Iterator[bytes]:
+    """The plain bytes of a gzip stream of one member or several (zero bytes may pad them), in
+    pieces of bounded size. A member that is cut off is an error."""
+    inflate, begun = zlib.decompressobj(_GZIP), False
     while data := stream.read(BLOCK):
         while data:
+            if not begun and not (data := data.lstrip(b"\0")):
+                break
+            begun = True
             yield inflate.decompress(data, 4 * BLOCK)
             data = inflate.unconsumed_tail
-    yield inflate.flush()
+            if inflate.eof:
+                data, inflate, begun = inflate.unused_data, zlib.decompressobj(_GZIP), False
+    if begun:
+        yield inflate.flush()
+        if not inflate.eof:
+            raise ValueError("the stream ends within a gzip member")
 
 
 def _normalise_task(source: str, target: str):
@@ -150,10 +165,10 @@ def _normalise_task(source: str, target: str):
             for name in batch.column(0).to_pylist():
                 path, offset, count = f"{goal}/{name}", 0, 0
                 part = f"{path}.{TaskContext.get().taskAttemptId()}"
-                inflate, reader = zlib.decompressobj(_GZIP), RecordReader()
+                reader = RecordReader()
                 with (system.open_input_stream(f"{root}/{name}", compression=None) as stream,
                       there.open_output_stream(part, compression=None) as out, there.open_output_stream(f"{part}.index") as index):
-                    for plain in _inflated(stream, inflate):
+                    for plain in _inflated(stream):
                         for head, whole in reader.feed(plain):
                             pack = zlib.compressobj(LEVEL, zlib.DEFLATED, _GZIP)
                             member = pack.compress(whole) + pack.flush()
@@ -162,7 +177,7 @@ def _normalise_task(source: str, target: str):
                                 "offset": offset, "length": len(member), "record": head["warc-record-id"],
                                 "type": head["warc-type"], "digest": head["warc-payload-digest"]}).encode() + b"\n")
                             offset, count = offset + len(member), count + 1
-                if reader.held or not inflate.eof:
+                if reader.held:
                     raise ValueError(f"{name}: the stream ends within a record")
                 _replace(there, part, path)
                 _replace(there, f"{part}.index", f"{path}.index")
@@ -172,8 +187,8 @@ def _normalise_task(source: str, target: str):
 
 
 def normalise(files: DataFrame, source: str, target: str) -> DataFrame:
-    """Rewrites the archives (file) of ``source`` into ``target``, with a member per record and an
-    index ``<file>.index`` (JSON lines); returns (file, records)."""
+    """Rewrites the archives (file) of ``source``, each of one gzip member or several, into ``target``, with a member
+    per record and an index ``<file>.index`` (JSON lines); returns (file, records)."""
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return written(files.select("file").repartition(n, "file").mapInArrow(
         _normalise_task(source, target), "file string, records long"), "warc-normal")

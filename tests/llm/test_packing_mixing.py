@@ -58,6 +58,20 @@ def test_chunks_do_not_change_the_ids():
     assert [t for c in chunks(text, 100) for t in enc.encode_ordinary(c)] == enc.encode_ordinary(text)
 
 
+def test_chunks_keep_the_ids_of_any_text():
+    enc, rnd = encoder(VOCABULARY), random.Random(8)
+    parts = ["word", "Über", "don't", "日本語のテキスト", "한국어", "42", "3.14", "!!", "—", "\n", "\n\n", "\t", " ", "   ", "\r\n", "\u00a0", "😀", "x'll", "\x1c", "́"]
+    texts = [sep.join(f"word{k}" for k in range(400)) for sep in ("\n", "\t", "\n\n", "  ", ", ", "。")]
+    texts += ["".join(rnd.choices(parts, k=500)) for _ in range(60)]
+    for text in texts:
+        pieces = list(chunks(text, 100))
+        assert "".join(pieces) == text and len(pieces) > 3
+        assert [t for c in pieces for t in enc.encode_ordinary(c)] == enc.encode_ordinary(text)
+    long = "\n".join(f"line {k}" for k in range(30_000))
+    assert [t for c in chunks(long) for t in enc.encode_ordinary(c)] == enc.encode_ordinary(long)
+    assert "".join(chunks("y" * 1_000, 300)) == "y" * 1_000
+
+
 def fill(budget, kids):
     """kids {name: (cap, weight)} -> {name: budget}, by repeated rounds."""
     got, open_ = {}, dict(kids)

@@ -306,3 +306,28 @@ def test_queries_have_the_contract_columns(spark, name):
     want = {"op7_license_scan": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
             "op5_chat_format": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]}
     assert QUERIES[name](spark, SF001).columns == want[name]
+
+
+def test_archives_of_several_members(spark, tmp_dir):
+    """Gzip files of one, two and a hundred members, padded or not, keep every record; a cut one is an error."""
+    import gzip
+    import os
+
+    from tallyframe.llm.warc import record
+
+    os.makedirs(f"{tmp_dir}/raw")
+    records = [record(k, f"http://x/{k}", f"<p>{k}</p>".encode() * 50, sha(str(k)), None) for k in range(100)]
+    cuts = {"one": [100], "two": [30, 70], "hundred": [1] * 100, "padded": [50, 50]}
+    for name, sizes in cuts.items():
+        at, members = 0, []
+        for n in sizes:
+            members.append(gzip.compress(b"".join(records[at:at + n])))
+            at += n
+        with open(f"{tmp_dir}/raw/{name}", "wb") as f:
+            f.write((b"\0" * 600 if name == "padded" else b"").join(members) + (b"\0" * 9 if name == "padded" else b""))
+    files = spark.createDataFrame([(n,) for n in cuts], "file string")
+    assert {r.file: r.records for r in normalise(files, f"{tmp_dir}/raw", f"{tmp_dir}/new").collect()} == dict.fromkeys(cuts, 100)
+    with open(f"{tmp_dir}/raw/two", "rb") as f, open(f"{tmp_dir}/raw/cut", "wb") as g:
+        g.write(f.read()[:-20])
+    with pytest.raises(Exception, match="ends within"):
+        normalise(spark.createDataFrame([("cut",)], "file string"), f"{tmp_dir}/raw", f"{tmp_dir}/bad").collect()
