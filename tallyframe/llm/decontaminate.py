@@ -6,6 +6,8 @@ size; an item of ``m`` shingles keeps a bottom MinHash sketch of ``m - ceil(c *
 shingles, the smallest under one hash order. A document that contains the share ``c`` of
 the item misses at most ``m - ceil(c * m)`` of its shingles, hence has one of the sketch:
 the search loses nothing, and its cost per document does not depend on the item's length.
+An item under five words is one shingle of its own length; documents are also cut into
+shingles of the lengths, one to four, that such items have.
 Candidates are then verified by exact containment of all shingles.
 
 The documents' shingles are generated and probed inside one code-generated stage; only
@@ -14,6 +16,8 @@ pairs with a hit are shuffled, after partial aggregation.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,17 @@ def _shingles(df: DataFrame, width: int) -> DataFrame:
             .select(*keep, F.expr(f"xxhash64({at})").alias("gram")))
 
 
+def _short_widths(items: DataFrame, width: int) -> list[int]:
+    """The lengths below ``width`` words of the items, at most ``width - 1`` numbers: such an item is one
+    shingle, which documents must be cut into as well."""
+    n = F.size(words_of(F.lower("text")))
+    return sorted(r[0] for r in items.select(n.alias("n")).where(F.col("n").between(1, width - 1)).distinct().collect())
+
+
+def _all_shingles(df: DataFrame, widths: list[int]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [_shingles(df, w) for w in widths])
+
+
 def _enough(found: Column, size: Column, percent: int) -> Column:
     return 100 * found >= percent * size
 
@@ -56,22 +71,23 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     """(doc_id, item_id, n_item_shingles, n_common, containment): every pair with
     ``100 * n_common >= percent * n_item_shingles``.
 
-    Texts are lower-cased. Null or wordless texts contain and match nothing; a text shorter
-    than ``width`` words only matches an equally short one. Rows without an id are not
+    Texts are lower-cased. Null or wordless texts contain and match nothing; an item shorter than
+    ``width`` words is found wherever its words stand one after another. Rows without an id are not
     reported; rows that share an id count as one document (or item), and repeated rows
     change nothing. Empty tables give an empty result. Other columns are not read."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     i = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
     full, sketch = item_sketches(i, width, percent)
+    widths = [width, *_short_widths(i, width)]
     # A bare gram list for the probe, so that shared passages do not multiply the documents' rows.
     probe = sized(written(sketch.select("gram").distinct(), "decon-sketch"))
-    hits = _shingles(d, width).join(probe, "gram").distinct()
+    hits = _all_shingles(d, widths).join(probe, "gram").distinct()
     pairs = written(hits.join(sized(sketch.select("item_id", "gram")), "gram").select("doc_id", "item_id").distinct(),
                     "decon-candidates")
     suspects = d.join(sized(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
     # Only shingles of some item are worth a shuffle; the pair must be a candidate.
     known = sized(written(full.select("gram").distinct(), "decon-grams"))
-    have = _shingles(suspects, width).join(known, "gram").distinct()
+    have = _all_shingles(suspects, widths).join(known, "gram").distinct()
     common = (have.join(sized(full), "gram").join(sized(pairs), ["doc_id", "item_id"], "left_semi")
               .groupBy("doc_id", "item_id", "m").agg(F.count("*").alias("n_common")))
     return common.where(_enough(F.col("n_common"), F.col("m"), percent)).select(

@@ -89,11 +89,17 @@ def contained_sql(docs: str, percent: int = 80, width: int = 5) -> str:
         d = d.replace(name, f"d_{name}")
         i = i.replace(name, f"i_{name}")
     return f"""{d}, {i},
+d_all AS (
+  SELECT id, g FROM d_grams
+  UNION
+  SELECT id, array_to_string(w[i:i + k - 1], ' ')
+  FROM d_words, (SELECT DISTINCT len(w) AS k FROM i_words WHERE len(w) BETWEEN 1 AND {width - 1}) s,
+       unnest(range(1, len(w) - k + 2)) AS t(i)),
 i_size AS (SELECT id, count(*) AS m FROM i_grams GROUP BY id),
 contained AS (
   SELECT d.id AS doc_id, i.id AS item_id, max(m)::BIGINT AS n_item_shingles, count(*)::BIGINT AS n_common,
          count(*) / max(m)::DOUBLE AS containment
-  FROM i_grams i JOIN d_grams d ON d.g = i.g JOIN i_size s ON s.id = i.id
+  FROM i_grams i JOIN d_all d ON d.g = i.g JOIN i_size s ON s.id = i.id
   GROUP BY d.id, i.id HAVING 100 * count(*) >= {percent} * max(m))"""
 
 
