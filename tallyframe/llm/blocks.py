@@ -1,10 +1,12 @@
-"""HTML pages as sequences of leaf blocks with tag paths, and their feature vectors."""
+"""HTML pages as sequences of leaf blocks with tag paths, and their feature vectors. Parsing costs
+time and memory in proportion to the page, however broken or deep it is."""
 
 from __future__ import annotations
 
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,24 +21,79 @@ CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt",
           "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 CONTAINERS = frozenset("html body div section article main aside nav header footer form ul ol dl table blockquote "
                        "figure fieldset".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|(<)",
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^<]+)|(<)",
                     re.DOTALL)
+# The same, but a quote in a tag is any other character.
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*+)>|([^<]+)|(<)", re.DOTALL)
+#: Tags without an end, each looked for up to the end of the page, after which quotes are ignored.
+BROKEN_TAGS = 16
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[\s ]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.IGNORECASE) for t in RAW}
 
 
+# Markup that states that its content is not main text, and that it may be; further elements of HTML.
+ASIDE = frozenset("<nav <header <footer <aside <form <button <select <option <dialog <menu <fieldset <figcaption "
+                  "ad ads advert advertisement banner sponsor sponsored promo menu nav navbar navigation breadcrumb "
+                  "breadcrumbs sidebar widget related footer header masthead cookie cookies consent notice notices gdpr "
+                  "comment comments reply replies respond disqus share social newsletter subscribe signup login search "
+                  "popup modal pagination pager copyright toolbar skip".split())
+MAIN = frozenset("content entry post story body".split())
+ELEMENTS = (VOID | RAW | INLINE | CONTAINERS | frozenset(CLOSES) | frozenset(
+    "h1 h2 h3 h4 h5 h6 pre thead tbody tfoot caption details summary address center label".split()))
+#: Place of each known token in a path vector. Other words, which a site is free to choose, have none, so
+#: that they can't pass for one that says something.
+KNOWN = {t: k for k, t in enumerate(sorted(ASIDE | MAIN | {"<" + e for e in ELEMENTS}))}
+PATH_DIM, WORD_DIM, EXTRA = -(-len(KNOWN) // 8) * 8, 32, 6
+DIM = PATH_DIM + WORD_DIM + EXTRA
+
+
+class Node:
+    """An open element; its ancestors by reference, so that a path costs the same at any depth."""
+
+    __slots__ = ("tag", "parent", "tokens", "bits", "depth", "stated")
+
+    def __init__(self, tag: str, parent: Node | None, tokens: tuple[str, ...]):
+        self.tag, self.parent, self.tokens, self.stated = tag, parent, tokens, None
+        self.bits, self.depth = (parent.bits, parent.depth + 1) if parent else (0, 0)
+        for t in tokens:
+            if t in KNOWN:
+                self.bits |= 1 << KNOWN[t]
+
+
 @dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]       # tokens of the open elements, outermost first
+    node: Node                  # the innermost open element
     text: str
     linked: int                 # code points of the text inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Tokens of the open elements, outermost first."""
+        nodes, at = [], self.node
+        while at:
+            nodes.append(at.tokens)
+            at = at.parent
+        return tuple(t for ts in reversed(nodes) for t in ts)
+
+
+# First parts of class names that tell a state of the element, not what it holds.
+STATES = frozenset("no not has have is with without hide hidden show".split())
+
 
 def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
-    names = [_WORD.findall((a or b or c).lower()) for a, b, c in _NAMES.findall(attributes)] if "=" in attributes else []
-    return ("<" + tag, *(w for ws in names for w in ws))
+    """The tag and the names in class, id and role: each name by its words, but none
+    of a name whose first word tells a state (``no-sidebar``). Those of the page as
+    a whole (``html``, ``body``) say nothing of a block."""
+    out = ["<" + tag]
+    if "=" in attributes and tag not in ("html", "body"):
+        for a, b, c in _NAMES.findall(attributes):
+            for name in (a or b or c).lower().split():
+                words = _WORD.findall(name)
+                if len(words) == 1 or words and words[0] not in STATES:
+                    out += words
+    return tuple(out)
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -44,32 +101,45 @@ def blocks(page: str | None) -> list[Block]:
     of block elements (``br`` counts as one), references decoded, white space made one space.
     Scripts, styles, comments and markup give none."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = Node("", None, ())
+    stack: list[Node] = []
+    open_: Counter[str] = Counter()
     parts: list[str] = []
-    path: tuple[str, ...] = ()
-    linked, links = 0, 0
-    page, at = page or "", 0
+    node = root
+    linked = broken = 0
+    page, at, token = page or "", 0, _TOKEN
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(path, text, linked))
+                out.append(Block(node, text, linked))
             parts.clear()
         linked = 0
 
-    while (m := _TOKEN.match(page, at)) is not None:
+    def drop(k: int) -> None:
+        """Closes the open elements from the ``k``-th on."""
+        for n in stack[k:]:
+            open_[n.tag] -= 1
+        del stack[k:]
+
+    while (m := token.match(page, at)) is not None:
         at = m.end()
         ends, tag, attributes, text, stray = m.groups()
+        if stray and page[at:at + 1].isalpha():
+            broken += 1
+            token = _PLAIN if broken >= BROKEN_TAGS else token
+            if page.find(">", at) < 0:                  # no tag ends any more: the rest is text
+                text, at = page[at - 1:], len(page)
         if text or stray:
             text = html.unescape(text) if text else "<"
             if not parts:
                 if not text.strip():
                     continue
-                path = tuple(t for _, ts in stack for t in ts)
+                node = stack[-1] if stack else root
             parts.append(text)
-            if links:
+            if open_["a"]:
                 linked += len(text.strip())
             continue
         if tag is None:
@@ -82,50 +152,44 @@ def blocks(page: str | None) -> list[Block]:
         if tag not in INLINE:
             close()
         if ends:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, _ = stack.pop()
-                    links -= t == "a"
-                    if t == tag:
-                        break
+            if open_[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                drop(k)
             continue
         if tag in VOID or attributes.endswith("/") and tag not in CONTAINERS:
             continue
-        for k in range(len(stack) - 1, -1, -1) if tag in CLOSES or tag in CONTAINERS else ():
-            t = stack[k][0]
-            if t in CLOSES.get(tag, ("p",)):
-                links -= sum(x == "a" for x, _ in stack[k:])
-                del stack[k:]
-                break
-            if t in CONTAINERS:
-                break
-        stack.append((tag, _tokens(tag, attributes)))
-        links += tag == "a"
+        ended = CLOSES.get(tag, ("p",)) if tag in CLOSES or tag in CONTAINERS else ()
+        if any(open_[t] for t in ended):
+            for k in range(len(stack) - 1, -1, -1):
+                t = stack[k].tag
+                if t in ended:
+                    drop(k)
+                    break
+                if t in CONTAINERS:
+                    break
+        stack.append(Node(tag, stack[-1] if stack else root, _tokens(tag, attributes)))
+        open_[tag] += 1
     close()
     return out
 
 
-PATH_DIM, WORD_DIM, EXTRA = 192, 32, 6
-DIM = PATH_DIM + WORD_DIM + EXTRA
-
-
 class Vectors:
-    """Blocks of a page -> float32 matrix of hashed tag paths, hashed words and layout."""
+    """Blocks of a page -> float32 matrix of tag paths, hashed words and layout."""
 
     def __init__(self, limit: int = 100_000):
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
+        self.paths: dict[int, np.ndarray] = {}
         self.words: dict[str, int] = {}
         self.limit = limit
 
-    def path(self, tokens: tuple[str, ...]) -> np.ndarray:
-        got = self.paths.get(tokens)
+    def path(self, bits: int) -> np.ndarray:
+        got = self.paths.get(bits)
         if got is None:
             if len(self.paths) >= self.limit:
                 self.paths.clear()
-            got = np.zeros(PATH_DIM, np.float32)
-            for t in tokens:
-                got[zlib.crc32(t.encode()) % PATH_DIM] = 1
-            self.paths[tokens] = got
+            raw = np.frombuffer(bits.to_bytes(PATH_DIM // 8, "little"), np.uint8)
+            got = self.paths[bits] = np.unpackbits(raw, bitorder="little").astype(np.float32)
         return got
 
     def word_ids(self, text: str) -> list[int]:
@@ -142,10 +206,10 @@ class Vectors:
     def page(self, found: list[Block]) -> np.ndarray:
         x = np.zeros((len(found), DIM), np.float32)
         for k, b in enumerate(found):
-            x[k, :PATH_DIM] = self.path(b.path)
+            x[k, :PATH_DIM] = self.path(b.node.bits)
             ids, n = self.word_ids(b.text), len(b.text)
             w = np.bincount(ids, minlength=WORD_DIM)
             x[k, PATH_DIM:PATH_DIM + WORD_DIM] = np.sqrt(w / max(len(ids), 1))
             x[k, -EXTRA:] = (np.log1p(n) / 8, min(b.linked / n, 1), k / len(found), len(ids) < 6,
-                             b.text[-1] in ".!?…\"”»", len(b.path) / 20)
+                             b.text[-1] in ".!?…\"”»", min(b.node.depth, 40) / 20)
         return x

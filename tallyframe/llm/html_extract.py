@@ -1,7 +1,7 @@
 """Operator 1: main-text extraction with a recurrent block labeller.
 
 A page is a sequence of leaf blocks (``blocks``). A bidirectional LSTM in numpy reads one
-vector per block (hashed tag path, hashed words, layout) over the whole page and labels
+vector per block (tag path, hashed words, layout) over the whole page and labels
 every block as main text or not, so a block is judged in the context of the document.
 
 The network is trained here, on the driver, on a bounded sample: ``SAMPLE`` pages with the
@@ -22,23 +22,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.blocks import DIM, Block, Vectors, blocks
+from tallyframe.llm.blocks import ASIDE, DIM, Block, Vectors, blocks
 
 SAMPLE, SAMPLE_CHARS, VARIANTS = 96, 200_000, 4
 HIDDEN, EPOCHS, BATCH, RATE, CROP = 16, 24, 24, 0.012, 60
 THRESHOLD = 0.5
 
-# Markup that states that its content is not main text, and that it is.
-ASIDE = frozenset("<nav <header <footer <aside <form <button <select <option <dialog <menu <fieldset <figcaption "
-                  "ad ads advert advertisement banner sponsor sponsored promo menu nav navbar navigation breadcrumb "
-                  "breadcrumbs sidebar widget related footer header masthead cookie cookies consent notice notices gdpr "
-                  "comment comments reply replies respond disqus share social newsletter subscribe signup login search "
-                  "popup modal pagination pager copyright toolbar skip".split())
-MAIN = ("<article", "<main", "content", "entry", "post", "story", "body")
+#: Element around added regions whose own markup states nothing; seen by the teacher only.
+UNSTATED = "x-aside"
 
 
 def stated_label(b: Block) -> bool:
-    return not ASIDE.intersection(b.path)
+    """Main text, as far as the markup around the block states it (kept with each element)."""
+    chain, node = [], b.node
+    while node is not None and node.stated is None:
+        chain.append(node)
+        node = node.parent
+    label = node is None or node.stated
+    for node in reversed(chain):
+        label = node.stated = label and node.tag != UNSTATED and not ASIDE.intersection(node.tokens)
+    return label
 
 
 # Fixed values: (opening, closing) markup and block element of added regions.
@@ -58,7 +61,11 @@ REGIONS = [("<header>", "</header>", "div"), ('<div class="header">', "</div>",
 HOLDERS = [("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"),
            ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"), ('<div class="post">', "</div>"),
            ('<div class="entry-content">', "</div>"), ('<section class="story">', "</section>"), ("<div>", "</div>"),
-           ("", "")]
+           ("", ""), ('<div class="site no-sidebar">', "</div>"), ('<div class="wrap has-header-image">', "</div>"),
+           ('<div class="page is-menu-closed without-comments"><article class="post">', "</article></div>"),
+           ('<main><article class="post type-post"><div class="entry-content">', "</div></article></main>")]
+# Menus and notes whose markup states nothing: cells, lists or paragraphs of short links.
+PLAIN_REGIONS = [("<table><tr>", "</tr></table>", "td"), ("<ul>", "</ul>", "li"), ("<div>", "</div>", "p"), ("<div>", "</div>", "span")]
 INNER = ["p", "p", "p", "h2", "h3", "li", "blockquote", "div", "pre", "td", "section", "span"]
 
 
@@ -76,8 +83,16 @@ def altered(found: list[Block], rnd: random.Random) -> str:
         lines = [text(rnd.choice(rnd.choice([main, other]))) for _ in range(rnd.choice([1, 1, 2, 4]))]
         return begin + "".join(f"<{element}>{x}</{element}>" for x in lines) + end
 
+    def links() -> str:
+        begin, end, element = rnd.choice(PLAIN_REGIONS)
+        shown = [" ".join(rnd.choice(other).split()[:3]) for _ in range(rnd.choice([3, 4, 6]))]
+        lines = [f"<a href='/x'>{text(x)}</a>" for x in shown]
+        if rnd.random() < 0.5:
+            lines = [rnd.choice([" / ", " | ", " "]).join(lines)]
+        return f"<{UNSTATED}>{begin}" + "".join(f"<{element}>{x}</{element}>" for x in lines) + f"{end}</{UNSTATED}>"
+
     def some(most: int) -> str:
-        return "".join(region() for _ in range(rnd.randrange(most + 1)))
+        return "".join(links() if rnd.random() < 0.15 else region() for _ in range(rnd.randrange(most + 1)))
 
     begin, end = rnd.choice(HOLDERS)
     kind = rnd.choice([None, "p", "p"])

@@ -96,3 +96,57 @@ def test_odd_pages(spark, model):
     assert sorted((r.page_id or -1, r.n_chars, r.n_main) for r in got) == [
         (-1, 0, 0), (1, 0, 0), (2, 5000 * 16 - 1, 5000), (2, 5000 * 16 - 1, 5000), (3, 0, 0)]
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+PARAGRAPHS = [f"Paragraph {k} of the article tells about the council, which met on Monday to discuss the plan, in enough words."
+              for k in range(6)]
+ARTICLE = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+LINKS = "".join(f"<td><a href='/{x}'>{x}</a></td>" for x in ("Home", "News", "Sport", "Contact"))
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><body class='page no-sidebar'><article>{ARTICLE}</article></body></html>",
+    f"<html><body class='single single-post has-header-image menu-on-side'><div>{ARTICLE}</div></body></html>",
+    "<html><body class='home single-post no-sidebar'><div id='page' class='site'><nav class='menu'><a>Home</a></nav><main>"
+    f"<article class='post type-post'><div class='entry-content'>{ARTICLE}</div></article></main>"
+    "<footer class='site-footer'><p>Privacy</p></footer></div></body></html>",
+    f"<html><body><table><tr>{LINKS}</tr></table><div>{ARTICLE}</div>"
+    "<div><a href='/p'>Privacy</a> / <a href='/t'>Terms</a> / <a href='/c'>Contact</a></div></body></html>",
+    f"<body><div class='wrap no-sidebar'><div class='content-area has-sidebar'>{ARTICLE}</div></div></body>"])
+def test_states_in_class_names_cost_no_article(model, page):
+    found = blocks(page)
+    assert [b.text for b, kept in zip(found, label(model, [found], Vectors())[0]) if kept] == PARAGRAPHS
+
+
+def test_held_out_markups(model, pages):
+    """Holders and regions that training never sees: precision and recall by block."""
+    holders = ['<div class="td-post-content">', '<div itemprop="articleBody">', '<section class="page-text no-comments">',
+               '<div class="c-article with-navigation">', '<table><tr><td class="story-text">']
+    regions = ['<div role="navigation"><a>%s</a>', '<div class="footer-widgets"><p>%s</p>', '<div id="comments-area"><div>%s</div>',
+               '<div class="left-sidebar"><li>%s</li>', '<div class="site-cookie-bar"><p>%s</p>', '<div class="ad-slot"><p>%s</p>']
+    rnd, counts = random.Random(11), [0, 0, 0]
+    for k in sorted(pages)[200:320]:
+        source = blocks(pages[k])
+        main = [b.text for b in source if stated_label(b)]
+        other = [b.text for b in source if not stated_label(b)] or ["Menu"]
+        begin, aside = rnd.choice(holders), [rnd.choice(regions) % rnd.choice(other) + "</div>" for _ in range(4)]
+        esc = [t.replace("&", "&amp;").replace("<", "&lt;") for t in main]
+        found = blocks(f"<body>{aside[0]}{aside[1]}{begin}<h1>x</h1>{''.join(f'<p>{t}</p>' for t in esc)}</div>{aside[2]}{aside[3]}</body>")
+        for b, kept in zip(found, label(model, [found], Vectors())[0]):
+            if b.text != "x":
+                real = b.text in main
+                counts = [counts[0] + (kept and real), counts[1] + kept, counts[2] + real]
+    precision, recall = counts[0] / counts[1], counts[0] / counts[2]
+    print("held-out markups:", precision, recall)
+    assert precision >= 0.95 and recall >= 0.95
+
+
+@pytest.mark.parametrize("page, n_blocks", [
+    ("<div>x" * 60_000, 60_000), ('<a "' * 100_000, 1), ('<a ="' * 80_000, 1), ("<b>" * 100_000 + "</x>" * 20_000, 0),
+    ("<b>" * 20_000 + "<p></p>" * 20_000, 0), ("".join(f"<div class=n{k}>x" for k in range(20_000)), 20_000)])
+def test_broken_pages_cost_their_length(page, n_blocks):
+    import time
+
+    began = time.process_time()
+    assert len(blocks(page)) == n_blocks
+    assert time.process_time() - began < 10
