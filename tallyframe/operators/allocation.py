@@ -102,7 +102,7 @@ def alloc_run(runs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     # filter that would not cut it down).
     owners, few = measured(runs.select("user_id").distinct())
     cut = auto_rules(rules).join(owners, "user_id", "left_semi") if few else auto_rules(rules)
-    auto, bounded = measured(cut)
+    auto, bounded = measured(cut.select("user_id", "id", "name", "percentage"))
     gate = _gate(auto)                      # at most one row per rule of ``auto``
     gate = F.broadcast(gate) if bounded else checked_broadcast(gate)
     r = runs.join(gate, "user_id", "left").withColumn(
@@ -113,8 +113,7 @@ def alloc_run(runs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit("Total percentage must be 100%. Current total: "),
                  F.col("rule_total_pct").cast("string"), F.lit("%")).alias("error"))
     allocations = (ok.join(auto.select("user_id", F.col("id").alias("rule_id"),
-                                       F.col("name").alias("rule_name"), "percentage", "created_at"),
-                           "user_id")
+                                       F.col("name").alias("rule_name"), "percentage"), "user_id")
                    .select("run_id", "user_id", "rule_id", "rule_name", "percentage",
                            "amount", share("amount", "percentage").alias("share")))
     return allocations, rejects

@@ -795,7 +795,7 @@ def q_decimal_overflow(spark, sf_dir):
 # Change application
 # ---------------------------------------------------------------------------
 from tallyframe.operators import changes  # noqa: E402
-from tallyframe.sources.bindings import RULE_SETS  # noqa: E402
+from tallyframe.schemas import RULE_SETS  # noqa: E402
 
 AS_OF = "2024-02-01 00:00:00"
 SESSION_AS_OF = "2024-01-25 00:00:00"
@@ -1599,7 +1599,7 @@ def q_webhook_unhandled(spark, sf_dir):
     webhook.land_events(landed.processor_events(L(spark, sf_dir)), f"{root}/landing")
     counts = webhook.unhandled_counts(webhook.read_events(spark, f"{root}/landing"))
     webhook.run_complete_to_parquet(counts, f"{root}/sink", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/sink")
+    return webhook.read_current(spark, f"{root}/sink")
 
 
 QUOTA_LIMIT = 1   # the driver's request log is sparse per key and window; see README
@@ -1622,7 +1622,7 @@ def q_quota_breaches(spark, sf_dir):
     breaches = quota_stream.quota_breaches(quota_stream.read_requests(spark, f"{root}/landing"),
                                            max_requests=QUOTA_LIMIT)
     webhook.run_complete_to_parquet(breaches, f"{root}/sink", f"{root}/checkpoint")
-    return (spark.read.parquet(f"{root}/sink")
+    return (webhook.read_current(spark, f"{root}/sink")
             .select("ip", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                     F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n_requests"))
 
@@ -1897,3 +1897,18 @@ def q_alloc_run_clustered(spark, sf_dir):
     runs = store.fact(_runs(led).select("run_id", "user_id", "amount"), "runs", "run_id")
     rules = store.side(led.allocation_rules.select("id", "user_id", "name", "percentage", "is_auto"), "rules")
     return clustered.alloc_run(runs, rules)
+
+
+# ---------------------------------------------------------------------------
+# Key checks through stored Bloom filters
+# ---------------------------------------------------------------------------
+from tallyframe.sources.keyfilter import KeyFilter  # noqa: E402
+
+
+@query("existing_keys_filtered", oracle=REGISTRY["existing_keys"].oracle)
+def q_existing_keys_filtered(spark, sf_dir):
+    """V4 + J1: ``existing_keys`` against the stored wallet addresses: requests are probed by Bloom filter, only the
+    buckets of those that remain are read, and each is verified."""
+    led = L(spark, sf_dir)
+    store = KeyFilter(spark, scratch_path(spark, "addresses"), buckets=32).build(led.crypto_wallets, "address")
+    return store.existing(_wallet_adds(led), "address")

@@ -101,7 +101,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server's checkpoint folder applies
-        return spark.conf.get("spark.checkpoint.dir", None) or ""
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder shared by all executors") from None
+        return shared
     current = sc.getCheckpointDir()
     if current:
         return current

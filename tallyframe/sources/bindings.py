@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.schemas import RULE_SETS
+
 Expr = str | tuple[str, str]
 
 
@@ -73,22 +75,6 @@ WALLET_NETWORKS = ["Bitcoin", "Ethereum", "ETHEREUM", "BSC", "Solana", "Polygon"
 TX_GATEWAYS = ["Stripe", "PayPal", "Wise", "Crypto", "Internal", "Coinbase"]
 TX_METHODS = ["card", "ACH", "wire", "Bank"]
 
-# The two literal allocation rule sets of the ledger's seed data:
-# (set, position, name, percentage, color, is_locked, is_auto)
-RULE_SETS = [
-    ("A", 1, "Operations", "40.00", "#3D8EF0", True, True),
-    ("A", 2, "Reserve", "20.00", "#F39C12", True, True),
-    ("A", 3, "Investment", "20.00", "#2ECC71", True, True),
-    ("A", 4, "Taxes", "10.00", "#E74C3C", True, True),
-    ("A", 5, "Profit", "10.00", "#9B59B6", True, True),
-    ("B", 1, "Operations Reserve", "15.00", "#3D8EF0", False, True),
-    ("B", 2, "Partner Payouts", "30.00", "#00E5A0", False, True),
-    ("B", 3, "Platform Revenue", "25.00", "#A855F7", True, True),
-    ("B", 4, "Compliance Reserve", "10.00", "#FFB800", True, True),
-    ("B", 5, "Growth Fund", "12.00", "#00D4FF", False, False),
-    ("B", 6, "Founder Distribution", "8.00", "#F5C518", False, False),
-]
-
 
 def rule_sets_sql() -> str:
     """The literal rule sets as an inline VALUES relation (same text in both dialects)."""

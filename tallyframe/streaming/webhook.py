@@ -92,12 +92,20 @@ def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str, mode: str = "a
     return None
 
 
+def read_current(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest whole result of ``run_complete_to_parquet``."""
+    newest = spark.read.parquet(f"{sink}/ledger").agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{sink}/results/{newest}")
+
+
 def run_complete_to_parquet(stream: DataFrame, sink: str, checkpoint: str, every: str | None = None):
-    """Run an aggregating stream in complete mode; each micro-batch's full result
-    replaces the previous one (idempotent overwrite per batch). ``every`` as in
-    ``run_to_parquet``."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+    """Run an aggregating stream in complete mode; each micro-batch's full result is written into a folder of
+    its own and becomes the current one when it is whole (``read_current``), so that readers never find a
+    result that is being replaced. ``every`` as in ``run_to_parquet``."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/results/{epoch}")
+        batch.sparkSession.range(epoch, epoch + 1, numPartitions=1).select(F.col("id").alias("batch")).write.mode(
+            "overwrite").parquet(f"{sink}/ledger/commit={epoch}")
 
     w = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
     if every:

@@ -94,7 +94,7 @@ def test_time_mixed_files_lose_no_row(spark, tmp_dir):
         quota.land_requests(one, f"{tmp_dir}/landing", files=1)
         s = quota.quota_breaches(quota.read_requests(spark, f"{tmp_dir}/landing"), max_requests=2)
         webhook.run_complete_to_parquet(s, f"{tmp_dir}/sink", f"{tmp_dir}/ckpt")
-    got = rows(spark.read.parquet(f"{tmp_dir}/sink").select(F.hour("window_start").alias("h"), "n_requests"))
+    got = rows(webhook.read_current(spark, f"{tmp_dir}/sink").select(F.hour("window_start").alias("h"), "n_requests"))
     assert got == [(10, 4), (19, 4)]
 
     ev = [(f"h{k % 5}", base - dt.timedelta(hours=k)) for k in range(10)]
