@@ -80,5 +80,5 @@ class KeyFilter:
         which some key passed the filter."""
         left = materialize(self.may_exist(requests, key))
         touched = [r[0] for r in left.select("bucket").distinct().collect()]            # at most ``buckets`` numbers
-        found = self.keys().where(F.col("bucket").isin(touched)).join(left, ["bucket", "key"], "left_semi").select("key")
-        return requests.join(found, _normal(F.col(key)) == F.col("key"), "left_semi")
+        found = self.keys().where(F.col("bucket").isin(touched)).join(left, ["bucket", "key"], "left_semi")
+        return requests.join(found.select(F.col("key").alias("_found")), _normal(requests[key]) == F.col("_found"), "left_semi")
