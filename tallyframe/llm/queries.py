@@ -92,8 +92,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence words, places and labels of every document."""
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("expressions").withColumnRenamed("id", "doc_id")
+    """Licence words, places and labels of every document, and its evaluated licence expressions."""
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("expressions", F.array_join("expressions", " ; ")).withColumnRenamed("id", "doc_id")
 
 
 @_query

@@ -331,3 +331,10 @@ def test_archives_of_several_members(spark, tmp_dir):
         g.write(f.read()[:-20])
     with pytest.raises(Exception, match="ends within"):
         normalise(spark.createDataFrame([("cut",)], "file string"), f"{tmp_dir}/raw", f"{tmp_dir}/bad").collect()
+
+
+def test_licence_expressions_reach_the_result(spark, tmp_dir):
+    texts = ["SPDX-License-Identifier: MIT OR Apache-2.0", "SPDX-License-Identifier: MIT AND Apache-2.0", "no licence", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    got = {r.doc_id: r.expressions for r in QUERIES["op7_license_scan"](spark, tmp_dir).collect()}
+    assert got == {0: "apache-2.0|mit", 1: "apache-2.0+mit", 2: "", 3: ""}
