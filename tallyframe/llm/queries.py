@@ -94,7 +94,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence words, places and labels of every document, and its evaluated licence expressions."""
     found = scan_licenses(table(spark, sf_dir, "documents"))
-    return found.withColumn("expressions", F.array_join("expressions", " ; ")).withColumnRenamed("id", "doc_id")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels",
+                        "score", F.array_join("expressions", " ; ").alias("expressions"))
 
 
 @_query

@@ -303,7 +303,8 @@ def test_line_dedup_of_odd_rows(spark):
 
 @pytest.mark.parametrize("name", ["op7_license_scan", "op5_chat_format"])
 def test_queries_have_the_contract_columns(spark, name):
-    want = {"op7_license_scan": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+    want = {"op7_license_scan": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+                                 "expressions"],
             "op5_chat_format": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]}
     assert QUERIES[name](spark, SF001).columns == want[name]
 
