@@ -122,6 +122,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .groupBy("doc").agg(F.sort_array(F.collect_list(F.col("i").cast("int"))).alias("removed")))
     d = _lines(docs, id_col, text_col).join(sized(written(gone, "lines-removed")), "doc", "left")
     d = d.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    left = F.expr("filter(lines, (x, n) -> not array_contains(removed, n))")
+    left = F.expr("transform(array_except(sequence(0, size(lines) - 1), removed), n -> get(lines, n))")   # both hashed once
     return d.select("id", F.size("lines").alias("n_lines"), F.size("removed").alias("n_removed"), "removed",
                     F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n")).alias("clean_text"))
