@@ -9,7 +9,6 @@ from tallyframe.operators.sessions import session_outcomes, sessions_after
 from tallyframe.streaming.keyed import first_request_windows, rocksdb, session_stream
 from tallyframe.streaming.webhook import run_to_parquet
 
-from .conftest import rows
 from .fixtures import frame
 
 T0 = dt.datetime(2024, 1, 1)
