@@ -1685,12 +1685,14 @@ LANDINGS = 4
 
 def _landed_in_turn(spark, rows, at: str, root: str, run) -> None:
     """Lands ``rows`` in ``LANDINGS`` equal periods of ``at``, one after another, and runs the stream after each: it stops
-    and goes on from its checkpoint in between."""
+    and goes on from its checkpoint in between. The rows are built once, and kept by the period they land in."""
     first, last = rows.agg(F.min(at), F.max(at)).first()
+    turn = F.lit(LANDINGS - 1)
+    for k in reversed(range(1, LANDINGS)):
+        turn = F.when(F.col(at) < F.lit(first + (last - first) * k / LANDINGS), k - 1).otherwise(turn)
+    rows.where(F.col(at).isNotNull()).withColumn("_turn", turn).write.partitionBy("_turn").parquet(f"{root}/rows")
     for k in range(LANDINGS):
-        low, high = (first + (last - first) * x / LANDINGS for x in (k, k + 1))
-        late = F.col(at) >= F.lit(low) if k else F.lit(True)
-        rows.where(late & ((F.col(at) < F.lit(high)) if k < LANDINGS - 1 else F.lit(True))).write.mode("append").parquet(
+        spark.read.parquet(f"{root}/rows").where(F.col("_turn") == k).select(*rows.columns).write.mode("append").parquet(
             f"{root}/landing")
         run()
 
