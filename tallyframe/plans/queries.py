@@ -1364,7 +1364,7 @@ def q_series_rows(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Audit, logs, scans
 # ---------------------------------------------------------------------------
-from tallyframe.session import scratch_path  # noqa: E402
+from tallyframe.session import scratch_path, sized_tasks  # noqa: E402
 from tallyframe.sources import audit, tables  # noqa: E402
 
 
@@ -1428,17 +1428,7 @@ FROM bank_accounts b WHERE EXISTS (
         extra_ctes=(_RUNS_SQL, _ACCEPTED_SQL, _WALLET_ADDS_SQL, _WALLET_DELETES_SQL, _USER_REQ_SQL, *_ACCEPT_CTES)))
 
 
-@query("audit_append", oracle=_audit_append_sql())
-def q_audit_append(spark, sf_dir):
-    """S9 + X19: audit rows for all ten of the ledger's actions, built from the jobs
-    that perform them: login (each session creation, no details), create_user
-    (accepted user requests), change_user_status (applied status changes),
-    run_allocation (accepted runs with their allocation list), add_rule (accepted
-    rule requests), delete_rule and delete_bank (owner-checked deletes), add_wallet
-    (inserted wallets), delete_wallet (deleted wallets) and link_bank (institution and
-    account count per link), each with its actor and client address. The rows are appended to
-    the date-partitioned sink and read back from it."""
-    led = L(spark, sf_dir)
+def _audit_rows(led: Ledger):
     at = F.lit(AS_OF).cast("timestamp_ntz")
     rules_ok = acceptance.accept_in_order(led.allocation_rules, _rule_requests(led)).where("accepted")
     added = changes.insert_absent(led.crypto_wallets, _wallet_adds(led), "address", ["request_id"])
@@ -1457,7 +1447,7 @@ def q_audit_append(spark, sf_dir):
         return audit.action_audit(df.withColumn("at", at).withColumn("ip_address", F.expr(_IP)), action, resource, details,
                                   ref, "at")
 
-    everything = audit.audit_union([
+    return audit.audit_union([
         rows(led.refresh_tokens, "login", "auth", None, "id", F.col("created_at")),
         rows(created, "create_user", "users", ["email", "role"], "request_id"),
         rows(status_snap.where("changed").select(F.col("id").alias("target_user_id"), "status", "user_id"),
@@ -1470,9 +1460,22 @@ def q_audit_append(spark, sf_dir):
         rows(deleted, "delete_wallet", "crypto_wallets", ["id"], "id"),
         rows(links, "link_bank", "bank_accounts", ["institution", "accounts"], "link_id"),
     ])
-    sink = scratch_path(spark, "audit")
-    audit.append_audit(everything, sink, period="month")
-    return spark.read.parquet(sink).select(everything.columns)
+
+
+@query("audit_append", oracle=_audit_append_sql())
+def q_audit_append(spark, sf_dir):
+    """S9 + X19: audit rows for all ten of the ledger's actions, built from the jobs
+    that perform them: login (each session creation, no details), create_user
+    (accepted user requests), change_user_status (applied status changes),
+    run_allocation (accepted runs with their allocation list), add_rule (accepted
+    rule requests), delete_rule and delete_bank (owner-checked deletes), add_wallet
+    (inserted wallets), delete_wallet (deleted wallets) and link_bank (institution and
+    account count per link), each with its actor and client address. The rows are appended to
+    the date-partitioned sink and read back from it. Tasks are cut by the rows of the tables."""
+    led, sink = L(spark, sf_dir), scratch_path(spark, "audit")
+    with sized_tasks(spark, sum(led.driver(t).count() for t in ("customer", "orders", "part", "events"))):
+        audit.append_audit(_audit_rows(led), sink, period="month")
+    return spark.read.parquet(sink).select(audit.AUDIT_COLUMNS)
 
 
 @query("audit_details", oracle=with_ledger("""

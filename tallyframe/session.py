@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -135,6 +136,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+# Rows and (compressed) bytes that one task sorts or reads inside ``sized_tasks``.
+TASK_ROWS, TASK_BYTES = 250_000, 16 << 20
+
+
+@contextmanager
+def sized_tasks(spark: SparkSession, rows: int):
+    """What runs inside is cut into tasks by its ``rows`` of input, so that a task's sorts hold no more of a larger
+    table. The session's number of shuffle partitions is kept where it is larger; AQE joins small ones again."""
+    partitions = "spark.sql.shuffle.partitions"
+    wanted = {partitions: str(max(int(spark.conf.get(partitions)), -(-rows // TASK_ROWS))),
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+              "spark.sql.files.maxPartitionBytes": str(TASK_BYTES)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def is_local(spark: SparkSession) -> bool:
     try:
         return spark.sparkContext.master.startswith("local")
